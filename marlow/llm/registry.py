@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from marlow.llm import quality
+from marlow.llm import mixing, neardup, quality, sharding
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_simhash_neardup": neardup.op5_simhash_neardup,
+    "op6_sharding": sharding.op6_sharding,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLES: dict[str, str] = {}
