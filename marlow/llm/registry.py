@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from marlow.llm import mixing, neardup, quality, sharding
+from marlow.llm import decontamination, language, mixing, neardup, quality, sharding, substrings
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_simhash_neardup": neardup.op5_simhash_neardup,
     "op6_sharding": sharding.op6_sharding,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
