@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlow.llm import decontamination, language, mixing, neardup, quality, sharding, substrings
+from marlow.llm import chat, decontamination, language, mixing, neardup, quality, sharding, substrings
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_simhash_neardup": neardup.op5_simhash_neardup,
     "op6_sharding": sharding.op6_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
