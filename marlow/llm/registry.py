@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from marlow.llm import chat, decontamination, language, mixing, neardup, quality, sharding, substrings
+from marlow.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, substrings, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
     "op2_language_id": language.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_simhash_neardup": neardup.op5_simhash_neardup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_licence_scan": licences.op7_licence_scan,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substrings.op10_substring_dedup,
