@@ -1,10 +1,14 @@
-"""A corpus pipeline of five training-data operators; see STAGES."""
+"""A corpus pipeline of five training-data operators; see STAGES.
+
+Every stage works on all documents that the one before kept and returns the columns
+of documents; the last adds ``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlow.llm import quality
+from marlow.llm import decontamination, mixing, neardup, quality, sharding
 from marlow.llm.shared import forget, written
 
 
@@ -13,11 +17,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passing(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return neardup.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the mixture, as often as it schedules them."""
+    return mixing.arranged(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and their slot in it."""
+    return sharding.sharded(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixture),
+    ("sharding", shards),
 ]
 
-#: The stages are procedural (fingerprints, rings, schedules), so there is no SQL.
+#: Fingerprints, schedules and rings are procedural, so there is no SQL; see tests/llm.
 ORACLE_SQL = None
 
 

@@ -32,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered
+from marlow.llm.shared import numbered, shuffle_width
 
 #: Rows in a block.
 BLOCK = 16
@@ -115,5 +115,11 @@ def mixed(rows: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     return out.select(*names, "block", "in_block", "epoch", slot.alias("slot"))
 
 
+def arranged(docs: DataFrame, **how) -> DataFrame:
+    """The scheduled rows of ``docs``, columns unchanged, in files that follow the schedule."""
+    out = mixed(docs, **how)
+    return out.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "in_block").sortWithinPartitions("slot", "in_block").select(*docs.columns)
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
