@@ -1 +1,120 @@
-"""Registered later."""
+"""Text preparation: chunks, prefixes, token estimates, records, truncation to a budget."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marlow.functions import text as t
+from marlow.plans.catalog import frame, sql
+
+LENGTH, OVERLAP = 200, 40
+STEP = LENGTH - OVERLAP
+W = "CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN [] ELSE string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') END"
+CHUNKS = f"""WITH w AS (SELECT note_id, age, text, {W} AS w FROM {{note_events}}), n AS (SELECT *, CASE WHEN len(w) <= {LENGTH} THEN 0 ELSE CAST(ceil((len(w) - {LENGTH}) / {STEP}.0) AS BIGINT) END AS last FROM w),
+  c AS (SELECT note_id, age, i AS chunk_no, CASE WHEN len(w) <= {LENGTH} THEN text ELSE array_to_string(w[i * {STEP} + 1 : i * {STEP} + {LENGTH}], ' ') END AS chunk FROM n, unnest(range(0, last + 1)) r(i))"""
+
+
+def chunked(notes):
+    return notes.select("note_id", "age", F.posexplode(t.chunks(F.col("text"), LENGTH, OVERLAP)).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@frame("chunk_documents", f"{CHUNKS} SELECT note_id, chunk_no, chunk FROM c", "note_events")
+def chunk_documents(notes):
+    return chunked(notes).select("note_id", "chunk_no", "chunk")
+
+
+@frame("prefixed_chunks", f"{CHUNKS} SELECT note_id, chunk_no, md5('Patient age: ' || CAST(age AS STRING) || ' years' || chr(10) || ' ' || chr(10) || ' Clinical Note:' || chr(10) || chunk) AS digest FROM c", "note_events")
+def prefixed_chunks(notes):
+    return chunked(notes).select("note_id", "chunk_no", F.md5(t.age_prefix(F.col("age"), F.col("chunk")).cast("binary")).alias("digest"))
+
+
+@frame("strip_chunk_prefix", f"{CHUNKS} SELECT note_id, chunk_no, md5(ltrim(chunk, ' ')) AS digest FROM c", "note_events")
+def strip_chunk_prefix(notes):
+    c = chunked(notes)
+    return c.select("note_id", "chunk_no", F.md5(t.without_age_prefix(t.age_prefix(F.col("age"), F.col("chunk"))).cast("binary")).alias("digest"))
+
+
+@frame("approx_tokens", f"SELECT note_id, len({W}) * 13 // 10 AS tokens FROM {{note_events}}", "note_events")
+def approx_tokens(notes):
+    return notes.select("note_id", t.approx_tokens(F.col("text")).alias("tokens"))
+
+
+NOTE_LINE = "'[Note ' || CAST(i AS STRING) || '] ' || coalesce(note_type, '') || ' at age ' || CAST(age AS STRING) || ', ' || CAST(days AS STRING) || ' days' || chr(10) || text"
+RECORDS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY charttime, note_id) AS i FROM {{note_events}}),
+  nn AS (SELECT subject_id, count(*) AS num_notes, string_agg({NOTE_LINE}, chr(10) ORDER BY i) AS body FROM n GROUP BY subject_id),
+  cd AS (SELECT *, row_number() OVER (PARTITION BY subject_id, code, version ORDER BY days DESC, ord) AS rn FROM {{code_events}}),
+  cc AS (SELECT subject_id, count(*) AS num_codes, string_agg(title || ' (' || CAST(code AS STRING) || '-' || CAST(version AS STRING) || ')', chr(10) ORDER BY days DESC, ord) AS body FROM cd WHERE rn = 1 GROUP BY subject_id),
+  rec AS (SELECT s.subject_id, s.label, coalesce(nn.num_notes, 0) AS num_notes, coalesce(cc.num_codes, 0) AS num_codes,
+    'Clinical notes (N=' || CAST(coalesce(nn.num_notes, 0) AS STRING) || ')' || chr(10) || coalesce(nn.body, '') || chr(10) || chr(10) || 'Codes (N=' || CAST(coalesce(cc.num_codes, 0) AS STRING) || ')' || chr(10) || coalesce(cc.body, '') AS text
+    FROM {{subject_labels}} s LEFT JOIN nn ON nn.subject_id = s.subject_id LEFT JOIN cc ON cc.subject_id = s.subject_id)"""
+
+
+def records(notes, codes, labels):
+    """(subject_id, label, num_notes, num_codes, text): the whole history of each subject."""
+    line = F.concat(F.coalesce("note_type", F.lit("")), F.lit(" at age "), F.col("age").cast("string"), F.lit(", "), F.col("days").cast("string"), F.lit(" days\n"), F.col("text"))
+    n = notes.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("charttime", "note_id", line.alias("line")))).alias("items"))
+    n = n.select("subject_id", F.size("items").cast("long").alias("num_notes"), F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[Note "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("notes"))
+    first = codes.groupBy("subject_id", "code", "version").agg(F.max_by(F.struct("days", "title", "ord"), F.struct("days", -F.col("ord"))).alias("c"))
+    c = first.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("c.days")).alias("a"), F.col("c.ord").alias("b"), F.concat(F.col("c.title"), F.lit(" ("), F.col("code").cast("string"), F.lit("-"), F.col("version").cast("string"), F.lit(")")).alias("line")))).alias("items"))
+    c = c.select("subject_id", F.size("items").cast("long").alias("num_codes"), F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("codes"))
+    both = labels.join(n, "subject_id", "left").join(c, "subject_id", "left").fillna(0, ["num_notes", "num_codes"]).fillna("", ["notes", "codes"])
+    body = F.concat(F.lit("Clinical notes (N="), F.col("num_notes").cast("string"), F.lit(")\n"), F.col("notes"), F.lit("\n\nCodes (N="), F.col("num_codes").cast("string"), F.lit(")\n"), F.col("codes"))
+    return both.select("subject_id", "label", "num_notes", "num_codes", body.alias("text"))
+
+
+@frame("full_context_records", f"WITH {RECORDS} SELECT subject_id, label, num_notes, num_codes, md5(text) AS digest, len({W}) * 13 // 10 AS approx_tokens FROM rec", "note_events", "code_events", "subject_labels")
+def full_context_records(notes, codes, labels):
+    r = records(notes, codes, labels)
+    return r.select("subject_id", "label", "num_notes", "num_codes", F.md5(F.col("text").cast("binary")).alias("digest"), t.approx_tokens(F.col("text")).alias("approx_tokens"))
+
+
+@frame("notes_only_ablation", f"WITH {RECORDS} SELECT subject_id, num_notes, md5(regexp_replace(text, '(?s)' || chr(10) || chr(10) || 'Codes \\(N=\\d+\\)' || chr(10) || '.*$', chr(10))) AS digest FROM rec", "note_events", "code_events", "subject_labels")
+def notes_only_ablation(notes, codes, labels):
+    r = records(notes, codes, labels)
+    return r.select("subject_id", "num_notes", F.md5(F.regexp_replace("text", r"(?s)\n\nCodes \(N=\d+\)\n.*$", "\n").cast("binary")).alias("digest"))
+
+
+@frame(
+    "split_note_blocks",
+    f"""WITH {RECORDS}, b AS (SELECT subject_id, string_split(regexp_replace(regexp_replace(text, '(?s)' || chr(10) || chr(10) || 'Codes \\(N=\\d+\\)' || chr(10) || '.*$', ''), '(?m)^(\\[Note \\d+\\] )', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM rec)
+        SELECT subject_id, i - 1 AS block_no, length(parts[i]) AS n_chars, md5(parts[i]) AS digest FROM b, unnest(range(2, len(parts) + 1)) t(i)""",
+    "note_events",
+    "code_events",
+    "subject_labels",
+)
+def split_note_blocks(notes, codes, labels):
+    body = F.regexp_replace("text", r"(?s)\n\nCodes \(N=\d+\)\n.*$", "")
+    parts = records(notes, codes, labels).select("subject_id", F.posexplode(F.split(body, r"(?m)(?=^\[Note \d+\] )")).alias("block_no", "block"))
+    return parts.where("block_no > 0").select("subject_id", F.col("block_no").cast("long").alias("block_no"), F.length("block").cast("long").alias("n_chars"), F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+BUDGET, FIXED = 3000, 200
+
+
+def fitted(notes, newest: bool):
+    """Notes of each subject that fit a token budget, from the newest (or oldest) on; at least one."""
+    order = F.col("charttime").desc() if newest else F.col("charttime").asc()
+    w = Window.partitionBy("subject_id").orderBy(order, F.col("note_id"))
+    r = notes.select("subject_id", "note_id", "charttime", t.approx_tokens(F.col("text")).alias("tokens"))
+    r = r.withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + FIXED).withColumn("place", F.row_number().over(w))
+    return r.where((F.col("used") <= BUDGET) | (F.col("place") == 1)).select("subject_id", "note_id", "tokens", "used")
+
+
+def _fit(direction: str) -> str:
+    return f"""WITH t AS (SELECT subject_id, note_id, charttime, len({W}) * 13 // 10 AS tokens FROM {{note_events}}),
+      u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY subject_id ORDER BY charttime {direction}, note_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) + {FIXED} AS used, row_number() OVER (PARTITION BY subject_id ORDER BY charttime {direction}, note_id) AS place FROM t)
+      SELECT subject_id, note_id, tokens, used FROM u WHERE used <= {BUDGET} OR place = 1"""
+
+
+@frame("truncate_recent", _fit("DESC"), "note_events")
+def truncate_recent(notes):
+    return fitted(notes, True)
+
+
+@frame("truncate_early", _fit("ASC"), "note_events")
+def truncate_early(notes):
+    return fitted(notes, False)
+
+
+sql("token_label", "SELECT DISTINCT regexp_replace(note_type || ' run:' || CAST(age AS STRING), '[^A-Za-z0-9_.-]', '_') AS label FROM {note_events}", "SELECT DISTINCT regexp_replace(note_type || ' run:' || CAST(age AS STRING), '[^A-Za-z0-9_.-]', '_', 'g') AS label FROM {note_events}")
