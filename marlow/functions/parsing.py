@@ -1,0 +1,221 @@
+"""Parsing of completions and reports: native expressions first, Arrow functions where
+no expression can do it (balanced braces, Unicode normalisation, partial ratios)."""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+HEADERS = ("Mortality Assessment", "Predictive Factors", "Overall Reasoning", "Recommendations")
+
+
+def strict_probability(text: Column) -> Column:
+    """The probability of a completion that is one JSON object, if within [0, 1]."""
+    p = F.from_json(text, "probability double, report string")["probability"]
+    return F.when((p >= 0) & (p <= 1), p)
+
+
+def loose_probability(text: Column) -> Column:
+    """The first ``"probability": x`` of a text with x within [0, 1]."""
+    p = F.regexp_extract(text, r'"probability"\s*:\s*([01]?\.\d+|[01])', 1).try_cast("double")
+    return F.when((p >= 0) & (p <= 1), p)
+
+
+def parsed(text: Column) -> Column:
+    """struct(probability, report, ok): JSON, then an object within the text, then a pattern."""
+    strict = F.from_json(text, "probability double, report string")
+    p = strict_probability(text)
+    good = p.isNotNull() & strict["report"].isNotNull()
+    inner = braced(text)
+    ip = strict_probability(inner)
+    ireport = F.from_json(inner, "probability double, report string")["report"]
+    igood = ip.isNotNull() & ireport.isNotNull()
+    return F.struct(
+        F.when(good, p).when(igood, ip).otherwise(loose_probability(text)).alias("probability"), F.when(good, strict["report"]).when(igood, ireport).otherwise(text).alias("report"), (good | igood).alias("ok")
+    )
+
+
+def first_object(text: str | None) -> str | None:
+    """The first balanced ``{...}`` of a text that is JSON with a probability; strings and
+    escapes within it are respected."""
+    if not text:
+        return None
+    start = text.find("{")
+    while start >= 0:
+        depth, quoted, escaped = 0, False, False
+        for i in range(start, len(text)):
+            c = text[i]
+            if quoted:
+                escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    try:
+                        got = json.loads(text[start : i + 1])
+                    except ValueError:
+                        got = None
+                    if isinstance(got, dict) and "probability" in got:
+                        return text[start : i + 1]
+                    break
+        start = text.find("{", start + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def braced(s: pd.Series) -> pd.Series:
+    return s.map(first_object)
+
+
+def unwrap(text: str | None) -> str | None:
+    """The report within a completion: JSON with a report, fenced or bare; else the text itself."""
+    if text is None:
+        return None
+    body = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text)
+    try:
+        got = json.loads(body)
+        if isinstance(got, dict) and isinstance(got.get("report"), str):
+            return got["report"]
+    except ValueError:
+        m = re.search(r'"report"\s*:\s*"((?:[^"\\]|\\.)*)', body, re.S)
+        if m:
+            return m[1].replace("\\n", "\n").replace('\\"', '"').replace("\\\\", "\\")
+    return body
+
+
+@F.pandas_udf(StringType())
+def unwrapped(s: pd.Series) -> pd.Series:
+    return s.map(unwrap)
+
+
+def plain(text: str | None) -> str | None:
+    """NFKC, one blank for white space, lower case, no age prefix or edge ellipses."""
+    if text is None:
+        return None
+    t = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip().lower()
+    t = re.sub(r"^(?:patient )?age:? \d+ years? ?(?:clinical note: ?)?", "", t)
+    return t.strip(" .…") if t.startswith(("...", "…")) or t.endswith(("...", "…")) else t
+
+
+@F.pandas_udf(StringType())
+def normalized(s: pd.Series) -> pd.Series:
+    return s.map(plain)
+
+
+def _lcs(short: str, window: str) -> int:
+    """Length of the longest common subsequence, by bits of one integer."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(short)) - 1
+    s = full
+    for c in window:
+        u = s & masks.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return len(short) - s.bit_count()
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """Best indel similarity times 100 of the shorter text with windows of its length in the longer."""
+    if not a or not b:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    if a in b:
+        return 100.0
+    m = len(a)
+    best = max(_lcs(a, b[i : i + m]) for i in range(len(b) - m + 1))
+    edges = [2 * _lcs(a, w) / (m + len(w)) for w in [b[:k] for k in range(1, m)] + [b[-k:] for k in range(1, m)]] if m <= 64 else [0.0]
+    return 100.0 * max([best / m, *edges])
+
+
+def spans_ratio(quote: str | None, source: str | None) -> float | None:
+    """The least partial ratio of the parts of a quote between ellipses; parts under 3 characters are left out."""
+    if quote is None or source is None:
+        return None
+    q, s = plain(quote), plain(source)
+    parts = [p.strip() for p in re.split(r"\.\.+|…", q or "")]
+    parts = [p for p in parts if len(p) >= 3]
+    return min(partial_ratio(p, s) for p in parts) if parts else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def fuzzy(quote: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([spans_ratio(q, s) for q, s in zip(quote, source)], dtype=np.float64)
+
+
+def renumber(report: str | None) -> str | None:
+    """Numbers put before the factor summaries that have none, within the factor section."""
+    if report is None:
+        return None
+    m = re.search(r"(?im)^\W*Predictive Factors\W*$", report)
+    if not m:
+        return report
+    end = re.search(r"(?im)^\W*(?:Overall Reasoning|Recommendations)\W*$", report[m.end() :])
+    stop = m.end() + end.start() if end else len(report)
+    count = 0
+    lines = []
+    for line in report[m.end() : stop].split("\n"):
+        if re.match(r"\s*(?:\d+\.\s*)?Factor summary:", line, re.I):
+            count += 1
+            line = f"{count}. " + re.sub(r"^\s*(?:\d+\.\s*)?", "", line)
+        lines.append(line)
+    return report[: m.end()] + "\n".join(lines) + report[stop:]
+
+
+@F.pandas_udf(StringType())
+def renumbered(s: pd.Series) -> pd.Series:
+    return s.map(renumber)
+
+
+def factor_section(report: Column) -> Column:
+    return F.regexp_extract(report, r"(?s)Predictive Factors\s*\n(.*?)(?=\n?(?:Overall Reasoning|Recommendations)|\z)", 1)
+
+
+def factors(report: Column) -> Column:
+    """The numbered factors of a report, in order."""
+    return F.filter(F.split(factor_section(report), r"(?m)(?=^\s*\d+\.\s)"), lambda x: x.rlike(r"^\s*\d+\.\s"))
+
+
+def evidence_line(factor: Column) -> Column:
+    """What follows ``Supporting evidence:`` up to the next heading; the whole factor without one."""
+    got = F.regexp_extract(factor, r"(?is)Supporting\s+evidence\s*:\s*(.*?)(?=\n\s*(?:Reasoning|Attribution|Factor summary)\s*:|\z)", 1)
+    return F.trim(F.when(factor.rlike(r"(?i)Supporting\s+evidence\s*:"), got).otherwise(factor))
+
+
+def longest_quote(evidence: Column) -> Column:
+    """The longest quoted span of 3 characters or more; the first of equals."""
+    found = F.regexp_extract_all(evidence, F.lit('["“”]([^"“”]{3,})["“”]'), F.lit(1))
+    best = F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
+    return F.get(best, F.lit(0))["x"]
+
+
+def citation(evidence: Column) -> tuple[Column, Column]:
+    """(kind, id) of the first citation: a note id, or a code without its dots."""
+    note = F.regexp_extract(evidence, r"(?i)\(?Note ID:\s*([\w-]+)", 1)
+    code = F.regexp_extract(evidence, r"(?i)ICD code:\s*([\w.-]+)", 1)
+    kind = F.when(code != "", "icd").when(note != "", "note")
+    return kind, F.when(code != "", F.regexp_replace(F.regexp_replace(code, r"\.", ""), r"[.,;]+$", "")).when(note != "", note)
+
+
+def cleaned(report: Column) -> Column:
+    """Markdown marks taken off headings, labels and bullets before labels."""
+    r = F.regexp_replace(report, r"(?m)^#+\s*", "")
+    r = F.regexp_replace(r, r"(?m)^\s*[-*•]\s+(?=(?:Factor summary|Supporting evidence|Reasoning)\s*:)", "")
+    return F.regexp_replace(r, r"\*\*(.+?)\*\*", "$1")
+
+
+def valid(report: Column, least: int = 200) -> Column:
+    """Long enough and with all four section headers."""
+    ok = F.length(report) > least
+    for h in HEADERS:
+        ok = ok & report.contains(h)
+    return ok

@@ -1 +1,140 @@
-"""Registered later."""
+"""Model inference on vectors: gates, fusion, closed-form attribution; numpy kernels by subject."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marlow.functions import vectors
+from marlow.plans.catalog import frame
+from marlow.plans.retrieval import _LN, _LONG, hits, mean_pooled, summaries
+
+WEIGHT = "(((i * 37) % 64) - 31.5) / CAST(64 AS DOUBLE)"
+
+
+def weight(position):
+    """A fixed head: no trained weights exist."""
+    return ((position * 37) % 64 - F.lit(31.5)) / F.lit(64.0)
+
+
+Q_LONG = "SELECT query_idx, modality, i - 1 AS position, CAST(vector[i] AS DOUBLE) AS x FROM {query_vectors}, unnest(range(1, len(vector) + 1)) t(i)"
+GATES = f"""SELECT s.subject_id, q.query_idx, sum(s.x * q.x) / (sqrt(sum(s.x * s.x)) * sqrt(sum(q.x * q.x))) AS cos FROM ({_LN}) s JOIN ({Q_LONG}) q ON s.position = q.position WHERE q.modality = 'Note' GROUP BY s.subject_id, q.query_idx"""
+
+
+def gates(notes, queries):
+    """Cosine of each subject's summary with each query; a gate opens where its logistic is above theta's."""
+    s = summaries(notes).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("v")).select("subject_id", F.transform("v", lambda e: e["x"]).alias("v"))
+    q = F.broadcast(queries.where("modality = 'Note'").select("query_idx", F.col("vector").alias("q")))
+    return s.join(q).select("subject_id", "query_idx", vectors.cosine(F.col("v"), F.col("q")).alias("cos"))
+
+
+@frame("gating_mask", f"SELECT subject_id, query_idx, round(cos, 4) AS cos, query_idx = 0 OR 1 / (1 + exp(-round(cos, 4))) > 1 / (1 + exp(CAST(-0.02 AS DOUBLE))) AS open FROM ({GATES})", "note_vectors", "query_vectors")
+def gating_mask(notes, queries):
+    c = F.round("cos", 4)
+    return gates(notes, queries).select("subject_id", "query_idx", c.alias("cos"), ((F.col("query_idx") == 0) | (1 / (1 + F.exp(-c)) > 1 / (1 + F.exp(F.lit(-0.02))))).alias("open"))
+
+
+@frame("fused_score", f"SELECT subject_id, round(1 / (1 + exp(-sum(x * ({WEIGHT.replace('i *', 'position *')})))), 5) AS p FROM ({_LN}) GROUP BY subject_id", "note_vectors")
+def fused_score(notes):
+    """Layer-normalised pooled vector through a linear head."""
+    return summaries(notes).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(F.col("x") * weight(F.col("position"))))), 5).alias("p"))
+
+
+@frame(
+    "concat_fused_score",
+    f"""SELECT subject_id, round(1 / (1 + exp(-sum(z))), 5) AS p FROM (
+          SELECT subject_id, x * ({WEIGHT.replace('i *', 'position *')}) AS z FROM ({_LONG}) UNION ALL
+          SELECT subject_id, -x * ({WEIGHT.replace('i *', 'position *')}) AS z FROM ({_LONG.replace('{note_vectors}', '{code_vectors}')})) GROUP BY subject_id""",
+    "note_vectors",
+    "code_vectors",
+)
+def concat_fused_score(notes, codes):
+    """Pooled notes and pooled codes side by side through one head."""
+    z = [mean_pooled(df).select("subject_id", (sign * F.col("x") * weight(F.col("position"))).alias("z")) for df, sign in ((notes, 1), (codes, -1))]
+    return z[0].unionByName(z[1]).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum("z"))), 5).alias("p"))
+
+
+@frame(
+    "query_diversity",
+    f"""WITH g AS (SELECT a.query_idx AS a, b.query_idx AS b, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM ({Q_LONG}) a JOIN ({Q_LONG}) b ON a.position = b.position GROUP BY a.query_idx, b.query_idx)
+        SELECT round(sqrt(sum(power(c - CASE WHEN a = b THEN 1 ELSE 0 END, 2))), 5) AS gap, count(*) AS n FROM g""",
+    "query_vectors",
+)
+def query_diversity(queries):
+    """Frobenius distance of the queries' cosine matrix from the identity."""
+    a = queries.select(F.col("query_idx").alias("a"), F.col("vector").alias("x"))
+    b = F.broadcast(queries.select(F.col("query_idx").alias("b"), F.col("vector").alias("y")))
+    g = a.join(b).select((vectors.cosine(F.col("x"), F.col("y")) - (F.col("a") == F.col("b")).cast("int")).alias("d"))
+    return g.agg(F.round(F.sqrt(F.sum(F.col("d") * F.col("d"))), 5).alias("gap"), F.count(F.lit(1)).alias("n"))
+
+
+@frame(
+    "ig_linear_closed_form",
+    f"SELECT vec_id, subject_id, round(sum(CAST(vector[i] AS DOUBLE) * ({WEIGHT.replace('i *', '(i - 1) *')})) / max(n), 6) AS attribution FROM (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM {{note_vectors}}), unnest(range(1, len(vector) + 1)) t(i) GROUP BY vec_id, subject_id",
+    "note_vectors",
+)
+def ig_linear_closed_form(notes):
+    """Integrated gradients of a linear head on the mean vector: each item's own share."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("subject_id"))
+    own = F.aggregate(F.transform(vectors.doubles(F.col("vector")), lambda x, i: x * weight(i)), F.lit(0.0), lambda a, x: a + x)
+    return notes.select("vec_id", "subject_id", F.round(own / n, 6).alias("attribution"))
+
+
+def by_subject(rows, kernel, schema: str):
+    """``kernel(subject_id, matrix, frame)`` on each subject's vectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        return kernel(int(pdf["subject_id"].iloc[0]), np.stack(pdf["vector"].to_numpy()).astype(float), pdf)
+
+    return rows.groupBy("subject_id").applyInPandas(run, schema)
+
+
+@frame("mil_scores", None, "note_vectors", "code_vectors")
+def mil_scores(notes, codes):
+    """Gated-attention MIL over the bag of all note and code vectors of a subject."""
+
+    def kernel(subject, m, _):
+        from marlow.functions.networks import GatedMil
+
+        return pd.DataFrame({"subject_id": [subject], "n_items": [len(m)], "p": [round(GatedMil(m.shape[1], 16, 5).score(m), 6)]})
+
+    cols = ["subject_id", "vector"]
+    return by_subject(notes.select(*cols).unionByName(codes.select(*cols)), kernel, "subject_id long, n_items long, p double")
+
+
+@frame("expert_scores", None, "note_vectors", "query_vectors")
+def expert_scores(notes, queries):
+    """Retrieved items of the first query through attention and an expert, with integrated gradients."""
+    q = [float(x) for x in queries.where("query_idx = 0").first()["vector"]]
+
+    def kernel(subject, m, pdf):
+        import numpy as np
+
+        from marlow.functions.networks import Expert, integrated_gradients, probability
+
+        e = Expert(m.shape[1], 32, 3)
+        p, zero = probability(np.array(q), m, e), probability(np.array(q), np.zeros_like(m), e)
+        a = integrated_gradients(np.array(q), m, e)
+        return pd.DataFrame({"subject_id": subject, "vec_id": pdf["vec_id"], "p": round(p, 6), "attribution": a.round(6), "gap": round(p - zero - a.sum(), 6)})
+
+    kept = hits(notes, queries.where("query_idx = 0"), "Note").join(notes.select("vec_id", "vector"), "vec_id")
+    return by_subject(kept.select("subject_id", "vec_id", "vector"), kernel, "subject_id long, vec_id long, p double, attribution double, gap double")
+
+
+@frame("encode_chunks", None, "note_events")
+def encode_chunks(notes):
+    """Chunks through the stand-in encoder, a batch at a time."""
+    from marlow.plans.texts import chunked
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from marlow.functions.networks import hashed_bag
+
+        for b in batches:
+            yield pd.DataFrame({"note_id": b["note_id"], "chunk_no": b["chunk_no"], "vector": [hashed_bag(c).astype("float32") for c in b["chunk"]]})
+
+    return chunked(notes).select("note_id", "chunk_no", "chunk").mapInPandas(run, "note_id long, chunk_no long, vector array<float>")

@@ -1 +1,221 @@
-"""Registered later."""
+"""Reports: completions parsed, factors and evidence extracted, citations checked, formats gated."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlow.functions import parsing as p
+from marlow.plans.catalog import frame, sql
+
+@frame(
+    "parse_completion",
+    """SELECT conv_id, turn, round(CASE WHEN conv_id % 3 = 0 THEN ((conv_id * 7 + turn) % 10 + 0.5) / CAST(10 AS DOUBLE) WHEN conv_id % 3 = 1 THEN ((conv_id + turn) % 10 + 0.7) / CAST(10 AS DOUBLE) END, 6) AS probability,
+         CASE WHEN conv_id % 3 = 0 THEN 'r' || CAST(conv_id AS STRING) ELSE completion END AS report, conv_id % 3 = 0 AS ok FROM {completions}""",
+    "completions",
+)
+def parse_completion(completions):
+    got = completions.select("conv_id", "turn", p.parsed(F.col("completion")).alias("r"))
+    return got.select("conv_id", "turn", F.round("r.probability", 6).alias("probability"), "r.report", "r.ok")
+
+
+sql(
+    "verbalizer_probability",
+    """SELECT subject_id, method, round(CASE WHEN yes IS NULL AND no IS NULL THEN CAST(0.5 AS DOUBLE) WHEN no IS NULL THEN CAST(1.0 AS DOUBLE) WHEN yes IS NULL THEN CAST(0.0 AS DOUBLE) ELSE 1 / (1 + exp(no - yes)) END, 6) AS p FROM (
+         SELECT subject_id, method, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE probability * -3 END AS yes, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE probability * -2 - 1 END AS no FROM {predictions})""",
+)
+sql("verbalizer_tokens", "SELECT method, label, CASE method WHEN 'm1' THEN CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END WHEN 'm2' THEN CASE WHEN label = 1 THEN '+' ELSE '-' END ELSE CASE WHEN label = 1 THEN '<r1>' ELSE '<r0>' END END AS token, count(*) AS n FROM {predictions} GROUP BY method, label")
+
+
+def factor_rows(reports):
+    return reports.select("subject_id", F.posexplode(p.factors(F.col("report"))).alias("pos", "factor")).select("subject_id", (F.col("pos") + 1).cast("int").alias("k"), "factor")
+
+
+def evidence(reports):
+    e = factor_rows(reports).withColumn("evidence", p.evidence_line(F.col("factor")))
+    kind, handle = p.citation(F.col("evidence"))
+    return e.select("subject_id", "k", "evidence", p.longest_quote(F.col("evidence")).alias("quote"), kind.alias("kind"), handle.alias("handle"))
+
+
+BODY = "CAST(k AS STRING) || '. Factor summary: f' || CAST(k AS STRING) || chr(10) || 'Supporting evidence: \"' || quote || '\" (Note ID: ' || CAST(handle AS STRING) || ')' || chr(10) || 'Reasoning: r' || CAST(k AS STRING) || chr(10)"
+
+
+@frame("extract_factors", f"SELECT doc_id AS subject_id, k, md5(rtrim({BODY}, chr(10))) AS digest FROM {{factors}}", "reports")
+def extract_factors(reports):
+    return factor_rows(reports).select("subject_id", "k", F.md5(F.regexp_replace("factor", r"\n+\z", "").cast("binary")).alias("digest"))
+
+
+@frame("evidence_line", "SELECT doc_id AS subject_id, k, '\"' || quote || '\" (Note ID: ' || CAST(handle AS STRING) || ')' AS evidence FROM {factors}", "reports")
+def evidence_line(reports):
+    return evidence(reports).select("subject_id", "k", "evidence")
+
+
+@frame("parse_evidence", "SELECT doc_id AS subject_id, k, CASE WHEN length(quote) >= 3 THEN quote END AS quote, 'note' AS kind, CAST(handle AS STRING) AS handle FROM {factors}", "reports")
+def parse_evidence(reports):
+    return evidence(reports).select("subject_id", "k", "quote", "kind", "handle")
+
+
+CITED = """SELECT f.doc_id AS subject_id, f.k, n.note_id IS NOT NULL AS in_corpus, coalesce(n.subject_id = f.doc_id % 97, FALSE) AS owned, NOT (f.handle % 5 = 0) AS was_kept,
+         length(f.quote) >= 3 AND coalesce(contains(lower(trim(regexp_replace(n.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(f.quote, '\\s+', ' ', 'g')))), FALSE) AS found
+       FROM {factors} f LEFT JOIN {note_events} n ON n.note_id = f.handle"""
+
+
+def checked(reports, notes):
+    """Each cited quote: whether its source exists, belongs to the subject, was shown, and holds the quote."""
+    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long"))
+    src = notes.select("note_id", F.col("subject_id").alias("owner"), "text")
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return e.join(src, "note_id", "left").select(
+        "subject_id",
+        "k",
+        F.col("owner").isNotNull().alias("in_corpus"),
+        F.coalesce(F.col("owner") == F.col("subject_id") % 97, F.lit(False)).alias("owned"),
+        (F.col("note_id") % 5 != 0).alias("was_kept"),
+        F.coalesce(flat(F.col("text")).contains(flat(F.col("quote"))), F.lit(False)).alias("found"),
+    )
+
+
+@frame("citation_validity", CITED, "reports", "note_events")
+def citation_validity(reports, notes):
+    return checked(reports, notes)
+
+
+@frame("quote_containment", f"SELECT owned, count(*) AS n, count(*) FILTER (WHERE found) AS n_found FROM ({CITED}) GROUP BY owned", "reports", "note_events")
+def quote_containment(reports, notes):
+    return checked(reports, notes).groupBy("owned").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"))
+
+
+@frame(
+    "faithfulness_summary",
+    f"""SELECT CAST(subject_id % 3 AS BIGINT) AS baseline, count(*) AS n, count(*) FILTER (WHERE in_corpus) AS n_corpus, count(*) FILTER (WHERE owned) AS n_owned, count(*) FILTER (WHERE owned AND found) AS n_faithful,
+        round(100 * count(*) FILTER (WHERE owned AND found) / CAST(count(*) AS DOUBLE), 2) AS pct FROM ({CITED}) GROUP BY subject_id % 3""",
+    "reports",
+    "note_events",
+)
+def faithfulness_summary(reports, notes):
+    good = F.col("owned") & F.col("found")
+    g = checked(reports, notes).groupBy((F.col("subject_id") % 3).alias("baseline"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_corpus").alias("n_corpus"), F.count_if("owned").alias("n_owned"), F.count_if(good).alias("n_faithful"), F.round(100 * F.count_if(good) / F.count(F.lit(1)), 2).alias("pct"))
+
+
+@frame("record_fully_faithful", f"SELECT subject_id, count(*) AS n, count(*) = 5 AND count(*) FILTER (WHERE owned AND found) = 5 AS fully FROM ({CITED}) GROUP BY subject_id", "reports", "note_events")
+def record_fully_faithful(reports, notes):
+    n, good = F.count(F.lit(1)), F.count_if(F.col("owned") & F.col("found"))
+    return checked(reports, notes).groupBy("subject_id").agg(n.alias("n"), ((n == 5) & (good == 5)).alias("fully"))
+
+
+@frame("clean_report", "SELECT subject_id, md5(regexp_replace(regexp_replace(report, '(?m)^#+[ ]*', '', 'g'), '\\*\\*(.+?)\\*\\*', '\\1', 'g')) AS digest FROM {reports}", "reports")
+def clean_report(reports):
+    marked = F.regexp_replace("report", r"(?m)^(Recommendations)$", "**$1**")
+    return reports.select("subject_id", F.md5(p.cleaned(marked).cast("binary")).alias("digest"))
+
+
+@frame("validate_report", "SELECT subject_id, length(report) > 300 AND contains(report, 'Mortality Assessment') AND contains(report, 'Predictive Factors') AND contains(report, 'Overall Reasoning') AND contains(report, 'Recommendations') AS ok FROM {reports}", "reports")
+def validate_report(reports):
+    return reports.select("subject_id", p.valid(F.col("report"), 300).alias("ok"))
+
+
+sql(
+    "section_spans",
+    """SELECT subject_id, a, b, c, d, a > 0 AND b > a AND c > b AND d > c AS in_order FROM (SELECT subject_id, CAST(instr(report, 'Mortality Assessment') AS BIGINT) AS a, CAST(instr(report, 'Predictive Factors') AS BIGINT) AS b,
+         CAST(instr(report, 'Overall Reasoning') AS BIGINT) AS c, CAST(instr(report, 'Recommendations') AS BIGINT) AS d FROM {reports})""",
+)
+
+
+@frame("format_issues", "SELECT doc_id AS subject_id, count(*) <> 5 AS wrong_count, count(*) FILTER (WHERE length(quote) < 3) AS no_quote, CAST(0 AS BIGINT) AS no_reasoning FROM {factors} GROUP BY doc_id", "reports")
+def format_issues(reports):
+    f = factor_rows(reports).withColumn("quote", p.longest_quote(p.evidence_line(F.col("factor"))))
+    return f.groupBy("subject_id").agg((F.count(F.lit(1)) != 5).alias("wrong_count"), F.count_if(F.col("quote").isNull()).alias("no_quote"), F.count_if(~F.col("factor").contains("Reasoning:")).alias("no_reasoning"))
+
+
+@frame(
+    "typed_format_check",
+    """SELECT doc_id AS subject_id, CASE WHEN count(*) <> 5 THEN 'factors:' || CAST(count(*) AS STRING) ELSE '' END || CASE WHEN max(handle) % 2 = 1 THEN ';odd handle' ELSE '' END AS failures FROM {factors} GROUP BY doc_id""",
+    "reports",
+)
+def typed_format_check(reports):
+    n = F.size(p.factors(F.col("report")))
+    handles = F.transform(F.regexp_extract_all("report", F.lit(r"Note ID: (\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    odd = F.array_max(handles) % 2 == 1
+    return reports.select("subject_id", F.concat(F.when(n != 5, F.concat(F.lit("factors:"), n.cast("string"))).otherwise(""), F.when(odd, ";odd handle").otherwise("")).alias("failures"))
+
+
+@frame("failure_histogram", "SELECT 'factors' AS bucket, count(*) AS n FROM (SELECT doc_id FROM {factors} GROUP BY doc_id HAVING count(*) <> 5) UNION ALL SELECT 'odd handle', count(*) FROM (SELECT doc_id FROM {factors} GROUP BY doc_id HAVING max(handle) % 2 = 1)", "reports")
+def failure_histogram(reports):
+    f = typed_format_check(reports).select(F.explode(F.split("failures", ";")).alias("f")).where("f <> ''")
+    return f.groupBy(F.substring_index("f", ":", 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@frame("split_patient_blocks", "SELECT subject_id, md5(rtrim(report, chr(10))) AS digest FROM {reports}", "reports")
+def split_patient_blocks(reports):
+    """Reports written one after the other under ruled headers, and split apart again."""
+    blocks = F.concat(F.lit("=====\nPATIENT "), F.col("subject_id").cast("string"), F.lit("\n=====\n"), F.col("report"))
+    files = reports.groupBy((F.col("subject_id") % 7).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(blocks)), "").alias("text"))
+    part = files.select(F.explode(F.split("text", r"(?m)(?=^=====\nPATIENT \d+\n=====\n)")).alias("b")).where(F.col("b").rlike(r"^=====\nPATIENT"))
+    return part.select(F.regexp_extract("b", r"PATIENT (\d+)", 1).cast("long").alias("subject_id"), F.md5(F.regexp_replace(F.regexp_replace("b", r"^=====\nPATIENT \d+\n=====\n", ""), r"\n+\z", "").cast("binary")).alias("digest"))
+
+
+ITEMS = "SELECT doc_id AS subject_id, k, handle, quote, ((doc_id * 31 + k * 17) % 21 - 10) / CAST(10 AS DOUBLE) AS attribution FROM {factors}"
+
+
+def items(factors):
+    a = ((F.col("doc_id") * 31 + F.col("k") * 17) % 21 - 10) / F.lit(10.0)
+    return factors.select(F.col("doc_id").alias("subject_id"), "k", "handle", "quote", a.alias("attribution"))
+
+
+@frame("top_evidence", f"SELECT subject_id, k, attribution, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(attribution) DESC, k) AS rn FROM ({ITEMS})) WHERE rn <= 3", "factors")
+def top_evidence(factors):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("subject_id").orderBy(F.abs(F.coalesce("attribution", F.lit(0.0))).desc(), "k")
+    return items(factors).withColumn("place", F.row_number().over(w)).where("place <= 3").select("subject_id", "k", "attribution", "place")
+
+
+@frame("evidence_prompt", f"SELECT subject_id, string_agg('[' || CAST(k AS STRING) || '] ' || printf('%+.4f', attribution) || ' ' || quote, chr(10) ORDER BY k) AS prompt FROM ({ITEMS}) GROUP BY subject_id", "factors")
+def evidence_prompt(factors):
+    line = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), F.format_string("%+.4f", "attribution"), F.lit(" "), F.col("quote"))
+    g = items(factors).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("x"))
+    return g.select("subject_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("prompt"))
+
+
+@frame("raw_evidence_card", f"SELECT subject_id, 'Subject ' || CAST(subject_id AS STRING) || ' (' || CAST(count(*) AS STRING) || ' items)' || chr(10) || string_agg('- ' || CAST(handle AS STRING), chr(10) ORDER BY k) AS card FROM ({ITEMS}) GROUP BY subject_id", "factors")
+def raw_evidence_card(factors):
+    g = items(factors).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("k", "handle"))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda e: F.concat(F.lit("- "), e["handle"].cast("string"))), "\n")
+    return g.select("subject_id", F.concat(F.lit("Subject "), F.col("subject_id").cast("string"), F.lit(" ("), F.size("x").cast("string"), F.lit(" items)\n"), lines).alias("card"))
+
+
+@frame("collect_note_ids", "SELECT doc_id AS subject_id, string_agg(CAST(handle AS STRING), ',' ORDER BY k) AS note_ids FROM (SELECT doc_id, handle, min(k) AS k FROM {factors} GROUP BY doc_id, handle) GROUP BY doc_id", "factors")
+def collect_note_ids(factors):
+    g = factors.groupBy(F.col("doc_id").alias("subject_id")).agg(F.array_sort(F.collect_list(F.struct("k", "handle"))).alias("x"))
+    return g.select("subject_id", F.array_join(F.array_distinct(F.transform("x", lambda e: e["handle"].cast("string"))), ",").alias("note_ids"))
+
+
+@frame("explanation_items", f"SELECT subject_id, count(*) AS n_items, round(sum(attribution), 6) AS total, string_agg(CAST(handle AS STRING), ',' ORDER BY k) AS handles FROM ({ITEMS}) WHERE k % 2 = 1 GROUP BY subject_id", "factors")
+def explanation_items(factors):
+    g = items(factors).where("k % 2 = 1").groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("k", "handle"))).alias("x"), F.round(F.sum("attribution"), 6).alias("total"))
+    return g.select("subject_id", F.size("x").cast("long").alias("n_items"), "total", F.array_join(F.transform("x", lambda e: e["handle"].cast("string")), ",").alias("handles"))
+
+
+@frame("normalize_text", "SELECT note_id, md5(lower(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')))) AS digest FROM {note_events}", "note_events")
+def normalize_text(notes):
+    return notes.select("note_id", F.md5(p.normalized("text").cast("binary")).alias("digest"))
+
+
+@frame("fuzzy_quotes", None, "reports", "note_events")
+def fuzzy_quotes(reports, notes):
+    """Partial ratio of each owned quote with its source, at three thresholds; quotes found as they are score 100."""
+    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long")).join(notes.select("note_id", "text"), "note_id")
+    score = F.when(F.col("text").contains(F.col("quote")), F.lit(100.0)).otherwise(p.fuzzy("quote", "text"))
+    s = e.where("length(quote) >= 3").select("subject_id", "k", score.alias("score"))
+    return s.select("subject_id", "k", F.round("score", 4).alias("score"), *[(F.col("score") >= t).alias(f"at_{t}") for t in (85, 90, 95)])
+
+
+@frame("unwrap_reports", None, "completions")
+def unwrap_reports(completions):
+    return completions.select("conv_id", "turn", p.unwrapped("completion").alias("report"))
+
+
+@frame("renumber_factors", None, "reports")
+def renumber_factors(reports):
+    bare = F.regexp_replace("report", r"(?m)^\d+\. (?=Factor summary)", "")
+    return reports.select("subject_id", p.renumbered(bare).alias("report"))
