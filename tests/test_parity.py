@@ -22,9 +22,9 @@ def con():
 
 def rows(df):
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
             return "None"
-        if isinstance(v, (float, np.floating)):
+        if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) and abs(v) < 1e15:
             return repr(round(float(v), 5) + 0.0)
         return str(v)
 
