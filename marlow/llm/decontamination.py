@@ -83,7 +83,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def _keys(signature: np.ndarray, size: int) -> np.ndarray:
     """A signature's bands (one minimum each) as keys that tell place and size class apart."""
-    return _scrambled(signature * _U(2) + np.arange(PERMUTATIONS, dtype=np.uint64) * MIX[0] + _U(size) * MIX[1])
+    return _scrambled(signature * _U(2) + np.arange(PERMUTATIONS, dtype=np.uint64) * MIX[0] + np.full(PERMUTATIONS, size, np.uint64) * MIX[1])
 
 
 class Index:
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
     kind = dict(docs.dtypes)["doc_id"]
     item_kind = dict(items.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, n_shingles long, containment double"
-    ordered = numbered(items.select("item_id", "text"), ["item_id", "text"])
+    ordered = numbered(items.select("item_id", "text"), [F.col("item_id"), F.col("text")]).select("row.*", "rank")
     total = items.count()
     out = spark.createDataFrame([], schema)
     for at in range(0, total, ITEMS):

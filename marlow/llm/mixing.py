@@ -19,8 +19,8 @@ doc_id), so a hot source spreads over tasks; the driver sees counts of sources.
 
 Values: a null source is a source of its own; null doc_ids and repeated rows are
 rows like others; an empty table gives an empty result; other columns pass through
-:func:`mixed` (clashes with the new names raise ValueError); a source without a
-weight, or a weight not above 0, raises ValueError, since its rows would be lost.
+:func:`mixed`, but that columns of the new names give way; a source without a weight,
+or a weight not above 0, raises ValueError, since its rows would be lost.
 The table of sources (one row each) and the period (``max(10000, 64 * sources)``
 slots) go to the driver: sources are corpora or hosts groups, not documents.
 """
@@ -32,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered, shuffle_width
+from marlow.llm.shared import numbered, packed, shuffle_width, unpacked
 
 #: Rows in a block.
 BLOCK = 16
@@ -77,15 +77,13 @@ def mixed(rows: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     """Every scheduled row: the columns of ``rows`` with ``block``, ``in_block``,
     ``epoch`` and ``slot`` (place of the block in the mixture)."""
     new = ("block", "in_block", "epoch", "slot")
-    names = rows.columns
-    if set(new) & set(names):
-        raise ValueError(f"columns {sorted(set(new) & set(names))} are already there")
     spark = rows.sparkSession
     kind = dict(rows.dtypes)["source"]
-    placed = numbered(rows.withColumn("_key", F.xxhash64("doc_id")), ["source", "_key", "doc_id"], group="source")
-    n = {r["source"]: r["n"] for r in placed.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed = numbered(rows, [F.col("source"), F.xxhash64("doc_id"), F.col("doc_id")], grouped=True)
+    kept = unpacked(rows.columns, new)
+    n = {r["k0"]: r["n"] for r in placed.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
-        return placed.select(*names, *[F.lit(0).cast("long").alias(c) for c in new])
+        return placed.select(*kept, *[F.lit(0).cast("long").alias(c) for c in new])
     if weights is None:
         weights = {s: x**alpha for s, x in n.items()}
     lost = [s for s in n if not weights.get(s, 0) > 0]
@@ -99,26 +97,25 @@ def mixed(rows: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     blocks = {s: -(-x // block) for s, x in n.items()}
     end = 1 + max((b - 1) // parts[s] * q + turns[s][(b - 1) % parts[s]] for s, b in blocks.items())
     total = {s: end // q * parts[s] + sum(t < end % q for t in turns[s]) for s in n}
-    sources = spark.createDataFrame([(s, parts[s], blocks[s], total[s]) for s in n], f"_s {kind}, _e long, _nb long, _total long")
-    table = spark.createDataFrame([(s, j, t) for s, ts in turns.items() for j, t in enumerate(ts)], f"_ts {kind}, _j long, _slot long")
-    b = F.floor(F.col("rank") / block).cast("long")
+    sources = spark.createDataFrame([(s, parts[s], blocks[s], total[s]) for s in n], f"s {kind}, e long, nb long, total long")
+    table = spark.createDataFrame([(s, j, t) for s, ts in turns.items() for j, t in enumerate(ts)], f"ts {kind}, j long, turn long")
     cut = (
-        placed.join(F.broadcast(sources), placed["source"].eqNullSafe(F.col("_s")))
-        .withColumn("block", b)
+        placed.join(F.broadcast(sources), F.col("k0").eqNullSafe(F.col("s")))
+        .withColumn("block", F.floor(F.col("rank") / block).cast("long"))
         .withColumn("in_block", F.col("rank") - F.col("block") * block)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1 - F.col("block")) / F.col("_nb")).cast("long"))))
-        .withColumn("_i", F.col("block") + F.col("epoch") * F.col("_nb"))
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1 - F.col("block")) / F.col("nb")).cast("long"))))
+        .withColumn("i", F.col("block") + F.col("epoch") * F.col("nb"))
     )
-    turn = F.col("_i") % F.col("_e")
-    out = cut.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_ts")) & (turn == F.col("_j")))
-    slot = F.floor(F.col("_i") / F.col("_e")).cast("long") * q + F.col("_slot")
-    return out.select(*names, "block", "in_block", "epoch", slot.alias("slot"))
+    out = cut.join(F.broadcast(table), F.col("k0").eqNullSafe(F.col("ts")) & (F.col("i") % F.col("e") == F.col("j")))
+    slot = F.floor(F.col("i") / F.col("e")).cast("long") * q + F.col("turn")
+    return out.select(*kept, "block", "in_block", "epoch", slot.alias("slot"))
 
 
 def arranged(docs: DataFrame, **how) -> DataFrame:
     """The scheduled rows of ``docs``, columns unchanged, in files that follow the schedule."""
-    out = mixed(docs, **how)
-    return out.repartitionByRange(shuffle_width(docs.sparkSession), "slot", "in_block").sortWithinPartitions("slot", "in_block").select(*docs.columns)
+    inner = packed(docs, F.col("source"), F.col("doc_id"))
+    out = mixed(inner, **how).repartitionByRange(shuffle_width(docs.sparkSession), "slot", "in_block").sortWithinPartitions("slot", "in_block")
+    return out.select(*unpacked(docs.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

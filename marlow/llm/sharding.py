@@ -16,7 +16,7 @@ of a row follow from its interval by arithmetic; no group or shard meets in a ta
 Values: null text has no bytes (size 1) and the checksum of the empty text; null
 doc_ids sort first; repeated rows are rows of their own and change places freely;
 an empty table gives an empty result; other columns pass through :func:`sharded`
-as they are (clashes with the new names raise ValueError).
+as they are, but that columns named shard or slot give way to the new ones.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from __future__ import annotations
 from collections import deque
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered
+from marlow.llm.shared import numbered, unpacked
 
 POINTS = 1 << 16
 
@@ -95,16 +95,11 @@ def filled(counts: dict[int, int], n_shards: int, vnodes: int) -> list[tuple[int
     return sorted(out)
 
 
-def sharded(rows: DataFrame, n_shards: int = 16, vnodes: int = 128) -> DataFrame:
-    """``rows`` (with doc_id and text or a ready ``_pos``) with ``shard`` and ``slot``."""
-    taken = {"shard", "slot"} & set(rows.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are already there")
-    keep = [c for c in rows.columns if c != "_pos"]
-    if "_pos" not in rows.columns:
-        rows = rows.withColumn("_pos", position())
-    placed = numbered(rows, ["_pos", "doc_id"])
-    point = F.shiftright("_pos", 47).cast("int")
+def sharded(rows: DataFrame, n_shards: int = 16, vnodes: int = 128, place: Column | None = None) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``; ``place`` is the ring position of a row, by
+    default that of its ``text``."""
+    placed = numbered(rows, [position() if place is None else place, F.col("doc_id")])
+    point = F.shiftright("k0", 47).cast("int")
     counts = {r["p"]: r["n"] for r in placed.groupBy(point.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     first: dict[int, int] = {}
     at = 0
@@ -125,13 +120,12 @@ def sharded(rows: DataFrame, n_shards: int = 16, vnodes: int = 128) -> DataFrame
             cells.append((order[j], lo, hi, shard, slots[shard] - lo))
             j += 1
         slots[shard] += hi - lo
-    spark = rows.sparkSession
-    table = F.broadcast(spark.createDataFrame(cells, "_p int, _lo long, _hi long, shard int, _base long"))
-    on = (point == F.col("_p")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi"))
-    return placed.join(table, on).select(*[placed[c] for c in keep], "shard", (F.col("rank") + F.col("_base")).alias("slot"))
+    table = F.broadcast(rows.sparkSession.createDataFrame(cells, "p int, lo long, hi long, shard int, base long"))
+    on = (point == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    return placed.join(table, on).select(*unpacked(rows.columns, ("shard", "slot")), "shard", (F.col("rank") + F.col("base")).alias("slot"))
 
 
-def position():
+def position() -> Column:
     """Ring position of a text, 63 bits; its 16 high bits are the ring point."""
     return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
 
@@ -139,6 +133,6 @@ def position():
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), position().alias("_pos")
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), position().alias("pos")
     )
-    return sharded(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharded(docs, place=F.col("pos")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,35 +52,44 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(df: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
-    """``df`` with ``rank`` (long), the gapless place of each row from 0 in the
-    order of the columns ``order``; with ``group`` (the first of ``order``) the
-    place within the rows of that group.
+def packed(df: DataFrame, *extra: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside ``extra``: no name of its own can then
+    clash with those of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
 
-    The rows are range-partitioned on all of ``order``, so that a hot group is
-    spread over many tasks as long as the last columns tell its rows apart;
-    rows equal in all of them change places freely.  The driver sees one count
-    for each partition (and group), never rows.
+
+def unpacked(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns ``names`` of ``row``, but those ``without``."""
+    return [F.col(f"row.`{c}`").alias(c) for c in names if c not in without]
+
+
+def numbered(df: DataFrame, order: list[Column], grouped: bool = False) -> DataFrame:
+    """(row, k0, k1, ..., rank): each row of ``df`` as a struct, its order keys, and its
+    gapless place from 0 in their order; with ``grouped`` the place among the rows of equal k0.
+
+    The rows are range-partitioned on all keys, so that a hot group is spread over many
+    tasks as long as the last keys tell its rows apart; rows equal in all of them
+    change places freely.  The driver sees one count for each partition (and
+    group), never rows.
     """
     spark = df.sparkSession
-    width = shuffle_width(spark)
-    placed = written(df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33).cast("int"))
-    keys = ["_part"] + ([group] if group else [])
-    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    keys = [f"k{i}" for i in range(len(order))]
+    laid = packed(df, *[c.alias(k) for c, k in zip(order, keys)])
+    placed = written(laid.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("part", F.shiftright("at", 33).cast("int"))
+    counts = placed.groupBy("part", *(["k0"] if grouped else [])).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     base: list[tuple] = []
     seen: dict = {}
-    for r in sorted(counts.collect(), key=lambda r: r["_part"]):
-        g = r[group] if group else None
-        base.append((r["_part"], g, r["_first"], seen.get(g, 0)))
-        seen[g] = seen.get(g, 0) + r["_n"]
-    kind = dict(placed.dtypes).get(group, "string") if group else "string"
-    bases = spark.createDataFrame(base, f"_part int, _g {kind}, _base_at long, _base long")
-    on = placed["_part"] == bases["_part"]
-    if group:
-        on = on & placed[group].eqNullSafe(bases["_g"])
-    out = placed.join(F.broadcast(bases), on).select(*[placed[c] for c in df.columns], (placed["_at"] - bases["_base_at"] + bases["_base"]).alias("rank"))
-    return out
+    for r in sorted(counts.collect(), key=lambda r: r["part"]):
+        g = r["k0"] if grouped else None
+        base.append((r["part"], g, r["first"], seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + r["n"]
+    kind = dict(placed.dtypes)["k0"] if grouped else "string"
+    bases = F.broadcast(spark.createDataFrame(base, f"part int, g {kind}, first long, base long"))
+    on = placed["part"] == bases["part"]
+    if grouped:
+        on = on & placed["k0"].eqNullSafe(bases["g"])
+    return placed.join(bases, on).select("row", *keys, (placed["at"] - bases["first"] + bases["base"]).alias("rank"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlow.llm.shared import shuffle_width
+from marlow.llm.shared import packed, shuffle_width
 
 #: 256 / CUT is the mean size of a chunk in bytes (19.7).
 CUT = 13
@@ -216,14 +216,14 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def without_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the duplicate spans cut out of ``text``; other columns unchanged."""
     names = docs.columns
-    spans = duplicate_spans(docs, least).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "n_bytes"))).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_id"]), "left")
-    raw = "encode(text, 'UTF-8')"
-    cut = f"""aggregate(_spans, named_struct('at', 0, 'out', CAST('' AS BINARY)),
+    spans = duplicate_spans(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n_bytes"))).alias("spans"))
+    joined = packed(docs, F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).join(spans, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    raw = "encode(body, 'UTF-8')"
+    cut = f"""aggregate(spans, named_struct('at', 0, 'out', CAST('' AS BINARY)),
         (a, s) -> named_struct('at', s.start + s.n_bytes, 'out', a.out || substring({raw}, a.at + 1, s.start - a.at)),
         a -> decode(a.out || substring({raw}, a.at + 1), 'UTF-8'))"""
-    text = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(cut))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in names])
+    text = F.when(F.col("spans").isNull() | F.col("body").isNull(), F.col("body")).otherwise(F.expr(cut))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
