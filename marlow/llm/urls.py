@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlow.llm.shared import written
+
 #: Rules of the query: host and path prefix, and what they say.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -89,33 +91,48 @@ def seeds(urls: DataFrame) -> DataFrame:
     return seen.select("shape", bad.alias("bad"), (F.floor(F.log2("n")) + 1).alias("weight"), (F.pmod(F.xxhash64("host"), F.lit(5)) == 0).alias("held"))
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and names it in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _smoothed(counts: str) -> str:
+    """SQL: log probabilities of the last symbol of every window, from the dense
+    array ``counts``; Witten-Bell from order 1 up."""
+    last, bound = f"n{ORDER}", [(f"n{ORDER}", counts)]
+    for k in range(ORDER - 1, 0, -1):  # counts of the shorter windows
+        bound.append((f"n{k}", f"transform(sequence(0, {SYMBOLS**k - 1}), j -> aggregate(sequence(0, {SYMBOLS - 1}), 0D, (a, f) -> a + {last}[f * {SYMBOLS**k} + j]))"))
+        last = f"n{k}"
+    bound.append(("p0", f"array({1.0 / SYMBOLS}D)"))
+    for k in range(1, ORDER + 1):
+        own = f"slice(n{k}, c * {SYMBOLS} + 1, {SYMBOLS})"
+        bound.append((f"t{k}", f"transform(sequence(0, {SYMBOLS ** (k - 1) - 1}), c -> aggregate({own}, 0D, (a, v) -> a + v))"))
+        bound.append((f"k{k}", f"transform(sequence(0, {SYMBOLS ** (k - 1) - 1}), c -> size(filter({own}, v -> v > 0)))"))
+        below, c = f"p{k - 1}[i % {SYMBOLS ** (k - 1)}]", f"i div {SYMBOLS}"
+        bound.append((f"p{k}", f"transform(sequence(0, {SYMBOLS**k - 1}), i -> if(t{k}[{c}] = 0, {below}, (n{k}[i] + k{k}[{c}] * {below}) / (t{k}[{c}] + k{k}[{c}])))"))
+    body = f"transform(p{ORDER}, x -> ln(x))"
+    for name, value in reversed(bound):
+        body = _let(value, name, body)
+    return body
+
+
 def differences(known: DataFrame) -> DataFrame:
-    """(code, d): log probability as rejected less log probability as accepted of the last
-    symbol of every window, dense over all windows."""
-    spark = known.sparkSession
-    top = known.select("bad", "weight", F.explode(F.expr(windows(codes("shape")))).alias("code")).groupBy("bad", "code").agg(F.sum("weight").cast("double").alias("n"))
-    classes = spark.createDataFrame([(False,), (True,)], "bad boolean")
-    prob = classes.select("bad", F.lit(0).alias("code"), F.lit(1.0 / SYMBOLS).alias("p"))  # of no symbols: all alike
-    for order in range(1, ORDER + 1):
-        size, below = SYMBOLS**order, SYMBOLS ** (order - 1)
-        n = top.groupBy("bad", (F.col("code") % size).alias("code")).agg(F.sum("n").alias("n"))
-        ctx = n.groupBy("bad", F.floor(F.col("code") / SYMBOLS).cast("int").alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        every = spark.range(2 * size).select((F.col("id") >= size).alias("bad"), (F.col("id") % size).cast("int").alias("code"))
-        grid = every.join(n, ["bad", "code"], "left").withColumn("ctx", F.floor(F.col("code") / SYMBOLS).cast("int")).join(ctx, ["bad", "ctx"], "left")
-        lower = prob.select("bad", F.col("code").alias("low"), F.col("p").alias("q"))
-        key = F.col("code") % below if order > 1 else F.lit(0)
-        grid = grid.withColumn("low", key).join(lower, ["bad", "low"])
-        p = F.when(F.col("total").isNull(), F.col("q")).otherwise((F.coalesce("n", F.lit(0.0)) + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds")))
-        prob = grid.select("bad", "code", p.alias("p"))
-    return prob.groupBy("code").agg(F.sum(F.when(F.col("bad"), F.log("p")).otherwise(-F.log("p"))).alias("d"))
+    """One row with the array ``d``: log probability as rejected less log probability as
+    accepted of the last symbol of every window."""
+    size = SYMBOLS**ORDER
+    top = known.select("bad", "weight", F.explode(F.expr(windows(codes("shape")))).alias("code")).groupBy("code").agg(
+        F.sum(F.when(~F.col("bad"), F.col("weight")).otherwise(0)).cast("double").alias("good"), F.sum(F.when(F.col("bad"), F.col("weight")).otherwise(0)).cast("double").alias("bad")
+    )
+    every = known.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias("code"))
+    dense = every.join(top, "code", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("code", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))).alias("n"))
+    return dense.select(F.expr(f"zip_with({_smoothed('n.bad')}, {_smoothed('n.good')}, (x, y) -> x - y)").alias("d"))
 
 
 def _scored(rows: DataFrame, table: DataFrame) -> DataFrame:
     """``rows`` (shape) with ``score``, the mean difference over its characters."""
-    array = table.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "d"))), lambda x: x["d"]).alias("d"))
     score = f"""element_at(transform(array({windows(codes('shape'))}), w -> if(size(w) = 0, 0D,
         aggregate(w, 0D, (a, x) -> a + model[x]) / size(w))), 1)"""
-    return rows.withColumn("model", array.scalar()).withColumn("score", F.expr(score)).drop("model")
+    return rows.withColumn("model", table.scalar()).withColumn("score", F.expr(score)).drop("model")
 
 
 def threshold(rows: DataFrame) -> float:
@@ -142,7 +159,7 @@ def judged(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, threshold) of every row of ``pages`` (page_id, url)."""
     urls = pages.select("page_id", host().alias("host"), path().alias("path"))
     known = seeds(urls)
-    table = differences(known.where(~F.col("held")))
+    table = written(differences(known.where(~F.col("held"))))
     limit = threshold(_scored(known.where(F.col("held")), table))
     name, said = rule()
     block = F.col("score") > F.lit(limit)
