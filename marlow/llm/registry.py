@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marlow.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, substrings, urls
+from marlow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -16,4 +17,3 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
