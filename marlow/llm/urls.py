@@ -162,7 +162,7 @@ def judged(pages: DataFrame) -> DataFrame:
     table = written(differences(known.where(~F.col("held"))))
     limit = threshold(_scored(known.where(F.col("held")), table))
     name, said = rule()
-    block = F.col("score") > F.lit(limit)
+    block = (F.col("host") != "") & (F.col("score") > F.lit(limit))
     return _scored(urls.withColumn("shape", shape()), table).select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), "score", F.lit(limit).alias("threshold"))
 
 

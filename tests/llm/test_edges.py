@@ -100,6 +100,9 @@ def test_language(docs, none):
     assert {got[i]["lang_pred"] for i in (0, 1, 2)} == {"und"} and got[0]["score"] == 0 and got[5]["lang_pred"] == "en"
     assert language.trained(none) is None and language.scored(none, model).count() == 0
     assert {r["lang_pred"] for r in language.scored(docs, None).collect()} == {"und"}
+    assert language.sequences(["\u0301", "a\u0301", "12"])[2].tolist() == [False, True, False]
+    small = language.trained(docs, cells=40)
+    assert 0 < len(small.tables[language.ORDER].hashes) <= 40
 
 
 def test_chat(spark):
@@ -117,4 +120,5 @@ def test_urls(spark):
     got = {r["page_id"]: tuple(r)[1:5] for r in urls.judged(df).collect()}
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[4] == ("a.net", "/es/", "net/es/", "block") and got[5][:3] == ("a.com", "", None)
+    assert urls.threshold(spark.createDataFrame([(False, -2.0), (True, -1.0)], "bad boolean, score double")) < 0  # empty hosts are allowed even so
     assert urls.judged(df).count() == 7 and urls.judged(df.limit(0)).count() == 0
