@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from marlow.operators.ordering import ordinal, running
 
 
 def share(a: Column, b: Column) -> Column:
@@ -39,13 +40,12 @@ def confusion(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFra
 def auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """ROC-AUC by the rank-sum statistic with average ranks for ties; null with one class.
 
-    Ties are first counted by score, so the window runs over distinct scores.
+    Ties are first counted by score; the negatives below each score are a running sum
+    over range partitions, so that few methods with many scores still spread.
     """
     by = df.groupBy(*keys, "p").agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg"))
-    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_neg").over(w), F.lit(0))
-    wins = F.col("_pos") * (below + F.col("_neg") / 2)
-    total = by.withColumn("_w", wins).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    wins = F.col("_pos") * (F.col("_before") + F.col("_neg") / 2)
+    total = running(by, keys, "p", "_neg").withColumn("_w", wins).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     return total.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("_w") / (F.col("n_pos") * F.col("n_neg")), 6)).alias("auc"))
 
 
@@ -56,8 +56,6 @@ def draws(subjects: DataFrame, key: str, n_draws: int, seed: int = 42) -> DataFr
     Each draw hashes every place to a source place; the (draws x rows) grid is made by
     ranges on the executors and met with the rows by an equi-join.
     """
-    from marlow.operators.relational import ordinal
-
     spark = subjects.sparkSession
     placed = ordinal(subjects.select(key).distinct(), key).withColumnRenamed("_place", "source")
     n = placed.count()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from marlow.operators.ordering import ordinal, ordinal_within
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -26,24 +27,11 @@ def seeded(seed: int, *cols: str) -> Column:
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """80/10/10 split of ``key`` within each label, by seeded hash."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, key), key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
+    placed = ordinal_within(df.select(key, label, seeded(seed, key).alias("_h")), label, "_h", key)
+    place, n = F.col("_place") + 1, F.col("_size")
     train = F.floor(n * 8 / 10)
     val = train + F.floor((n - train) / 2)
-    return df.select(key, label, F.when(place <= train, "train").when(place <= val, "val").otherwise("test").alias("split"))
-
-
-def ordinal(df: DataFrame, *order) -> DataFrame:
-    """``df`` with ``_place``, the gapless place from 0 in a total order.
-
-    Rows are sorted by range partitions; offsets of partitions come from one count
-    each, so that no task sees more than its share.
-    """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    return placed.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("_place", F.col("_base") + within).drop("_id", "_part", "_base")
+    return placed.select(key, label, F.when(place <= train, "train").when(place <= val, "val").otherwise("test").alias("split"))
 
 
 def contiguous_batches(df: DataFrame, key: str, n_batches: int) -> DataFrame:
