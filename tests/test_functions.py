@@ -150,3 +150,20 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("chunks").count() == 2
+
+
+def test_keyed_streams(spark, tmp_path):
+    from marlow.streaming import streams
+
+    rows = [(1, "A", "2024-01-01 00:00:00"), (1, "A", "2024-01-01 00:10:00"), (1, "B", "2024-01-01 00:20:00")]
+    spark.createDataFrame(rows, "subject_id long, code string, t string").withColumn("t", F.col("t").cast("timestamp_ntz")).write.parquet(str(tmp_path / "c"))
+    s = spark.readStream.schema("subject_id long, code string, t timestamp_ntz").parquet(str(tmp_path / "c"))
+    q = streams.keep_first_stream(s, "t").writeStream.format("memory").queryName("firsts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["code"] for r in spark.table("firsts").collect()) == ["A", "B"]
+    e = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).parquet("/root/testdata/sf0.001/events.parquet*")
+    q = streams.verdict_counts(e).writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("counts").groupBy().sum("n").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
