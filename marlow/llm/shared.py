@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables in the shared folder that still have their files.
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -36,16 +40,28 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _tables.append(path)
     return out
 
 
+def forget_all(spark: SparkSession) -> None:
+    """Remove the files of all tables that this driver wrote and still has: for long
+    sessions, once the results that read them are stored."""
+    while _tables:
+        _delete(spark, _tables.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`written`."""
     path = getattr(df, "written_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in _tables:
+        _tables.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

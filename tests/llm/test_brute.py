@@ -210,6 +210,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tables_are_forgotten(spark):
+    from marlow.llm import shared
+
+    t = shared.written(spark.range(3))
+    path = t.written_path
+    assert t.count() == 3 and path in shared._tables
+    shared.forget_all(spark)
+    assert not shared._tables and not __import__("os").path.exists(path)
+
+
 def test_op6(spark, docs):
     got = result(spark, "op6_sharding")
     n = Counter(r["shard"] for r in got)
