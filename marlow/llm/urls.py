@@ -88,7 +88,7 @@ def seeds(urls: DataFrame) -> DataFrame:
     words = F.split(F.translate(F.col("host"), "-_", ".."), r"\.")
     bad = F.arrays_overlap(words, F.array(*[F.lit(w) for w in REJECT]))
     seen = urls.where((F.col("host") != "") & F.coalesce(rule()[1] != "block", F.lit(True))).groupBy("host", shape().alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    return seen.select("shape", bad.alias("bad"), (F.floor(F.log2("n")) + 1).alias("weight"), (F.pmod(F.xxhash64("host"), F.lit(5)) == 0).alias("held"))
+    return seen.select("shape", bad.alias("bad"), (F.floor(F.log2("n")) + 1).alias("weight"), (F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0).alias("held"))
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -163,7 +163,7 @@ def judged(pages: DataFrame) -> DataFrame:
     limit = threshold(_scored(known.where(F.col("held")), table))
     name, said = rule()
     block = (F.col("host") != "") & (F.col("score") > F.lit(limit))
-    return _scored(urls.withColumn("shape", shape()), table).select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), "score", F.lit(limit).alias("threshold"))
+    return _scored(urls.withColumn("shape", shape()), table).select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), F.round("score", 6).alias("score"), F.lit(round(limit, 6)).alias("threshold"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
