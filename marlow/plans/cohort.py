@@ -89,7 +89,7 @@ sql(
     "patient_assembly",
     """SELECT s.subject_id, s.label, coalesce(n.n, 0) AS n_notes, coalesce(c.n, 0) AS n_codes FROM {subject_labels} s
        LEFT JOIN (SELECT subject_id, count(*) AS n FROM {note_events} GROUP BY subject_id) n ON n.subject_id = s.subject_id
-       LEFT JOIN (SELECT subject_id % 97 AS subject_id, count(*) AS n FROM {code_events} WHERE subject_id % 97 < 60 GROUP BY subject_id % 97) c ON c.subject_id = s.subject_id""",
+       LEFT JOIN (SELECT subject_id % 97 AS subject_id, count(*) AS n FROM {code_events} GROUP BY subject_id % 97) c ON c.subject_id = s.subject_id""",
 )
 
 sql("note_chronology", "SELECT subject_id, note_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY CASE WHEN note_id % 7 = 0 THEN NULL ELSE charttime END ASC NULLS LAST, note_id) AS BIGINT) AS place FROM {note_events}")
@@ -115,8 +115,8 @@ sql(
 sql(
     "cache_antijoin",
     """SELECT w.event_id, w.cache_key FROM (SELECT event_id, sha1('judge|' || CAST(subject_id AS STRING) || '|' || trust) AS cache_key FROM {verdicts}) w
-       LEFT JOIN (SELECT DISTINCT sha1('judge|' || CAST(subject_id AS STRING) || '|' || trust) AS cache_key FROM {verdicts} WHERE k % 2 = 0 AND subject_id % 3 = 0) c
+       LEFT JOIN (SELECT DISTINCT sha1('judge|' || CAST(subject_id AS STRING) || '|' || trust) AS cache_key FROM {verdicts} WHERE trust = 'click') c
        ON w.cache_key = c.cache_key WHERE c.cache_key IS NULL""",
 )
 sql("baseline_name", "SELECT DISTINCT regexp_extract(p, '([^/]+)/predictions_([^/]+)[.]jsonl$', 1) || '/' || regexp_extract(p, '([^/]+)/predictions_([^/]+)[.]jsonl$', 2) AS baseline, method FROM (SELECT method, '/data/run' || CAST(subject_id % 3 AS STRING) || '/predictions_' || method || '.jsonl' AS p FROM {predictions})")
-sql("anneal_schedule", "SELECT CAST(s AS BIGINT) AS step, round(CAST(CASE WHEN s < 20 THEN s / 20.0 ELSE 1.0 END AS DOUBLE), 6) AS warm, round(CAST(CASE WHEN s >= 100 THEN 0.1 ELSE 1.0 - 0.9 * s / 100.0 END AS DOUBLE), 6) AS temperature FROM (SELECT note_id AS s FROM {note_events} WHERE note_id <= 120)")
+sql("anneal_schedule", "SELECT CAST(s AS BIGINT) AS step, round(CAST(CASE WHEN s < 20 THEN s / 20.0 ELSE 1.0 END AS DOUBLE), 6) AS warm, round(CAST(CASE WHEN s >= 100 THEN 0.1 ELSE 1.0 - 0.9 * s / 100.0 END AS DOUBLE), 6) AS temperature FROM (SELECT note_id AS s FROM {note_events})")

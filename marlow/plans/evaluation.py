@@ -98,14 +98,14 @@ sql(
 )
 sql(
     "selection_funnel",
-    """SELECT lower(trim(trust)) AS trust, count(*) AS n, count(*) FILTER (WHERE k < 50) AS gate_a, count(*) FILTER (WHERE k < 50 AND value > 20) AS gate_b, count(*) FILTER (WHERE k < 50 AND value > 20 AND subject_id % 2 = 0) AS kept FROM {verdicts} GROUP BY lower(trim(trust))""",
+    """SELECT lower(trim(trust)) AS trust, count(*) AS n, count(*) FILTER (WHERE k < 50) AS gate_a, count(*) FILTER (WHERE k < 50 AND value > 20) AS gate_b, count(*) FILTER (WHERE k < 50 AND value > 20 AND value < 80) AS kept FROM {verdicts} GROUP BY lower(trim(trust))""",
 )
 sql(
     "format_gate_counts",
     """SELECT count(*) AS n, count(*) FILTER (WHERE k % 2 = 0) AS pass_a, count(*) FILTER (WHERE k % 3 = 0) AS pass_b, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS pass_ab, count(*) FILTER (WHERE k IS NULL) AS n_null,
          count(*) FILTER (WHERE k = 0) AS zero, count(*) FILTER (WHERE k BETWEEN 1 AND 5) AS few, count(*) FILTER (WHERE k > 5) AS many FROM {verdicts}""",
 )
-sql("flag_verdict_join", "SELECT t.flag_id, t.type_a, t.type_b, coalesce(v.agree, 'missing') AS agree FROM {flag_tasks} t LEFT JOIN {flag_verdicts} v ON t.flag_id = v.flag_id WHERE t.flag_id % 4 = 0")
+sql("flag_verdict_join", "SELECT t.flag_id, t.type_a, t.type_b, coalesce(v.agree, 'missing') AS agree FROM {flag_tasks} t LEFT JOIN {flag_verdicts} v ON t.flag_id = v.flag_id")
 sql(
     "flag_precision",
     """SELECT type_a, count(*) AS n, count(*) FILTER (WHERE agree = 'agree') AS agreed, count(*) FILTER (WHERE agree = 'disagree') AS disagreed, count(*) FILTER (WHERE agree = 'unsure') AS unsure,
@@ -115,8 +115,8 @@ sql("variant_overlap", "SELECT type_a IS NOT NULL AS has_a, type_b IS NOT NULL A
 sql(
     "bucket_crosstab",
     """SELECT variant, bucket, count(*) FILTER (WHERE agree = 'agree') AS agreed, count(*) FILTER (WHERE agree = 'disagree') AS disagreed, count(*) FILTER (WHERE agree = 'unsure') AS unsure FROM (
-         SELECT 'a' AS variant, coalesce(type_a, 'unknown') AS bucket, agree FROM {flag_tasks} t JOIN {flag_verdicts} v ON t.flag_id = v.flag_id WHERE t.flag_id % 2 = 0
-         UNION ALL SELECT 'b', coalesce(type_b, 'unknown'), agree FROM {flag_tasks} t JOIN {flag_verdicts} v ON t.flag_id = v.flag_id WHERE t.flag_id % 5 <> 0) GROUP BY variant, bucket""",
+         SELECT 'a' AS variant, coalesce(type_a, 'unknown') AS bucket, agree FROM {flag_tasks} t JOIN {flag_verdicts} v ON t.flag_id = v.flag_id
+         UNION ALL SELECT 'b', coalesce(type_b, 'unknown'), agree FROM {flag_tasks} t JOIN {flag_verdicts} v ON t.flag_id = v.flag_id) GROUP BY variant, bucket""",
 )
 sql("severity_histogram", "SELECT coalesce(severity, 'unspecified') AS severity, count(*) AS n FROM {flag_verdicts} WHERE agree = 'agree' GROUP BY coalesce(severity, 'unspecified')")
 sql("step2_queue", "SELECT baseline, event_id, subject_id FROM (SELECT v.*, row_number() OVER (PARTITION BY baseline ORDER BY event_id) AS rn FROM {verdicts} v WHERE EXISTS (SELECT 1 FROM {subject_labels} s WHERE s.subject_id = v.subject_id AND s.label = 1)) WHERE rn <= 25")

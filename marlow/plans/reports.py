@@ -203,10 +203,11 @@ def normalize_text(notes):
 
 @frame("fuzzy_quotes", None, "reports", "note_events")
 def fuzzy_quotes(reports, notes):
-    """Partial ratio of each owned quote with its source, at three thresholds; quotes found as they are score 100."""
-    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long")).join(notes.select("note_id", "text"), "note_id")
-    score = F.when(F.col("text").contains(F.col("quote")), F.lit(100.0)).otherwise(p.fuzzy("quote", "text"))
-    s = e.where("length(quote) >= 3").select("subject_id", "k", score.alias("score"))
+    """Partial ratio of each quote with its source, at three thresholds; quotes found as
+    they are score 100 and never reach Python."""
+    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long")).where("length(quote) >= 3").join(notes.select("note_id", "text"), "note_id")
+    found = F.col("text").contains(F.col("quote"))
+    s = e.where(found).select("subject_id", "k", F.lit(100.0).alias("score")).union(e.where(~found).select("subject_id", "k", p.fuzzy("quote", "text").alias("score")))
     return s.select("subject_id", "k", F.round("score", 4).alias("score"), *[(F.col("score") >= t).alias(f"at_{t}") for t in (85, 90, 95)])
 
 

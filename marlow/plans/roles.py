@@ -32,8 +32,8 @@ ROLES: dict[str, tuple[str, str | None]] = {
              CAST(date_diff('day', o.o_orderdate, max(o.o_orderdate) OVER (PARTITION BY o.o_custkey)) AS INT) AS days, (l.l_orderkey * 16 + l.l_linenumber) * 1000000 + l.l_partkey AS ord
            FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey JOIN {part} p ON l.l_partkey = p.p_partkey""",
     ),
-    "note_vectors": ("SELECT vec_id, vec_id % 50 AS subject_id, CAST(vec_id AS BIGINT) AS days, embedding AS vector, label FROM {embeddings} WHERE vec_id % 2 = 0", None),
-    "code_vectors": ("SELECT vec_id, vec_id % 50 - 1 AS subject_id, CAST(vec_id AS BIGINT) AS days, embedding AS vector, label FROM {embeddings} WHERE vec_id % 2 = 1", None),
+    "note_vectors": ("SELECT vec_id, vec_id % 50 AS subject_id, CAST(vec_id AS BIGINT) AS days, embedding AS vector, label FROM {embeddings}", None),
+    "code_vectors": ("SELECT vec_id, (vec_id * 7 + 3) % 50 AS subject_id, CAST(vec_id AS BIGINT) AS days, embedding AS vector, label FROM {embeddings}", None),
     "query_vectors": ("SELECT CAST(vec_id AS INT) AS query_idx, CASE WHEN vec_id < 4 THEN 'Note' ELSE 'Code' END AS modality, embedding AS vector FROM {embeddings} WHERE vec_id < 8", None),
     "subject_labels": ("SELECT CAST(d.doc_id % 97 AS BIGINT) AS subject_id, max(l.quality) AS label FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id GROUP BY d.doc_id % 97", None),
     "predictions": (
@@ -53,12 +53,12 @@ ROLES: dict[str, tuple[str, str | None]] = {
              WHEN 1 THEN concat('Here: "probability": 0.', CAST(CAST((conv_id + turn) % 10 AS INT) AS VARCHAR), '7 end')
              ELSE 'no answer' END AS completion FROM {conversations} WHERE role = 'assistant'""",
     ),
-    # Reports of four sections and two to five factors; every third quote is of another text, every fourth handle of another subject.
+    # Reports of four sections and three to five factors; every third quote is of another text, every fourth handle of another subject.
     "factor_rows": (
         """SELECT d.doc_id, CAST(f.k AS INT) AS k, CASE WHEN (d.doc_id + f.k) % 3 = 0 THEN substring(e.text, 1, 40) ELSE substring(d.text, 11, 40) END AS raw_quote,
              CASE WHEN (d.doc_id + f.k) % 4 = 0 THEN d.doc_id + 1 ELSE d.doc_id END AS handle
            FROM {documents} d CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) f
-           LEFT JOIN {documents} e ON e.doc_id = d.doc_id + 7 WHERE d.doc_id % 10 < 3 AND f.k <= 3 + d.doc_id % 3""",
+           LEFT JOIN {documents} e ON e.doc_id = d.doc_id + 7 WHERE f.k <= 3 + d.doc_id % 3""",
         None,
     ),
     "factors": (
@@ -82,7 +82,7 @@ ROLES: dict[str, tuple[str, str | None]] = {
     "flag_tasks": ("SELECT event_id AS flag_id, user_id AS subject_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS type_a, CASE WHEN event_id % 3 = 0 THEN event_type END AS type_b FROM {events}", None),
     "flag_verdicts": (
         """SELECT event_id AS flag_id, CASE k % 3 WHEN 0 THEN 'agree' WHEN 1 THEN 'disagree' ELSE 'unsure' END AS agree, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 THEN 'minor' ELSE 'major' END AS severity
-           FROM {verdicts} WHERE event_id % 17 <> 0""",
+           FROM {verdicts} WHERE k <> 13""",
         None,
     ),
 }
