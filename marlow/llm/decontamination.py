@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered, written
+from marlow.llm.shared import lean, numbered, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -197,7 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
                     cols = [[ids[g[0]] for g in got], [ix.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got]]
                     yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "item_id", "n_shingles", "containment"), cols)))
 
-        out = out.union(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema))
+        out = out.union(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b, run=run: lean(run(b)), schema))
     return out.distinct()
 
 

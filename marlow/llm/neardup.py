@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import components, shuffle_width, written
+from marlow.llm.shared import components, lean, shuffle_width, written
 
 #: Fingerprints that one work unit holds (twice as many for a pair of sub-tiles).
 UNIT = 8192
@@ -120,7 +120,7 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0)
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long, sig binary, pop int, least array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b: lean(run(b)), f"doc_id {kind}, fp long, sig binary, pop int, least array<long>")
 
 
 class _Sets:
@@ -242,7 +242,7 @@ def links(fps: DataFrame, radius: int, layouts: int = 0, unit: int = UNIT) -> Da
 
     width = shuffle_width(spark)
     order = ("unit", "k", "run", "p", "q")
-    return small.union(big).repartition(width, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return small.union(big).repartition(width, *order).sortWithinPartitions(*order).mapInArrow(lambda b: lean(run(b)), "a long, b long")
 
 
 def clustered(docs: DataFrame, k: int = 3, radius: int = 2, lanes: int = 1, layouts: int = 0) -> DataFrame:

@@ -4,10 +4,14 @@ cutting of lineage, range-sorted row numbers and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes.util
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,18 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def lean(batches: Iterator) -> Iterator:
+    """The result batches of a task, after whose last one the Python worker gives the memory it
+    holds back to the system: workers outlive their tasks, and stages without Python
+    then have it."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

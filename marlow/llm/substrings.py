@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlow.llm.shared import packed, shuffle_width
+from marlow.llm.shared import lean, packed, shuffle_width
 
 #: 256 / CUT is the mean size of a chunk in bytes (19.7).
 CUT = 13
@@ -195,8 +195,8 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
         if held:
             yield from give(settled(np.concatenate(held))[1])
 
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(chunked, "bucket int, kind int, blob binary")
-    return sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(merged, "doc_id long, first_doc_id long, start int, size int")
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: lean(chunked(b)), "bucket int, kind int, blob binary")
+    return sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: lean(merged(b)), "doc_id long, first_doc_id long, start int, size int")
 
 
 def duplicate_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
