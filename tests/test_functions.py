@@ -167,3 +167,15 @@ def test_keyed_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").groupBy().sum("n").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_ordering(spark):
+    from marlow.operators import ordering
+
+    df = spark.range(50).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 50).alias("o"), F.lit(1).alias("v")).repartition(4)
+    placed = ordering.ordinal(df, "o").collect()
+    assert [r["o"] for r in sorted(placed, key=lambda r: r["_place"])] == list(range(50))
+    within = ordering.ordinal_within(df, "g", "o").collect()
+    assert sorted((r["g"], r["_place"]) for r in within) == sorted((g, k) for g in range(3) for k in range(17 if g < 2 else 16))
+    sums = {(r["g"], r["o"]): r["_before"] for r in ordering.running(df, ["g"], "o", "v").collect()}
+    assert all(sums[r["g"], r["o"]] == r["_place"] for r in within)
