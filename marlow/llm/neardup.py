@@ -10,7 +10,8 @@ compared pairs stays in proportion to the rows:
   one run at least, so no link is lost;
 * more lanes and a wide radius (:func:`one_of_each`): ``layouts`` layouts, grouped by the
   least value of a hash over the text's shingles.  Texts of Jaccard similarity 0.8 share
-  one of 8 least values but for a chance of 3e-6.
+  one of 8 least values but for a chance of 3e-6.  What is linked so is a candidate only:
+  each pair must have ``jaccard`` by its sets of shingles before it counts (:func:`alike`).
 
 Exact copies fall together before (one row for each distinct fingerprint), a group
 beyond ``UNIT`` fingerprints is split by population count and hash into pairs of
@@ -43,6 +44,8 @@ UNIT = 8192
 TILE = 512
 #: Shingle hashes whose bits are counted at once.
 PIECE = 1 << 16
+#: Shingles of the sets that one work unit holds (twice as many for a pair of sub-tiles).
+HELD = 1 << 22
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -85,16 +88,18 @@ def _scrambled(x: np.ndarray, salt: int) -> np.ndarray:
 SALTS = [xxhash.xxh64_intdigest(f"salt {j}") for j in range(64)]
 
 
-def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0) -> DataFrame:
+def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0, sets: bool = False) -> DataFrame:
     """(doc_id, fp, sig, pop, least) of each row's whole text: a long that names the
     fingerprint (with one lane it is the fingerprint), its bytes, its population
-    count and the least values of ``layouts`` hashes over the shingles."""
+    count and the least values of ``layouts`` hashes over the shingles.  With ``sets``
+    each shingle counts once and ``fp`` names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs: list[np.ndarray] = []
             held: list[np.ndarray] = []
             least: list[list[int]] = []
+            named: list[int] = []
             size = 0
 
             def done() -> np.ndarray:
@@ -103,6 +108,9 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0)
 
             for text in b.column("text"):
                 h = shingle_hashes(text.as_py(), k)
+                if sets:
+                    h = np.unique(h)
+                    named.append(xxhash.xxh64_intdigest(h.tobytes()))
                 held.append(h)
                 if layouts:
                     least.append([int(_scrambled(h, SALTS[32 + j]).min().view(np.int64)) for j in range(layouts)] if len(h) else [])
@@ -113,7 +121,7 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0)
             sigs.append(done())
             sig = np.concatenate(sigs)
             raw = [r.tobytes() for r in sig.astype("<u8")]
-            fp = sig[:, 0] if lanes == 1 else np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+            fp = np.array(named, np.uint64) if sets else sig[:, 0] if lanes == 1 else np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
             pops = np.bitwise_count(sig).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(fp.copy().view(np.int64)), pa.array(raw, pa.binary()), pa.array(pops), pa.array(least or [[]] * len(raw), pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "pop", "least"]
@@ -153,13 +161,43 @@ class _Sets:
         self.label = to[self.label]
 
 
-def linked(ids: np.ndarray, sigs: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+def common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of common members of ``a[i]`` and ``b[j]`` (sorted sets) for each pair i, j."""
+    if len(i) < 64:
+        return np.fromiter((len(np.intersect1d(a[p], b[q], assume_unique=True)) for p, q in zip(i, j)), np.int64, len(i))
+    rows, cols = np.unique(i), np.unique(j)
+    x, y = np.concatenate([a[r] for r in rows]), np.concatenate([b[c] for c in cols])
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    sides = []
+    for flat, sets in ((x, [a[r] for r in rows]), (y, [b[c] for c in cols])):
+        at = np.searchsorted(both, flat)
+        known = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        sides.append((at[known][order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known][order], len(sets)))
+    for lo in range(0, len(both), 4096):  # products of 0-1 matrices, exact below 2**24
+        m = []
+        for at, owner, n in sides:
+            p, q = np.searchsorted(at, (lo, lo + 4096))
+            one = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+            one[owner[p:q], at[p:q] - lo] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+
+
+def linked(ids: np.ndarray, sigs: np.ndarray, radius: int, tile: int = TILE, sets: list[np.ndarray] | None = None, jaccard: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
     """(ids, roots) of all components of two members or more among the fingerprints
-    ``sigs`` (a row of 64-bit lanes each); a root is the least id of its component."""
+    ``sigs`` (a row of 64-bit lanes each); a root is the least id of its component.
+    With ``sets`` a pair must have the similarity ``jaccard`` (a fraction) too."""
     pops = np.bitwise_count(sigs).sum(1, dtype=np.int32)
     order = np.argsort(pops, kind="stable")
     ids, sigs, pops = ids[order], sigs[order], pops[order]
-    sets = _Sets(len(ids))
+    if sets is not None:
+        sets = [sets[o] for o in order.tolist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        over, under = jaccard
+    groups = _Sets(len(ids))
     for a in range(0, len(ids), tile):
         for b in range(a, len(ids), tile):
             if pops[b] - pops[min(a + tile, len(ids)) - 1] > radius:
@@ -173,12 +211,29 @@ def linked(ids: np.ndarray, sigs: np.ndarray, radius: int, tile: int = TILE) ->
             cols = np.flatnonzero(near.any(0))
             if not len(cols):
                 continue
-            sets.join(a + near[:, cols].argmax(0), b + cols)
-            i, j = np.nonzero(near)
-            sets.join(a + i, b + j)
-    _, root, size = np.unique(sets.label, return_inverse=True, return_counts=True)
+            first = True
+            if sets is None:
+                groups.join(a + near[:, cols].argmax(0), b + cols)
+                i, j = np.nonzero(near)
+                groups.join(a + i, b + j)
+                continue
+            while True:  # pairs of one component need no proof; the first open one of each column, then all
+                i, j = np.nonzero(near & (groups.label[a : a + tile, None] != groups.label[None, b : b + tile]))
+                if not len(i):
+                    break
+                some = np.unique(j, return_index=True)[1] if first else np.arange(len(i))
+                i, j, first = i[some], j[some], False
+                near[i, j] = False
+                la, lb = size[a + i], size[b + j]
+                fit = under * np.minimum(la, lb) >= over * np.maximum(la, lb)
+                i, j, la, lb = i[fit], j[fit], la[fit], lb[fit]
+                if len(i):
+                    n = common(sets[a : a + tile], sets[b : b + tile], i, j)
+                    good = under * n >= over * (la + lb - n)
+                    groups.join(a + i[good], b + j[good])
+    _, root, size = np.unique(groups.label, return_inverse=True, return_counts=True)
     many = size[root] > 1
-    out, lab = ids[many], sets.label[many]
+    out, lab = ids[many], groups.label[many]
     if not len(out):
         return out, out
     by = np.lexsort((out, lab))
@@ -245,29 +300,78 @@ def links(fps: DataFrame, radius: int, layouts: int = 0, unit: int = UNIT) -> Da
     return small.union(big).repartition(width, *order).sortWithinPartitions(*order).mapInArrow(lambda b: lean(run(b)), "a long, b long")
 
 
-def clustered(docs: DataFrame, k: int = 3, radius: int = 2, lanes: int = 1, layouts: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``."""
-    rows = written(fingerprinted(docs, k, lanes, layouts))
+def alike(coarse: DataFrame, docs: DataFrame, k: int, radius: int, jaccard: tuple[int, int], unit: int = UNIT, held: int = HELD) -> DataFrame:
+    """Stars (a, b) over ``fp`` that connect just the rows of ``coarse`` (key, fp, sig, root) that
+    are linked through pairs of at most ``radius`` bits and a Jaccard similarity of ``jaccard``
+    (a fraction), both of one ``root``.  ``docs`` (key, text) has the texts.
+
+    A root is one work unit; beyond ``unit`` members or ``held`` shingles its members are dealt to sub-tiles by
+    hash, and each pair of sub-tiles is a unit.  The roots that are cut, one for each ``unit`` fingerprints or
+    ``held`` shingles at most, are broadcast."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in ("fp", "sig", "root")], pa.array([h.astype("<u8").tobytes() for h in got], pa.binary()), pa.array([len(h) for h in got], pa.int64())], ["fp", "sig", "root", "hashes", "n"]
+            )
+
+    texts = docs.join(coarse, "key").dropDuplicates(["key"]).select("fp", "sig", "root", "text")
+    sets = written(texts.mapInArrow(lambda b: lean(shingled(b)), "fp long, sig binary, root long, hashes binary, n long"))
+    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / unit, F.sum("n") / held)).cast("int").alias("m"))
+    tile = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+    dealt = sets.join(F.broadcast(sizes.where("m > 1")), "root", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("t", tile).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("m = 1 OR s <> t")
+    dealt = dealt.select("root", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), "fp", "sig", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sigs, raw = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                a, b = linked(np.array(ids, np.int64), np.frombuffer(b"".join(sigs), "<u8").reshape(len(ids), -1), radius, sets=[np.frombuffer(r, "<u8") for r in raw], jaccard=jaccard)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            for root, p, q, fp, sig, hashes in zip(*[b.column(c).to_pylist() for c in ("root", "p", "q", "fp", "sig", "hashes")]):
+                if (root, p, q) != key:
+                    yield from done()
+                    key, ids, sigs, raw = (root, p, q), [], [], []
+                ids.append(fp), sigs.append(sig), raw.append(hashes)
+        yield from done()
+
+    order = ("root", "p", "q")
+    return dealt.repartition(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(lambda b: lean(run(b)), "a long, b long")
+
+
+def clustered(docs: DataFrame, k: int = 3, radius: int = 2, lanes: int = 1, layouts: int = 0, jaccard: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``.  With ``jaccard`` (a fraction)
+    doc_id must be unique but for repeated rows, and linked pairs are verified by :func:`alike`."""
+    rows = written(fingerprinted(docs, k, lanes, layouts, jaccard is not None))
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", "pop", "least")]))
     roots = components(links(fps, radius, layouts))
+    if jaccard:
+        coarse = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select(F.col("rep").alias("key"), "fp", "sig", "root")
+        roots = components(alike(coarse, docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string")), k, radius, jaccard))
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "root").select("fp", "component_id")
     return rows.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of 256 bits, the distance of texts whose 5-word shingles have a similarity of 0.8 is 39
-#: on average; 48 leaves room for its spread.
-STAGE = {"k": 5, "radius": 48, "lanes": 4, "layouts": 8}
+#: Of 256 bits, the distance of sets of 5-word shingles with a similarity of 0.8 is 39 on
+#: average (48 for sets of 4 and 5, the worst); 76 leaves room for its spread, a miss of 3e-6 there.
+STAGE = {"k": 5, "radius": 76, "lanes": 4, "layouts": 8, "jaccard": (4, 5)}
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one for
-    each doc_id; columns unchanged.  ``how`` goes to :func:`clustered`, 5-word shingles and a
-    similarity of about 0.8 by default.  Of rows without a doc_id one stays for
+    each doc_id; columns unchanged.  ``how`` goes to :func:`clustered`, by default pairs whose sets
+    of 5-word shingles have a similarity of 0.8 or more.  Of rows without a doc_id one stays for
     a component of such rows only."""
     names = docs.columns
-    keep = clustered(docs, **{**STAGE, **how}).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    keep = clustered(docs.select(key.alias("doc_id"), "text"), **{**STAGE, **how}).where("doc_id = component_id").select(F.col("doc_id.id").alias("_id")).distinct()
     rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
     return rows.dropDuplicates(["doc_id"]).select(*names)
 

@@ -201,6 +201,51 @@ def test_op5_hot_groups_and_chains(spark):
         assert {f: top(f) for f in signed} == want
 
 
+def test_stage_links_by_exact_jaccard(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+
+    def pair(n, common):  # two texts of n shingles each, common of them alike
+        one = [f"w{x}" for x in rng.integers(0, 1 << 40, n + 4)]
+        rest = [f"w{x}" for x in rng.integers(0, 1 << 40, n - common)]
+        return " ".join(one), " ".join(one[: common + 4] + rest)
+
+    for k in range(120):  # 8 of 10 and 80 of 100 shingles stand for 0.8: (n, common) on both sides of it
+        n, common = ((90, 80), (90, 79), (90, 70), (9, 8), (9, 7), (400, 340))[k % 6]
+        a, b = pair(n, common)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want[k] = 5 * common >= 4 * (2 * n - common)
+    again = "the same five words are here and there again " * 40  # repeats weigh once
+    rows += [(900 + k, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 60)) + " " + again) for k in range(6)]
+    kept = Counter(r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(kept.values()) == {1} and all(2 * k in kept for k in want)
+    assert {k: 2 * k + 1 not in kept for k in want} == want and {900 + k for k in range(6)} <= set(kept)
+
+
+def test_linked_by_sets_in_tiles_and_units(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)]) for _ in range(150)]
+    pairs = [(a, b) for a in range(150) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    up = list(range(150))
+    for a, b in pairs:
+        up = [up[min(a, b)] if x == up[max(a, b)] else x for x in up]
+    sigs = np.zeros((150, 4), np.uint64)
+    got = neardup.linked(np.arange(150), sigs, 0, 16, sets, (4, 5))
+    label = dict(zip(*[x.tolist() for x in got]))
+    assert 1 < len(set(up)) < 150 and 0 < len(pairs) < 150 * 149 // 2
+    assert all((label.get(a, a) == label.get(b, b)) == (up[a] == up[b]) for a in range(150) for b in range(a))
+    i, j = np.nonzero(np.ones((150, 150)))
+    assert neardup.common(sets, sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    texts = [" ".join(f"w{x}" for x in range(c, c + 104)) for c in range(0, 60, 3)]  # a chain of 0.94
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    coarse = spark.createDataFrame([(k, k, bytes(32), 0) for k in range(20)], "key long, fp long, sig binary, root long")
+    for unit, held in ((8192, 1 << 22), (6, 300)):
+        from marlow.llm.shared import components
+
+        assert {r["node"]: r["root"] for r in components(neardup.alike(coarse, df, 5, 0, (4, 5), unit, held)).collect()} == {k: 0 for k in range(20)}
+
+
 def test_components(spark):
     from marlow.llm.shared import components
 
