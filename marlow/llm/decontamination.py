@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import lean, numbered, written
+from marlow.llm.shared import lean, numbered, packed, row_key, unpacked, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -191,20 +191,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
             for b in batches:
-                ids = b.column("doc_id").to_pylist()
                 got = list(ix.found(b.column("text").to_pylist(), threshold))
                 if got:
-                    cols = [[ids[g[0]] for g in got], [ix.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got]]
-                    yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "item_id", "n_shingles", "containment"), cols)))
+                    cols = [b.column("doc_id").take(pa.array([g[0] for g in got])), *[pa.array(x) for x in ([ix.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got])]]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_shingles", "containment"])
 
         out = out.union(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b, run=run: lean(run(b)), schema))
     return out.distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` that hold no item, columns unchanged."""
-    bad = written(leaks(docs, items, threshold).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item, columns unchanged; rows are told apart by
+    doc_id and text."""
+    names = docs.columns
+    bad = written(leaks(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("key")).distinct())
+    return packed(docs, row_key().alias("key")).join(bad, "key", "left_anti").select(*unpacked(names))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import components, lean, shuffle_width, written
+from marlow.llm.shared import components, lean, packed, row_key, shuffle_width, unpacked, written
 
 #: Fingerprints that one work unit holds (twice as many for a pair of sub-tiles).
 UNIT = 8192
@@ -365,15 +365,14 @@ STAGE = {"k": 5, "radius": 76, "lanes": 4, "layouts": 8, "jaccard": (4, 5)}
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, one for
-    each doc_id; columns unchanged.  ``how`` goes to :func:`clustered`, by default pairs whose sets
-    of 5-word shingles have a similarity of 0.8 or more.  Of rows without a doc_id one stays for
-    a component of such rows only."""
+    """One row of ``docs`` for each component, the one of the smallest doc_id (null is the
+    largest; of rows with the same doc_id the one of the least text digest); columns unchanged.
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, stay where
+    their texts are not alike.  ``how`` goes to :func:`clustered`, by default pairs whose sets of 5-word
+    shingles have a similarity of 0.8 or more."""
     names = docs.columns
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
-    keep = clustered(docs.select(key.alias("doc_id"), "text"), **{**STAGE, **how}).where("doc_id = component_id").select(F.col("doc_id.id").alias("_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*names)
+    keep = clustered(docs.select(row_key().alias("doc_id"), "text"), **{**STAGE, **how}).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return packed(docs, row_key().alias("key")).join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*unpacked(names))
 
 
 def op5_simhash_neardup(spark, sf_dir: str) -> DataFrame:

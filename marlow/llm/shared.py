@@ -95,6 +95,11 @@ def unpacked(names: list[str], without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col(f"row.`{c}`").alias(c) for c in names if c not in without]
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key that tells rows apart by id and text, a null id too; in its order a null id is the last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(text).isNull().alias("bare"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))).alias("digest"))
+
+
 def numbered(df: DataFrame, order: list[Column], grouped: bool = False) -> DataFrame:
     """(row, k0, k1, ..., rank): each row of ``df`` as a struct, its order keys, and its
     gapless place from 0 in their order; with ``grouped`` the place among the rows of equal k0.

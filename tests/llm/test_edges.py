@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeats, empty tables and clashing names, for every operator."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,20 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_keep_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    leak = "cat and the dog the cat and " + c.replace("c", "e")
+    rows = [(None, a), (None, a), (None, b), (1, b), (None, c), (None, "d " + c), (2, a + " " + c), (2, b + " " + c), (2, b + " " + c), (3, c + " " + a), (3, leak)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in neardup.one_of_each(df).collect())
+    one = [r for r in got if r[1] in (c, "d " + c)]
+    assert len(one) == 1 and one[0][0] == "None"
+    assert [r for r in got if r not in one] == sorted([("None", a), ("1", b), ("2", a + " " + c), ("2", b + " " + c), ("3", leak)])  # c a is like a c
+    items = spark.createDataFrame([(1, "a1 a2 a3 a4 a5 a6 a7"), (2, "cat and the dog the cat and")], "item_id long, text string")
+    left = Counter((r["doc_id"], r["text"]) for r in decontamination.clean(df, items).collect())
+    assert left == {(None, b): 1, (1, b): 1, (None, c): 1, (None, "d " + c): 1, (2, b + " " + c): 2}
+
+
 def test_sharding(docs, none):
     got = sharding.sharded(docs, 4, 8)
     assert got.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
