@@ -32,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered, packed, shuffle_width, unpacked
+from marlow.llm.shared import numbered, packed, shuffle_width, small, unpacked
 
 #: Rows in a block.
 BLOCK = 16
@@ -97,8 +97,8 @@ def mixed(rows: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     blocks = {s: -(-x // block) for s, x in n.items()}
     end = 1 + max((b - 1) // parts[s] * q + turns[s][(b - 1) % parts[s]] for s, b in blocks.items())
     total = {s: end // q * parts[s] + sum(t < end % q for t in turns[s]) for s in n}
-    sources = spark.createDataFrame([(s, parts[s], blocks[s], total[s]) for s in n], f"s {kind}, e long, nb long, total long")
-    table = spark.createDataFrame([(s, j, t) for s, ts in turns.items() for j, t in enumerate(ts)], f"ts {kind}, j long, turn long")
+    sources = small(spark, [(s, parts[s], blocks[s], total[s]) for s in n], f"s {kind}, e long, nb long, total long")
+    table = small(spark, [(s, j, t) for s, ts in turns.items() for j, t in enumerate(ts)], f"ts {kind}, j long, turn long")
     cut = (
         placed.join(F.broadcast(sources), F.col("k0").eqNullSafe(F.col("s")))
         .withColumn("block", F.floor(F.col("rank") / block).cast("long"))

@@ -6,14 +6,17 @@ from __future__ import annotations
 import atexit
 import ctypes.util
 import gc
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 #: Tables in the shared folder that still have their files.
@@ -23,12 +26,15 @@ _tables: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, local mode) a temporary
-    folder of this machine is set in its place.
+    Only where the session leaves it unset and the master is local (tests) a temporary
+    folder of this machine is set in its place; on a cluster that is an error, as
+    executors would write where nobody reads.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="marlow-shared-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
@@ -48,6 +54,25 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A table of few rows from the driver, as a local relation: no Python worker reads it."""
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = [to_arrow_type(f.dataType) for f in kinds]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=kinds.fieldNames()), kinds)
+
+
+def lasting(build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written; the tables that it wrote on the way are removed."""
+    mark = len(_tables)
+    out = written(build())
+    for path in _tables[mark:]:
+        if path != out.written_path:
+            _tables.remove(path)
+            _delete(out.sparkSession, path)
+    return out
+
+
 def forget_all(spark: SparkSession) -> None:
     """Remove the files of all tables that this driver wrote and still has: for long
     sessions, once the results that read them are stored."""
@@ -122,7 +147,7 @@ def numbered(df: DataFrame, order: list[Column], grouped: bool = False) -> DataF
         base.append((r["part"], g, r["first"], seen.get(g, 0)))
         seen[g] = seen.get(g, 0) + r["n"]
     kind = dict(placed.dtypes)["k0"] if grouped else "string"
-    bases = F.broadcast(spark.createDataFrame(base, f"part int, g {kind}, first long, base long"))
+    bases = F.broadcast(small(spark, base, f"part int, g {kind}, first long, base long"))
     on = placed["part"] == bases["part"]
     if grouped:
         on = on & placed["k0"].eqNullSafe(bases["g"])
@@ -169,5 +194,5 @@ def components(edges: DataFrame) -> DataFrame:
         live = nxt_live
     if result is None:
         kind = edges.schema["a"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+        return small(edges.sparkSession, [], f"node {kind}, root {kind}")
     return result
