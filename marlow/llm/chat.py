@@ -5,7 +5,7 @@ each conversation is rendered turn prefix by turn prefix, and where the new outp
 starts with the one before, the turn's span is what was added.  A template that
 changes what it had already written (drops old turns, moves a system text) is
 detected at the first such prefix; spans of a conversation are then given only
-from the last rewrite on, and ``rewrites`` counts them.  The place of a turn's text within its
+from the last rewrite on (the rewriting turn has that from its text to the end), and ``rewrites`` counts them.  The place of a turn's text within its
 span is found by rendering the same prefix once more with a probe for a text.
 
 The template of this module marks turns with control strings and escapes texts
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import shuffle_width
+from marlow.llm.shared import shuffle_width, small
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -62,6 +62,20 @@ def read_back(out: str) -> list[Turn]:
     return turns
 
 
+def _found(turns: list[Turn], template: Template, out: str, taught: frozenset[str]) -> list[dict]:
+    """Spans of the last turn of ``out``, whose earlier turns were written anew: the probe in the
+    place of its text shows where the text stands, the output's ends what the span is."""
+    role, text = turns[-1]
+    probe = template([*turns[:-1], (role, PROBE)])
+    other = template([*turns[:-1], (role, PROBE[::-1])])
+    same = next((i for i, (a, b) in enumerate(zip(probe, other)) if a != b), len(probe))
+    at = probe.rfind(PROBE, 0, same + len(PROBE))
+    if at < 0 or out[:at] != probe[:at]:
+        return []
+    tail = len(probe) - at - len(PROBE)
+    return [{"turn": len(turns) - 1, "start": at, "end": len(out), "text_start": at, "text_end": len(out) - tail, "loss": role in taught}]
+
+
 def rendered(turns: list[Turn], template: Template, taught: frozenset[str]) -> dict:
     """The output of ``template`` with the spans of its turns and of the taught texts."""
     out, spans, rewrites = "", [], 0
@@ -77,7 +91,7 @@ def rendered(turns: list[Turn], template: Template, taught: frozenset[str]) -> d
             spans.append(span)
         else:
             rewrites += 1
-            spans = []
+            spans = _found(turns[: k + 1], template, new, taught)
         out = new
     return {"formatted": out, "n_turns": len(turns), "rewrites": rewrites, "spans": spans}
 
@@ -121,7 +135,7 @@ def formatted(rows: DataFrame, template: Template = marked, taught: frozenset[st
 def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    added = small(spark, [(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
     out = formatted(rows.unionByName(added))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,10 @@ def test_op4_detects_rewriting_templates():
 
     turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
     got = chat.rendered(turns, forgetful, frozenset({"assistant"}))
+    last = got["spans"][-1]
+    assert last["turn"] == 2 and got["formatted"][last["text_start"] : last["text_end"]] == "c" and not last["loss"]
+    moved = chat.rendered([("user", "u"), ("assistant", "said"), ("system", "s"), ("assistant", "more")], lambda t: chat.marked(sorted(t, key=lambda x: x[0] != "system")), frozenset({"assistant"}))
+    assert [moved["formatted"][x["text_start"] : x["text_end"]] for x in moved["spans"]] == ["s", "more"] and moved["rewrites"] == 1
     assert got["rewrites"] == 1 and chat.rendered(turns, chat.marked, frozenset())["rewrites"] == 0
     s = chat.rendered([("assistant", "assistant")], chat.marked, frozenset({"assistant"}))
     a = s["spans"][0]
