@@ -26,7 +26,7 @@ c AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words FROM
 m AS (SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
   len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop, len(lines) AS n_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]*[-•*‣●]'))) AS n_bullet_lines,
-  len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS n_ellipsis_lines
+  len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS n_ellipsis_lines, length(text) AS n_chars, strlen(text) AS n_bytes
   FROM l LEFT JOIN c ON c.doc_id = l.doc_id),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_filter({_BROKEN}, lambda x: x IS NOT NULL) AS broken FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, coalesce(array_to_string(broken, ','), '') AS broken_rules FROM v

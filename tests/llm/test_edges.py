@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,25 @@ def test_quality(docs, none):
     assert quality.judged(none).count() == 0 and quality.passing(none).count() == 0
 
 
+def test_quality_of_other_scripts(spark):
+    russian = "это простой русский текст о погоде и о том как мы жили у моря много лет назад " * 3
+    chinese = "\n".join("这是一个关于天气和海边生活的普通文本编号" + str(k) for k in range(50))
+    polish = " ".join(f"dom{k} nie jest z miasta{k} i wsi{k}" for k in range(20))
+    nonsense = " ".join(f"blub{k} florp{k}" for k in range(40))
+    rows = [(k, " ".join(f"{w}{j}" for j, w in enumerate(t.split())) if k == 0 else t) for k, t in enumerate((russian, chinese, polish, nonsense))]
+    got = {r["doc_id"]: r["broken"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["stop_words"]}
+
+
+def test_quality_is_exact_in_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    w = rng.integers(0, 1 << 40, 4_000_000).tolist()
+    w[3_900_000:3_900_005] = w[100:105]  # one true repeat among windows whose shortened hashes meet
+    text = " ".join(map(str, w))
+    r = quality.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_repeat_words"]) == (4_000_000, 10)
+
+
 def test_neardup(docs, none):
     got = neardup.clustered(docs)
     rows = {r["doc_id"]: r for r in got.collect()}
