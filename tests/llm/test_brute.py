@@ -317,6 +317,9 @@ def test_op7_diagonals_bridge_an_inserted_word(spark):
     df = spark.createDataFrame([(1, t), (2, "permission is hereby granted")], "doc_id long, text string")
     got = licences.spans(df).collect()
     assert [(r["doc_id"], r["label"], r["first_word"]) for r in got] == [(1, "mit", 2)] and got[0]["cover"] >= 0.8
+    one = [(7, t), (7, t), (7, "Licensed under CC BY 4.0"), (7, "none"), (None, "Released under the MIT License"), (None, "all rights reserved")]
+    rows = licences.scanned(spark.createDataFrame(one, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["labels"], r["n_base"]) for r in rows) == [("7", "", 0), ("7", "cc-by,cc-by-4.0", 1), ("7", "mit", 0), ("7", "mit", 0), ("None", "mit", 0), ("None", "reserved", 1)]
 
 
 def test_op8(spark, docs):
