@@ -1,16 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Short items hide in long documents, where the Jaccard similarity of the whole texts is
-too small for any signature.  Both sides are therefore partitioned by size: items into
-classes of at most 4, 8, 16, ... shingles, and for a class of at most ``u`` shingles each
-document into windows of ``2 * u`` shingles at a step of ``u``, so that any passage of an
-item lies whole in one window.  A window and an item of its class that share 0.8 of
-the item's shingles have a Jaccard similarity of 0.19 at least; with ``PERMUTATIONS``
-minima, one in a band, such a pair is missed with a chance of 1e-6.  Candidates
-are then verified by the exact share of the item's shingles in the whole document.
-
-Signatures are taken only for windows that hold a shingle of some item: a minimum can
-equal an item's only there, so this loses no candidate.
+too small for any signature.  A document is first reduced to its hits, the shingles that some item holds:
+no other one can be in both.  Then both sides are partitioned by size: items into
+classes of at most 1, 2, 4, 8, ... shingles, and for a class of at most ``u`` shingles the hits of a
+document, in order, into windows of ``2 * u`` at a step of ``u``, so that any passage of an
+item lies whole in one window; a document with at most ``2 * u`` different hits is one window, wherever in it they
+stand.  A window and an item of its class that share 0.8 of the item's shingles have a Jaccard similarity
+of 0.19 at least; with ``PERMUTATIONS`` minima, one in a band, such a pair is missed with a chance of 1e-6.
+Candidates are then verified by the exact share of the item's shingles in the whole document.  What may be
+missed beyond that: an item whose shingles do not stand together, in a document with more than ``2 * u``
+different hits.
 
 Distribution: one scan of the documents without a shuffle.  Items are sent to the
 executors in blocks of at most ``ITEMS`` (the bound of what is broadcast); more items
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import lean, numbered, packed, row_key, unpacked, written
+from marlow.llm.shared import lasting, lean, numbered, packed, row_key, small, unpacked
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -101,7 +101,7 @@ class Index:
             k = min(shingle, len(words))
             got = frozenset(b" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
             hashes = np.unique(shingle_hashes(word_hashes(words), k))
-            size = 4
+            size = 1
             while size < len(hashes):
                 size *= 2
             self.sizes.setdefault(k, set()).add(size)
@@ -126,13 +126,17 @@ class Index:
         known, got = self.known[k], shingles[at]
         return at[known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got]
 
-    def candidates(self, shingles: np.ndarray, hits: np.ndarray, k: int) -> set[int]:
+    def candidates(self, hits: np.ndarray, k: int) -> set[int]:
+        """Items that share a minimum with a window of ``hits``, shingles of items in the order of a document."""
         out: set[int] = set()
+        kinds = np.unique(hits)
         for size in self.sizes[k]:
-            last = max(0, -(-(len(shingles) - 2 * size) // size))
-            upper = np.minimum(hits // size, last)
-            for w in np.unique(np.concatenate([upper, np.maximum(upper - 1, 0)])).tolist():
-                keys = _keys(minima(shingles[w * size : (w + 2) * size]), size)
+            if len(kinds) <= 2 * size:
+                windows = [kinds]
+            else:
+                windows = [hits[at : at + 2 * size] for at in range(0, max(1, len(hits) - size), size)]
+            for w in windows:
+                keys = _keys(minima(w), size)
                 lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
                 for a, b in zip(lo[hi > lo], hi[hi > lo]):
                     out.update(self.owners[a:b].tolist())
@@ -161,12 +165,12 @@ class Index:
             hits, owner = hits[whole], owner[whole]
             for d in np.unique(owner).tolist():
                 lo = int(ends[d] - n[d])
-                own = s[lo : lo + int(n[d]) - k + 1]
-                cand = self.candidates(own, hits[owner == d] - lo, k)
+                mine = hits[np.searchsorted(owner, d, "left") : np.searchsorted(owner, d, "right")]
+                cand = self.candidates(s[mine], k)
                 if not cand:
                     continue
                 words = docs[d]
-                have = {b" ".join(words[h - lo : h - lo + k]) for h in hits[owner == d].tolist()}
+                have = {b" ".join(words[h - lo : h - lo + k]) for h in mine.tolist()}
                 for i in sorted(cand):
                     kk, want = self.texts[i]
                     share = len(want & have) / len(want) if kk == k else 0.0
@@ -183,7 +187,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
     schema = f"doc_id {kind}, item_id {item_kind}, n_shingles long, containment double"
     ordered = numbered(items.select("item_id", "text"), [F.col("item_id"), F.col("text")]).select("row.*", "rank")
     total = items.count()
-    out = spark.createDataFrame([], schema)
+    out = small(spark, [], schema)
     for at in range(0, total, ITEMS):
         block = ordered.where((F.col("rank") >= at) & (F.col("rank") < at + ITEMS)).collect()
         index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in block]))
@@ -204,7 +208,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
     """The rows of ``docs`` that hold no item, columns unchanged; rows are told apart by
     doc_id and text."""
     names = docs.columns
-    bad = written(leaks(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("key")).distinct())
+    bad = lasting(lambda: leaks(docs.select(row_key().alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("key")).distinct())
     return packed(docs, row_key().alias("key")).join(bad, "key", "left_anti").select(*unpacked(names))
 
 

@@ -343,6 +343,27 @@ def test_op8_short_item_in_a_long_text(spark):
     assert [(r["doc_id"], r["item_id"], r["containment"]) for r in decontamination.leaks(d, b).collect()] == [(1, 5, 1.0)]
 
 
+def test_op8_short_and_scattered_items_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    items = [[f"i{k}w{j}" for j in range(int(n))] for k, n in enumerate([1, 2, 3, 4, 5, 5, 5, 6, 6, 7, 7, 8, 12, 20, 40] * 8)]
+    rows, want = [], set()
+    sets = [{tuple(w[j : j + min(5, len(w))]) for j in range(max(1, len(w) - 4))} for w in items]
+    for d in range(400):
+        text: list = []
+        for i in rng.integers(0, len(items), 2).tolist():  # whole, cut short, or in pieces far apart
+            w, how = items[i], int(rng.integers(0, 3))
+            pieces = [w] if how == 0 else [w[: max(1, int(len(w) * 0.85))]] if how == 1 else [w[j : j + 5] for j in range(max(1, len(w) - 4))]
+            for p in pieces:
+                text += [f"f{x}" for x in rng.integers(0, 1 << 30, int(rng.integers(0, 400)))] + p
+        rows.append((d, " ".join(text)))
+        for i, s in enumerate(sets):
+            k = min(5, len(items[i]))
+            have = {tuple(text[j : j + k]) for j in range(len(text) - k + 1)}
+            want |= {(d, i)} if len(s & have) >= 0.8 * len(s) else set()
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert len(want) > 400 and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_op9_is_within_a_block_of_the_target():
     parts = mixing.parts_of({"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.37}, 1000)
     assert sum(parts.values()) == 1000
