@@ -5,9 +5,10 @@ counts of all pairs of two tiles, where a pair of tiles whose population counts
 differ by more than the radius is skipped.  Tiles are laid out by groups, so that the number of
 compared pairs stays in proportion to the rows:
 
-* one lane (:func:`clustered` by default): ``radius + 1`` layouts, each grouped by another
-  run of bits.  Two fingerprints that differ in at most ``radius`` bits agree on
-  one run at least, so no link is lost;
+* one lane (:func:`clustered` by default): the bits are cut into ``radius + 2`` runs, and there is a layout for
+  every pair of runs.  Two fingerprints that differ in at most ``radius`` bits agree on two
+  runs at least, so no link is lost.  With radius 2 that is six layouts of 32 bits: a fingerprint meets
+  one other by chance for each 700 million fingerprints;
 * more lanes and a wide radius (:func:`one_of_each`): ``layouts`` layouts, grouped by the
   least value of a hash over the text's shingles.  Texts of Jaccard similarity 0.8 share
   one of 8 least values but for a chance of 3e-6.  What is linked so is a candidate only:
@@ -29,6 +30,7 @@ empty table gives an empty result; columns besides doc_id and text are ignored b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import components, lean, packed, row_key, shuffle_width, unpacked, written
+from marlow.llm.shared import components, lasting, lean, packed, row_key, shuffle_width, unpacked, written
 
 #: Fingerprints that one work unit holds (twice as many for a pair of sub-tiles).
 UNIT = 8192
@@ -89,9 +91,9 @@ SALTS = [xxhash.xxh64_intdigest(f"salt {j}") for j in range(64)]
 
 
 def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0, sets: bool = False) -> DataFrame:
-    """(doc_id, fp, sig, pop, least) of each row's whole text: a long that names the
+    """(doc_id, fp, sig, pop, least, n) of each row's whole text: a long that names the
     fingerprint (with one lane it is the fingerprint), its bytes, its population
-    count and the least values of ``layouts`` hashes over the shingles.  With ``sets``
+    count, the least values of ``layouts`` hashes over the shingles and how many these are.  With ``sets``
     each shingle counts once and ``fp`` names the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +102,7 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0,
             held: list[np.ndarray] = []
             least: list[list[int]] = []
             named: list[int] = []
+            many: list[int] = []
             size = 0
 
             def done() -> np.ndarray:
@@ -112,6 +115,7 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0,
                     h = np.unique(h)
                     named.append(xxhash.xxh64_intdigest(h.tobytes()))
                 held.append(h)
+                many.append(len(h))
                 if layouts:
                     least.append([int(_scrambled(h, SALTS[32 + j]).min().view(np.int64)) for j in range(layouts)] if len(h) else [])
                 size += len(h)
@@ -124,11 +128,11 @@ def fingerprinted(docs: DataFrame, k: int = 3, lanes: int = 1, layouts: int = 0,
             fp = np.array(named, np.uint64) if sets else sig[:, 0] if lanes == 1 else np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
             pops = np.bitwise_count(sig).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(fp.copy().view(np.int64)), pa.array(raw, pa.binary()), pa.array(pops), pa.array(least or [[]] * len(raw), pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "pop", "least"]
+                [b.column("doc_id"), pa.array(fp.copy().view(np.int64)), pa.array(raw, pa.binary()), pa.array(pops), pa.array(least or [[]] * len(raw), pa.list_(pa.int64())), pa.array(many, pa.int64())], ["doc_id", "fp", "sig", "pop", "least", "n"]
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b: lean(run(b)), f"doc_id {kind}, fp long, sig binary, pop int, least array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b: lean(run(b)), f"doc_id {kind}, fp long, sig binary, pop int, least array<long>, n long")
 
 
 class _Sets:
@@ -248,8 +252,9 @@ def links(fps: DataFrame, radius: int, layouts: int = 0, unit: int = UNIT) -> Da
     if layouts:
         groups = F.transform("least", lambda x, i: F.struct(i.alias("k"), x.alias("run")))
     else:
-        cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-        groups = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("run")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+        cuts = [64 * k // (radius + 2) for k in range(radius + 3)]
+        parts = [(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)), b - a) for a, b in zip(cuts, cuts[1:])]
+        groups = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(x, n).bitwiseOR(y).alias("run")) for k, ((x, _), (y, n)) in enumerate(combinations(parts, 2))])
     laid = fps.select("fp", "sig", "pop", F.explode(groups).alias("g")).select("fp", "sig", "pop", "g.k", "g.run")
     sizes = laid.groupBy("k", "run", "pop").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.groupBy("k", "run").agg(F.sum("n").alias("total")).where("total > 1")
@@ -301,26 +306,24 @@ def links(fps: DataFrame, radius: int, layouts: int = 0, unit: int = UNIT) -> Da
 
 
 def alike(coarse: DataFrame, docs: DataFrame, k: int, radius: int, jaccard: tuple[int, int], unit: int = UNIT, held: int = HELD) -> DataFrame:
-    """Stars (a, b) over ``fp`` that connect just the rows of ``coarse`` (key, fp, sig, root) that
+    """Stars (a, b) over ``fp`` that connect just the rows of ``coarse`` (key, fp, sig, n, root) that
     are linked through pairs of at most ``radius`` bits and a Jaccard similarity of ``jaccard``
-    (a fraction), both of one ``root``.  ``docs`` (key, text) has the texts.
+    (a fraction), both of one ``root``; ``n`` is the size of a row's set.  ``docs`` (key, text) has the texts.
 
     A root is one work unit; beyond ``unit`` members or ``held`` shingles its members are dealt to sub-tiles by
-    hash, and each pair of sub-tiles is a unit.  The roots that are cut, one for each ``unit`` fingerprints or
-    ``held`` shingles at most, are broadcast."""
+    hash, and each pair of sub-tiles is a unit.  How many follows from ``n``, so the sets travel once, from
+    the task that has the text to the unit."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.unique(shingle_hashes(t.as_py(), k)) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in ("fp", "sig", "root")], pa.array([h.astype("<u8").tobytes() for h in got], pa.binary()), pa.array([len(h) for h in got], pa.int64())], ["fp", "sig", "root", "hashes", "n"]
-            )
+            got = [np.unique(shingle_hashes(t.as_py(), k)).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("root", "fp", "sig", "m")], pa.array(got, pa.binary())], ["root", "fp", "sig", "m", "hashes"])
 
-    texts = docs.join(coarse, "key").dropDuplicates(["key"]).select("fp", "sig", "root", "text")
-    sets = written(texts.mapInArrow(lambda b: lean(shingled(b)), "fp long, sig binary, root long, hashes binary, n long"))
-    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / unit, F.sum("n") / held)).cast("int").alias("m"))
+    sizes = coarse.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / unit, F.sum("n") / held)).cast("int").alias("m"))
+    texts = docs.join(coarse.join(sizes, "root"), "key").dropDuplicates(["key"]).select("root", "fp", "sig", "m", "text")
+    sets = texts.mapInArrow(lambda b: lean(shingled(b)), "root long, fp long, sig binary, m int, hashes binary")
     tile = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-    dealt = sets.join(F.broadcast(sizes.where("m > 1")), "root", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("t", tile).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("m = 1 OR s <> t")
+    dealt = sets.withColumn("t", tile).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).where("m = 1 OR s <> t")
     dealt = dealt.select("root", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), "fp", "sig", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,16 +350,20 @@ def alike(coarse: DataFrame, docs: DataFrame, k: int, radius: int, jaccard: tupl
 def clustered(docs: DataFrame, k: int = 3, radius: int = 2, lanes: int = 1, layouts: int = 0, jaccard: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.  With ``jaccard`` (a fraction)
     doc_id must be unique but for repeated rows, and linked pairs are verified by :func:`alike`."""
-    rows = written(fingerprinted(docs, k, lanes, layouts, jaccard is not None))
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", "pop", "least")]))
-    roots = components(links(fps, radius, layouts))
-    if jaccard:
-        coarse = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select(F.col("rep").alias("key"), "fp", "sig", "root")
-        roots = components(alike(coarse, docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string")), k, radius, jaccard))
-    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
+
+    def build() -> DataFrame:
+        rows = written(fingerprinted(docs, k, lanes, layouts, jaccard is not None))
+        fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("sig", "pop", "least", "n")]))
+        roots = components(links(fps, radius, layouts))
+        if jaccard:
+            coarse = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select(F.col("rep").alias("key"), "fp", "sig", "n", "root")
+            roots = components(alike(coarse, docs.select(F.col("doc_id").alias("key"), F.col("text").cast("string")), k, radius, jaccard))
+        named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        ids = named.join(least, "root").select("fp", "component_id")
+        return rows.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
+
+    return lasting(build)
 
 
 #: Of 256 bits, the distance of sets of 5-word shingles with a similarity of 0.8 is 39 on
@@ -371,7 +378,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     their texts are not alike.  ``how`` goes to :func:`clustered`, by default pairs whose sets of 5-word
     shingles have a similarity of 0.8 or more."""
     names = docs.columns
-    keep = clustered(docs.select(row_key().alias("doc_id"), "text"), **{**STAGE, **how}).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    keep = lasting(lambda: clustered(docs.select(row_key().alias("doc_id"), "text"), **{**STAGE, **how}).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
     return packed(docs, row_key().alias("key")).join(keep, "key", "left_semi").dropDuplicates(["key"]).select(*unpacked(names))
 
 

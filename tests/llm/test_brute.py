@@ -243,7 +243,7 @@ def test_linked_by_sets_in_tiles_and_units(spark):
     assert neardup.common(sets, sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
     texts = [" ".join(f"w{x}" for x in range(c, c + 104)) for c in range(0, 60, 3)]  # a chain of 0.94
     df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    coarse = spark.createDataFrame([(k, k, bytes(32), 0) for k in range(20)], "key long, fp long, sig binary, root long")
+    coarse = spark.createDataFrame([(k, k, bytes(32), 100, 0) for k in range(20)], "key long, fp long, sig binary, n long, root long")
     for unit, held in ((8192, 1 << 22), (6, 300)):
         from marlow.llm.shared import components
 
