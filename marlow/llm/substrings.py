@@ -1,23 +1,27 @@
 """Substring dedup: content-defined chunking with a gear rolling hash.
 
-Chunks end where eight bits of a gear hash (which see the last 16 bytes) fall below a
+Chunks end where the low byte of a gear hash (which sees the last 8 bytes) falls below a
 threshold, so an insertion moves no boundary but those next to it.  The unit that is
 deduplicated by digest is a run of ``RUN`` chunks in a row (the bytes from the first
-one's start to the last one's end, 128-bit digest): single chunks of some 20 bytes
+one's start to the last one's end, 96-bit digest): single chunks of some 25 bytes
 repeat by chance, runs hardly do.  A unit is a duplicate where its digest also stands in
-a document of smaller id; the smallest one keeps it.  Overlapping and touching
-duplicate units become spans, and spans under ``LEAST`` bytes are left alone.
-Repeats within one document are not duplicates.
+a row before it, by doc_id and then by a hash of the text; the first one keeps it.
+Overlapping and touching duplicate units become spans.  Repeats within one row are not duplicates.
 
-Distribution: each task chunks its documents and settles digests among them first
-(one entry for each digest and its smallest document goes on, the rest is known to be
+A passage reaches further than the units within it.  How far is measured by a ladder of short
+hashes of the bytes before and after each unit, compared with those of the row that it repeats; spans
+that reach over less than ``LEAST`` bytes so are left alone.  Only the span itself, whose bytes the digests prove
+equal, is reported and cut.
+
+Distribution: each task chunks its rows and settles digests among them first
+(one entry for each digest and its first row goes on, the rest is known to be
 duplicate), which takes a hot passage out of the shuffle.  Entries travel as packed
 arrays, one row for each task and bucket; a bucket is sorted in numpy, one at a
 time.  Buckets follow the number of shuffle partitions.
 
-Values: null or empty texts have no chunks; a row with null doc_id keeps nothing for
-others and is a duplicate of any that hold the same; rows with the same doc_id are one
-document; an empty table gives an empty result; other columns are ignored by
+Values: null or empty texts have no chunks; rows with a null doc_id come last; rows that share a doc_id, or have none,
+are told apart by their texts, and equal rows are one; doc_ids that are no whole numbers are
+numbered in their order first; an empty table gives an empty result; other columns are ignored by
 :func:`duplicate_spans` and kept by :func:`without_duplicates`.
 """
 
@@ -28,42 +32,47 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlow.llm.shared import lean, packed, shuffle_width
+from marlow.llm.shared import lean, numbered, packed, shuffle_width
 
-#: 256 / CUT is the mean size of a chunk in bytes (19.7).
-CUT = 13
+#: 256 / CUT is the mean distance of boundaries in bytes (16), before those too near are taken out (25).
+CUT = 16
 #: A boundary closer than this to the boundary before it is none.
 NEAR = 8
 #: Longest chunk.
 FAR = 4096
 #: Chunks in a unit.
 RUN = 3
-#: Shortest span that is reported, in bytes.
-LEAST = 120
+#: Shortest reach of a span that is reported, in bytes.
+LEAST = 150
+#: Bytes before and after a unit that are compared.
+LADDER = (8, 16, 24, 40, 64)
 #: Bytes of text chunked at once, and units that a task settles at once.
 PIECE, SETTLE = 1 << 21, 1 << 20
 
 PAD = bytes(32)
 NO_ID = np.iinfo(np.int64).max
-UNITS = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
-FOUND = np.dtype([("doc", "<i8"), ("first", "<i8"), ("start", "<i4"), ("size", "<i4")])
+UNITS = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1", len(LADDER)), ("post", "u1", len(LADDER))])
+FOUND = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1"), ("post", "u1")])
 
 #: Gear values; byte 0 has none, so that padding between texts leaves no trace.
 GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(1, 256)], np.uint32)
+#: An odd number and its inverse modulo 2**64, for hashes of any stretch from one running sum.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def boundaries(data: np.ndarray) -> np.ndarray:
     """Places in ``data`` (uint8) before which a chunk may end, by content alone."""
-    h = GEAR[data]
+    h = GEAR[data].astype(np.uint8)
     step = 1
-    while step < 16:  # the sum over 2 * step bytes from two sums over step bytes
-        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
+    while step < 8:  # the sum over 2 * step bytes from two sums over step bytes
+        h[step:] = h[step:] + (h[:-step] << np.uint8(step))
         step *= 2
-    at = np.flatnonzero(((h >> np.uint32(8)) & np.uint32(255)) < CUT) + 1
+    at = np.flatnonzero(h < CUT) + 1
     at = at[at < len(data)]
     for _ in range(3):  # not within a character
         at = at + ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
@@ -87,8 +96,34 @@ def chunk_edges(data: bytes, edges: np.ndarray) -> list[int]:
     return out
 
 
-def units(texts: list[bytes], docs: list[int]) -> np.ndarray:
-    """The units of all ``texts``."""
+def _powers(n: int, base: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+def rungs(line: np.ndarray, starts: np.ndarray, ends: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (1 to 255; 0 where the text ends before) of the LADDER's stretches of ``line`` that end at ``starts``
+    and that begin at ``ends``, within texts from ``lows`` to ``highs``."""
+    total = np.r_[np.uint64(0), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _powers(len(line), BASE))]
+    back = _powers(len(line) + 1, INVERSE)
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = (total[b] - total[a]) * back[a]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(BASE)
+        return np.maximum(x >> np.uint64(56), np.uint64(1)).astype(np.uint8)
+
+    pre, post = np.zeros((len(starts), len(LADDER)), np.uint8), np.zeros((len(starts), len(LADDER)), np.uint8)
+    for k, n in enumerate(LADDER):
+        fit = np.flatnonzero(starts - n >= lows)
+        pre[fit, k] = hashed(starts[fit] - n, starts[fit])
+        fit = np.flatnonzero(ends + n <= highs)
+        post[fit, k] = hashed(ends[fit], ends[fit] + n)
+    return pre, post
+
+
+def units(texts: list[bytes], docs: list[int], subs: list[int]) -> np.ndarray:
+    """The units of all ``texts``, whose rows are known by ``docs`` and ``subs``."""
     digest = xxhash.xxh3_128_digest
     parts = []
     group: list[int] = []
@@ -98,18 +133,26 @@ def units(texts: list[bytes], docs: list[int]) -> np.ndarray:
         line = np.frombuffer(PAD.join(texts[g] for g in group), np.uint8)
         cuts = boundaries(line)
         at = 0
+        mine, spans = [], []
         for g in group:
             data = texts[g]
             lo, hi = np.searchsorted(cuts, (at + 1, at + len(data)))
             e = chunk_edges(data, cuts[lo:hi] - at)
-            at += len(data) + len(PAD)
             run = min(RUN, len(e) - 1)
             starts, ends = e[: len(e) - run], e[run:]
-            u = np.empty(len(starts), UNITS)
+            u = np.zeros(len(starts), UNITS)
             both = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts, ends)]), "<u8").reshape(-1, 2)
-            u["d1"], u["d2"], u["doc"], u["start"] = both[:, 0], both[:, 1], docs[g], starts
+            u["d1"], u["d2"], u["doc"], u["sub"], u["start"] = both[:, 0], both[:, 1] & np.uint64(0xFFFFFFFF), docs[g], subs[g], starts
             u["size"] = np.array(ends) - np.array(starts)
-            parts.append(u)
+            mine.append(u)
+            spans.append((at, at + len(data), len(u)))
+            at += len(data) + len(PAD)
+        u = np.concatenate(mine)
+        n = [x[2] for x in spans]
+        lows, highs = (np.repeat(np.array([x[k] for x in spans], np.int64), n) for k in (0, 1))
+        starts = u["start"].astype(np.int64) + lows
+        u["pre"], u["post"] = rungs(line, starts, starts + u["size"], lows, highs)
+        parts.append(u)
 
     for k, data in enumerate(texts):
         if data:
@@ -124,19 +167,27 @@ def units(texts: list[bytes], docs: list[int]) -> np.ndarray:
 
 
 def settled(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units of the smallest document with their digest, duplicates found)."""
-    u = u[np.lexsort((u["doc"], u["d2"], u["d1"]))]
-    new = np.r_[True, (u["d1"][1:] != u["d1"][:-1]) | (u["d2"][1:] != u["d2"][:-1])] if len(u) else np.empty(0, bool)
-    first = u["doc"][new][np.cumsum(new) - 1] if len(u) else np.empty(0, np.int64)
-    own = u["doc"] == first
-    rest = u[~own]
+    """(units of the first row with their digest, duplicates found)."""
+    if not len(u):
+        return u, np.empty(0, FOUND)
+    u = u[np.lexsort((u["sub"], u["doc"], u["d2"], u["d1"]))]
+    d1, d2, doc, sub = (np.ascontiguousarray(u[c]) for c in ("d1", "d2", "doc", "sub"))
+    new = np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    own = (doc == doc[first]) & (sub == sub[first])
+    rest, kept = u[~own], u[first[~own]]
     found = np.empty(len(rest), FOUND)
-    found["doc"], found["first"], found["start"], found["size"] = rest["doc"], first[~own], rest["start"], rest["size"]
+    for c in ("doc", "sub", "start", "size"):
+        found[c] = rest[c]
+    for c in ("pre", "post"):
+        same = np.logical_and.accumulate((rest[c] == kept[c]) & (rest[c] != 0), axis=1).sum(1)
+        found[c] = np.array((0, *LADDER), np.uint8)[same]
     return u[own], found
 
 
 def duplicate_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_doc_id, start, size) of every duplicate unit, in bytes of the UTF-8 text."""
+    """(doc_id, sub, start, size, pre, post) of every duplicate unit of ``docs`` (doc_id a long, text), in bytes of
+    the UTF-8 text; ``sub`` is the text's hash, ``pre`` and ``post`` how far the match goes on."""
     buckets = 4 * shuffle_width(docs.sparkSession)
 
     def rows(bucket: list[int], kind: list[int], blob: list[bytes]) -> pa.RecordBatch:
@@ -156,13 +207,13 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
                     bucket.append(b), kind.append(0), blob.append(part.tobytes())
             if len(found):
                 for b, part in enumerate(np.array_split(found, min(buckets, 1 + len(found) // 4096))):
-                    bucket.append(int((part["doc"][0] + b) % buckets)), kind.append(1), blob.append(part.tobytes())
+                    bucket.append(int((int(part["doc"][0]) + b) % buckets)), kind.append(1), blob.append(part.tobytes())
             return rows(bucket, kind, blob)
 
         for batch in batches:
             ids = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
             texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
-            u = units(texts, ids)
+            u = units(texts, ids, batch.column("sub").to_pylist())
             held.append(u)
             count += len(u)
             if count >= SETTLE:
@@ -177,10 +228,8 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
         def give(f: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(f), 1 << 16):
                 p = f[k : k + (1 << 16)]
-                null = p["doc"] == NO_ID
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["doc"].copy(), mask=null), pa.array(p["first"].copy()), pa.array(p["start"].copy()), pa.array(p["size"].copy())], ["doc_id", "first_doc_id", "start", "size"]
-                )
+                cols = [pa.array(p["doc"].copy(), mask=p["doc"] == NO_ID), pa.array(p["sub"].copy()), *[pa.array(p[c].astype(np.int32)) for c in ("start", "size", "pre", "post")]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sub", "start", "size", "pre", "post"])
 
         for batch in batches:
             for b, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob")):
@@ -195,29 +244,41 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
         if held:
             yield from give(settled(np.concatenate(held))[1])
 
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: lean(chunked(b)), "bucket int, kind int, blob binary")
-    return sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: lean(merged(b)), "doc_id long, first_doc_id long, start int, size int")
+    sent = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("sub"), F.col("text").cast("string")).mapInArrow(lambda b: lean(chunked(b)), "bucket int, kind int, blob binary")
+    return sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: lean(merged(b)), "doc_id long, sub long, start int, size int, pre int, post int")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
 
 def duplicate_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, start, n_bytes, first_doc_id, first_doc_ids): the duplicate spans of each
-    document in bytes of its UTF-8 text, and the documents that keep what stands there."""
-    found = duplicate_units(docs).groupBy("doc_id", "start", "size").agg(F.min("first_doc_id").alias("first_doc_id"))
+    """(doc_id, text_hash, start, n_bytes, reach): the duplicate spans of each row of ``docs`` in bytes of its
+    UTF-8 text, and the bytes that the repeated passage has around them at least; ``text_hash`` tells rows
+    of one doc_id apart."""
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return _spans(docs, least)
+    ids = numbered(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), [F.col("doc_id")]).select(F.col("k0").alias("name"), "rank")
+    ranked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("name"), "left").select(F.col("rank").alias("doc_id"), "text")
+    return _spans(ranked, least).withColumnRenamed("doc_id", "rank").join(ids, "rank", "left").select(F.col("name").alias("doc_id"), "text_hash", "start", "n_bytes", "reach")
+
+
+def _spans(docs: DataFrame, least: int) -> DataFrame:
     end = F.col("start") + F.col("size")
-    before = Window.partitionBy("doc_id").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, 0)
-    runs = found.withColumn("_new", (F.coalesce(F.max(end).over(before), F.lit(-1)) < F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(upto))
-    spans = runs.groupBy("doc_id", "_run").agg(
-        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("n_bytes"), F.min("first_doc_id").alias("first_doc_id"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids")
+    order = Window.partitionBy("doc_id", "sub").orderBy("start", "size")
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = duplicate_units(docs).withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", F.col("sub").alias("text_hash"), "run").agg(
+        F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("n_bytes"), (F.max(end + F.col("post")) - F.min(F.col("start") - F.col("pre"))).alias("reach")
     )
-    return spans.where(F.col("n_bytes") >= least).drop("_run")
+    return spans.where(F.col("reach") >= least).drop("run")
 
 
 def without_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the duplicate spans cut out of ``text``; other columns unchanged."""
     names = docs.columns
-    spans = duplicate_spans(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n_bytes"))).alias("spans"))
-    joined = packed(docs, F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).join(spans, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    spans = duplicate_spans(docs, least).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "n_bytes"))).alias("spans"))
+    joined = packed(docs, F.col("doc_id").alias("id"), F.col("text").alias("body"), text_hash(F.col("text")).alias("hash")).join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
     raw = "encode(body, 'UTF-8')"
     cut = f"""aggregate(spans, named_struct('at', 0, 'out', CAST('' AS BINARY)),
         (a, s) -> named_struct('at', s.start + s.n_bytes, 'out', a.out || substring({raw}, a.at + 1, s.start - a.at)),

@@ -113,9 +113,9 @@ def test_mixing(docs, none):
         mixing.mixed(docs, {"s": 1.0})
 
 
-def test_substrings(docs, none):
+def test_substrings(spark, docs, none):
     got = substrings.duplicate_spans(docs, 60).collect()
-    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(6, 5)}
+    assert {r["doc_id"] for r in got} == {6}
     cut = substrings.without_duplicates(docs, 60)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     text = {r["doc_id"]: r["text"] for r in cut.collect()}
@@ -123,6 +123,23 @@ def test_substrings(docs, none):
     assert substrings.duplicate_spans(none).count() == 0 and substrings.without_duplicates(none).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+
+    p, other = prose(80), prose(300)
+    rows = [(None, prose(90) + " " + p), (None, other), (None, p + " " + prose(70)), (4, prose(50) + " " + p), (4, prose(200)), (4, prose(200)), (9, prose(60) + " " + p), (9, prose(120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text_ids = df.select(F.lpad(F.col("doc_id").cast("string"), 5, "0").alias("doc_id"), "text")
+    for table in (df, text_ids):
+        cut = Counter(r["text"] for r in substrings.without_duplicates(table).collect())
+        whole = [t for _, t in rows if p not in t] + [rows[3][1]]  # the smallest doc_id keeps the passage
+        assert len(rows) == sum(cut.values()) and all(cut[t] == 1 for t in whole)
+        assert sum(len(t) for t in cut) < sum(len(t) for _, t in rows) - 3 * (len(p) - 130)
+
+
 def test_licences(docs, none):
     got = {r["doc_id"]: r for r in licences.scanned(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["first_word"] is None and got[0]["labels"] == "" and got[0]["score"] == 0
