@@ -2,17 +2,21 @@
 
 Texts become letters in lower case with one blank between words.  For every language,
 counts of four-character sequences over all training rows give an interpolated
-Kneser-Ney model (lower orders from continuation counts).  The models of all languages
+Kneser-Ney model (lower orders from continuation counts).  The models of the languages
 share one table for each order: sorted hashes of the sequences, a matrix of log
 probabilities (by back-off where a language lacks the sequence), and back-off weights.
 The language with the lowest length-normalised cross-entropy is chosen.  Rejection is
 calibrated on labelled rows that gave no counts: a prediction is ``rejected`` where its
 cross-entropy is above what ``ACCEPT`` of the calibration rows of that language have.
 
-Size: the tables go to every executor, so their bound is stated: at most ``CELLS``
-numbers (4 bytes each) of the highest order, ``CELLS / languages`` sequences.  Beyond it
-the rarest sequences of the whole corpus are left to back-off (threshold from a
-histogram of counts).  All rows are counted, and nothing else changes with the size of the input.
+Size: every sequence that was counted is in the model, however many there are; the counts stay in a table of
+the shared folder.  What a process holds is a block: up to ``LANGUAGES`` languages, and of the sequences
+of four and three characters those whose middle two fall into a range of hashes, chosen so that there are
+``CELLS`` numbers at most (but one of 4096 parts of the hashes is never cut).  All that a sequence needs for its
+back-off down to two characters has the same middle, so a block scores its sequences by itself; pairs and single
+characters are in each block.  A language's sums over the blocks are added up, and as no number depends on how
+the blocks are cut, neither does a prediction.  The documents are read once for each block: one block is
+enough for some millions of sequences.
 
 Values: a null text or one without a letter is ``und`` with score 0, not rejected;
 ties go to the language that sorts first; repeated rows get equal predictions; rows
@@ -24,17 +28,22 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import lean, written
+from marlow.llm.shared import lasting, lean, written
 
 ORDER = 4
-#: Most numbers of the highest order in the model, over all languages.
-CELLS = 32_000_000
+#: Most numbers of the highest order in a block, over its languages.
+CELLS = 8_000_000
+#: Most languages of a block.
+LANGUAGES = 32
+#: Parts of the sequences, by a hash of their middle two characters.
+PARTS = 4096
 #: Sequences that a task holds before it sends its counts on.
 HELD = 4_000_000
 #: Share of calibration rows that are accepted.
@@ -50,7 +59,8 @@ _letters: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case letter or mark as 16 bits, else a blank; whether it is a letter."""
+    """By code point: the lower-case letter or mark as 16 bits, else a blank; whether it is a letter.
+    Letters beyond 16 bits share the 6400 codes of the private use area, in which there are no letters."""
     global _letters
     if _letters is None:
         t, is_letter = np.full(0x110000, BLANK, np.uint16), np.zeros(0x110000, bool)
@@ -58,7 +68,8 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
             c = chr(cp)
             kind = unicodedata.category(c)[0]
             if kind in "LM":
-                t[cp] = min(ord(c.lower()[0]), 0xFFFF)
+                low = ord(c.lower()[0])
+                t[cp] = low if low < 0x10000 else 0xE000 + low % 6400
                 is_letter[cp] = kind == "L"
         _letters = t, is_letter
     return _letters
@@ -131,37 +142,40 @@ class Table:
         return out
 
 
+def part_of(seqs: np.ndarray) -> np.ndarray:
+    """The part of each packed sequence, from its middle two characters."""
+    return (_hash((seqs >> _U(16)) & _U(0xFFFFFFFF)) >> _U(52)).astype(np.int64)
+
+
 class Model:
-    """Interpolated Kneser-Ney models of several languages."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        """counts: by language the packed sequences of the highest order and their counts."""
-        self.langs = sorted(counts)
-        n_lang = len(self.langs)
-        grams: list[dict] = [dict() for _ in range(ORDER + 1)]
-        for lang, (keys, n) in counts.items():
-            keys, n = keys.astype(_U), n.astype(np.float64)
-            for order in range(ORDER, 0, -1):
-                grams[order][lang] = (keys, n)
-                keys, inv = np.unique(keys & _U((1 << 16 * (order - 1)) - 1), return_inverse=True)
-                n = np.bincount(inv, minlength=len(keys)).astype(np.float64)  # one for each character before
+    """A block of the interpolated Kneser-Ney models of several languages."""
+
+    def __init__(self, langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray]], discounts: list[list[float]], symbols: int, parts: tuple[int, int] = (0, PARTS)):
+        """By language: the packed sequences of this block and their counts, all pairs and how many characters
+        stand before each, and the discounts of orders 1 to ORDER; ``symbols``: distinct characters of all languages."""
+        self.langs, self.parts = langs, parts
+        by: list[list] = [[] for _ in range(ORDER + 1)]
+        for (keys, n), (two, n_two) in zip(grams, pairs):
+            by[4].append((keys.astype(_U), n.astype(np.float64)))
+            three, inv = np.unique(by[4][-1][0] & _U((1 << 48) - 1), return_inverse=True)
+            by[3].append((three, np.bincount(inv, minlength=len(three)).astype(np.float64)))  # one for each character before
+            by[2].append((two.astype(_U), n_two.astype(np.float64)))
+            one, inv = np.unique(by[2][-1][0] & _U(0xFFFF), return_inverse=True)
+            by[1].append((one, np.bincount(inv, minlength=len(one)).astype(np.float64)))
+        self.base = -np.log(symbols + 1.0)
         self.tables: list = [None] * (ORDER + 1)
         self.bows: list = [None] * (ORDER + 1)
         for order in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([grams[order][x][0] for x in self.langs]))
+            union = np.unique(np.concatenate([keys for keys, _ in by[order]]))
             ctx = np.unique(union >> _U(16))
-            low = np.zeros((len(union), n_lang))
             if order > 1:
-                low = self._logs(union & _U((1 << 16 * (order - 1)) - 1), order - 1)
+                low = self._logs(union & _U((1 << 16 * (order - 1)) - 1), order - 1).astype(np.float64)
             else:
-                low[:] = -np.log(len(union) + 1.0)
-            bow, logp = np.zeros((len(ctx), n_lang)), low.copy()
+                low = np.full((len(union), len(langs)), self.base)
+            bow, logp = np.zeros((len(ctx), len(langs))), low.copy()
             in_ctx = np.searchsorted(ctx, union >> _U(16))
-            for k, lang in enumerate(self.langs):
-                keys, n = grams[order][lang]
-                one, two = (n == 1).sum(), (n == 2).sum()
-                d = one / (one + 2.0 * two) if one and two else 0.5
-                d = min(max(d, 0.1), 0.9)
+            for k, (keys, n) in enumerate(by[order]):
+                d = discounts[k][order - 1]
                 own, inv = np.unique(keys >> _U(16), return_inverse=True)
                 total, kinds = np.bincount(inv, n), np.bincount(inv)
                 lam = d * kinds / total
@@ -178,24 +192,38 @@ class Model:
         lost = np.flatnonzero(row < 0)
         if len(lost):
             if order == 1:
-                out[lost] = self.tables[1].values.min(0)
+                out[lost] = self.bows[1].values[0] + self.base
             else:
                 low = self._logs(keys[lost] & _U((1 << 16 * (order - 1)) - 1), order - 1)
                 ctx = self.bows[order].find(keys[lost] >> _U(16))
                 out[lost] = low + np.where((ctx >= 0)[:, None], self.bows[order].values[np.maximum(ctx, 0)], 0)
         return out
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cross-entropy in nats a character by text and language, characters, has a letter)."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of log probabilities of this block's sequences by text and language, characters of
+        the whole text, has a letter)."""
         seqs, owner, has = sequences(texts)
         n = np.bincount(owner, minlength=len(texts))
+        if self.parts != (0, PARTS):
+            part = part_of(seqs)
+            mine = (part >= self.parts[0]) & (part < self.parts[1])
+            seqs, owner = seqs[mine], owner[mine]
         total = np.zeros((len(texts), len(self.langs)))
         step = max(1, PIECE // max(1, len(self.langs) // 8))
         for at in range(0, len(seqs), step):
             own = owner[at : at + step]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             total[own[first]] += np.add.reduceat(self._logs(seqs[at : at + step], ORDER), first, axis=0, dtype=np.float64)
-        return -total / np.maximum(n, 1)[:, None], n, has
+        return total, n, has
+
+
+def verdicts(langs: list[str], total: np.ndarray, n: np.ndarray, has: np.ndarray) -> dict[str, list]:
+    """Prediction, cross-entropy in nats a character, characters and score of each row of ``total``."""
+    h = -total / np.maximum(n, 1)[:, None]
+    pick = h.argmin(1)
+    e = h[np.arange(len(h)), pick]
+    odds = np.exp((e[:, None] - h) * np.minimum(n, CONFIDENT)[:, None]).sum(1)
+    return {"lang_pred": [langs[p] if ok else "und" for p, ok in zip(pick, has)], "entropy": np.where(has, e, 0.0).tolist(), "n_letters": n.tolist(), "score": np.where(has, 1.0 / odds, 0.0).tolist()}
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -208,7 +236,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): counts of packed sequences in ``docs`` (text, lang)."""
+    """(lang, part, gram, n): counts of packed sequences in ``docs`` (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -221,7 +249,7 @@ def counted(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 keys, n = merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(part_of(keys).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "part", "gram", "n"])
 
         for b in batches:
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
@@ -237,53 +265,131 @@ def counted(docs: DataFrame) -> DataFrame:
                 held = {}
         yield from out()
 
-    parts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lambda b: lean(run(b)), "lang string, gram long, n long")
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def trained(docs: DataFrame, cells: int = CELLS) -> Model | None:
-    """The model of all rows of ``docs`` with a text and a lang; None if there are none."""
-    table = written(counted(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())))
-    by_size = {r["k"]: r["c"] for r in table.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    room, least = cells // max(1, table.select("lang").distinct().count()), None
-    for k in sorted(by_size, reverse=True):
-        if by_size[k] > room:
-            break
-        room -= by_size[k]
-        least = k
-    if least is None:
+    parts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(lambda b: lean(run(b)), "lang string, part int, gram long, n long")
+    return parts.groupBy("lang", "part", "gram").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Trained:
+    """The counts of all training rows (tables in the shared folder) and the blocks they are cut into."""
+
+    grams: DataFrame
+    pairs: DataFrame
+    discounts: dict[str, list[float]]
+    symbols: int
+    blocks: list[tuple[list[str], int, int]]
+
+    def block(self, k: int) -> Model:
+        """Block ``k``, gathered at the driver."""
+        langs, lo, hi = self.blocks[k]
+        number = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("k")
+
+        def by_lang(rows: DataFrame, key: str) -> list[tuple[np.ndarray, np.ndarray]]:
+            got = rows.where(F.col("lang").isin(langs)).select(number, key, "n").toArrow()
+            k, keys, n = (got.column(c).to_numpy() for c in ("k", key, "n"))
+            return [(keys[k == i].view(_U), n[k == i]) for i in range(len(langs))]
+
+        grams = by_lang(self.grams.where((F.col("part") >= lo) & (F.col("part") < hi)), "gram")
+        return Model(langs, grams, by_lang(self.pairs, "pair"), [self.discounts[x] for x in langs], self.symbols, (lo, hi))
+
+
+def trained(docs: DataFrame, cells: int = CELLS, languages: int = LANGUAGES) -> Trained | None:
+    """The counts of all rows of ``docs`` with a text and a lang; None if there are none.  The driver
+    sees a few numbers for each language and part."""
+    grams = written(counted(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())))
+    orders = {4: grams.select("lang", F.col("gram").alias("key"), "n")}
+    for order in (3, 2, 1):  # how many characters stand before each shorter sequence
+        shorter = F.col("key").bitwiseAND(F.lit((1 << 16 * order) - 1))
+        orders[order] = orders[order + 1].groupBy("lang", shorter.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        if order == 2:
+            orders[2] = written(orders[2])
+    discounts: dict[str, list[float]] = {}
+    for order, rows in orders.items():
+        for r in rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():
+            d = r["one"] / (r["one"] + 2.0 * r["two"]) if r["one"] and r["two"] else 0.5
+            discounts.setdefault(r["lang"], [0.0] * ORDER)[order - 1] = min(max(d, 0.1), 0.9)
+    if not discounts:
         return None
-    rows = table.where(F.floor(F.log2("n") * 4) >= least).toPandas()
-    return Model({lang: (g["gram"].to_numpy(np.int64).view(_U), g["n"].to_numpy()) for lang, g in rows.groupby("lang")})
-
-
-def scored(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    sizes: dict[str, dict[int, int]] = {}
+    for r in grams.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes.setdefault(r["lang"], {})[r["part"]] = r["n"]
+    blocks = []
+    langs = sorted(discounts)
+    for at in range(0, len(langs), languages):
+        some, lo, held = langs[at : at + languages], 0, 0
+        for part in range(PARTS):
+            size = len(some) * sum(sizes[x].get(part, 0) for x in some)
+            if held and held + size > cells:
+                blocks.append((some, lo, part))
+                lo, held = part, 0
+            held += size
+        blocks.append((some, lo, PARTS))
+    return Trained(grams, orders[2].withColumnRenamed("key", "pair"), discounts, orders[1].select("key").distinct().count(), blocks)
+
+
+def scored(docs: DataFrame, model: Trained | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs``, lang_pred, entropy, n_letters and score."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, entropy double, n_letters long, score double"
-    sent = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+    kept = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    says = "lang_pred string, entropy double, n_letters long, score double"
+    types = {"lang_pred": pa.string(), "entropy": pa.float64(), "n_letters": pa.int64(), "score": pa.float64()}
+    if model is None:
+        none = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("entropy"), F.lit(0).cast("long").alias("n_letters"), F.lit(0.0).alias("score")]
+        return docs.select(*keep, *none)
+    text = F.col("text").cast("string")
+    if len(model.blocks) == 1:
+        sent = spark.sparkContext.broadcast(model.block(0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                got: dict[str, list] = {c: [] for c in types}
+                for lo, hi in _pieces(texts):
+                    for c, values in verdicts(m.langs, *m.sums(texts[lo:hi])).items():
+                        got[c] += values
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array(v, types[c]) for c, v in got.items()]], [*keep, *got])
+
+        return docs.select(*keep, text.alias("text")).mapInArrow(lambda b: lean(run(b)), f"{kept}, {says}")
+
+    # Several blocks: one pass over the texts for each, sums by text digest (equal texts have equal sums).
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    langs = sorted({x for some, _, _ in model.blocks for x in some})
+    place = {x: i for i, x in enumerate(langs)}
+    passes = []
+    for k, (some, _, _) in enumerate(model.blocks):
+        sent = spark.sparkContext.broadcast(model.block(k))
+
+        def partial(batches: Iterator[pa.RecordBatch], k=k, sent=sent) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                for lo, hi in _pieces(texts):
+                    total, n, has = m.sums(texts[lo:hi])
+                    cols = [b.column("digest").slice(lo, hi - lo), pa.array([k] * (hi - lo), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(has)]
+                    yield pa.RecordBatch.from_arrays(cols, ["digest", "k", "total", "n", "has"])
+
+        sums = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(lambda b, f=partial: lean(f(b)), "digest binary, k int, total array<double>, n long, has boolean")
+        passes.append(written(sums.groupBy("digest", "k").agg(*[F.first(c).alias(c) for c in ("total", "n", "has")])))
+        sent.destroy()
+    parts = passes[0]
+    for p in passes[1:]:
+        parts = parts.union(p)
+    one = parts.groupBy("digest").agg(F.collect_list(F.struct("k", "total")).alias("parts"), F.first("n").alias("n"), F.first("has").alias("has"))
+    where = [np.array([place[x] for x in some]) for some, _, _ in model.blocks]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            best, low, count, sure = [], [], [], []
-            for lo, hi in _pieces(texts):
-                if m is None:
-                    h, n, has = np.zeros((hi - lo, 1)), np.zeros(hi - lo, np.int64), np.zeros(hi - lo, bool)
-                else:
-                    h, n, has = m.entropies(texts[lo:hi])
-                pick = h.argmin(1)
-                e = h[np.arange(len(h)), pick]
-                odds = np.exp((e[:, None] - h) * np.minimum(n, CONFIDENT)[:, None]).sum(1)
-                best += [m.langs[p] if ok else "und" for p, ok in zip(pick, has)]
-                low += np.where(has, e, 0.0).tolist()
-                count += n.tolist()
-                sure += np.where(has, 1.0 / odds, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(best, pa.string()), pa.array(low, pa.float64()), pa.array(count, pa.int64()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "entropy", "n_letters", "score"])
-
-    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(lambda b: lean(run(b)), schema)
+            total = np.zeros((b.num_rows, len(langs)))
+            for i, row in enumerate(b.column("parts").to_pylist()):
+                for p in sorted(row, key=lambda p: p["k"]):
+                    total[i, where[p["k"]]] += p["total"]
+            got = verdicts(langs, total, b.column("n").to_numpy(), b.column("has").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array(v, types[c]) for c, v in got.items()]], ["digest", *got])
+
+    said = one.mapInArrow(lambda b: lean(summed(b)), f"digest binary, {says}")
+    return docs.select(*keep, digest.alias("digest")).join(said, "digest").select(*keep, *types)
 
 
 def calibrated(rows: DataFrame, labelled: Column, accept: float = ACCEPT, width: float = 0.02) -> DataFrame:
@@ -304,9 +410,20 @@ def calibrated(rows: DataFrame, labelled: Column, accept: float = ACCEPT, width:
     return rows.withColumn("rejected", (F.col("lang_pred") != "und") & F.coalesce(F.col("entropy") > limit, F.lit(False)))
 
 
+def identified(docs: DataFrame, fold: Column, accept: float = ACCEPT) -> DataFrame:
+    """(doc_id, fold, lang_pred, score, entropy, rejected) of every row of ``docs`` (doc_id, text, lang): learned from folds 0 and
+    1, calibrated on fold 3."""
+    docs = docs.select("doc_id", "text", "lang", fold.alias("fold"))
+
+    def build() -> DataFrame:
+        model = trained(docs.where("fold IN (0, 1)"))
+        rows = written(scored(docs, model, ("doc_id", "lang", "fold")))
+        return calibrated(rows, (F.col("fold") == 3) & (F.col("lang") == F.col("lang_pred")), accept)
+
+    return lasting(build).select("doc_id", "fold", "lang_pred", "score", "entropy", "rejected")
+
+
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).alias("fold"))
-    model = trained(docs.where("fold IN (0, 1)"))
-    rows = written(scored(docs, model, ("doc_id", "lang", "fold")))
-    out = calibrated(rows, (F.col("fold") == 3) & (F.col("lang") == F.col("lang_pred")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = identified(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)))
     return out.select("doc_id", F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

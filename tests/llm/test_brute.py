@@ -90,11 +90,58 @@ def test_op2_held_out_accuracy(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 with plain dictionaries: log probability of a character after three."""
+    grams = Counter()
+    for t in texts:
+        s = "   " + re.sub(r"[^a-zà-ÿ]+", " ", t.lower()).strip() + " "
+        grams.update(s[i : i + 4] for i in range(len(s) - 3))
+    by = {4: grams}
+    for k in (3, 2, 1):
+        by[k] = Counter(g[1:] for g in by[k + 1])
+    discount = {}
+    for k, c in by.items():
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[k] = min(max(one / (one + 2 * two) if one and two else 0.5, 0.1), 0.9)
+
+    def p(gram, symbols):
+        if not gram:
+            return 1 / (symbols + 1)
+        k, ctx, lower = len(gram), gram[:-1], p(gram[1:], symbols)
+        seen = {g: v for g, v in by[k].items() if g[:-1] == ctx}
+        if not seen:
+            return lower
+        d, total = discount[k], sum(seen.values())
+        return max(seen.get(gram, 0) - d, 0) / total + d * len(seen) / total * lower
+
+    return p, by
+
+
+def test_op2_is_kneser_ney_however_the_blocks_are_cut(spark):
+    said = {"en": ["the cat sat on the mat", "a dog and the cat ran", "that hat"], "de": ["die katze und der hund", "das ist ein haus und die maus"], "fr": ["le chat est là", "la maison et le chien"]}
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate((x, t) for x, v in said.items() for t in v)], "doc_id long, text string, lang string")
+    models = {x: kneser_ney(v) for x, v in said.items()}
+    symbols = len({g for _, by in models.values() for g in by[1]})
+    ask = ["the katze", "là maison zz", "und", "9", None, "the katze"]
+    asked = spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string")
+    whole = language.trained(df)
+    cut = language.trained(df, cells=40, languages=2)
+    assert len(whole.blocks) == 1 and len(cut.blocks) > 4
+    m = whole.block(0)
+    for t in ("the katze", "là maison zz", "und"):
+        s = "   " + t + " "
+        total, n, _ = m.sums([t])
+        for k, x in enumerate(m.langs):
+            assert n[0] == len(t) + 1 and total[0, k] == pytest.approx(sum(math.log(models[x][0](s[i : i + 4], symbols)) for i in range(len(s) - 3)), rel=1e-5)
+    one, many = (sorted(tuple(r) for r in language.scored(asked, t).collect()) for t in (whole, cut))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and [r[1] for r in one[3:5]] == ["und", "und"]
+    assert [v for r in many for v in r[2:]] == pytest.approx([v for r in one for v in r[2:]], rel=1e-5)
+
+
 def test_op2_model_adds_up(spark):
-    counts = {"x": (np.unique(language.sequences(["abracadabra cab"])[0]), None)}
-    keys, n = np.unique(language.sequences(["abracadabra cab", "bad cab"])[0], return_counts=True)
-    m = language.Model({"x": (keys, n)})
-    del counts
+    df = spark.createDataFrame([(1, "abracadabra cab", "x"), (2, "bad cab", "x")], "doc_id long, text string, lang string")
+    m = language.trained(df).block(0)
+    keys = np.unique(language.sequences(["abracadabra cab", "bad cab"])[0])
     symbols = np.unique(keys & np.uint64(0xFFFF))
     for ctx in (keys[0] >> np.uint64(16), np.uint64(ord("q")) << np.uint64(32)):
         total = np.exp(m._logs((ctx << np.uint64(16)) | symbols, language.ORDER)).sum()
