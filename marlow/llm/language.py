@@ -79,7 +79,7 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(packed four-character sequences, owner of each, has a letter by text).
 
     Each sequence is a predicted character below the three before it; texts start
-    after three blanks and end with one.
+    after three blanks, and a word ends with one where anything follows it.
     """
     raw = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     n = np.array([len(r) for r in raw], np.int64)
