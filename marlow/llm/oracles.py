@@ -82,9 +82,9 @@ SELECT x.doc_id, q.item_id, count(*) AS n_shingles, count(*) / CAST(max(n.n) AS
 GROUP BY x.doc_id, q.item_id HAVING count(*) >= {decontamination.CONTAINMENT} * max(n.n)
 """
 
-# -- op1: the rules, the smoothed models as dense tables, and the threshold from the histogram.
+# -- op1: the rules, the smoothed models order by order, and the threshold from the histogram.
 
-_N, _B, _S = urls.SYMBOLS, urls.BINS, int(urls.SPAN)
+_K, _B, _S = urls.ORDER, urls.BINS, int(urls.SPAN)
 _BY_LENGTH = sorted(urls.RULES, key=lambda r: -len(r[0]))
 
 
@@ -98,39 +98,33 @@ def _case(k: int) -> str:
 
 
 def _order(k: int) -> str:
-    size, below = _N**k, _N ** (k - 1)
-    lower = f"p{k - 1}.p" if k > 1 else f"{1 / _N!r}"
-    join = f"JOIN p{k - 1} ON p{k - 1}.bad = cls.bad AND p{k - 1}.c = r.c % {below}" if k > 1 else ""
-    return f"""g{k} AS (SELECT bad, code % {size} AS c, sum(n) AS n FROM n GROUP BY bad, code % {size}),
-t{k} AS (SELECT bad, c // {_N} AS x, sum(n) AS t, count(*) AS k FROM g{k} GROUP BY bad, c // {_N}),
-p{k} AS (SELECT cls.bad, r.c, CASE WHEN t{k}.t IS NULL THEN {lower} ELSE (coalesce(g{k}.n, 0) + t{k}.k * {lower}) / (t{k}.t + t{k}.k) END AS p
-  FROM cls CROSS JOIN range({size}) r(c) {join} LEFT JOIN g{k} ON g{k}.bad = cls.bad AND g{k}.c = r.c LEFT JOIN t{k} ON t{k}.bad = cls.bad AND t{k}.x = r.c // {_N})"""
-
-
-_CODES = f"list_concat([{', '.join([str(urls.START)] * (urls.ORDER - 1))}], list_transform(list_filter(string_split(shape, ''), lambda x: x <> ''), lambda x: (instr('{urls.ALPHABET}0.-/', x) + {urls.OTHER}) % {_N}))"
-_WINDOW = " + ".join(f"c[i + {k}] * {_N ** (urls.ORDER - 1 - k)}" for k in range(urls.ORDER))
-
-
-def _score(rows: str, key: str) -> str:
-    return f"SELECT {key}, avg(d.d) AS score FROM (SELECT {key}, {_WINDOW} AS code FROM (SELECT {key}, {_CODES} AS c FROM {rows}), unnest(range(1, len(c) - {urls.ORDER - 2})) t(i)) JOIN d ON d.c = code GROUP BY {key}"
+    """Tables of order k: counts by class, their contexts, and the probabilities of all windows' ends."""
+    below = f"JOIN p{k - 1} b ON b.f = u.f AND b.x = right(u.x, {k - 1})" if k > 1 else ""
+    p = {c: f"b.{c}" if k > 1 else repr(urls.UNIFORM) for c in ("good", "bad")}
+    cells = ", ".join(f"CASE WHEN coalesce(c{k}.n_{c}, 0) = 0 THEN {p[c]} ELSE (coalesce(g{k}.{c}, 0) + c{k}.k_{c} * {p[c]}) / (c{k}.n_{c} + c{k}.k_{c}) END AS {c}" for c in ("good", "bad"))
+    return f"""g{k} AS (SELECT o.f, right(w, {k}) AS x, CAST(sum(CASE WHEN bad THEN 0 ELSE weight END) AS DOUBLE) AS good, CAST(sum(CASE WHEN bad THEN weight ELSE 0 END) AS DOUBLE) AS bad FROM learned JOIN o ON o.fold <> learned.fold OR (bad AND o.judging) GROUP BY 1, 2),
+c{k} AS (SELECT f, left(x, {k - 1}) AS y, sum(good) AS n_good, sum(bad) AS n_bad, count(*) FILTER (WHERE good > 0) AS k_good, count(*) FILTER (WHERE bad > 0) AS k_bad FROM g{k} GROUP BY 1, 2),
+p{k} AS (SELECT u.f, u.x, {cells} FROM (SELECT DISTINCT o.f, right(w, {k}) AS x FROM places JOIN o ON o.fold = places.fold) u {below} LEFT JOIN g{k} ON g{k}.f = u.f AND g{k}.x = u.x LEFT JOIN c{k} ON c{k}.f = u.f AND c{k}.y = left(u.x, {k - 1}))"""
 
 
 OP1 = f"""
 WITH h AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{licences.UPPER}', '{licences.LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-u AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS said, regexp_replace(host || lower(path), '[0-9]+', '0', 'g') AS shape FROM h),
-known AS (SELECT host, shape, len(list_intersect(string_split(translate(host, '-_', '..'), '.'), [{', '.join(f"'{w}'" for w in urls.REJECT)}])) > 0 AS bad, floor(log2(count(*))) + 1 AS weight, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % 5 = 0 AS held
-  FROM u WHERE host <> '' AND coalesce(said <> 'block', TRUE) GROUP BY host, shape),
-n AS (SELECT bad, code, CAST(sum(weight) AS DOUBLE) AS n FROM (SELECT bad, weight, {_WINDOW} AS code FROM (SELECT bad, weight, {_CODES} AS c FROM known WHERE NOT held), unnest(range(1, len(c) - {urls.ORDER - 2})) t(i)) GROUP BY bad, code),
-cls AS (SELECT unnest([FALSE, TRUE]) AS bad),
-{', '.join(_order(k) for k in range(1, urls.ORDER + 1))},
-d AS (SELECT b.c, ln(b.p) - ln(g.p) AS d FROM p{urls.ORDER} b JOIN p{urls.ORDER} g ON b.c = g.c WHERE b.bad AND NOT g.bad),
-k AS (SELECT floor((least(greatest(s.score, -{_S}), {_S}) + {_S}) * {_B}) AS b, known.bad FROM known JOIN ({_score('known', 'host, shape')}) s ON s.host = known.host AND s.shape = known.shape WHERE held),
+u AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS said, regexp_replace(host || translate(path, '{licences.UPPER}', '{licences.LOWER}'), '[0-9]+', '0', 'g') AS shape FROM h),
+s AS (SELECT host, shape, count(*) FILTER (WHERE host <> '' AND coalesce(said <> 'block', TRUE)) AS n_seed, len(list_intersect(string_split(translate(host, '-_', '..'), '.'), [{', '.join(f"'{w}'" for w in urls.REJECT)}])) > 0 AS bad,
+  CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) % {urls.FOLDS} AS fold, repeat(chr(2), {_K - 1}) || shape AS padded FROM u GROUP BY host, shape),
+o AS (SELECT fold + {urls.FOLDS} * k AS f, fold, k = 0 AS judging FROM range({urls.FOLDS}) a(fold), range(2) b(k)),
+places AS (SELECT host, shape, n_seed, bad, fold, substr(padded, i, {_K}) AS w FROM s, unnest(range(1, length(shape) + 1)) t(i)),
+learned AS (SELECT w, bad, fold, floor(log2(n_seed)) + 1 AS weight FROM places WHERE n_seed > 0),
+{', '.join(_order(k) for k in range(1, _K + 1))},
+d AS (SELECT f, x, CAST(round(1e9 * (ln(bad) - ln(good))) AS BIGINT) AS d FROM p{_K}),
+judged AS (SELECT places.host, places.shape, o.judging, CAST(sum(d.d) AS DOUBLE) / count(*) / 1e9 AS score FROM places JOIN o ON o.fold = places.fold JOIN d ON d.f = o.f AND d.x = places.w GROUP BY places.host, places.shape, o.judging),
+sc AS (SELECT * FROM judged WHERE judging),
+k AS (SELECT floor((least(greatest(coalesce(sc.score, 0), -{_S}), {_S}) + {_S}) * {_B}) AS b, s.bad FROM s LEFT JOIN judged sc ON sc.host = s.host AND sc.shape = s.shape AND sc.judging = NOT s.bad WHERE s.n_seed > 0),
 hist AS (SELECT b, count(*) FILTER (WHERE NOT bad) AS good, count(*) FILTER (WHERE bad) AS bad FROM k GROUP BY b),
-cum AS (SELECT b, coalesce(lead(b) OVER (ORDER BY b), b + 1) AS nxt, sum(good) OVER (ORDER BY b) / CAST(sum(good) OVER () AS DOUBLE) + 1 - sum(bad) OVER (ORDER BY b) / CAST(sum(bad) OVER () AS DOUBLE) AS v, sum(good) OVER () AS ng, sum(bad) OVER () AS nb FROM hist),
-lim AS (SELECT coalesce(max(t), CAST('inf' AS DOUBLE)) AS threshold FROM (SELECT (b + 1 + nxt) / 2.0 / {_B} - {_S} AS t FROM cum WHERE ng > 0 AND nb > 0 AND v > 0 ORDER BY v DESC, b LIMIT 1)),
-s AS ({_score('u', 'page_id')})
-SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN u.host <> '' AND coalesce(s.score, 0) > lim.threshold THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(s.score, 0), 6) AS score, round(lim.threshold, 6) AS threshold
-FROM u CROSS JOIN lim LEFT JOIN s ON s.page_id = u.page_id
+cum AS (SELECT b, coalesce(lead(b) OVER (ORDER BY b), b + 1) AS nxt, sum(good) OVER (ORDER BY b) AS below, sum(good) OVER (ORDER BY b) / CAST(sum(good) OVER () AS DOUBLE) + 1 - sum(bad) OVER (ORDER BY b) / CAST(sum(bad) OVER () AS DOUBLE) AS v, sum(good) OVER () AS ng, sum(bad) OVER () AS nb FROM hist),
+lim AS (SELECT coalesce(max(t), CAST('inf' AS DOUBLE)) AS threshold FROM (SELECT (b + 1 + nxt) / 2.0 / {_B} - {_S} AS t FROM cum WHERE ng > 0 AND nb > 0 AND v > 0 AND ng - below <= {urls.MISTAKES} * ng ORDER BY v DESC, b LIMIT 1))
+SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN u.host <> '' AND coalesce(sc.score, 0) > lim.threshold THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(sc.score, 0), 6) AS score, round(lim.threshold, 6) AS threshold
+FROM u CROSS JOIN lim LEFT JOIN sc ON sc.host = u.host AND sc.shape = u.shape
 """
 
 ORACLES = {"op1_url_filter": OP1, "op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op7_licence_scan": OP7, "op8_decontamination": OP8}

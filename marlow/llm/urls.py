@@ -2,21 +2,24 @@
 
 Rules (host, path prefix) decide where one fits, the longest first.  Any other URL is
 judged by two variable-order Markov models over the characters of host and path, one of accepted
-and one of rejected URLs: orders 1 to ``ORDER`` with Witten-Bell smoothing, so that a context never
+and one of rejected URLs: contexts of 0 to ``ORDER - 1`` characters with Witten-Bell smoothing, so that a context never
 seen leaves the word to the next shorter one.  The verdict is ``block`` where the
 difference of log-likelihoods, divided by the number of characters, is above a
-threshold, which is calibrated on the fifth of the seed hosts that gave no counts
-(best balanced accuracy over a histogram).
+threshold.  Hosts are dealt to ``FOLDS`` folds, and a URL is judged by a model of accepted URLs that learned nothing
+from the hosts of its own fold: a rejected host without a mark is not known by heart as an accepted one.  The threshold
+is calibrated on all seeds, the rejected ones judged by models that both know nothing of their fold: the best balanced
+accuracy, over a histogram, of those thresholds that call at most ``MISTAKES`` of the accepted seeds rejected.
 
 The models learn from all URLs of the input under seed labels: a host with one of
 ``REJECT`` among the words of its labels is rejected, every other host accepted;
-URLs that a blocking rule decides are left out.  URLs alike but for their digits count
+URLs that a blocking rule decides are left out.  URLs alike but for their digits are one shape and count
 by the logarithm of their number, so that one hot host doesn't become the model.
 
-Everything is DataFrame code.  Characters fall into ``SYMBOLS`` classes, so all model tables are
-bounded by ``SYMBOLS ** ORDER`` rows whatever the input; the final table of
-differences is one array of that length, a scalar subquery to every task, and a URL is
-scored by array look-ups without a join or shuffle.
+Everything is DataFrame code, and the model grows with the input: counts of all windows of ``ORDER`` characters
+(of any script, as they are), and of their shorter ends, are tables.  The difference of each distinct window is
+worked out once; shapes look up their windows by a join and add them up as whole billionths, so that
+no order of addition matters.  A window or shape that has a thousandth of all rows is looked up by a broadcast
+join (there are a thousand of these at most, whatever the input), all others by a shuffle, so no key is hot.
 
 Values: a null url or one without ``://`` has empty host and path and an empty text,
 scores 0 and is allowed; repeated rows get equal verdicts; ties (score at the
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import written
+from marlow.llm.shared import lasting, written
 
 #: Rules of the query: host and path prefix, and what they say.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -37,16 +40,24 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 # Words in host names that mark seeds of rejected URLs.
 REJECT = "adult ads adserver bet bets betting casino cheap escort farm gambling hentai jackpot loan loans pills poker porn sex slots spam track tracker viagra warez xxx".split()
 
-#: a-z, then digit, dot, hyphen, slash, the start of the text, anything else.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS, START, OTHER = 32, 30, 31
-ORDER = 3
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters of a window: one that is predicted and those before it.
+ORDER = 6
+#: What stands before a text, and the probability of a character that nothing is known of.
+START, UNIFORM = "\x02", 1 / 256
+FOLDS = 5
+#: Names of the pairs of models by the fold left out: of the accepted ones, and of both.
+JUDGING, CALIBRATING = "abcde", "01234"
+#: Share of accepted seeds that may score above the threshold.
+MISTAKES = 0.02
 BINS, SPAN = 400, 4.0
+#: Rows of all rows that make a key hot, as a share.
+HOT = 1000
 
 
 def host() -> Column:
     h = F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(h, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ALPHABET), F.lit(""))
+    return F.coalesce(F.translate(h, UPPER, LOWER), F.lit(""))
 
 
 def path() -> Column:
@@ -63,80 +74,70 @@ def rule(rules=RULES) -> tuple[Column, Column]:
     return name, said
 
 
-def codes(text: str) -> str:
-    """SQL: an array of the symbols of a string, headed by ORDER - 1 starts."""
-    pad = ", ".join([str(START)] * (ORDER - 1))
-    # instr gives 1 for a, 26 for z; the others follow in ALPHABET's order, and what is unknown becomes OTHER
-    known = ALPHABET + "0.-/"
-    one = f"pmod(instr('{known}', x) + {OTHER}, {SYMBOLS})"
-    return f"concat(array({pad}), transform(filter(split(regexp_replace(lower({text}), '[0-9]+', '0'), ''), x -> x <> ''), x -> CAST({one} AS INT)))"
-
-
-def windows(array: str) -> str:
-    """SQL: the packed windows of ORDER symbols of an array of symbols."""
-    terms = " + ".join(f"c[i + {k}] * {SYMBOLS ** (ORDER - 1 - k)}" for k in range(ORDER))
-    return f"element_at(transform(array({array}), c -> if(size(c) < {ORDER}, CAST(array() AS ARRAY<INT>), transform(sequence(0, size(c) - {ORDER}), i -> {terms}))), 1)"
+def shape() -> Column:
+    """The text that the models see: host and path in lower case, runs of digits as one 0."""
+    return F.regexp_replace(F.concat("host", F.translate("path", UPPER, LOWER)), "[0-9]+", "0")
 
 
-def shape() -> Column:
-    """The text that the models see: host and path, runs of digits as one 0."""
-    return F.regexp_replace(F.concat("host", F.lower("path")), "[0-9]+", "0")
+def windows(text: str, order: int = ORDER) -> str:
+    """SQL: all windows of ``order`` characters of a text that begins with ``order - 1`` starts, one for each character."""
+    chars = f"concat(array_repeat('{START}', {order - 1}), filter(split({text}, ''), x -> x <> ''))"
+    return f"element_at(transform(array({chars}), c -> if(size(c) < {order}, CAST(array() AS ARRAY<STRING>), transform(sequence(1, size(c) - {order - 1}), i -> array_join(slice(c, i, {order}), '')))), 1)"
 
 
-def seeds(urls: DataFrame) -> DataFrame:
-    """(shape, bad, weight, held) of all distinct shapes of ``urls`` (host, path) that no blocking rule decides."""
+def shapes(urls: DataFrame) -> DataFrame:
+    """(sid, host, shape, n, n_seed, bad, fold): distinct shapes of ``urls`` (host, path), how often they stand there, how often
+    the models may learn from them, as what, and the fold of the host."""
     words = F.split(F.translate(F.col("host"), "-_", ".."), r"\.")
     bad = F.arrays_overlap(words, F.array(*[F.lit(w) for w in REJECT]))
-    seen = urls.where((F.col("host") != "") & F.coalesce(rule()[1] != "block", F.lit(True))).groupBy("host", shape().alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    return seen.select("shape", bad.alias("bad"), (F.floor(F.log2("n")) + 1).alias("weight"), (F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 8), 16, 10).cast("long") % 5 == 0).alias("held"))
-
-
-def _let(value: str, name: str, body: str) -> str:
-    """SQL that evaluates ``value`` once and names it in ``body``."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
-def _smoothed(counts: str) -> str:
-    """SQL: log probabilities of the last symbol of every window, from the dense
-    array ``counts``; Witten-Bell from order 1 up."""
-    last, bound = f"n{ORDER}", [(f"n{ORDER}", counts)]
-    for k in range(ORDER - 1, 0, -1):  # counts of the shorter windows
-        bound.append((f"n{k}", f"transform(sequence(0, {SYMBOLS**k - 1}), j -> aggregate(sequence(0, {SYMBOLS - 1}), 0D, (a, f) -> a + {last}[f * {SYMBOLS**k} + j]))"))
-        last = f"n{k}"
-    bound.append(("p0", f"array({1.0 / SYMBOLS}D)"))
-    for k in range(1, ORDER + 1):
-        own = f"slice(n{k}, c * {SYMBOLS} + 1, {SYMBOLS})"
-        bound.append((f"t{k}", f"transform(sequence(0, {SYMBOLS ** (k - 1) - 1}), c -> aggregate({own}, 0D, (a, v) -> a + v))"))
-        bound.append((f"k{k}", f"transform(sequence(0, {SYMBOLS ** (k - 1) - 1}), c -> size(filter({own}, v -> v > 0)))"))
-        below, c = f"p{k - 1}[i % {SYMBOLS ** (k - 1)}]", f"i div {SYMBOLS}"
-        bound.append((f"p{k}", f"transform(sequence(0, {SYMBOLS**k - 1}), i -> if(t{k}[{c}] = 0, {below}, (n{k}[i] + k{k}[{c}] * {below}) / (t{k}[{c}] + k{k}[{c}])))"))
-    body = f"transform(p{ORDER}, x -> ln(x))"
-    for name, value in reversed(bound):
-        body = _let(value, name, body)
-    return body
-
-
-def differences(known: DataFrame) -> DataFrame:
-    """One row with the array ``d``: log probability as rejected less log probability as
-    accepted of the last symbol of every window."""
-    size = SYMBOLS**ORDER
-    top = known.select("bad", "weight", F.explode(F.expr(windows(codes("shape")))).alias("code")).groupBy("code").agg(
-        F.sum(F.when(~F.col("bad"), F.col("weight")).otherwise(0)).cast("double").alias("good"), F.sum(F.when(F.col("bad"), F.col("weight")).otherwise(0)).cast("double").alias("bad")
+    seed = (F.col("host") != "") & F.coalesce(F.col("said") != "block", F.lit(True))
+    by = urls.withColumn("said", rule()[1]).select("host", shape().alias("shape"), seed.alias("seed")).groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("n_seed"))
+    fold = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS
+    return by.select(F.monotonically_increasing_id().alias("sid"), "host", "shape", "n", "n_seed", bad.alias("bad"), fold.cast("int").alias("fold"))
+
+
+def differences(known: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """(w, d) for each row of ``asked`` (w: a letter of JUDGING or CALIBRATING and a window): log probability of the window's last
+    character as rejected less that as accepted, in whole billionths; learned from ``known`` (w: a window, bad, weight, fold)."""
+    parts = [f"{c}{f}" for c in ("good", "bad") for f in range(FOLDS)]
+    by_fold = [F.sum(F.when((F.col("bad") == (c[:-1] == "bad")) & (F.col("fold") == int(c[-1])), F.col("weight")).otherwise(0)).alias(c) for c in parts]
+    top = known.groupBy("w").agg(*by_fold)
+    ends = F.explode(F.expr(f"transform(sequence(1, {order}), k -> right(w, k))")).alias("gram")
+    sums = top.select(ends, *parts).groupBy("gram").agg(*[F.sum(c).alias(c) for c in parts])
+
+    def without(c: str, fold: int | None) -> Column:
+        return sum((F.col(f"{c}{g}") for g in range(FOLDS) if g != fold), F.lit(0)).alias(c)
+
+    pairs = [(name, f, f if name in CALIBRATING else None) for names in (JUDGING, CALIBRATING) for f, name in enumerate(names)]
+    others = F.explode(F.array(*[F.struct(F.lit(name).alias("f"), without("good", g), without("bad", b)) for name, g, b in pairs]))
+    grams = written(sums.select("gram", others.alias("o")).select("gram", "o.*").where("good > 0 OR bad > 0"))
+    contexts = grams.groupBy("f", F.expr("left(gram, length(gram) - 1)").alias("context")).agg(
+        F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.count_if(F.col("good") > 0).alias("k_good"), F.count_if(F.col("bad") > 0).alias("k_bad")
     )
-    every = known.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias("code"))
-    dense = every.join(top, "code", "left").groupBy().agg(F.array_sort(F.collect_list(F.struct("code", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))).alias("n"))
-    return dense.select(F.expr(f"zip_with({_smoothed('n.bad')}, {_smoothed('n.good')}, (x, y) -> x - y)").alias("d"))
+    empty = contexts.where("context = ''").drop("context")  # a row for each pair of models, so not a hot key of the join
+    ask = f"explode(transform(sequence(1, {order}), k -> named_struct('k', k, 'f', left(w, 1), 'gram', right(w, k), 'context', left(right(w, k), k - 1))))"
+    steps = asked.select("w", F.expr(ask).alias("s")).select("w", "s.*").join(grams, ["f", "gram"], "left")
+    counts = ["n_good", "n_bad", "k_good", "k_bad"]
+    longer = steps.where("k > 1").join(contexts, ["f", "context"], "left").select("w", "k", "good", "bad", *counts)
+    steps = longer.union(steps.where("k = 1").join(F.broadcast(empty), "f", "left").select("w", "k", "good", "bad", *counts))
+    chain = steps.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad", *counts)]))).alias("s"))
 
+    def log(x: str) -> str:
+        return f"ln(aggregate(s, {UNIFORM!r}D, (p, v) -> if(v.n_{x} = 0, p, (v.{x} + v.k_{x} * p) / (v.n_{x} + v.k_{x}))))"
 
-def _scored(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """``rows`` (shape) with ``score``, the mean difference over its characters."""
-    score = f"""element_at(transform(array({windows(codes('shape'))}), w -> if(size(w) = 0, 0D,
-        aggregate(w, 0D, (a, x) -> a + model[x]) / size(w))), 1)"""
-    return rows.withColumn("model", table.scalar()).withColumn("score", F.expr(score)).drop("model")
+    return chain.select("w", F.expr(f"CAST(round(1e9D * ({log('bad')} - {log('good')})) AS BIGINT)").alias("d"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` (key, n, ...), which has each key once and in ``n`` how many of the ``total`` rows have it."""
+    hot = F.broadcast(table.where(F.col("n") * HOT >= total))
+    cold = table.where(F.col("n") * HOT < total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def threshold(rows: DataFrame) -> float:
-    """The score above which balanced accuracy over ``rows`` (bad, score) is best; infinite without both kinds."""
+    """The score above which balanced accuracy over ``rows`` (bad, score) is best, of those above which at most
+    MISTAKES of the good ones are; infinite without both kinds."""
     b = F.floor((F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * BINS).cast("int")
     counts: dict[int, list[int]] = {}
     for r in rows.groupBy(b.alias("b"), "bad").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -149,7 +150,7 @@ def threshold(rows: DataFrame) -> float:
     for i, k in enumerate(order):
         seen = [seen[0] + counts[k][0], seen[1] + counts[k][1]]
         value = seen[0] / good + 1 - seen[1] / bad
-        if value > best:
+        if value > best and good - seen[0] <= MISTAKES * good:
             after = order[i + 1] if i + 1 < len(order) else k + 1
             best, at = value, (k + 1 + after) / 2 / BINS - SPAN
     return at
@@ -157,13 +158,34 @@ def threshold(rows: DataFrame) -> float:
 
 def judged(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, threshold) of every row of ``pages`` (page_id, url)."""
-    urls = pages.select("page_id", host().alias("host"), path().alias("path"))
-    known = seeds(urls)
-    table = written(differences(known.where(~F.col("held"))))
-    limit = threshold(_scored(known.where(F.col("held")), table))
-    name, said = rule()
-    block = (F.col("host") != "") & (F.col("score") > F.lit(limit))
-    return _scored(urls.withColumn("shape", shape()), table).select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), F.round("score", 6).alias("score"), F.lit(round(limit, 6)).alias("threshold"))
+
+    def build() -> DataFrame:
+        urls = pages.select("page_id", host().alias("host"), path().alias("path"))
+        all_ = written(shapes(urls))
+
+        def places(rows: DataFrame, names: str) -> DataFrame:
+            return rows.select("sid", F.explode(F.expr(f"transform({windows('shape')}, x -> concat(substr('{names}', fold + 1, 1), x))")).alias("w"))
+
+        seeds = all_.where("n_seed > 0")
+        known = seeds.select(F.explode(F.expr(windows("shape"))).alias("w"), "bad", (F.floor(F.log2("n_seed")) + 1).alias("weight"), "fold")
+        every = places(all_, JUDGING).unionByName(places(seeds.where("bad"), CALIBRATING))
+        asked = written(every.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+        table = written(asked.join(differences(known, asked.select("w")), "w"))
+        found = looked_up(every, table, "w", asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        judging = F.left("w", F.lit(1)).between(JUDGING[0], JUDGING[-1])
+
+        def mean(of: Column) -> Column:
+            return F.coalesce(F.sum(F.when(of, F.col("d"))) / F.count_if(of) / 1e9, F.lit(0.0))
+
+        score = found.groupBy("sid").agg(mean(judging).alias("score"), F.when(F.count_if(~judging) > 0, mean(~judging)).alias("blind"))
+        scored = written(all_.join(score, "sid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+        limit = threshold(scored.where("n_seed > 0").select("bad", F.coalesce("blind", "score").alias("score")))
+        rows = looked_up(urls.withColumn("shape", shape()), scored.select("shape", "n", "score"), "shape", scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        name, said = rule()
+        block = (F.col("host") != "") & (F.col("score") > F.lit(limit))
+        return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), F.round("score", 6).alias("score"), F.lit(round(limit, 6)).alias("threshold"))
+
+    return lasting(build)
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
