@@ -370,6 +370,46 @@ def test_op6_overflow_goes_clockwise():
     assert sum(before[i] != after[i] for i in before) < 0.35 * len(before)
 
 
+def test_op6_against_a_ring_row_by_row(spark):
+    n_shards, vnodes = 5, 13
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 40}" if i % 3 == 1 else f"own {i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pos = {r["doc_id"]: r["p"] for r in df.select("doc_id", sharding.position().alias("p")).collect()}
+    taken: dict = {}
+    for s in range(n_shards):
+        for v in range(vnodes):
+            p = xxhash.xxh64_intdigest(f"shard {s} node {v}") % sharding.POINTS
+            taken[next(q for q in range(p, p + 100) if q not in taken)] = s
+    nodes = sorted(taken.items())
+    arcs = [[] for _ in nodes]
+    for i in sorted(pos, key=lambda i: (pos[i] >> 47 > nodes[-1][0], pos[i], i)):  # what lies past the last node
+        point = pos[i] >> 47
+        arcs[next((k for k, (p, _) in enumerate(nodes) if p >= point), 0)].append(i)
+    arcs[0] = [i for i in arcs[0] if pos[i] >> 47 > nodes[-1][0]] + [i for i in arcs[0] if pos[i] >> 47 <= nodes[-1][0]]
+    free = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    at, waiting = {}, [[] for _ in nodes]
+    for k, arc in enumerate(arcs):
+        for i in arc:
+            shard = nodes[k][1]
+            if free[shard]:
+                free[shard] -= 1
+                at[i] = shard
+            else:
+                waiting[k].append(i)
+    carry: list = []
+    for step in range(2 * len(nodes) + 1):
+        k = step % len(nodes)
+        while carry and free[nodes[k][1]]:
+            free[nodes[k][1]] -= 1
+            at[carry.pop(0)] = nodes[k][1]
+        if step < len(nodes):
+            carry += waiting[k]
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(df, n_shards, vnodes).collect()}
+    assert {i: s for i, (s, _) in got.items()} == at
+    for s in range(n_shards):
+        assert sorted(x for t, x in got.values() if t == s) == list(range(sum(t == s for t, _ in got.values())))
+
+
 def test_op7(spark, docs):
     got = {r["doc_id"]: r for r in result(spark, "op7_licence_scan")}
     for i, d in docs.items():
@@ -447,6 +487,29 @@ def test_op9_is_within_a_block_of_the_target():
     assert seen == parts
 
 
+def test_op9_against_a_schedule_slot_by_slot(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", F.xxhash64("doc_id").alias("h")).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
+        by[r["source"]].append(r["doc_id"])
+    parts = mixing.parts_of({s: len(v) ** mixing.ALPHA for s, v in by.items()}, 10_000)
+    blocks = {s: -(-len(v) // mixing.BLOCK) for s, v in by.items()}
+    order = sorted(by, key=lambda s: (s is not None, str(s)))
+    given, slots = Counter(), []
+    while any(given[s] < blocks[s] for s in by):  # earliest deadline first among the released blocks
+        t = len(slots)
+        released = [s for s in order if given[s] * 10_000 // parts[s] <= t]
+        s = min(released, key=lambda s: (-(-(given[s] + 1) * 10_000 // parts[s]), order.index(s)))
+        slots.append((s, given[s]))
+        given[s] += 1
+    want = Counter()
+    for t, (s, i) in enumerate(slots):
+        b = i % blocks[s]
+        want.update((d, s, b, k, i // blocks[s], t) for k, d in enumerate(by[s][b * mixing.BLOCK : (b + 1) * mixing.BLOCK]))
+    got = Counter((r["doc_id"], r["source"], r["block"], r["in_block"], r["epoch"], r["slot"]) for r in result(spark, "op9_mixing"))
+    assert got == want
+
+
 def test_op9_schedules_all(spark):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 700, "big").when(F.col("id") < 850, "mid").alias("source"))
     got = mixing.mixed(df, {"big": 1.0, "mid": 1.0, None: 2.0}, block=10).collect()
