@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 from marlow.functions import parsing as p
 from marlow.plans.catalog import frame, sql
 
+_DIGIT = "CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING)"
+
+
 @frame(
     "parse_completion",
-    """SELECT conv_id, turn, round(CASE WHEN conv_id % 3 = 0 THEN ((conv_id * 7 + turn) % 10 + 0.5) / CAST(10 AS DOUBLE) WHEN conv_id % 3 = 1 THEN ((conv_id + turn) % 10 + 0.7) / CAST(10 AS DOUBLE) END, 6) AS probability,
-         CASE WHEN conv_id % 3 = 0 THEN 'r' || CAST(conv_id AS STRING) ELSE completion END AS report, conv_id % 3 = 0 AS ok FROM {completions}""",
+    f"""SELECT conv_id, turn, CASE WHEN k IN (0, 1, 2, 3) THEN round(0.5 + d / CAST(20 AS DOUBLE), 6) WHEN k = 4 THEN round(d / CAST(10 AS DOUBLE), 6) END AS probability,
+         CASE k WHEN 0 THEN 'r' || CAST(conv_id AS STRING) WHEN 1 THEN 's "' || CAST(turn AS STRING) || '" }}' WHEN 2 THEN '' WHEN 3 THEN 'z' ELSE trim(completion) END AS report, k < 4 AS ok
+       FROM (SELECT *, conv_id % 7 AS k, CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS DOUBLE) AS d FROM {{completions}})""",
     "completions",
 )
 def parse_completion(completions):
-    got = completions.select("conv_id", "turn", p.parsed(F.col("completion")).alias("r"))
-    return got.select("conv_id", "turn", F.round("r.probability", 6).alias("probability"), "r.report", "r.ok")
+    """Strict JSON, JSON with a summary within a text, without a report, behind another object, a pattern, out of range, none."""
+    return p.completions(completions, "completion").select("conv_id", "turn", F.round("probability", 6).alias("probability"), "report", "ok")
+
+
+@frame(
+    "verbalizer_report",
+    """SELECT conv_id, turn, CASE WHEN k = 0 THEN 'r' || CAST(conv_id AS STRING) WHEN k = 1 THEN 's "' || CAST(turn AS STRING) || '" }' WHEN k = 3 THEN 'z' WHEN k = 2 THEN trim(completion) ELSE trim(completion) END AS report
+       FROM (SELECT *, conv_id % 7 AS k FROM {completions})""",
+    "completions",
+)
+def verbalizer_report(completions):
+    """The report after a one-word answer."""
+    told = completions.withColumn("told", F.concat(F.lit("Yes\n"), F.col("completion")))
+    return p.answers(told, "told").select("conv_id", "turn", "report")
 
 
 sql(
@@ -60,17 +76,18 @@ CITED = """SELECT f.doc_id AS subject_id, f.k, n.note_id IS NOT NULL AS in_corpu
 
 
 def checked(reports, notes):
-    """Each cited quote: whether its source exists, belongs to the subject, was shown, and holds the quote."""
-    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long"))
-    src = notes.select("note_id", F.col("subject_id").alias("owner"), "text")
+    """Each cited quote: whether its source exists, belongs to the subject, was shown, and holds the quote.
+    A note that is cited is normalised once, and only then meets its quotes."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    e = evidence(reports).select("subject_id", "k", F.col("handle").cast("long").alias("note_id"), flat(F.col("quote")).alias("quote"))
+    src = notes.select("note_id", F.col("subject_id").alias("owner"), flat(F.col("text")).alias("text"))
     return e.join(src, "note_id", "left").select(
         "subject_id",
         "k",
         F.col("owner").isNotNull().alias("in_corpus"),
         F.coalesce(F.col("owner") == F.col("subject_id") % 97, F.lit(False)).alias("owned"),
         (F.col("note_id") % 5 != 0).alias("was_kept"),
-        F.coalesce(flat(F.col("text")).contains(flat(F.col("quote"))), F.lit(False)).alias("found"),
+        F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False)).alias("found"),
     )
 
 
@@ -109,9 +126,9 @@ def clean_report(reports):
     return reports.select("subject_id", F.md5(p.cleaned(marked).cast("binary")).alias("digest"))
 
 
-@frame("validate_report", "SELECT subject_id, length(report) > 300 AND contains(report, 'Mortality Assessment') AND contains(report, 'Predictive Factors') AND contains(report, 'Overall Reasoning') AND contains(report, 'Recommendations') AS ok FROM {reports}", "reports")
+@frame("validate_report", "SELECT subject_id, length(report) > 500 AND contains(report, 'Mortality Assessment') AND contains(report, 'Predictive Factors') AND contains(report, 'Overall Reasoning') AND contains(report, 'Recommendations') AS ok FROM {reports}", "reports")
 def validate_report(reports):
-    return reports.select("subject_id", p.valid(F.col("report"), 300).alias("ok"))
+    return reports.select("subject_id", p.valid(F.col("report")).alias("ok"))
 
 
 sql(
@@ -218,5 +235,5 @@ def unwrap_reports(completions):
 
 @frame("renumber_factors", None, "reports")
 def renumber_factors(reports):
-    bare = F.regexp_replace("report", r"(?m)^\d+\. (?=Factor summary)", "")
+    bare = F.regexp_replace("report", r"(?m)^[2-9]\d*\. (?=Factor summary)", "")
     return reports.select("subject_id", p.renumbered(bare).alias("report"))

@@ -44,14 +44,24 @@ ROLES: dict[str, tuple[str, str | None]] = {
         None,
     ),
     "completions": (
-        """SELECT conv_id, turn, CASE conv_id % 3
-             WHEN 0 THEN concat('{"probability": ', CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING), '.5e-1, "report": "r', CAST(conv_id AS STRING), '"}')
-             WHEN 1 THEN concat('Here: "probability": 0.', CAST(CAST((conv_id + turn) % 10 AS INT) AS STRING), '7 end')
-             ELSE 'no answer' END AS completion FROM {conversations} WHERE role = 'assistant'""",
-        """SELECT conv_id, turn, CASE conv_id % 3
-             WHEN 0 THEN concat('{"probability": ', CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS VARCHAR), '.5e-1, "report": "r', CAST(conv_id AS VARCHAR), '"}')
-             WHEN 1 THEN concat('Here: "probability": 0.', CAST(CAST((conv_id + turn) % 10 AS INT) AS VARCHAR), '7 end')
-             ELSE 'no answer' END AS completion FROM {conversations} WHERE role = 'assistant'""",
+        """SELECT conv_id, turn, CASE conv_id % 7
+             WHEN 0 THEN concat('{"probability": ', p, ', "report": "r', CAST(conv_id AS STRING), '"}')
+             WHEN 1 THEN concat('So: {"probability": "', p, '", "summary": "s \\\\"', CAST(turn AS STRING), '\\\\" }"} done')
+             WHEN 2 THEN concat('{"probability": ', p, '}')
+             WHEN 3 THEN concat('{"x": {"probability": 3}} {"probability": ', p, ', "report": "z"}')
+             WHEN 4 THEN concat('Here: "Probability" : .', d, ' end ')
+             WHEN 5 THEN concat('{"probability": 1.5, "text": "', d, '"')
+             ELSE 'no answer' END AS completion FROM (
+               SELECT conv_id, turn, CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING) AS d, CAST(round(0.5 + CAST((conv_id * 7 + turn) % 10 AS INT) / CAST(20 AS DOUBLE), 2) AS STRING) AS p FROM {conversations} WHERE role = 'assistant') c""",
+        """SELECT conv_id, turn, CASE conv_id % 7
+             WHEN 0 THEN concat('{"probability": ', p, ', "report": "r', CAST(conv_id AS STRING), '"}')
+             WHEN 1 THEN concat('So: {"probability": "', p, '", "summary": "s \\"', CAST(turn AS STRING), '\\" }"} done')
+             WHEN 2 THEN concat('{"probability": ', p, '}')
+             WHEN 3 THEN concat('{"x": {"probability": 3}} {"probability": ', p, ', "report": "z"}')
+             WHEN 4 THEN concat('Here: "Probability" : .', d, ' end ')
+             WHEN 5 THEN concat('{"probability": 1.5, "text": "', d, '"')
+             ELSE 'no answer' END AS completion FROM (
+               SELECT conv_id, turn, CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING) AS d, CAST(round(0.5 + CAST((conv_id * 7 + turn) % 10 AS INT) / CAST(20 AS DOUBLE), 2) AS STRING) AS p FROM {conversations} WHERE role = 'assistant') c""",
     ),
     # Reports of four sections and three to five factors; every third quote is of another text, every fourth handle of another subject.
     "factor_rows": (

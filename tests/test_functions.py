@@ -45,9 +45,35 @@ def test_completions(spark):
         '{"probability": 1.5, "report":"x"}': (None, '{"probability": 1.5, "report":"x"}', False),
         "none": (None, "none", False),
     }
-    df = spark.createDataFrame([(c,) for c in cases], "c string")
-    got = {r["c"]: tuple(r["r"]) for r in df.select("c", parsing.parsed(F.col("c")).alias("r")).collect()}
-    assert got == cases
+    cases |= {
+        '  {"probability": "0.25", "summary": "s"} ': (0.25, "s", True),
+        '{"probability": 1}': (1.0, "", True),
+        '{"PROBABILITY": 0.2, "x": {': (0.2, '{"PROBABILITY": 0.2, "x": {', False),
+        'a {"x": 1} then {"probability": 2} and {"probability": 0.5, "summary": "t"}': (0.5, "t", True),
+        "{'probability': 0.3}": (None, "{'probability': 0.3}", False),
+        'was "probability": 1.0.': (1.0, 'was "probability": 1.0.', False),
+        '"probability": 0': (0.0, '"probability": 0', False),
+    }
+    df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "c string")
+    got = {r["c"]: (r["probability"], r["report"], r["ok"]) for r in parsing.completions(df, "c").collect()}
+    assert got == {**cases, None: (None, None, False)}
+
+
+def test_answers(spark):
+    cases = {
+        'Yes\n{"report": "r {1}"}': "r {1}",
+        'No\nnot {"x": 1} but {"summary": "s"}': "s",
+        "Yes\n  the rest\nof it ": "the rest\nof it",
+        "Yes": "",
+        'Yes\n{"report": broken': '{"report": broken',
+    }
+    df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "c string")
+    assert {r["c"]: r["report"] for r in parsing.answers(df, "c").collect()} == {**cases, None: ""}
+
+
+def test_asserted(spark):
+    df = spark.createDataFrame([('"a b" (note_id: 7) and “c” (ICD code: I10.9)',)], "e string")
+    assert df.select(parsing.asserted(F.col("e"))).first()[0].split() == ["a", "b", "and", "c"]
 
 
 def test_evidence(spark):
@@ -62,15 +88,52 @@ def test_partial_ratio():
     assert parsing.partial_ratio("", "x") == 0.0
     assert parsing.partial_ratio("abcd", "abxd") == pytest.approx(75.0)
     assert parsing.spans_ratio("abc … xyz", "xyz then abc") == 100.0
-    assert parsing.plain("Ａge  X…") == "age x"
+    assert parsing.spans_ratio("a .. b", "a .. b") == 100.0 and parsing.spans_ratio("", "x") == 0.0
+    assert parsing.plain("Ａge  X…") == "age x" and parsing.plain("Patient age: 53 years... Clinical Note: The  ﬁrst..") == "the first"
+    assert parsing.plain("the age 53 years.") == "the age 53 years."
+
+
+def test_partial_ratio_is_the_best_window_at_any_length():
+    rng = np.random.default_rng(3)
+
+    def slow(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        m = len(a)
+        pairs = [(a, b[i : i + m]) for i in range(len(b) - m + 1)] + [(a, b[:k]) for k in range(1, m)] + [(a, b[-k:]) for k in range(1, m)]
+        if len(a) == len(b):
+            pairs += [(b, a[:k]) for k in range(1, m)] + [(b, a[-k:]) for k in range(1, m)]
+
+        def lcs(x, y):
+            row = [0] * (len(y) + 1)
+            for c in x:
+                before = 0
+                for j, d in enumerate(y, 1):
+                    before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
+            return row[-1]
+
+        return max(200 * lcs(x, y) / (len(x) + len(y)) for x, y in pairs)
+
+    for m in (3, 20, 64, 65, 90):
+        for _ in range(4):
+            b = "".join(rng.choice(list("abc de"), 130))
+            a = "".join(rng.choice(list("abc de"), int(m * 0.3))) + b[: m - int(m * 0.3)]
+            assert parsing.partial_ratio(a, b) == pytest.approx(slow(a, b))
+    assert parsing.partial_ratio("abcde", "bcdex") == pytest.approx(slow("abcde", "bcdex"))
+    for m in (64, 65):  # cut alike: a quote whose first ten characters are missing from the source
+        q = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), m))
+        assert parsing.partial_ratio(q, q[10:] + " " + "0123456789" * 20) > 90
 
 
 def test_unwrap_and_renumber():
     assert parsing.unwrap('```json\n{"report": "r1"}\n```') == "r1"
-    assert parsing.unwrap('{"report": "a\\nb" oops') == "a\nb"
+    assert parsing.unwrap('{"report": "a\nb \\"c\\" \\\\d", "x": 1}') == 'a\nb "c" \\d'
+    assert parsing.unwrap('{\n[Reasoning Lens]\nbecause\n}') == "[Reasoning Lens]\nbecause" and parsing.unwrap('{"report": "Recommendations: rest}') == "Recommendations: rest"
+    assert parsing.unwrap("{ nothing }") is None and parsing.unwrap(" ") is None and parsing.unwrap({"report": "x"}) == "x" and parsing.unwrap({"report": 3}) is None
     assert parsing.unwrap("plain") == "plain" and parsing.unwrap(None) is None
-    r = "Predictive Factors\nFactor summary: a\n3. Factor summary: b\nOverall Reasoning\nx"
-    assert parsing.renumber(r) == "Predictive Factors\n1. Factor summary: a\n2. Factor summary: b\nOverall Reasoning\nx"
+    r = "Predictive Factors\nFactor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nOverall Reasoning\nFactor summary: e"
+    assert parsing.renumber(r) == "Predictive Factors\n1. Factor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nOverall Reasoning\nFactor summary: e"
+    assert parsing.renumber("[Predictive Factors + x]\nHeart\n  Factor summary: a\nLungs\nFactor summary: b\n[Reasoning Lens]") == "[Predictive Factors + x]\nHeart\n1. Factor summary: a\nLungs\n2. Factor summary: b\n[Reasoning Lens]"
 
 
 def test_integrated_gradients_are_complete():
