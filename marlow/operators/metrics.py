@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlow.operators.ordering import ordinal, running
 
@@ -62,3 +63,29 @@ def draws(subjects: DataFrame, key: str, n_draws: int, seed: int = 42) -> DataFr
     grid = spark.range(n_draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("place"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "place").cast("binary")), 1, 8), 16, 10).cast("long")
     return grid.select("draw", (h % n).alias("source")).groupBy("draw", "source").agg(F.count(F.lit(1)).alias("times")).join(placed, "source").select("draw", key, "times")
+
+
+def resampled(scores: DataFrame, key: str, keys: list[str], n_draws: int, seed: int = 42, threshold: float = 0.5) -> DataFrame:
+    """(draw, *keys, auc, accuracy, precision, recall, f1) of ``scores`` (key, *keys, label, p) in every draw that has
+    both classes.
+
+    A draw weighs each row by how often it was taken.  Rows are first added up by score, so that ranks need one
+    window over the distinct scores of a draw."""
+    d = draws(scores, key, n_draws, seed).join(scores.select(key, *keys, "label", "p"), key)
+    yes = F.col("label") == 1
+    by = d.groupBy("draw", *keys, "p").agg(F.sum(F.when(yes, F.col("times")).otherwise(0)).alias("pos"), F.sum(F.when(yes, 0).otherwise(F.col("times"))).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("draw", *keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = F.col("p") >= threshold
+    sums = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).groupBy("draw", *keys).agg(
+        F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp")
+    )
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
+    return sums.where((pos > 0) & (neg > 0)).select(
+        "draw",
+        *keys,
+        (F.col("won") / (pos * neg)).alias("auc"),
+        ((tp + neg - fp) / (pos + neg)).alias("accuracy"),
+        share(tp, tp + fp).alias("precision"),
+        (tp / pos).alias("recall"),
+        share(2 * tp, pos + tp + fp).alias("f1"),
+    )

@@ -8,7 +8,7 @@ from marlow.operators import metrics
 from marlow.plans.catalog import frame, sql
 
 P = "SELECT *, coalesce(probability, CAST(0.5 AS DOUBLE)) AS p, probability IS NOT NULL AS parsed FROM {predictions}"
-DRAWS = 50
+DRAWS = 1000
 ALIGNED = f"SELECT subject_id, label, max(CASE WHEN method = 'm1' THEN p END) AS a, max(CASE WHEN method = 'm2' THEN p END) AS b FROM ({P}) GROUP BY subject_id, label"
 GRID = f"""WITH s AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS source, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM {{predictions}})),
        g AS (SELECT d AS draw, source AS place, n FROM s, unnest(range(0, {DRAWS})) t(d)),
@@ -58,44 +58,83 @@ def bootstrap_draws(predictions):
     return d.groupBy("draw").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("times").alias("n"), F.sum(F.col("times") * F.col("subject_id")).alias("checksum"))
 
 
+METRICS = ("auc", "accuracy", "precision", "recall", "f1")
+
+
 def drawn(predictions):
-    """(draw, method, acc): accuracy of every method in every draw."""
-    d = metrics.draws(predictions, "subject_id", DRAWS)
-    right = ((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("int")
-    rows = metrics.filled(predictions).select("subject_id", "method", right.alias("right"))
-    return d.join(rows, "subject_id").groupBy("draw", "method").agg((F.sum(F.col("times") * F.col("right")) / F.sum("times")).alias("acc"))
+    """(draw, method, ...): the five metrics of every method in every draw with both classes."""
+    return metrics.resampled(metrics.filled(predictions), "subject_id", ["method"], DRAWS)
 
 
-ACC = f"{GRID}, acc AS (SELECT w.draw AS draw, f.method AS method, sum(w.times * CASE WHEN (f.p >= 0.5) = (f.label = 1) THEN 1 ELSE 0 END) / CAST(sum(w.times) AS DOUBLE) AS acc FROM w JOIN ({P}) f ON f.subject_id = w.subject_id GROUP BY w.draw, f.method)"
+RESAMPLED = f"""{GRID}, b AS (SELECT w.draw AS draw, f.method AS method, f.p AS p, sum(CASE WHEN f.label = 1 THEN w.times ELSE 0 END) AS pos, sum(CASE WHEN f.label = 1 THEN 0 ELSE w.times END) AS neg
+         FROM w JOIN ({P}) f ON f.subject_id = w.subject_id GROUP BY w.draw, f.method, f.p),
+       c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY draw, method ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b),
+       t AS (SELECT draw, method, CAST(sum(pos * (below + neg / 2.0)) AS DOUBLE) AS won, CAST(sum(pos) AS DOUBLE) AS pos, CAST(sum(neg) AS DOUBLE) AS neg, CAST(sum(CASE WHEN p >= 0.5 THEN pos ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN p >= 0.5 THEN neg ELSE 0 END) AS DOUBLE) AS fp
+         FROM c GROUP BY draw, method),
+       m AS (SELECT draw, method, won / (pos * neg) AS auc, (tp + neg - fp) / (pos + neg) AS accuracy, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, tp / pos AS recall, 2 * tp / (pos + tp + fp) AS f1 FROM t WHERE pos > 0 AND neg > 0)"""
 
 
-@frame("bootstrap_ci", f"{ACC} SELECT method, round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high FROM acc GROUP BY method", "predictions")
+@frame(
+    "bootstrap_ci",
+    f"{RESAMPLED} "
+    + " UNION ALL ".join(f"SELECT method, '{x}' AS metric, count(*) AS n_draws, round(avg({x}), 6) AS mean, round(quantile_cont({x}, 0.025), 6) AS low, round(quantile_cont({x}, 0.975), 6) AS high FROM m GROUP BY method" for x in METRICS),
+    "predictions",
+)
 def bootstrap_ci(predictions):
-    q = F.percentile("acc", F.array(F.lit(0.025), F.lit(0.975)))
-    return drawn(predictions).groupBy("method").agg(F.round(F.avg("acc"), 6).alias("mean"), q.alias("q")).select("method", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    long = drawn(predictions).select("method", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("v")) for x in METRICS])).alias("m")).select("method", "m.*")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    out = long.groupBy("method", "metric").agg(F.count(F.lit(1)).alias("n_draws"), F.round(F.avg("v"), 6).alias("mean"), q.alias("q"))
+    return out.select("method", "metric", "n_draws", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
 @frame(
     "bootstrap_pairwise",
-    f"""{ACC} SELECT a.method AS a, b.method AS b, round(avg(CASE WHEN a.acc > b.acc THEN 1.0 ELSE 0.0 END), 6) AS p_better, round(avg(a.acc - b.acc), 6) AS gap,
-         round(quantile_cont(a.acc - b.acc, 0.025), 6) AS low, round(quantile_cont(a.acc - b.acc, 0.975), 6) AS high FROM acc a JOIN acc b ON a.draw = b.draw AND a.method < b.method GROUP BY a.method, b.method""",
+    f"""{RESAMPLED} SELECT a.method AS a, b.method AS b, count(*) AS n_draws, round(avg(CASE WHEN a.auc > b.auc THEN 1.0 ELSE 0.0 END), 6) AS p_better, round(avg(a.auc - b.auc), 6) AS gap,
+         round(quantile_cont(a.auc - b.auc, 0.025), 6) AS low, round(quantile_cont(a.auc - b.auc, 0.975), 6) AS high FROM m a JOIN m b ON a.draw = b.draw AND a.method < b.method GROUP BY a.method, b.method""",
     "predictions",
 )
 def bootstrap_pairwise(predictions):
-    acc = drawn(predictions)
-    both = acc.select("draw", F.col("method").alias("a"), F.col("acc").alias("x")).join(acc.select("draw", F.col("method").alias("b"), F.col("acc").alias("y")), "draw").where("a < b")
-    gap = F.col("x") - F.col("y")
+    """Chance that one method's AUC is above another's, and the gap, over draws that both share."""
+    by = drawn(predictions).groupBy("draw").agg(F.collect_list(F.struct("method", "auc")).alias("x"))
+    pair = F.explode(F.expr("flatten(transform(x, a -> transform(filter(x, b -> b.method > a.method), b -> named_struct('a', a.method, 'b', b.method, 'gap', a.auc - b.auc))))")).alias("p")
+    gap = F.col("gap")
     q = F.percentile(gap, F.array(F.lit(0.025), F.lit(0.975)))
-    out = both.groupBy("a", "b").agg(F.round(F.avg((gap > 0).cast("int")), 6).alias("p_better"), F.round(F.avg(gap), 6).alias("gap"), q.alias("q"))
-    return out.select("a", "b", "p_better", "gap", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    out = by.select(pair).select("p.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_draws"), F.round(F.avg((gap > 0).cast("int")), 6).alias("p_better"), F.round(F.avg(gap), 6).alias("mean_gap"), q.alias("q"))
+    return out.select("a", "b", "n_draws", "p_better", F.col("mean_gap").alias("gap"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
 # Funnels and cross-tabs over verdicts and flags.
-sql(
+@frame(
     "judge_pass_rates",
-    """SELECT baseline, count(*) AS n, count(*) FILTER (WHERE k % 2 = 0) AS follows, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) AS follows_and_stated, CAST(sum(k) AS BIGINT) AS tokens,
-         count(DISTINCT CASE WHEN k % 2 = 0 THEN subject_id END) AS subjects, round(100 * count(*) FILTER (WHERE k % 2 = 0) / CAST(count(*) AS DOUBLE), 2) AS pct FROM {verdicts} GROUP BY baseline""",
+    """WITH f AS (SELECT event_id, i, (k + i) % 3 > 0 AS follows, (k * i) % 4 > 0 AS stated FROM {verdicts}, unnest(range(1, 1 + k % 6)) t(i)),
+         r AS (SELECT event_id, count(*) AS n, count(*) FILTER (WHERE follows) AS f, count(*) FILTER (WHERE stated) AS s, count(*) FILTER (WHERE follows AND stated) AS fs FROM f GROUP BY event_id),
+         v AS (SELECT v.*, coalesce(r.n, 0) AS n, coalesce(r.f, 0) AS f, coalesce(r.s, 0) AS s, coalesce(r.fs, 0) AS fs, r.n IS NOT NULL AND r.n = r.fs AS all_pass FROM {verdicts} v LEFT JOIN r ON r.event_id = v.event_id)
+       SELECT baseline, count(*) AS n_judged, CAST(sum(n) AS BIGINT) AS n_factors, round(100 * sum(f) / CAST(sum(n) AS DOUBLE), 2) AS follows_pct, round(100 * sum(s) / CAST(sum(n) AS DOUBLE), 2) AS stated_pct, round(100 * sum(fs) / CAST(sum(n) AS DOUBLE), 2) AS both_pct,
+         round(100 * count(*) FILTER (WHERE all_pass) / CAST(count(*) AS DOUBLE), 2) AS all_factors_pct, round(100 * count(*) FILTER (WHERE k % 2 = 0 AND k % 3 = 0) / CAST(count(*) AS DOUBLE), 2) AS overall_pct, CAST(sum(k) AS BIGINT) AS tokens FROM v GROUP BY baseline""",
+    "verdicts",
 )
+def judge_pass_rates(verdicts):
+    """Pass rates of judged factors and records by baseline; a record passes with one factor or more and all of them good."""
+    k = F.col("k")
+    factors = F.when(k % 6 > 0, F.transform(F.sequence(F.lit(1), k % 6), lambda i: F.struct(((k + i) % 3 > 0).alias("follows"), ((k * i) % 4 > 0).alias("stated"))))
+    v = verdicts.select("baseline", "k", F.coalesce(factors, F.array().cast("array<struct<follows:boolean,stated:boolean>>")).alias("f"))
+    count = lambda g: F.size(F.filter("f", g))
+    both = count(lambda x: x["follows"] & x["stated"])
+    v = v.select("baseline", "k", F.size("f").alias("n"), count(lambda x: x["follows"]).alias("a"), count(lambda x: x["stated"]).alias("b"), both.alias("ab"))
+    pct = lambda x, of: F.when(of == 0, 0.0).otherwise(F.round(100 * x / of, 2))
+    n, rows = F.sum("n"), F.count(F.lit(1))
+    return v.groupBy("baseline").agg(
+        rows.alias("n_judged"),
+        n.alias("n_factors"),
+        pct(F.sum("a"), n).alias("follows_pct"),
+        pct(F.sum("b"), n).alias("stated_pct"),
+        pct(F.sum("ab"), n).alias("both_pct"),
+        pct(F.count_if((F.col("n") > 0) & (F.col("n") == F.col("ab"))), rows).alias("all_factors_pct"),
+        pct(F.count_if((k % 2 == 0) & (k % 3 == 0)), rows).alias("overall_pct"),
+        F.sum("k").alias("tokens"),
+    )
+
+
 sql(
     "selection_funnel",
     """SELECT lower(trim(trust)) AS trust, count(*) AS n, count(*) FILTER (WHERE k < 50) AS gate_a, count(*) FILTER (WHERE k < 50 AND value > 20) AS gate_b, count(*) FILTER (WHERE k < 50 AND value > 20 AND value < 80) AS kept FROM {verdicts} GROUP BY lower(trim(trust))""",
@@ -122,10 +161,14 @@ sql("severity_histogram", "SELECT coalesce(severity, 'unspecified') AS severity,
 sql("step2_queue", "SELECT baseline, event_id, subject_id FROM (SELECT v.*, row_number() OVER (PARTITION BY baseline ORDER BY event_id) AS rn FROM {verdicts} v WHERE EXISTS (SELECT 1 FROM {subject_labels} s WHERE s.subject_id = v.subject_id AND s.label = 1)) WHERE rn <= 25")
 sql(
     "early_stopping",
-    """WITH e AS (SELECT method, CAST(subject_id % 15 AS BIGINT) AS epoch, avg(p) AS auc FROM (SELECT *, coalesce(probability, CAST(0.5 AS DOUBLE)) AS p FROM {predictions}) GROUP BY method, subject_id % 15),
-       b AS (SELECT *, max(auc) OVER (PARTITION BY method ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM e),
-       g AS (SELECT *, epoch - max(CASE WHEN auc = best THEN epoch END) OVER (PARTITION BY method ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS waited FROM b)
-       SELECT method, min(CASE WHEN waited >= 3 THEN epoch END) AS stopped_at, max(epoch) AS last_epoch FROM g GROUP BY method""",
+    """WITH f AS (SELECT method, CAST(subject_id % 7 AS BIGINT) AS epoch, label, coalesce(probability, CAST(0.5 AS DOUBLE)) AS p FROM {predictions}),
+       r AS (SELECT *, rank() OVER (PARTITION BY method, epoch ORDER BY p) + (count(*) OVER (PARTITION BY method, epoch, p) - 1) / CAST(2 AS DOUBLE) AS rk FROM f),
+       s AS (SELECT method, epoch, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS n0, sum(CASE WHEN label = 1 THEN rk ELSE CAST(0 AS DOUBLE) END) AS s FROM r GROUP BY method, epoch),
+       e AS (SELECT method, epoch, round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM s WHERE n1 > 0 AND n0 > 0),
+       b AS (SELECT *, max(auc) OVER (PARTITION BY method ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+       g AS (SELECT *, max(CASE WHEN before IS NULL OR auc > before THEN epoch END) OVER (PARTITION BY method ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM b),
+       x AS (SELECT method, min(CASE WHEN epoch - best >= 3 THEN epoch END) AS stopped_at FROM g GROUP BY method)
+       SELECT g.method, x.stopped_at, max(g.best) AS best_epoch, max(g.auc) AS best_auc, count(*) AS n_epochs FROM g JOIN x ON x.method = g.method WHERE x.stopped_at IS NULL OR g.epoch <= x.stopped_at GROUP BY g.method, x.stopped_at""",
 )
 sql(
     "nested_filter_notes",
