@@ -64,16 +64,17 @@ def probability(q: np.ndarray, items: np.ndarray, expert: Expert) -> float:
     return float(1 / (1 + np.exp(-expert.out(attended(q, items)) @ expert.head)))
 
 
-def integrated_gradients(q: np.ndarray, items: np.ndarray, expert: Expert, steps: int = 50) -> np.ndarray:
-    """Attribution of each item, from zero vectors, by the trapezoid rule."""
+def integrated_gradients(q: np.ndarray, items: np.ndarray, expert: Expert, steps: int = 50, start: np.ndarray | None = None) -> np.ndarray:
+    """Attribution of each item on the way from ``start`` (zero vectors by default), by the trapezoid rule."""
     total = np.zeros_like(items)
+    start = np.zeros_like(items) if start is None else start
     for k in range(steps + 1):
-        x = items * (k / steps)
+        x = start + (items - start) * (k / steps)
         c = attended(q, x)
         p = 1 / (1 + np.exp(-expert.out(c) @ expert.head))
         g = attended_back(q, x, expert.back(c, p * (1 - p) * expert.head))
         total += g * (0.5 if k in (0, steps) else 1.0)
-    return (total * items).sum(1) / steps
+    return (total * (items - start)).sum(1) / steps
 
 
 class GatedMil:
@@ -90,6 +91,18 @@ class GatedMil:
         return float(1 / (1 + np.exp(-((a / a.sum()) @ bag) @ self.head)))
 
 
+class MeanPoolMlp:
+    """Linear, GELU, layer norm, linear over pooled vectors side by side."""
+
+    def __init__(self, dim: int, hidden: int, seed: int):
+        r = np.random.default_rng(seed)
+        self.w, self.b = r.normal(0, dim**-0.5, (dim, hidden)), r.normal(0, 0.1, hidden)
+        self.head = r.normal(0, hidden**-0.5, hidden)
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-layer_norm(gelu(z @ self.w + self.b)) @ self.head))
+
+
 def hashed_bag(text: str | None, dim: int = 64) -> np.ndarray:
     """A stand-in text encoder: hashed bag of words of unit length."""
     import zlib

@@ -324,3 +324,86 @@ def valid(report: Column, least: int = 500) -> Column:
     for h in HEADERS:
         ok = ok & report.contains(h)
     return ok
+
+
+# How the lines of a typed report are written.
+SECTIONS = ("[Prediction + Explanation]", "[Predictive Factors + Evidence-Based Reasoning]", "[Reasoning Lens]", "[Recommendations]")
+FACTOR_LINE = r"(?m)^([1-5])\.\s+Factor summary:"
+EVIDENCE_LINE = r'(?m)^\s*Supporting evidence: "[^"\n]*"\s*\((?:note_id|ICD code|note_id\(s\))[:\s][^)]+\)'
+REASONING_LINE = r"(?m)^\s*Reasoning:"
+ATTRIBUTION_LINE = r"(?m)^\s*Attribution score:\s*[+\-]?\d+\.\d+"
+FLAG_LINE = r"(?m)^\s*>> Possible (?:provenance error|hallucination|factual_inaccuracy|attribution_distortion|unhelpfulness|generic_negative|[a-z_ ]+(?: error)?) — "
+VERIFIED_LINE = r"(?m)^Verification: (\d+)/(\d+) steps passed\.$"
+FLAGGED_LINE = r"(?m)^\s+Flagged: Factor (\d+) — [a-z_ ]+(?: error)?\.$"
+RULE = "=" * 72
+
+
+def section_issues(report: Column, missing: str = "missing_section:", moved: str = "out_of_order_section:") -> list[Column]:
+    """An issue (or null) for each section of a typed report: missing, or before one that should stand before it.
+    What follows a missing section counts as out of order, as its place can't be told."""
+    out, last, lost = [], F.lit(0), F.lit(False)
+    for name in SECTIONS:
+        at = F.instr(report, name)
+        out.append(F.when(at == 0, F.lit(missing + name)).when(lost | (at < last), F.lit(moved + name)))
+        last = F.when((at > 0) & (at >= last), at).otherwise(last)
+        lost = lost | (at == 0)
+    return out
+
+
+def _counted(report: Column, pattern: str) -> Column:
+    return F.regexp_count(report, F.lit(pattern))
+
+
+def anatomy_issues(report: Column, attribution: bool = True) -> list[Column]:
+    """Sections, five numbered factors in order, and five lines at least of evidence, reasoning and attribution."""
+    numbers = F.array_join(F.regexp_extract_all(report, F.lit(FACTOR_LINE), F.lit(1)), ",")
+    out = [*section_issues(report), F.when(numbers != "1,2,3,4,5", F.concat(F.lit("wrong_factor_count_or_order:"), numbers))]
+    kinds = [("supporting_evidence", EVIDENCE_LINE), ("reasoning", REASONING_LINE)] + [("attribution", ATTRIBUTION_LINE)] * attribution
+    for name, pattern in kinds:
+        n = _counted(report, pattern)
+        out.append(F.when(n < 5, F.concat(F.lit(f"too_few_{name}:"), n.cast("string"))))
+    return out
+
+
+def listed(issues: list[Column]) -> Column:
+    return F.filter(F.array(*issues), lambda x: x.isNotNull())
+
+
+def typed_issues(subject: Column, report: Column) -> Column:
+    """All issues of a typed report: header, prediction, anatomy, verification, flagged factors, closing rule."""
+    header = F.regexp_extract(report, r"^=+\nEVIDENCE ALIGNMENT REPORT: Patient (\d+)\n=+", 1)
+    passed, total = (F.regexp_extract(report, VERIFIED_LINE, k).try_cast("int") for k in (1, 2))
+    flagged = F.filter(F.regexp_extract_all(report, F.lit(FLAGGED_LINE), F.lit(1)), lambda x: ~x.cast("int").between(1, 5))
+    first = [F.when(header != subject.cast("string"), F.lit("missing_patient_header")), F.when(~report.rlike(r"(?m)^Mortality prediction: [01]\.\d+$"), F.lit("missing_mortality_line"))]
+    footer = [F.when(passed.isNull(), F.lit("missing_verification_line")).when(passed > total, F.lit("verification_passed_gt_total"))]
+    closing = [F.when(~F.rtrim(F.regexp_replace(report, r"\s+\z", "")).endswith(RULE), F.lit("missing_closing_separator"))]
+    return F.concat(listed([*first, *anatomy_issues(report), *footer]), F.transform(flagged, lambda x: F.concat(F.lit("flagged_factor_out_of_range:"), x)), listed(closing))
+
+
+def factor_issues(report: Column) -> Column:
+    """Issues of the factor section: numbers exactly 1 to 5, and for each factor evidence with a quote and a citation
+    before its reasoning, and reasoning.  Sections that miss or move are the only issues where there are any."""
+    sections = listed(section_issues(report, moved="section_out_of_order:"))
+    lost = F.filter(sections, lambda x: x.startswith("missing"))
+    sections = F.when(F.size(lost) > 0, lost).otherwise(sections)
+    start, end = F.instr(report, SECTIONS[1]), F.instr(report, SECTIONS[2])
+    block = F.substring(report, start, end - start)
+    bodies = F.filter(F.split(block, r"(?m)(?=^[ \t]*[1-5]\.\s*Factor summary:)"), lambda x: x.rlike(r"^\s*[1-5]\.\s*Factor summary:"))
+    numbers = F.array_join(F.transform(bodies, lambda x: F.regexp_extract(x, r"^\s*([1-5])\.", 1)), ",")
+    numbering = F.when(numbers == "1,2,3,4,5", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("factor_numbering:"), F.when(numbers == "", "none").otherwise(numbers))))
+
+    def one(body: Column, i: Column) -> Column:
+        name = F.concat(F.lit("factor"), (i + 1).cast("string"), F.lit(":"))
+        evidence = F.regexp_extract(body, r"(?s)Supporting evidence:(.*?)(?=Reasoning:|\z)", 1)
+        rest = listed(
+            [
+                F.when(~evidence.rlike(r'"[^"]+"'), F.concat(name, F.lit("no_quoted_evidence"))),
+                F.when(~evidence.rlike(r"(?i)(?:note_id|ICD\s*code)\s*:\s*[A-Za-z0-9\-_.]+"), F.concat(name, F.lit("no_note_id"))),
+                F.when(~body.contains("Reasoning:"), F.concat(name, F.lit("missing_reasoning"))),
+            ]
+        )
+        return F.when(body.contains("Supporting evidence:"), rest).otherwise(F.array(F.concat(name, F.lit("missing_supporting_evidence"))))
+
+    parts = F.when(F.size(bodies) == 5, F.flatten(F.transform(bodies, one))).otherwise(F.array().cast("array<string>"))
+    empty = F.coalesce(F.trim(report), F.lit("")) == ""
+    return F.when(empty, F.array(F.lit("empty_report"))).when(F.size(sections) > 0, sections).otherwise(F.concat(numbering, parts))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def repaired(v: Column) -> Column:
     """NaN to 0 and infinities to the largest float."""
     top = F.lit(3.4028234663852886e38)
     return F.transform(doubles(v), lambda x: F.when(F.isnan(x), 0.0).when(x > top, top).when(x < -top, -top).otherwise(x))
+
+
+def width(*tables: DataFrame) -> int:
+    """The width of the first vector found in ``tables``; 0 without any."""
+    for t in tables:
+        if r := t.where("vector IS NOT NULL").select(F.size("vector")).first():
+            return r[0]
+    return 0

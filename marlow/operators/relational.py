@@ -50,3 +50,29 @@ def length_bucketed(df: DataFrame, key: str, length: str, world: int, per_rank:
     n = df.groupBy().agg(F.count(F.lit(1)).alias("_n"))
     kept = placed.join(F.broadcast(n)).where(F.col("_place") < F.col("_n") - F.col("_n") % world)
     return kept.select(key, length, "mega", (F.col("_place") % world).cast("int").alias("rank"), F.floor(F.col("_place") / world).alias("step"))
+
+
+def missing(df: DataFrame, key: str, **others: DataFrame) -> DataFrame:
+    """One row: how many keys ``df`` has (n), and how many of them each of ``others`` lacks."""
+    rows = df.select(key)
+    for name, other in others.items():
+        rows = rows.join(other.select(key).distinct().withColumn(name, F.lit(1)), key, "left")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(name).isNull()).alias(name) for name in others])
+
+
+def complete(df: DataFrame, key: str, **others: DataFrame) -> DataFrame:
+    """``df``, if all its keys are in each of ``others``; else ValueError with the counts."""
+    r = missing(df, key, **others).first()
+    if any(r[name] for name in others):
+        raise ValueError(f"keys that miss: { {name: r[name] for name in others} } of {r['n']}")
+    return df
+
+
+def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
+    """``df`` with ``prefix`` before the names of all columns but ``key``, to be joined without clashes."""
+    return df.select(key, *[F.col(c).alias(prefix + c) for c in df.columns if c != key])
+
+
+def with_row_index(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``row_index``, its gapless place by ``order``: what positional look-ups join on."""
+    return ordinal(df, *order).withColumnRenamed("_place", "row_index")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from marlow.functions import vectors
 from marlow.plans.catalog import frame
-from marlow.plans.retrieval import _LN, _LONG, hits, mean_pooled, summaries
+from marlow.plans.retrieval import _LN, _topk, hits, summaries
 
 WEIGHT = "(((i * 37) % 64) - 31.5) / CAST(64 AS DOUBLE)"
 
@@ -20,55 +20,159 @@ def weight(position):
     return ((position * 37) % 64 - F.lit(31.5)) / F.lit(64.0)
 
 
+#: Most queries that are sent to every executor.
+MOST_QUERIES = 4096
+THETA = -0.02
+LN_CODE = _LN.replace("{note_vectors}", "{code_vectors}")
 Q_LONG = "SELECT query_idx, modality, i - 1 AS position, CAST(vector[i] AS DOUBLE) AS x FROM {query_vectors}, unnest(range(1, len(vector) + 1)) t(i)"
-GATES = f"""SELECT s.subject_id, q.query_idx, sum(s.x * q.x) / (sqrt(sum(s.x * s.x)) * sqrt(sum(q.x * q.x))) AS cos FROM ({_LN}) s JOIN ({Q_LONG}) q ON s.position = q.position WHERE q.modality = 'Note' GROUP BY s.subject_id, q.query_idx"""
+GATES = " UNION ALL ".join(
+    f"SELECT s.subject_id, q.modality, q.query_idx, sum(s.x * q.x) / (sqrt(sum(s.x * s.x)) * sqrt(sum(q.x * q.x))) AS cos FROM ({side}) s JOIN ({Q_LONG}) q ON s.position = q.position WHERE q.modality = '{m}' GROUP BY s.subject_id, q.modality, q.query_idx"
+    for m, side in (("Note", _LN), ("Code", LN_CODE))
+)
+OPEN = f"query_idx = 0 OR 1 / (1 + exp(-round(cos, 4))) > 1 / (1 + exp(CAST({-THETA} AS DOUBLE)))"
+
+
+def few(queries):
+    """``queries`` for a broadcast join, counted first."""
+    if (n := queries.count()) > MOST_QUERIES:
+        raise ValueError(f"{n} queries, more than {MOST_QUERIES}")
+    return F.broadcast(queries)
+
+
+def packed_summaries(vectors_):
+    s = summaries(vectors_).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("v"))
+    return s.select("subject_id", F.transform("v", lambda e: e["x"]).alias("v"))
+
+
+def gates(notes, codes, queries, static: bool = False):
+    """Cosine of each subject's summary of a kind with the queries of that kind, and whether the gate is open: where its logistic is
+    above theta's.  Query 0 is always open; with ``static`` all are."""
+    out = None
+    for modality, rows in (("Note", notes), ("Code", codes)):
+        q = few(queries.where(F.col("modality") == modality).select("modality", "query_idx", F.col("vector").alias("q")))
+        g = packed_summaries(rows).join(q).select("subject_id", "modality", "query_idx", F.round(vectors.cosine(F.col("v"), F.col("q")), 4).alias("cos"))
+        out = g if out is None else out.unionByName(g)
+    above = 1 / (1 + F.exp(-F.col("cos"))) > 1 / (1 + F.exp(F.lit(-THETA)))
+    return out.withColumn("open", F.lit(True) if static else (F.col("query_idx") == 0) | above)
+
 
+@frame("gating_mask", f"SELECT subject_id, modality, query_idx, round(cos, 4) AS cos, {OPEN} AS open FROM ({GATES})", "note_vectors", "code_vectors", "query_vectors")
+def gating_mask(notes, codes, queries):
+    return gates(notes, codes, queries)
 
-def gates(notes, queries):
-    """Cosine of each subject's summary with each query; a gate opens where its logistic is above theta's."""
-    s = summaries(notes).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("v")).select("subject_id", F.transform("v", lambda e: e["x"]).alias("v"))
-    q = F.broadcast(queries.where("modality = 'Note'").select("query_idx", F.col("vector").alias("q")))
-    return s.join(q).select("subject_id", "query_idx", vectors.cosine(F.col("v"), F.col("q")).alias("cos"))
 
+@frame("static_gates", f"SELECT subject_id, count(*) AS n, count(*) AS n_open, CAST(sum(CASE WHEN {OPEN} THEN 1 ELSE 0 END) AS BIGINT) AS n_dynamic FROM ({GATES}) GROUP BY subject_id", "note_vectors", "code_vectors", "query_vectors")
+def static_gates(notes, codes, queries):
+    """The ablation without gates beside the dynamic ones: how many are open."""
+    dynamic = gates(notes, codes, queries).groupBy("subject_id").agg(F.count_if("open").alias("n_dynamic"))
+    static = gates(notes, codes, queries, static=True).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"))
+    return static.join(dynamic, "subject_id")
 
-@frame("gating_mask", f"SELECT subject_id, query_idx, round(cos, 4) AS cos, query_idx = 0 OR 1 / (1 + exp(-round(cos, 4))) > 1 / (1 + exp(CAST(-0.02 AS DOUBLE))) AS open FROM ({GATES})", "note_vectors", "query_vectors")
-def gating_mask(notes, queries):
-    c = F.round("cos", 4)
-    return gates(notes, queries).select("subject_id", "query_idx", c.alias("cos"), ((F.col("query_idx") == 0) | (1 / (1 + F.exp(-c)) > 1 / (1 + F.exp(F.lit(-0.02))))).alias("open"))
 
+def _attended(side: str, modality: str) -> str:
+    top = f"SELECT subject_id, query_idx, vec_id, exp(score) / sum(exp(score)) OVER (PARTITION BY subject_id, query_idx) AS a FROM ({_topk(side, modality, 4)})"
+    return f"SELECT w.subject_id, '{modality}' AS modality, w.query_idx, i - 1 AS position, sum(w.a * CAST(v.vector[i] AS DOUBLE)) * (1 + (w.query_idx + 1) / CAST(10 AS DOUBLE)) AS x FROM ({top}) w JOIN {{{side}}} v ON v.vec_id = w.vec_id, unnest(range(1, len(v.vector) + 1)) t(i) GROUP BY w.subject_id, w.query_idx, i"
 
-@frame("fused_score", f"SELECT subject_id, round(1 / (1 + exp(-sum(x * ({WEIGHT.replace('i *', 'position *')})))), 5) AS p FROM ({_LN}) GROUP BY subject_id", "note_vectors")
-def fused_score(notes):
-    """Layer-normalised pooled vector through a linear head."""
-    return summaries(notes).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(F.col("x") * weight(F.col("position"))))), 5).alias("p"))
+
+def experts(notes, codes, queries):
+    """(subject_id, modality, query_idx, position, x): what each query's expert makes of the items it retrieved.  The stand-in expert, as no
+    trained one exists, scales by the query."""
+    out = None
+    for modality, rows in (("Note", notes), ("Code", codes)):
+        kept = hits(rows, queries, modality).join(rows.select("vec_id", "vector"), "vec_id")
+        total = F.sum(F.exp("score")).over(Window.partitionBy("subject_id", "query_idx"))
+        e = kept.withColumn("a", F.exp("score") / total).select("subject_id", "query_idx", "a", F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
+        x = e.groupBy("subject_id", "query_idx", F.col("position").cast("long").alias("position")).agg((F.sum(F.col("a") * F.col("x")) * (1 + (F.col("query_idx") + 1) / F.lit(10.0))).alias("x"))
+        x = x.withColumn("modality", F.lit(modality))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def active_mean(notes, codes, queries, *by: str):
+    """Mean of the open experts' outputs by subject (and ``by``), layer-normalised, one row an element."""
+    gated = experts(notes, codes, queries).join(gates(notes, codes, queries).where("open").select("subject_id", "modality", "query_idx"), ["subject_id", "modality", "query_idx"])
+    mean = gated.groupBy("subject_id", *by, "position").agg(F.avg("x").alias("x"))
+    w = Window.partitionBy("subject_id", *by)
+    return mean.withColumn("x", (F.col("x") - F.avg("x").over(w)) / F.sqrt(F.var_pop("x").over(w) + 1e-5))
+
+
+_MIXED = f"SELECT e.subject_id, e.modality, e.position, e.x FROM ({_attended('note_vectors', 'Note')} UNION ALL {_attended('code_vectors', 'Code')}) e JOIN (SELECT subject_id, modality, query_idx FROM ({GATES}) WHERE {OPEN}) g ON g.subject_id = e.subject_id AND g.query_idx = e.query_idx"
+_HEAD = WEIGHT.replace("i *", "position *")
+
+
+@frame(
+    "fused_score",
+    f"""WITH m AS (SELECT subject_id, position, avg(x) AS x FROM ({_MIXED}) GROUP BY subject_id, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM m WINDOW w AS (PARTITION BY subject_id))
+        SELECT subject_id, round(1 / (1 + exp(-sum(z * ({_HEAD})))), 4) AS p FROM n GROUP BY subject_id""",
+    "note_vectors",
+    "code_vectors",
+    "query_vectors",
+)
+def fused_score(notes, codes, queries):
+    """Addition fusion: the mean of all open experts, layer-normalised, through a linear head."""
+    return active_mean(notes, codes, queries).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(F.col("x") * weight(F.col("position"))))), 4).alias("p"))
 
 
 @frame(
     "concat_fused_score",
-    f"""SELECT subject_id, round(1 / (1 + exp(-sum(z))), 5) AS p FROM (
-          SELECT subject_id, x * ({WEIGHT.replace('i *', 'position *')}) AS z FROM ({_LONG}) UNION ALL
-          SELECT subject_id, -x * ({WEIGHT.replace('i *', 'position *')}) AS z FROM ({_LONG.replace('{note_vectors}', '{code_vectors}')})) GROUP BY subject_id""",
+    f"""WITH m AS (SELECT subject_id, modality, position, avg(x) AS x FROM ({_MIXED}) GROUP BY subject_id, modality, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM m WINDOW w AS (PARTITION BY subject_id, modality))
+        SELECT subject_id, round(1 / (1 + exp(-sum(CASE WHEN modality = 'Note' THEN z ELSE -z END * ({_HEAD})))), 4) AS p FROM n GROUP BY subject_id""",
     "note_vectors",
     "code_vectors",
+    "query_vectors",
 )
-def concat_fused_score(notes, codes):
-    """Pooled notes and pooled codes side by side through one head."""
-    z = [mean_pooled(df).select("subject_id", (sign * F.col("x") * weight(F.col("position"))).alias("z")) for df, sign in ((notes, 1), (codes, -1))]
-    return z[0].unionByName(z[1]).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum("z"))), 5).alias("p"))
+def concat_fused_score(notes, codes, queries):
+    """Concatenation fusion: open note experts and open code experts averaged and layer-normalised apart, then side by side through one head
+    (the codes' half has the weights with their signs turned)."""
+    sign = F.when(F.col("modality") == "Note", 1.0).otherwise(-1.0)
+    return active_mean(notes, codes, queries, "modality").groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(sign * F.col("x") * weight(F.col("position"))))), 4).alias("p"))
+
+
+SIMPLICITY = 0.1
 
 
 @frame(
     "query_diversity",
-    f"""WITH g AS (SELECT a.query_idx AS a, b.query_idx AS b, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM ({Q_LONG}) a JOIN ({Q_LONG}) b ON a.position = b.position GROUP BY a.query_idx, b.query_idx)
-        SELECT round(sqrt(sum(power(c - CASE WHEN a = b THEN 1 ELSE 0 END, 2))), 5) AS gap, count(*) AS n FROM g""",
+    f"""WITH q AS (SELECT * FROM ({Q_LONG}) WHERE query_idx > 0), g AS (SELECT a.query_idx AS a, b.query_idx AS b, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM q a JOIN q b ON a.position = b.position GROUP BY a.query_idx, b.query_idx),
+          d AS (SELECT sum(power(c - CASE WHEN a = b THEN 1 ELSE 0 END, 2)) AS diversity FROM g), s AS (SELECT sum(x * x) / count(DISTINCT query_idx) AS simplicity, count(DISTINCT query_idx) AS n FROM q)
+        SELECT n, round(diversity, 5) AS diversity, round(simplicity, 5) AS simplicity, round(diversity + {SIMPLICITY} * simplicity, 5) AS loss FROM d CROSS JOIN s""",
     "query_vectors",
 )
 def query_diversity(queries):
-    """Frobenius distance of the queries' cosine matrix from the identity."""
-    a = queries.select(F.col("query_idx").alias("a"), F.col("vector").alias("x"))
-    b = F.broadcast(queries.select(F.col("query_idx").alias("b"), F.col("vector").alias("y")))
-    g = a.join(b).select((vectors.cosine(F.col("x"), F.col("y")) - (F.col("a") == F.col("b")).cast("int")).alias("d"))
-    return g.agg(F.round(F.sqrt(F.sum(F.col("d") * F.col("d"))), 5).alias("gap"), F.count(F.lit(1)).alias("n"))
+    """Auxiliary loss of the queries but the first: squared Frobenius distance of their cosine matrix from the identity, and their mean
+    squared norm.  The matrix of a bounded number of queries."""
+    from pyspark.sql.functions import broadcast
+
+    dynamic = few(queries.where("query_idx > 0"))
+    a = dynamic.select(F.col("query_idx").alias("a"), F.col("vector").alias("x"))
+    b = broadcast(queries.where("query_idx > 0").select(F.col("query_idx").alias("b"), F.col("vector").alias("y")))
+    d = vectors.cosine(F.col("x"), F.col("y")) - (F.col("a") == F.col("b")).cast("int")
+    own = F.when(F.col("a") == F.col("b"), vectors.dot(F.col("x"), F.col("x")))
+    s = a.join(b).agg(F.sum(d * d).alias("diversity"), F.avg(own).alias("simplicity"), F.count(own).alias("n"))
+    return s.select("n", F.round("diversity", 5).alias("diversity"), F.round("simplicity", 5).alias("simplicity"), F.round(F.col("diversity") + SIMPLICITY * F.col("simplicity"), 5).alias("loss"))
+
+
+@frame("mean_pool_mlp", None, "note_vectors", "code_vectors")
+def mean_pool_mlp(notes, codes):
+    """The mean-pool baseline: note mean and code mean side by side through linear, GELU, layer norm, linear; a missing side is zero."""
+    dim = vectors.width(notes, codes)
+    n, c = ({m: f for m, f in zip(("notes", "codes"), (notes, codes))}[m].select("subject_id", vectors.doubles(F.col("vector")).alias("v")) for m in ("notes", "codes"))
+    pool = lambda rows, name: rows.select("subject_id", F.posexplode("v").alias("i", "x")).groupBy("subject_id", "i").agg(F.avg("x").alias("x")).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias(name))
+    both = pool(n, "a").join(pool(c, "b"), "subject_id", "full")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    z = both.select("subject_id", F.concat(*[F.coalesce(F.transform(x, lambda e: e["x"]), zero) for x in ("a", "b")]).alias("z"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        from marlow.functions.networks import MeanPoolMlp
+
+        head = MeanPoolMlp(2 * dim, 16, 7)
+        for b in batches:
+            p = head.probability(np.stack(b["z"].to_numpy())) if len(b) else np.empty(0)
+            yield pd.DataFrame({"subject_id": b["subject_id"], "p": p.round(6)})
+
+    return z.mapInPandas(run, "subject_id long, p double")
 
 
 @frame(
@@ -109,21 +213,30 @@ def mil_scores(notes, codes):
 
 @frame("expert_scores", None, "note_vectors", "query_vectors")
 def expert_scores(notes, queries):
-    """Retrieved items of the first query through attention and an expert, with integrated gradients."""
-    q = [float(x) for x in queries.where("query_idx = 0").first()["vector"]]
+    """Retrieved items of every note query through attention and an expert, with integrated gradients from two starting points: zero,
+    and the mean of the items."""
+    asked = queries.where("modality = 'Note'")
+    q = few(asked.select("query_idx", F.col("vector").alias("query")))
 
-    def kernel(subject, m, pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         from marlow.functions.networks import Expert, integrated_gradients, probability
 
+        m = np.stack(pdf["vector"].to_numpy()).astype(float)
+        query = np.asarray(pdf["query"].iloc[0], float)
         e = Expert(m.shape[1], 32, 3)
-        p, zero = probability(np.array(q), m, e), probability(np.array(q), np.zeros_like(m), e)
-        a = integrated_gradients(np.array(q), m, e)
-        return pd.DataFrame({"subject_id": subject, "vec_id": pdf["vec_id"], "p": round(p, 6), "attribution": a.round(6), "gap": round(p - zero - a.sum(), 6)})
-
-    kept = hits(notes, queries.where("query_idx = 0"), "Note").join(notes.select("vec_id", "vector"), "vec_id")
-    return by_subject(kept.select("subject_id", "vec_id", "vector"), kernel, "subject_id long, vec_id long, p double, attribution double, gap double")
+        p = probability(query, m, e)
+        out = pd.DataFrame({"subject_id": pdf["subject_id"], "query_idx": pdf["query_idx"], "vec_id": pdf["vec_id"], "p": round(p, 6)})
+        for name, start in (("zero", np.zeros_like(m)), ("mean", np.repeat(m.mean(0, keepdims=True), len(m), 0))):
+            a = integrated_gradients(query, m, e, start=start)
+            out[f"from_{name}"] = a.round(6)
+            out[f"gap_{name}"] = round(p - probability(query, start, e) - a.sum(), 6)
+        return out
+
+    kept = hits(notes, asked, "Note").join(notes.select("vec_id", "vector"), "vec_id").join(q, "query_idx")
+    schema = "subject_id long, query_idx int, vec_id long, p double, from_zero double, gap_zero double, from_mean double, gap_mean double"
+    return kept.select("subject_id", "query_idx", "vec_id", "vector", "query").groupBy("subject_id", "query_idx").applyInPandas(run, schema)
 
 
 @frame("encode_chunks", None, "note_events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlow.functions import parsing as p
+from marlow.operators import relational
 from marlow.plans.catalog import frame, sql
 
 _DIGIT = "CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING)"
@@ -138,28 +139,124 @@ sql(
 )
 
 
-@frame("format_issues", "SELECT doc_id AS subject_id, count(*) <> 5 AS wrong_count, count(*) FILTER (WHERE length(quote) < 3) AS no_quote, CAST(0 AS BIGINT) AS no_reasoning FROM {factors} GROUP BY doc_id", "reports")
-def format_issues(reports):
-    f = factor_rows(reports).withColumn("quote", p.longest_quote(p.evidence_line(F.col("factor"))))
-    return f.groupBy("subject_id").agg((F.count(F.lit(1)) != 5).alias("wrong_count"), F.count_if(F.col("quote").isNull()).alias("no_quote"), F.count_if(~F.col("factor").contains("Reasoning:")).alias("no_reasoning"))
+_ORDER = "wrong_factor_count_or_order:"
 
 
 @frame(
-    "typed_format_check",
-    """SELECT doc_id AS subject_id, CASE WHEN count(*) <> 5 THEN 'factors:' || CAST(count(*) AS STRING) ELSE '' END || CASE WHEN max(handle) % 2 = 1 THEN ';odd handle' ELSE '' END AS failures FROM {factors} GROUP BY doc_id""",
-    "reports",
+    "format_issues",
+    f"""SELECT subject_id, CASE v WHEN 2 THEN 'missing_section:{p.SECTIONS[2]}' WHEN 3 THEN 'section_out_of_order:{p.SECTIONS[3]}' WHEN 4 THEN 'factor_numbering:1,2,3,4' WHEN 5 THEN 'factor_numbering:1,2,3,5,4'
+         WHEN 6 THEN 'factor2:no_quoted_evidence' WHEN 11 THEN 'factor3:missing_reasoning' WHEN 12 THEN 'factor4:no_note_id' ELSE '' END AS issues, v NOT IN (2, 3, 4, 5, 6, 11, 12) AS passed FROM {{typed_reports}}""",
+    "typed_reports",
 )
+def format_issues(reports):
+    issues = p.factor_issues(F.col("report"))
+    return reports.select("subject_id", F.array_join(issues, ";").alias("issues"), (F.size(issues) == 0).alias("passed"))
+
+
+def _found(pattern: str) -> str:
+    return f"len(regexp_extract_all(report, '{pattern}'))"
+
+
+_E, _R, _A = (_found(x) for x in (p.EVIDENCE_LINE, p.REASONING_LINE, p.ATTRIBUTION_LINE))
+_N = f"array_to_string(regexp_extract_all(report, '{p.FACTOR_LINE}', 1), ',')"
+_POS = ", ".join(f"strpos(report, '{x}') AS s{k}" for k, x in enumerate(p.SECTIONS))
+# The sections of the role miss or move only from the third on.
+_ANATOMY = f"""CASE WHEN s2 = 0 THEN 'missing_section:{p.SECTIONS[2]};out_of_order_section:{p.SECTIONS[3]};' WHEN s3 < s2 THEN 'out_of_order_section:{p.SECTIONS[3]};' ELSE '' END || CASE WHEN {_N} <> '1,2,3,4,5' THEN '{_ORDER}' || {_N} || ';' ELSE '' END
+  || CASE WHEN {_E} < 5 THEN 'too_few_supporting_evidence:' || {_E} || ';' ELSE '' END || CASE WHEN {_R} < 5 THEN 'too_few_reasoning:' || {_R} || ';' ELSE '' END"""
+_ATTRIBUTED = f"CASE WHEN {_A} < 5 THEN 'too_few_attribution:' || {_A} || ';' ELSE '' END"
+TYPED_CHECK = rf"""SELECT subject_id, CASE WHEN regexp_extract(report, 'Patient (\d+)', 1) <> CAST(subject_id AS STRING) THEN 'missing_patient_header;' ELSE '' END || CASE WHEN contains(report, 'Mortality prediction: high') THEN 'missing_mortality_line;' ELSE '' END
+    || {_ANATOMY} || {_ATTRIBUTED} || CASE WHEN contains(report, 'Verification: 6/5') THEN 'verification_passed_gt_total;' ELSE '' END || CASE WHEN contains(report, 'Factor 9') THEN 'flagged_factor_out_of_range:9;' ELSE '' END
+    || CASE WHEN NOT rtrim(report, chr(10)) LIKE '%====' THEN 'missing_closing_separator;' ELSE '' END AS failures, {_found(p.FLAG_LINE)} AS n_flags, CAST(regexp_extract(report, '{p.VERIFIED_LINE}', 1) AS INT) AS verified, {_found(p.FLAGGED_LINE)} AS n_flagged
+  FROM (SELECT *, {_POS} FROM {{typed_reports}})"""
+
+
+def typed_checked(reports):
+    r = F.col("report")
+    return reports.select(
+        "subject_id",
+        p.typed_issues(F.col("subject_id"), r).alias("issues"),
+        F.regexp_count(r, F.lit(p.FLAG_LINE)).cast("long").alias("n_flags"),
+        F.regexp_extract(r, p.VERIFIED_LINE, 1).try_cast("int").alias("verified"),
+        F.regexp_count(r, F.lit(p.FLAGGED_LINE)).cast("long").alias("n_flagged"),
+    )
+
+
+@frame("typed_format_check", f"SELECT subject_id, rtrim(failures, ';') AS failures, failures = '' AS passed, n_flags, verified, n_flagged FROM ({TYPED_CHECK})", "typed_reports")
 def typed_format_check(reports):
-    n = F.size(p.factors(F.col("report")))
-    handles = F.transform(F.regexp_extract_all("report", F.lit(r"Note ID: (\d+)"), F.lit(1)), lambda x: x.cast("long"))
-    odd = F.array_max(handles) % 2 == 1
-    return reports.select("subject_id", F.concat(F.when(n != 5, F.concat(F.lit("factors:"), n.cast("string"))).otherwise(""), F.when(odd, ";odd handle").otherwise("")).alias("failures"))
+    return typed_checked(reports).select("subject_id", F.array_join("issues", ";").alias("failures"), (F.size("issues") == 0).alias("passed"), "n_flags", "verified", "n_flagged")
 
 
-@frame("failure_histogram", "SELECT 'factors' AS bucket, count(*) AS n FROM (SELECT doc_id FROM {factors} GROUP BY doc_id HAVING count(*) <> 5) UNION ALL SELECT 'odd handle', count(*) FROM (SELECT doc_id FROM {factors} GROUP BY doc_id HAVING max(handle) % 2 = 1)", "reports")
+@frame("failure_histogram", f"SELECT split_part(f, ':', 1) AS bucket, count(*) AS n FROM (SELECT unnest(string_split(rtrim(failures, ';'), ';')) AS f FROM ({TYPED_CHECK})) WHERE f <> '' GROUP BY split_part(f, ':', 1)", "typed_reports")
 def failure_histogram(reports):
-    f = typed_format_check(reports).select(F.explode(F.split("failures", ";")).alias("f")).where("f <> ''")
-    return f.groupBy(F.substring_index("f", ":", 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    f = typed_checked(reports).select(F.explode("issues").alias("f"))
+    return f.groupBy(F.substring_index("f", ":", 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "bucket")
+
+
+@frame("review_format_check", f"SELECT subject_id, rtrim({_ANATOMY} || {_ATTRIBUTED}, ';') AS failures, rtrim({_ANATOMY}, ';') AS failures_without_attribution FROM (SELECT *, {_POS} FROM {{typed_reports}})", "typed_reports")
+def review_format_check(reports):
+    """Sections and factors only; attribution lines are asked for by one of the two checks."""
+    both = [F.array_join(p.listed(p.anatomy_issues(F.col("report"), a)), ";") for a in (True, False)]
+    return reports.select("subject_id", both[0].alias("failures"), both[1].alias("failures_without_attribution"))
+
+
+FIRST = "SELECT subject_id, n_flagged FROM {rollouts} WHERE idx = 0 AND n_flagged IS NOT NULL"
+
+
+@frame(
+    "first_candidate_flags",
+    f"""SELECT t.subject_id, f.n_flagged, t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AS format_pass, coalesce(t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AND f.n_flagged <= 2, FALSE) AS gated FROM {{typed_reports}} t LEFT JOIN ({FIRST}) f ON f.subject_id = t.subject_id""",
+    "typed_reports",
+    "rollouts",
+)
+def first_candidate_flags(reports, rollouts):
+    """Flags of the first candidate only, and the gate: a good format and a known, small number of flags."""
+    first = rollouts.where("idx = 0 AND n_flagged IS NOT NULL").select("subject_id", "n_flagged")
+    good = format_issues(reports).select("subject_id", F.col("passed").alias("format_pass"))
+    return good.join(first, "subject_id", "left").select("subject_id", "n_flagged", "format_pass", F.coalesce(F.col("format_pass") & (F.col("n_flagged") <= 2), F.lit(False)).alias("gated"))
+
+
+@frame(
+    "review_records",
+    """SELECT t.subject_id, md5(t.report) AS digest, round(s.probability, 6) AS probability, length(t.report) AS n_chars FROM {typed_reports} t JOIN (SELECT DISTINCT subject_id FROM {rollouts} WHERE idx = 0 AND n_flagged <= 2) r ON r.subject_id = t.subject_id
+       LEFT JOIN (SELECT subject_id, probability FROM {predictions} WHERE method = 'm1') s ON s.subject_id = t.subject_id WHERE t.v NOT IN (2, 3, 4, 5, 6, 11, 12)""",
+    "typed_reports",
+    "rollouts",
+    "predictions",
+)
+def review_records(reports, rollouts, predictions):
+    """Reports that pass both gates with their probability, in the order of subjects."""
+    good = first_candidate_flags(reports, rollouts).where("gated").select("subject_id")
+    scores = predictions.where("method = 'm1'").select("subject_id", F.round("probability", 6).alias("probability"))
+    kept = reports.join(good, "subject_id", "left_semi").join(scores, "subject_id", "left")
+    return kept.select("subject_id", F.md5(F.col("report").cast("binary")).alias("digest"), "probability", F.length("report").cast("long").alias("n_chars")).orderBy("subject_id")
+
+
+@frame(
+    "review_completeness",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE r.subject_id IS NULL) AS without_rollouts, count(*) FILTER (WHERE l.subject_id IS NULL) AS without_scores FROM {typed_reports} t
+       LEFT JOIN (SELECT DISTINCT subject_id FROM {rollouts}) r ON r.subject_id = t.subject_id LEFT JOIN (SELECT DISTINCT subject_id FROM {predictions}) l ON l.subject_id = t.subject_id""",
+    "typed_reports",
+    "rollouts",
+    "predictions",
+)
+def review_completeness(reports, rollouts, predictions):
+    """How many subjects of a review set miss in the other two; an export is refused unless both are 0 (:func:`relational.complete`)."""
+    return relational.missing(reports, "subject_id", without_rollouts=rollouts, without_scores=predictions)
+
+
+@frame(
+    "holistic_report",
+    """SELECT p.subject_id, md5('# Holistic report, whole history' || chr(10) || '# subject_id: ' || CAST(p.subject_id AS STRING) || '    label: ' || CAST(p.label AS STRING) || '    probability: ' || CASE WHEN p.probability IS NULL THEN 'None' ELSE printf('%.4f', p.probability) END || chr(10) || chr(10) || rtrim(t.report, chr(10)) || chr(10)) AS digest
+       FROM {predictions} p JOIN {typed_reports} t ON t.subject_id = p.subject_id WHERE p.method = 'm1'""",
+    "predictions",
+    "typed_reports",
+)
+def holistic_report(predictions, reports):
+    """A report under a header with subject, label and probability."""
+    p_ = F.when(F.col("probability").isNull(), "None").otherwise(F.format_string("%.4f", "probability"))
+    head = F.concat(F.lit("# Holistic report, whole history\n# subject_id: "), F.col("subject_id").cast("string"), F.lit("    label: "), F.col("label").cast("string"), F.lit("    probability: "), p_, F.lit("\n\n"))
+    rows = predictions.where("method = 'm1'").join(reports.select("subject_id", "report"), "subject_id")
+    return rows.select("subject_id", F.md5(F.concat(head, F.regexp_replace("report", r"\n+\z", ""), F.lit("\n")).cast("binary")).alias("digest"))
 
 
 @frame("split_patient_blocks", "SELECT subject_id, md5(rtrim(report, chr(10))) AS digest FROM {reports}", "reports")

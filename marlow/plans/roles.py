@@ -14,6 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+# Headings of typed reports.
+SECTIONS = ("[Prediction + Explanation]", "[Predictive Factors + Evidence-Based Reasoning]", "[Reasoning Lens]", "[Recommendations]")
+
+
+def _factor(k: int) -> str:
+    """SQL: factor ``k`` of a typed report, with the faults of variant ``v``."""
+    number = f"CASE WHEN v = 5 THEN '{9 - k if k > 3 else k}' ELSE '{k}' END"
+    quote = f"CASE WHEN v = 6 AND {k} = 2 THEN 'no quote' ELSE '\"' || q || ' {k}\"' END"
+    cited = f"CASE WHEN v = 12 AND {k} = 4 THEN '' WHEN (doc_id + {k}) % 3 = 0 THEN ' (ICD code: I1' || '{k}.9-10)' ELSE ' (note_id: ' || CAST(doc_id AS STRING) || ')' END"
+    reason = f"CASE WHEN v = 11 AND {k} = 3 THEN '' ELSE '   Reasoning: since ' || '{k}' || chr(10) END"
+    score = f"CASE WHEN v = 7 AND {k} > 3 THEN '' ELSE '   Attribution score: ' || CASE WHEN {k} % 2 = 0 THEN '-' ELSE '+' END || '0.' || CAST({k} * 1000 + doc_id % 1000 AS STRING) || chr(10) END"
+    flag = f"CASE WHEN doc_id % {k + 3} = 0 THEN '   >> Possible provenance error ' || DASH || ' look again' || chr(10) ELSE '' END"
+    whole = f"{number} || '. Factor summary: f{k}' || chr(10) || '   Supporting evidence: ' || {quote} || {cited} || chr(10) || {reason} || {score} || {flag}"
+    return f"CASE WHEN v = 4 AND {k} = 5 THEN '' ELSE {whole} END" if k == 5 else whole
+
+
+#: A typed report of every document, the same SQL in both dialects; thirteen variants, of which 0 has no fault.
+TYPED = f"""SELECT doc_id AS subject_id, v, repeat('=', 72) || chr(10) || 'EVIDENCE ALIGNMENT REPORT: Patient ' || CAST(CASE WHEN v = 9 THEN doc_id + 1 ELSE doc_id END AS STRING) || chr(10) || repeat('=', 72) || chr(10)
+    || 'Mortality prediction: ' || CASE WHEN v = 1 THEN 'high' ELSE '0.' || CAST(1000 + doc_id % 9000 AS STRING) END || chr(10) || '{SECTIONS[0]}' || chr(10) || 'It is so.' || chr(10) || '{SECTIONS[1]}' || chr(10)
+    || {' || '.join(_factor(k) for k in range(1, 6))}
+    || CASE WHEN v = 2 THEN '' WHEN v = 3 THEN '{SECTIONS[3]}' || chr(10) || '{SECTIONS[2]}' || chr(10) ELSE '{SECTIONS[2]}' || chr(10) || 'Because.' || chr(10) END || CASE WHEN v = 3 THEN '' ELSE '{SECTIONS[3]}' || chr(10) || 'Watch.' || chr(10) END
+    || CASE WHEN v = 8 THEN 'Verification: 6/5 steps passed.' ELSE 'Verification: ' || CAST(doc_id % 6 AS STRING) || '/5 steps passed.' END || chr(10)
+    || CASE WHEN v = 10 THEN '  Flagged: Factor 9 ' || DASH || ' provenance error.' || chr(10) WHEN doc_id % 5 = 0 THEN '  Flagged: Factor 2 ' || DASH || ' hallucination.' || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 29 = 0 THEN '' ELSE repeat('=', 72) || chr(10) END AS report
+  FROM (SELECT doc_id, doc_id % 13 AS v, translate(substring(coalesce(text, ''), 11, 30), '"' || chr(10), '  ') AS q FROM {{documents}}) d"""
+
 #: role -> (Spark SQL, other SQL or None); {x} is a table or role.
 ROLES: dict[str, tuple[str, str | None]] = {
     "note_events": (
@@ -83,6 +109,12 @@ ROLES: dict[str, tuple[str, str | None]] = {
              string_agg(concat(CAST(k AS VARCHAR), '. Factor summary: f', CAST(k AS VARCHAR), chr(10), 'Supporting evidence: "', quote, '" (Note ID: ', CAST(handle AS VARCHAR), ')', chr(10), 'Reasoning: r', CAST(k AS VARCHAR), chr(10)), '' ORDER BY k),
              'Overall Reasoning', chr(10), 'It follows.', chr(10), 'Recommendations', chr(10), 'Watch.', chr(10)) AS report FROM {factors} GROUP BY doc_id""",
     ),
+    "typed_reports": (TYPED.replace("DASH", "'—'"), None),
+    "rollouts": (
+        """SELECT doc_id AS subject_id, CAST(c.idx AS INT) AS idx, CASE WHEN (doc_id + c.idx) % 5 = 0 THEN NULL ELSE CAST((doc_id * 3 + c.idx) % 7 AS INT) END AS n_flagged, CAST((doc_id * 17 + c.idx * 5) % 101 AS DOUBLE) AS sample_score
+           FROM {labels} CROSS JOIN (SELECT 0 AS idx UNION ALL SELECT 1 UNION ALL SELECT 2) c WHERE doc_id % 8 <> 7""",
+        None,
+    ),
     "verdicts": (
         """SELECT event_id, user_id AS subject_id, concat('b', CAST(CAST(user_id % 3 AS INT) AS STRING)) AS baseline, event_type AS trust,
              CAST(get_json_object(props, '$.k') AS INT) AS k, value FROM {events}""",
