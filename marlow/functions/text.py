@@ -20,9 +20,15 @@ def approx_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * 13 / 10).cast("long")
 
 
-def chunks(text: Column, length: int, overlap: int) -> Column:
-    """Windows of ``length`` words with ``overlap`` words in common; a text of at most
+def default_overlap(length: int) -> int:
+    """A fifth of the chunk length, one word at least."""
+    return max(1, round(0.2 * length))
+
+
+def chunks(text: Column, length: int, overlap: int | None = None) -> Column:
+    """Windows of ``length`` words with ``overlap`` words in common (a fifth by default); a text of at most
     ``length`` words stays as it is."""
+    overlap = default_overlap(length) if overlap is None else overlap
     if not 0 <= overlap < length:
         raise ValueError("overlap must be below the chunk length")
     step = length - overlap

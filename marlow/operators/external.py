@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,27 +30,27 @@ def with_keys(work: DataFrame, model: str) -> DataFrame:
     return work.withColumn("key", F.sha1(F.concat_ws("|", F.lit(model), F.col("subject_id").cast("string"), F.col("report")).cast("binary")))
 
 
-def judged(work: DataFrame, cache: DataFrame, judge: Callable[[str], str], model: str, tries: int = 3, wait: float = 1.0) -> DataFrame:
+def judged(work: DataFrame, cache: DataFrame, judge: Callable[[str], str], model: str, tries: int = 3, wait: float = 1.0, at_once: int = 1) -> DataFrame:
     """(key, subject_id, model, verdict) of the items that ``cache`` (key, ...) lacks.
 
-    A failing call is repeated with doubled waits; after the last try the verdict is null.
+    A failing call is repeated with doubled waits; after the last try the verdict is null.  A task has at most
+    ``at_once`` calls open.
     """
     todo = with_keys(work, model).join(cache.select("key").distinct(), "key", "left_anti")
 
+    def asked(report: str) -> str | None:
+        for k in range(tries):
+            try:
+                return judge(report)
+            except Exception:  # noqa: BLE001  any failure of an outside service
+                if k + 1 < tries:
+                    time.sleep(wait * 2**k)
+        return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for report in f["report"]:
-                verdict = None
-                for k in range(tries):
-                    try:
-                        verdict = judge(report)
-                        break
-                    except Exception:  # noqa: BLE001  any failure of an outside service
-                        if k + 1 < tries:
-                            time.sleep(wait * 2**k)
-                out.append(verdict)
-            yield pd.DataFrame({"key": f["key"], "subject_id": f["subject_id"], "model": model, "verdict": out})
+        with ThreadPoolExecutor(at_once) as pool:
+            for f in frames:
+                yield pd.DataFrame({"key": f["key"], "subject_id": f["subject_id"], "model": model, "verdict": list(pool.map(asked, f["report"]))})
 
     return todo.select("key", "subject_id", "report").mapInPandas(run, "key string, subject_id long, model string, verdict string")
 

@@ -9,6 +9,7 @@ even if an executor is lost.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -18,9 +19,11 @@ from pyspark.sql.window import Window
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names; a local one only where it names none."""
+    """``df`` checkpointed in the folder the session names; a local one only where it names none and the master is local."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="marlow-checkpoint-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", made)

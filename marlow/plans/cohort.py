@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marlow.operators import relational
 from marlow.plans.catalog import frame, sql
 
@@ -120,3 +122,46 @@ sql(
 )
 sql("baseline_name", "SELECT DISTINCT regexp_extract(p, '([^/]+)/predictions_([^/]+)[.]jsonl$', 1) || '/' || regexp_extract(p, '([^/]+)/predictions_([^/]+)[.]jsonl$', 2) AS baseline, method FROM (SELECT method, '/data/run' || CAST(subject_id % 3 AS STRING) || '/predictions_' || method || '.jsonl' AS p FROM {predictions})")
 sql("anneal_schedule", "SELECT CAST(s AS BIGINT) AS step, round(CAST(CASE WHEN s < 20 THEN s / 20.0 ELSE 1.0 END AS DOUBLE), 6) AS warm, round(CAST(CASE WHEN s >= 100 THEN 0.1 ELSE 1.0 - 0.9 * s / 100.0 END AS DOUBLE), 6) AS temperature FROM (SELECT note_id AS s FROM {note_events})")
+
+sql(
+    "roster_misses",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE v.subject_id IS NULL) AS without_vectors, round(sum(coalesce(v.n, 0)) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS mean_vectors
+       FROM {subject_labels} s LEFT JOIN (SELECT subject_id, count(*) AS n FROM {note_vectors} GROUP BY subject_id) v ON v.subject_id = s.subject_id""",
+)
+sql(
+    "rank_misses",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE r.event_id IS NOT NULL) AS matched, count(*) FILTER (WHERE r.event_id IS NULL) AS dropped FROM {events} c
+       LEFT JOIN (SELECT user_id, event_id, max(value) AS value FROM {events} WHERE event_type <> 'error' GROUP BY user_id, event_id) r ON r.user_id = c.user_id AND r.event_id = c.event_id""",
+)
+sql(
+    "mean_counts",
+    """SELECT count(*) AS n, round(coalesce(sum(n_notes), 0) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS mean_notes, round(coalesce(sum(n_codes), 0) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS mean_codes,
+         round(coalesce(sum(CASE WHEN n_codes > 3 THEN n_codes END), 0) / CAST(greatest(count(*) FILTER (WHERE n_codes > 3), 1) AS DOUBLE), 6) AS mean_many FROM (
+         SELECT s.subject_id, coalesce(max(n.n), 0) AS n_notes, coalesce(max(c.n), 0) AS n_codes FROM {subject_labels} s
+         LEFT JOIN (SELECT subject_id, count(*) AS n FROM {note_events} GROUP BY subject_id) n ON n.subject_id = s.subject_id
+         LEFT JOIN (SELECT subject_id, count(*) AS n FROM {code_events} GROUP BY subject_id) c ON c.subject_id = s.subject_id GROUP BY s.subject_id) x""",
+)
+sql(
+    "handle_validity",
+    """WITH e AS (SELECT doc_id, doc_id % 97 AS subject_id, k, CASE WHEN (doc_id + k) % 2 = 0 THEN 'icd' ELSE 'note' END AS kind,
+           CASE WHEN (doc_id + k) % 2 = 0 THEN CAST((doc_id * 13 + k * 7) % 200 AS STRING) || '-' || CAST(9 + k % 2 AS STRING) ELSE CAST(handle AS STRING) END AS handle FROM {factors}),
+         n AS (SELECT subject_id, CAST(note_id AS STRING) AS id, note_id % 5 <> 0 AS shown FROM {note_events}), c AS (SELECT DISTINCT subject_id % 97 AS subject_id, CAST(code AS STRING) || '-' || CAST(version AS STRING) AS id FROM {code_events}),
+         src AS (SELECT DISTINCT 'note' AS kind, id FROM n UNION ALL SELECT DISTINCT 'icd', id FROM c), own AS (SELECT DISTINCT subject_id, 'note' AS kind, id FROM n UNION ALL SELECT subject_id, 'icd', id FROM c),
+         kept AS (SELECT subject_id, array_agg(id) AS ids FROM n WHERE shown AND subject_id % 6 <> 0 GROUP BY subject_id)
+       SELECT e.doc_id, e.k, e.kind, src.id IS NOT NULL AS source_found, own.id IS NOT NULL AS owned, e.kind = 'note' AND own.id IS NOT NULL AND kept.ids IS NOT NULL AND NOT coalesce(array_contains(kept.ids, e.handle), FALSE) AS cited_dropped
+       FROM e LEFT JOIN src ON src.kind = e.kind AND src.id = e.handle LEFT JOIN own ON own.subject_id = e.subject_id AND own.kind = e.kind AND own.id = e.handle LEFT JOIN kept ON kept.subject_id = e.subject_id""",
+)
+
+
+@frame("prefixed_verdicts", "SELECT t.flag_id, t.type_a, v.agree AS verdict_agree, v.severity AS verdict_severity FROM {flag_tasks} t JOIN {flag_verdicts} v ON v.flag_id = t.flag_id", "flag_tasks", "flag_verdicts")
+def prefixed_verdicts(tasks, verdicts):
+    return tasks.select("flag_id", "type_a").join(relational.prefixed(verdicts, "verdict_", "flag_id"), "flag_id")
+
+
+@frame("positional_metadata", "SELECT i.vec_id, i.g AS global_index, m.vec_id AS found_id, m.days FROM (SELECT vec_id, (vec_id * 37 + 11) % count(*) OVER () AS g FROM {note_vectors}) i JOIN (SELECT vec_id, days, row_number() OVER (ORDER BY vec_id) - 1 AS row_index FROM {note_vectors}) m ON m.row_index = i.g", "note_vectors")
+def positional_metadata(notes):
+    """Items joined to the row at a position: positions are row numbers of a stated order."""
+    n = notes.agg(F.count(F.lit(1)).alias("n"))
+    items = notes.select("vec_id").join(F.broadcast(n)).select("vec_id", ((F.col("vec_id") * 37 + 11) % F.col("n")).alias("global_index"))
+    rows = relational.with_row_index(notes.select(F.col("vec_id").alias("found_id"), "days"), "found_id")
+    return items.join(rows, items["global_index"] == rows["row_index"]).select("vec_id", "global_index", "found_id", "days")

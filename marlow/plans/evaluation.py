@@ -176,3 +176,8 @@ sql(
        SELECT l_orderkey, n_items, CAST(size(notes) AS BIGINT) AS n_notes, aggregate(notes, 0L, (a, x) -> a + x.part) AS parts FROM r""",
     "SELECT l_orderkey, count(*) AS n_items, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS n_notes, CAST(coalesce(sum(CASE WHEN l_linenumber % 2 = 1 THEN l_partkey END), 0) AS BIGINT) AS parts FROM {lineitem} GROUP BY l_orderkey",
 )
+sql(
+    "verbalizer_stats",
+    """SELECT method, count(*) AS n, round(min(p), 6) AS least, round(QUANTILE[[p ;; 0.5]], 6) AS median, round(max(p), 6) AS most, round(avg(p), 6) AS mean, count(*) FILTER (WHERE trim(token) = 'Yes') AS n_yes, count(*) FILTER (WHERE trim(token) = 'No') AS n_no,
+         count(*) FILTER (WHERE trim(token) NOT IN ('Yes', 'No')) AS n_other FROM (SELECT method, coalesce(probability, CAST(0.5 AS DOUBLE)) AS p, CASE n_chars % 5 WHEN 0 THEN ' Yes' WHEN 1 THEN 'No ' WHEN 2 THEN 'Maybe' WHEN 3 THEN 'Yes' ELSE 'no' END AS token FROM {predictions}) x GROUP BY method""",
+)

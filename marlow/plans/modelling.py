@@ -128,6 +128,38 @@ def concat_fused_score(notes, codes, queries):
     return active_mean(notes, codes, queries, "modality").groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(sign * F.col("x") * weight(F.col("position"))))), 4).alias("p"))
 
 
+@frame(
+    "active_query_averages",
+    f"""WITH g AS (SELECT subject_id, modality, query_idx, {OPEN} AS open FROM ({GATES})), n AS (SELECT subject_id, count(*) FILTER (WHERE open AND query_idx > 0) AS dyn, count(*) FILTER (WHERE open AND modality = 'Note') AS note, count(*) FILTER (WHERE open AND modality = 'Code') AS code FROM g GROUP BY subject_id)
+        SELECT count(*) AS n, round(avg(dyn), 6) AS dynamic, round(avg(note), 6) AS notes, round(avg(code), 6) AS codes FROM n""",
+    "note_vectors",
+    "code_vectors",
+    "query_vectors",
+)
+def active_query_averages(notes, codes, queries):
+    """How many queries are open in a subject on average: all but the first, those over notes, those over codes."""
+    kinds = {"dynamic": F.col("query_idx") > 0, "notes": F.col("modality") == "Note", "codes": F.col("modality") == "Code"}
+    g = gates(notes, codes, queries).groupBy("subject_id").agg(*[F.count_if(F.col("open") & c).alias(name) for name, c in kinds.items()])
+    return g.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(name), 6).alias(name) for name in kinds])
+
+
+@frame(
+    "active_items",
+    f"""SELECT h.subject_id, count(*) AS n_items, string_agg(CAST(h.query_idx AS STRING) || ':' || CAST(h.vec_id AS STRING) || '@' || CAST(h.days AS STRING), ',' ORDER BY h.query_idx, h.rank) AS items
+        FROM ({_topk('note_vectors', 'Note', 4)}) h JOIN (SELECT subject_id, query_idx FROM ({GATES}) WHERE modality = 'Note' AND ({OPEN})) g ON g.subject_id = h.subject_id AND g.query_idx = h.query_idx GROUP BY h.subject_id""",
+    "note_vectors",
+    "code_vectors",
+    "query_vectors",
+)
+def active_items(notes, codes, queries):
+    """Retrieved items of the queries whose gate is open, with their metadata."""
+    active = gates(notes, codes, queries).where("open AND modality = 'Note'").select("subject_id", "query_idx")
+    kept = hits(notes, queries, "Note").join(active, ["subject_id", "query_idx"])
+    g = kept.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("query_idx", "rank", "vec_id", "days"))).alias("x"))
+    line = F.transform("x", lambda e: F.concat(e["query_idx"].cast("string"), F.lit(":"), e["vec_id"].cast("string"), F.lit("@"), e["days"].cast("string")))
+    return g.select("subject_id", "n_items", F.array_join(line, ",").alias("items"))
+
+
 SIMPLICITY = 0.1
 
 

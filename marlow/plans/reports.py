@@ -71,6 +71,13 @@ def parse_evidence(reports):
     return evidence(reports).select("subject_id", "k", "quote", "kind", "handle")
 
 
+@frame("asserted_evidence", "SELECT doc_id AS subject_id, k, md5(quote || ' ' || 'x') AS digest FROM {factors}", "factors")
+def asserted_evidence(factors):
+    """Evidence lines without their citation and quotation marks."""
+    line = F.concat(F.lit('"'), F.col("quote"), F.lit('"(note_id: '), F.col("handle").cast("string"), F.lit(")x"))
+    return factors.select(F.col("doc_id").alias("subject_id"), "k", F.md5(p.asserted(line).cast("binary")).alias("digest"))
+
+
 CITED = """SELECT f.doc_id AS subject_id, f.k, n.note_id IS NOT NULL AS in_corpus, coalesce(n.subject_id = f.doc_id % 97, FALSE) AS owned, NOT (f.handle % 5 = 0) AS was_kept,
          length(f.quote) >= 3 AND coalesce(contains(lower(trim(regexp_replace(n.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(f.quote, '\\s+', ' ', 'g')))), FALSE) AS found
        FROM {factors} f LEFT JOIN {note_events} n ON n.note_id = f.handle"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlow.functions import prompts
 from marlow.functions import text as t
 from marlow.plans.catalog import frame, sql
 
@@ -118,3 +119,66 @@ def truncate_early(notes):
 
 
 sql("token_label", "SELECT DISTINCT regexp_replace(note_type || ' run:' || CAST(age AS STRING), '[^A-Za-z0-9_.-]', '_') AS label FROM {note_events}", "SELECT DISTINCT regexp_replace(note_type || ' run:' || CAST(age AS STRING), '[^A-Za-z0-9_.-]', '_', 'g') AS label FROM {note_events}")
+
+
+LONG_ = 300
+STEP_ = LONG_ - t.default_overlap(LONG_)
+
+
+@frame("default_overlap_chunks", f"SELECT note_id, CASE WHEN n <= {LONG_} THEN 1 ELSE 1 + CAST(ceil((n - {LONG_}) / {STEP_}.0) AS BIGINT) END AS n_chunks FROM (SELECT note_id, len({W}) AS n FROM {{note_events}})", "note_events")
+def default_overlap_chunks(notes):
+    return notes.select("note_id", F.size(t.chunks(F.col("text"), LONG_)).cast("long").alias("n_chunks"))
+
+
+_KEPT = "SELECT subject_id, count(*) AS n_total, count(*) FILTER (WHERE used <= {b} OR place = 1) AS n_kept, string_agg(CASE WHEN used <= {b} OR place = 1 THEN '<' || CAST(note_id AS STRING) || '>' END, '' ORDER BY charttime, note_id) AS kept FROM u GROUP BY subject_id"
+
+
+def _omitted(newest: bool) -> str:
+    older = "'[' || CAST(n_total - n_kept AS STRING) || ' {which} notes left out]' || chr(10)"
+    text = f"CASE WHEN n_kept < n_total THEN {older.format(which='older')} ELSE '' END || kept" if newest else f"kept || CASE WHEN n_kept < n_total THEN {older.format(which='newer')} ELSE '' END"
+    body = _fit("DESC" if newest else "ASC").split("SELECT subject_id, note_id, tokens, used FROM u")[0]
+    return f"{body}, k AS ({_KEPT.format(b=BUDGET)}) SELECT subject_id, n_total, n_kept, {text} AS body FROM k"
+
+
+def reassembled(notes, newest: bool):
+    """Kept notes of each subject in order, and a line for those left out: before them where the newest are kept, else after."""
+    kept = fitted(notes, newest).select("note_id", F.lit(True).alias("kept"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("charttime", "note_id"))))
+    g = notes.join(kept, "note_id", "left").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_total"), F.count("kept").alias("n_kept"), parts.alias("x"))
+    body = F.array_join(F.transform("x", lambda e: F.concat(F.lit("<"), e["note_id"].cast("string"), F.lit(">"))), "")
+    line = F.when(F.col("n_kept") < F.col("n_total"), F.concat(F.lit("["), (F.col("n_total") - F.col("n_kept")).cast("string"), F.lit(" older notes left out]\n" if newest else " newer notes left out]\n"))).otherwise("")
+    return g.select("subject_id", "n_total", "n_kept", (F.concat(line, body) if newest else F.concat(body, line)).alias("body"))
+
+
+@frame("omitted_older", _omitted(True), "note_events")
+def omitted_older(notes):
+    return reassembled(notes, True)
+
+
+@frame("omitted_newer", _omitted(False), "note_events")
+def omitted_newer(notes):
+    return reassembled(notes, False)
+
+
+_CHAT = " UNION ALL ".join(
+    f"""SELECT note_id, '{name}' AS prompt, md5('system:' || '{p["system"]}' || chr(10) || chr(10) || 'Be brief.' || '|user:' || '{p["user"]}' || text || '{"|assistant:" + p["prefill"] if "prefill" in p else ""}') AS digest FROM {{note_events}}""".replace("\n", "' || chr(10) || '")
+    for name, p in ((n, {k: v.replace("'", "''") for k, v in prompts.PROMPTS[n].items()}) for n in ("full_context", "answer"))
+)
+
+
+@frame("chat_prompts", _CHAT, "note_events")
+def chat_prompts(notes):
+    """Chat messages of two prompts over each note, with a further line for the system and the beginning of an answer."""
+    out = None
+    for name in ("full_context", "answer"):
+        turns = F.transform(prompts.messages(name, F.col("text"), "Be brief."), lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+        rows = notes.select("note_id", F.lit(name).alias("prompt"), F.md5(F.array_join(turns, "|").cast("binary")).alias("digest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@frame("filled_prompt", "SELECT subject_id, 'The model gave ' || printf('%.4f', probability) || '. Its evidence, with attributions:' || chr(10) || 'about ' || CAST(n_chars AS STRING) || ' characters' || chr(10) || 'Write the report.' AS prompt FROM {predictions} WHERE method = 'm2' AND probability IS NOT NULL", "predictions")
+def filled_prompt(predictions):
+    rows = predictions.where("method = 'm2' AND probability IS NOT NULL")
+    evidence = F.concat(F.lit("about "), F.col("n_chars").cast("string"), F.lit(" characters"))
+    return rows.select("subject_id", prompts.filled(prompts.PROMPTS["explain"]["user"], probability=F.format_string("%.4f", "probability"), evidence=evidence).alias("prompt"))

@@ -28,6 +28,10 @@ def settings(values: dict) -> Settings:
     s = Settings(**values)
     if s.note_queries < 1 or s.code_queries < 0:
         raise ValueError("at least one note query")
+    if s.top_k < 1 or s.chunk_length < 1:
+        raise ValueError("top_k and chunk_length must be at least 1")
+    if not 0 <= s.threshold <= 1:
+        raise ValueError("threshold must be within [0, 1]")
     if not 0 <= s.chunk_overlap < s.chunk_length:
         raise ValueError("overlap must be below the chunk length")
     return s

@@ -46,8 +46,16 @@ def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All files of a glob with ``file``, the name they came from."""
-    return spark.read.json(pattern, schema=schema, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    """All files of a glob with ``file``, the name they came from, in the order of names."""
+    return spark.read.json(pattern, schema=schema, multiLine=True).withColumn("file", F.col("_metadata.file_name")).orderBy("file")
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
+    """A cache of JSON lines: malformed lines and lines without ``key`` are left out, and of several lines of one key the last one
+    wins (by file name, then by place in the file)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    rows = lines.select(F.from_json("value", schema).alias("r"), F.struct("_file", "_at").alias("_order")).where(F.col(f"r.{key}").isNotNull())
+    return rows.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.max_by("r", "_order").alias("r")).select("r.*")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -69,15 +77,42 @@ def write_vectors(df: DataFrame, path: str, dim: int) -> None:
     checked.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def copied(spark: SparkSession, source: str, path: str) -> dict[str, int]:
+    """A vector table copied as snappy Parquet; rows and bytes of both are reported."""
+    df = spark.read.parquet(source)
+    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    return {"rows": spark.read.parquet(path).count(), "bytes_before": stored_bytes(spark, source), "bytes_after": stored_bytes(spark, path)}
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+
+
+def write_document(df: DataFrame, path: str, key: str | None = None) -> None:
+    """One JSON document in one text file: an array of records, or a map by ``key``, in the order of the key (else of the records).
+    For results that a person reads: they are gathered in one task."""
+    record = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    part = F.struct(*([F.col(key).cast("string").alias("k")] if key else []), record.alias("v"))
+    all_ = df.agg(F.array_sort(F.collect_list(part)).alias("x"))
+    item = (lambda e: F.concat(F.to_json(F.array(e["k"])).substr(F.lit(2), F.length(F.to_json(F.array(e["k"]))) - 2), F.lit(":"), e["v"])) if key else (lambda e: e["v"])
+    body = F.concat(F.lit("{" if key else "["), F.array_join(F.transform("x", item), ","), F.lit("}" if key else "]"))
+    all_.select(body.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None, append: bool = False) -> None:
     """JSON lines, one folder for each value of ``by`` (split, rank, batch)."""
     w = df.write.mode("append" if append else "overwrite")
     (w.partitionBy(*by) if by else w).json(path)
 
 
-def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
-    """One folder of a text file for each ``name``; what was there goes first."""
+def write_texts(df: DataFrame, path: str, name: str, text: str, manifest: bool = False) -> None:
+    """One folder of a text file for each ``name``; what was there goes first.  With ``manifest`` a JSON document at
+    ``<path>-manifest`` lists the names, their characters and digests."""
     df.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    if manifest:
+        write_document(df.select(F.col(name).alias("name"), F.length(text).alias("n_chars"), F.md5(F.col(text).cast("binary")).alias("md5")), f"{path}-manifest", key="name")
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

@@ -242,3 +242,82 @@ def test_ordering(spark):
     assert sorted((r["g"], r["_place"]) for r in within) == sorted((g, k) for g in range(3) for k in range(17 if g < 2 else 16))
     sums = {(r["g"], r["o"]): r["_before"] for r in ordering.running(df, ["g"], "o", "v").collect()}
     assert all(sums[r["g"], r["o"]] == r["_place"] for r in within)
+
+
+def test_documents_caches_and_manifests(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(2, 'b "x"', None), (1, "a", 0.5)], "k long, t string, p double")
+    io.write_document(df, f"{tmp_path}/list")
+    io.write_document(df, f"{tmp_path}/map", key="t")
+    read = lambda name: json.loads(next(p for p in (tmp_path / name).iterdir() if p.name.startswith("part")).read_text())
+    assert sorted(read("list"), key=lambda r: r["k"]) == [{"k": 1, "t": "a", "p": 0.5}, {"k": 2, "t": 'b "x"', "p": None}]
+    assert read("map") == {"a": {"k": 1, "p": 0.5}, 'b "x"': {"k": 2, "p": None}}
+    io.write_texts(df, f"{tmp_path}/texts", "k", "t", manifest=True)
+    assert set(read("texts-manifest")) == {"1", "2"} and read("texts-manifest")["1"]["n_chars"] == 1
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache/a.jsonl").write_text('{"key": "x", "v": 1}\nbroken\n{"v": 2}\n{"key": "y", "v": 3}\n{"key": "x", "v": 4}\n')
+    (tmp_path / "cache/b.jsonl").write_text('{"key": "y", "v": 5}\n')
+    assert {r["key"]: r["v"] for r in io.read_cache(spark, f"{tmp_path}/cache", "key string, v int").collect()} == {"x": 4, "y": 5}
+    for n in (10, 2, 1):
+        (tmp_path / f"batch_{n:02d}.json").write_text(json.dumps([{"n": n}]))
+    assert [r["file"] for r in io.read_batches(spark, f"{tmp_path}/batch_*.json", "n int").collect()] == ["batch_01.json", "batch_02.json", "batch_10.json"]
+    vectors_ = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<float>")
+    io.write_vectors(vectors_, f"{tmp_path}/v", 2)
+    said = io.copied(spark, f"{tmp_path}/v", f"{tmp_path}/w")
+    assert said["rows"] == 1 and said["bytes_before"] > 0 and said["bytes_after"] > 0 and spark.read.parquet(f"{tmp_path}/w").first()["vector"] == [1.0, 2.0]
+    assert io.read_texts(spark, f"{tmp_path}/texts").count() == 2 and io.first_column(df, ["z", "t"]) == "t"
+
+
+def test_prompts(spark):
+    from marlow.functions import prompts
+
+    df = spark.createDataFrame([("x {y}", 0.5)], "t string, p double")
+    m = df.select(prompts.messages("answer", F.col("t"), "More.").alias("m")).first()["m"]
+    assert [r["role"] for r in m] == ["system", "user", "assistant"] and m[0]["content"].endswith("\n\nMore.") and m[1]["content"].endswith("x {y}")
+    assert df.select(prompts.filled("{a} {1} {b}{a}", a=F.col("p"), b=F.lit(None).cast("string"))).first()[0] == "0.5 {1} 0.5"
+    with pytest.raises(KeyError):
+        prompts.filled("{a}{zz}", a=F.lit(1))
+    v = df.select(prompts.verdict(F.lit('{"per_factor": [{"idx": 1, "reasoning_follows_from_evidence": true}], "overall_rationale": "r"}'), prompts.COHERENCE).alias("v")).first()["v"]
+    assert v["per_factor"][0]["reasoning_follows_from_evidence"] and v["overall_rationale"] == "r"
+
+
+def test_judges_are_called_some_at_a_time(spark):
+    from marlow.operators import external
+
+    def judge(report):
+        if report == "bad":
+            raise RuntimeError("no")
+        return report.upper()
+
+    work = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "subject_id long, report string")
+    none = spark.createDataFrame([], "key string")
+    got = {r["subject_id"]: r["verdict"] for r in external.judged(work, none, judge, "m", tries=2, wait=0.01, at_once=3).collect()}
+    assert got == {1: "A", 2: None, 3: "C"}
+
+
+def test_completeness_and_row_index(spark):
+    from marlow.operators import relational
+
+    a, b = spark.range(5).withColumnRenamed("id", "k"), spark.range(3).withColumnRenamed("id", "k")
+    assert relational.missing(a, "k", b=b).first().asDict() == {"n": 5, "b": 2} and relational.complete(b, "k", a=a).count() == 3
+    with pytest.raises(ValueError):
+        relational.complete(a, "k", b=b)
+    assert {r["k"]: r["row_index"] for r in relational.with_row_index(a.where("k % 2 = 0"), "k").collect()} == {0: 0, 2: 1, 4: 2}
+    assert relational.prefixed(a.withColumn("v", F.lit(1)), "verdict_", "k").columns == ["k", "verdict_v"]
+
+
+def test_factor_and_anatomy_issues(spark):
+    good = "\n".join(f'{k}. Factor summary: f\n   Supporting evidence: "q" (note_id: 1)\n   Reasoning: r\n   Attribution score: +0.1' for k in range(1, 6))
+    a, b, c, d = parsing.SECTIONS
+    cases = {
+        f"{a}\n{b}\n{good}\n{c}\n{d}": ([], []),
+        f"{a}\n{b}\n{c}\n{d}": (["factor_numbering:none"], ["wrong_factor_count_or_order:", "too_few_supporting_evidence:0", "too_few_reasoning:0", "too_few_attribution:0"]),
+        f"{b}\n{good}\n{a}\n{c}\n{d}": ([f"section_out_of_order:{b}"], [f"out_of_order_section:{b}"]),
+        "": (["empty_report"], None),
+    }
+    cases[f"{a}\n{b}\n" + good.replace('2. Factor summary: f\n   Supporting evidence: "q" (note_id: 1)', "2. Factor summary: f") + f"\n{c}\n{d}"] = (["factor2:missing_supporting_evidence"], ["too_few_supporting_evidence:4"])
+    df = spark.createDataFrame([(x,) for x in cases], "r string")
+    for r in df.select("r", parsing.factor_issues(F.col("r")).alias("f"), parsing.listed(parsing.anatomy_issues(F.col("r"))).alias("a")).collect():
+        factors, anatomy = cases[r["r"]]
+        assert r["f"] == factors and (anatomy is None or r["a"] == anatomy), r["r"]
