@@ -32,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import numbered, packed, shuffle_width, small, unpacked
+from marlow.llm.shared import lasting, numbered, packed, shuffle_width, small, unpacked
 
 #: Rows in a block.
 BLOCK = 16
@@ -119,4 +119,4 @@ def arranged(docs: DataFrame, **how) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"))
+    return lasting(lambda: mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")))
