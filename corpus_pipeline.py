@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlow.llm import decontamination, mixing, neardup, quality, sharding
-from marlow.llm.shared import forget, written
+from marlow.llm.shared import forget, lasting
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote on
+    the way goes when it is done, and its input with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
+        before = docs
+        docs = lasting(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:
             forget(before)
     return docs
