@@ -85,9 +85,12 @@ class GatedMil:
         self.v, self.u = r.normal(0, dim**-0.5, (dim, hidden)), r.normal(0, dim**-0.5, (dim, hidden))
         self.w, self.head = r.normal(0, hidden**-0.5, hidden), r.normal(0, dim**-0.5, dim)
 
+    def attention(self, bag: np.ndarray) -> np.ndarray:
+        """The weight of each item before they are divided by their sum; bounded, as both gates are."""
+        return np.exp((np.tanh(bag @ self.v) / (1 + np.exp(-(bag @ self.u)))) @ self.w)
+
     def score(self, bag: np.ndarray) -> float:
-        a = (np.tanh(bag @ self.v) / (1 + np.exp(-(bag @ self.u)))) @ self.w
-        a = np.exp(a - a.max())
+        a = self.attention(bag)
         return float(1 / (1 + np.exp(-((a / a.sum()) @ bag) @ self.head)))
 
 

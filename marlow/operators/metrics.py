@@ -70,8 +70,9 @@ def resampled(scores: DataFrame, key: str, keys: list[str], n_draws: int, seed:
     both classes.
 
     A draw weighs each row by how often it was taken.  Rows are first added up by score, so that ranks need one
-    window over the distinct scores of a draw."""
-    d = draws(scores, key, n_draws, seed).join(scores.select(key, *keys, "label", "p"), key)
+    window over the distinct scores of a draw.  All that follows the join groups by draw, so rows are dealt by
+    draw once."""
+    d = draws(scores, key, n_draws, seed).join(scores.select(key, *keys, "label", "p"), key).repartition("draw")
     yes = F.col("label") == 1
     by = d.groupBy("draw", *keys, "p").agg(F.sum(F.when(yes, F.col("times")).otherwise(0)).alias("pos"), F.sum(F.when(yes, 0).otherwise(F.col("times"))).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("draw", *keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

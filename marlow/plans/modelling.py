@@ -219,28 +219,27 @@ def ig_linear_closed_form(notes):
     return notes.select("vec_id", "subject_id", F.round(own / n, 6).alias("attribution"))
 
 
-def by_subject(rows, kernel, schema: str):
-    """``kernel(subject_id, matrix, frame)`` on each subject's vectors."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        return kernel(int(pdf["subject_id"].iloc[0]), np.stack(pdf["vector"].to_numpy()).astype(float), pdf)
-
-    return rows.groupBy("subject_id").applyInPandas(run, schema)
-
-
 @frame("mil_scores", None, "note_vectors", "code_vectors")
 def mil_scores(notes, codes):
-    """Gated-attention MIL over the bag of all note and code vectors of a subject."""
+    """Gated-attention MIL over the bag of all note and code vectors of a subject.  An item gives two numbers, its attention and
+    its value under the head; a bag is then sums of these, added up on the map side, however large it is."""
+    dim = vectors.width(notes, codes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    def kernel(subject, m, _):
         from marlow.functions.networks import GatedMil
 
-        return pd.DataFrame({"subject_id": [subject], "n_items": [len(m)], "p": [round(GatedMil(m.shape[1], 16, 5).score(m), 6)]})
+        net = GatedMil(dim, 16, 5)
+        for b in batches:
+            if len(b):
+                m = np.stack(b["vector"].to_numpy()).astype(float)
+                yield pd.DataFrame({"subject_id": b["subject_id"], "a": net.attention(m), "h": m @ net.head})
 
     cols = ["subject_id", "vector"]
-    return by_subject(notes.select(*cols).unionByName(codes.select(*cols)), kernel, "subject_id long, n_items long, p double")
+    items_ = notes.select(*cols).unionByName(codes.select(*cols)).mapInPandas(run, "subject_id long, a double, h double")
+    g = items_.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_items"), (F.sum(F.col("a") * F.col("h")) / F.sum("a")).alias("z"))
+    return g.select("subject_id", "n_items", F.round(1 / (1 + F.exp(-F.col("z"))), 6).alias("p"))
 
 
 @frame("expert_scores", None, "note_vectors", "query_vectors")

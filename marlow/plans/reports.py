@@ -268,9 +268,9 @@ def holistic_report(predictions, reports):
 
 @frame("split_patient_blocks", "SELECT subject_id, md5(rtrim(report, chr(10))) AS digest FROM {reports}", "reports")
 def split_patient_blocks(reports):
-    """Reports written one after the other under ruled headers, and split apart again."""
+    """Reports written one after the other under ruled headers, fifty to a file, and split apart again."""
     blocks = F.concat(F.lit("=====\nPATIENT "), F.col("subject_id").cast("string"), F.lit("\n=====\n"), F.col("report"))
-    files = reports.groupBy((F.col("subject_id") % 7).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(blocks)), "").alias("text"))
+    files = reports.groupBy(F.floor(F.col("subject_id") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(blocks)), "").alias("text"))
     part = files.select(F.explode(F.split("text", r"(?m)(?=^=====\nPATIENT \d+\n=====\n)")).alias("b")).where(F.col("b").rlike(r"^=====\nPATIENT"))
     return part.select(F.regexp_extract("b", r"PATIENT (\d+)", 1).cast("long").alias("subject_id"), F.md5(F.regexp_replace(F.regexp_replace("b", r"^=====\nPATIENT \d+\n=====\n", ""), r"\n+\z", "").cast("binary")).alias("digest"))
 

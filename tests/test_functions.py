@@ -321,3 +321,38 @@ def test_factor_and_anatomy_issues(spark):
     for r in df.select("r", parsing.factor_issues(F.col("r")).alias("f"), parsing.listed(parsing.anatomy_issues(F.col("r"))).alias("a")).collect():
         factors, anatomy = cases[r["r"]]
         assert r["f"] == factors and (anatomy is None or r["a"] == anatomy), r["r"]
+
+
+def test_bags_are_scored_by_sums(spark):
+    from marlow.functions.networks import GatedMil
+    from marlow.plans import modelling
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(9, 8))
+    df = spark.createDataFrame([(k % 2, v[k].tolist()) for k in range(9)], "subject_id long, vector array<double>")
+    got = {r["subject_id"]: (r["n_items"], r["p"]) for r in modelling.mil_scores(df.limit(5), df.exceptAll(df.limit(5))).collect()}
+    for s in (0, 1):
+        bag = v[[k for k in range(9) if k % 2 == s]]
+        assert got[s] == (len(bag), pytest.approx(GatedMil(8, 16, 5).score(bag), abs=1e-6))
+
+
+def test_bootstrap_against_plain_metrics(spark):
+    from marlow.operators import metrics
+
+    rng = np.random.default_rng(5)
+    rows = [(k, m, int(k % 3 == 0), round(float(rng.random()), 1)) for k in range(30) for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "s long, method string, label int, p double")
+    weights = {}
+    for r in metrics.draws(df, "s", 20).collect():
+        weights.setdefault(r["draw"], {})[r["s"]] = r["times"]
+    for r in metrics.resampled(df, "s", ["method"], 20).collect():
+        items = [(y, p, weights[r["draw"]].get(s, 0)) for s, m, y, p in rows if m == r["method"]]
+        pos, neg = [(p, w) for y, p, w in items if y], [(p, w) for y, p, w in items if not y]
+        n1, n0 = sum(w for _, w in pos), sum(w for _, w in neg)
+        won = sum(w * v * ((p > q) + 0.5 * (p == q)) for p, w in pos for q, v in neg)
+        tp, fp = sum(w for p, w in pos if p >= 0.5), sum(w for p, w in neg if p >= 0.5)
+        assert n1 and n0 and sum(weights[r["draw"]].values()) == 30
+        want = (won / n1 / n0, (tp + n0 - fp) / 30, tp / (tp + fp) if tp + fp else 0, tp / n1, 2 * tp / (n1 + tp + fp))
+        assert (r["auc"], r["accuracy"], r["precision"], r["recall"], r["f1"]) == pytest.approx(want)
+    one = spark.createDataFrame([(1, "a", 1, 0.5)], "s long, method string, label int, p double")
+    assert metrics.resampled(one, "s", ["method"], 5).count() == 0
