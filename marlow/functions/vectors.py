@@ -39,3 +39,9 @@ def width(*tables: DataFrame) -> int:
         if r := t.where("vector IS NOT NULL").select(F.size("vector")).first():
             return r[0]
     return 0
+
+
+def padded(bag: Column, length: int, dim: int) -> Column:
+    """An array of vectors cut or filled up with zero vectors to ``length``."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return F.slice(F.concat(bag, F.array_repeat(zero, length)), 1, length)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from marlow.functions import vectors
 from marlow.plans.catalog import frame
-from marlow.plans.retrieval import _LN, _topk, hits, summaries
+from marlow.plans.retrieval import _LN, _topk, hits, mean_pooled, summaries
 
 WEIGHT = "(((i * 37) % 64) - 31.5) / CAST(64 AS DOUBLE)"
 
@@ -242,12 +242,10 @@ def mil_scores(notes, codes):
     return g.select("subject_id", "n_items", F.round(1 / (1 + F.exp(-F.col("z"))), 6).alias("p"))
 
 
-@frame("expert_scores", None, "note_vectors", "query_vectors")
-def expert_scores(notes, queries):
-    """Retrieved items of every note query through attention and an expert, with integrated gradients from two starting points: zero,
-    and the mean of the items."""
-    asked = queries.where("modality = 'Note'")
-    q = few(asked.select("query_idx", F.col("vector").alias("query")))
+@frame("expert_scores", None, "note_vectors", "code_vectors", "query_vectors")
+def expert_scores(notes, codes, queries):
+    """Retrieved items of every query through attention and an expert, with integrated gradients from two starting points: zero,
+    and the mean of the items.  A group is the few items that one query retrieved for one subject."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -256,18 +254,23 @@ def expert_scores(notes, queries):
 
         m = np.stack(pdf["vector"].to_numpy()).astype(float)
         query = np.asarray(pdf["query"].iloc[0], float)
-        e = Expert(m.shape[1], 32, 3)
+        e = Expert(m.shape[1], 32, 3 + int(pdf["query_idx"].iloc[0]))
         p = probability(query, m, e)
-        out = pd.DataFrame({"subject_id": pdf["subject_id"], "query_idx": pdf["query_idx"], "vec_id": pdf["vec_id"], "p": round(p, 6)})
+        out = pdf[["subject_id", "modality", "query_idx", "vec_id"]].assign(p=round(p, 6))
         for name, start in (("zero", np.zeros_like(m)), ("mean", np.repeat(m.mean(0, keepdims=True), len(m), 0))):
             a = integrated_gradients(query, m, e, start=start)
             out[f"from_{name}"] = a.round(6)
             out[f"gap_{name}"] = round(p - probability(query, start, e) - a.sum(), 6)
         return out
 
-    kept = hits(notes, asked, "Note").join(notes.select("vec_id", "vector"), "vec_id").join(q, "query_idx")
-    schema = "subject_id long, query_idx int, vec_id long, p double, from_zero double, gap_zero double, from_mean double, gap_mean double"
-    return kept.select("subject_id", "query_idx", "vec_id", "vector", "query").groupBy("subject_id", "query_idx").applyInPandas(run, schema)
+    kept = None
+    for modality, rows in (("Note", notes), ("Code", codes)):
+        asked = queries.where(F.col("modality") == modality)
+        k = hits(rows, asked, modality).join(rows.select("vec_id", "vector"), "vec_id").join(few(asked.select("query_idx", F.col("vector").alias("query"))), "query_idx")
+        k = k.select("subject_id", F.lit(modality).alias("modality"), "query_idx", "vec_id", "vector", "query")
+        kept = k if kept is None else kept.unionByName(k)
+    schema = "subject_id long, modality string, query_idx int, vec_id long, p double, from_zero double, gap_zero double, from_mean double, gap_mean double"
+    return kept.groupBy("subject_id", "query_idx").applyInPandas(run, schema)
 
 
 @frame("encode_chunks", None, "note_events")
@@ -282,3 +285,36 @@ def encode_chunks(notes):
             yield pd.DataFrame({"note_id": b["note_id"], "chunk_no": b["chunk_no"], "vector": [hashed_bag(c).astype("float32") for c in b["chunk"]]})
 
     return chunked(notes).select("note_id", "chunk_no", "chunk").mapInPandas(run, "note_id long, chunk_no long, vector array<float>")
+
+
+PAD = 6
+
+
+@frame(
+    "padded_bags",
+    f"""WITH r AS (SELECT subject_id, vec_id, vector, row_number() OVER (PARTITION BY subject_id ORDER BY vec_id) AS place FROM {{note_vectors}}), n AS (SELECT subject_id, least(count(*), {PAD}) AS n FROM r GROUP BY subject_id)
+        SELECT n.subject_id, CAST(t.place AS INT) AS place, t.place <= n.n AS mask, round(coalesce(CAST(r.vector[1] AS DOUBLE), 0), 6) AS first, CAST(coalesce(len(r.vector), 64) AS INT) AS width FROM n CROSS JOIN unnest(range(1, {PAD + 1})) t(place) LEFT JOIN r ON r.subject_id = n.subject_id AND r.place = t.place""",
+    "note_vectors",
+)
+def padded_bags(notes):
+    """The first vectors of each subject as a bag of fixed size, filled up with zero vectors, and a mask of what is real."""
+    dim = vectors.width(notes)
+    w = Window.partitionBy("subject_id").orderBy("vec_id")
+    first = notes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= PAD).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("place", vectors.doubles(F.col("vector")).alias("v")))).alias("x"))
+    bags = first.select("subject_id", vectors.padded(F.transform("x", lambda e: e["v"]), PAD, dim).alias("bag"), F.size("x").alias("n"))
+    rows = bags.select("subject_id", "n", F.posexplode("bag").alias("i", "v"))
+    return rows.select("subject_id", (F.col("i") + 1).cast("int").alias("place"), (F.col("i") < F.col("n")).alias("mask"), F.round(F.col("v")[0], 6).alias("first"), F.size("v").alias("width"))
+
+
+@frame("linear_probe", None, "note_vectors", "subject_labels")
+def linear_probe(notes, labels):
+    """A logistic head trained on the mean vectors of four subjects in five and asked about all: (subject_id, label, held_out, p).  The one
+    training loop of the library; its gradients are sums over the executors."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    pooled = mean_pooled(notes).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("v"))
+    rows = pooled.join(labels, "subject_id").select("subject_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("v", lambda e: e["x"])).alias("features"), (F.pmod(F.xxhash64("subject_id"), F.lit(5)) == 0).alias("held_out"))
+    model = LogisticRegression(maxIter=15, regParam=0.1).fit(rows.where("NOT held_out"))
+    p = vector_to_array("probability")
+    return model.transform(rows).select("subject_id", F.col("label").cast("int").alias("label"), "held_out", F.round(p[F.size(p) - 1], 4).alias("p"))

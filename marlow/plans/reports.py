@@ -222,6 +222,18 @@ def first_candidate_flags(reports, rollouts):
     return good.join(first, "subject_id", "left").select("subject_id", "n_flagged", "format_pass", F.coalesce(F.col("format_pass") & (F.col("n_flagged") <= 2), F.lit(False)).alias("gated"))
 
 
+@frame(
+    "judged_formats",
+    """SELECT t.subject_id, t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AS passed FROM {typed_reports} t WHERE EXISTS (SELECT 1 FROM {verdicts} v WHERE v.subject_id = t.subject_id AND lower(trim(v.trust)) = 'purchase')""",
+    "typed_reports",
+    "verdicts",
+)
+def judged_formats(reports, verdicts):
+    """Format results of the subjects that a judge saw and trusted."""
+    trusted = verdicts.where(F.lower(F.trim("trust")) == "purchase").select("subject_id")
+    return format_issues(reports).join(trusted, "subject_id", "left_semi").select("subject_id", "passed")
+
+
 @frame(
     "review_records",
     """SELECT t.subject_id, md5(t.report) AS digest, round(s.probability, 6) AS probability, length(t.report) AS n_chars FROM {typed_reports} t JOIN (SELECT DISTINCT subject_id FROM {rollouts} WHERE idx = 0 AND n_flagged <= 2) r ON r.subject_id = t.subject_id
@@ -283,12 +295,17 @@ def items(factors):
     return factors.select(F.col("doc_id").alias("subject_id"), "k", "handle", "quote", a.alias("attribution"))
 
 
-@frame("top_evidence", f"SELECT subject_id, k, attribution, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(attribution) DESC, k) AS rn FROM ({ITEMS})) WHERE rn <= 3", "factors")
-def top_evidence(factors):
+def top_items(rows):
+    """``rows`` with ``place`` by the size of their attribution in each subject; a missing one counts as 0."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("subject_id").orderBy(F.abs(F.coalesce("attribution", F.lit(0.0))).desc(), "k")
-    return items(factors).withColumn("place", F.row_number().over(w)).where("place <= 3").select("subject_id", "k", "attribution", "place")
+    return rows.withColumn("place", F.row_number().over(w))
+
+
+@frame("top_evidence", f"SELECT subject_id, k, attribution, CAST(rn AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(attribution) DESC, k) AS rn FROM ({ITEMS})) WHERE rn <= 3", "factors")
+def top_evidence(factors):
+    return top_items(items(factors)).where("place <= 3").select("subject_id", "k", "attribution", "place")
 
 
 @frame("evidence_prompt", f"SELECT subject_id, string_agg('[' || CAST(k AS STRING) || '] ' || printf('%+.4f', attribution) || ' ' || quote, chr(10) ORDER BY k) AS prompt FROM ({ITEMS}) GROUP BY subject_id", "factors")
@@ -298,11 +315,30 @@ def evidence_prompt(factors):
     return g.select("subject_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("prompt"))
 
 
-@frame("raw_evidence_card", f"SELECT subject_id, 'Subject ' || CAST(subject_id AS STRING) || ' (' || CAST(count(*) AS STRING) || ' items)' || chr(10) || string_agg('- ' || CAST(handle AS STRING), chr(10) ORDER BY k) AS card FROM ({ITEMS}) GROUP BY subject_id", "factors")
-def raw_evidence_card(factors):
-    g = items(factors).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("k", "handle"))).alias("x"))
-    lines = F.array_join(F.transform("x", lambda e: F.concat(F.lit("- "), e["handle"].cast("string"))), "\n")
-    return g.select("subject_id", F.concat(F.lit("Subject "), F.col("subject_id").cast("string"), F.lit(" ("), F.size("x").cast("string"), F.lit(" items)\n"), lines).alias("card"))
+_TOP = f"SELECT i.*, row_number() OVER (PARTITION BY subject_id ORDER BY abs(attribution) DESC, k) AS place FROM ({ITEMS}) i"
+
+
+@frame(
+    "raw_evidence_card",
+    rf"""SELECT t.subject_id, repeat('=', 72) || chr(10) || 'RAW EVIDENCE: subject ' || CAST(t.subject_id AS STRING) || chr(10) || repeat('=', 72) || chr(10) || 'Predicted probability: ' || printf('%.4f', max(s.probability)) || chr(10) || chr(10)
+          || string_agg(CAST(place AS STRING) || '. "' || trim(regexp_replace(quote, '\s+', ' ', 'g')) || '"' || chr(10) || '   Citation: ' || CASE WHEN k % 2 = 0 THEN '(ICD code: ' WHEN k = 5 THEN '(note_id: unknown' ELSE '(note_id: ' END || CASE WHEN k = 5 THEN '' ELSE CAST(handle AS STRING) END || ')' || chr(10)
+            || '   Attribution score: ' || printf('%+.4f', attribution) || chr(10), chr(10) ORDER BY place) || chr(10) || repeat('=', 72) || chr(10) AS card
+        FROM ({_TOP}) t JOIN (SELECT subject_id, probability FROM {{predictions}} WHERE method = 'm1' AND probability IS NOT NULL) s ON s.subject_id = t.subject_id WHERE place <= 4 GROUP BY t.subject_id""",
+    "factors",
+    "predictions",
+)
+def raw_evidence_card(factors, predictions):
+    """A card of the four items with the largest attribution, without any reasoning: quote, citation (unknown where there is no
+    handle) and score."""
+    scores = predictions.where("method = 'm1' AND probability IS NOT NULL").select("subject_id", "probability")
+    handle = F.when(F.col("k") != 5, F.col("handle").cast("string"))
+    top = top_items(items(factors).withColumn("handle", handle)).where("place <= 4")
+    cited = F.concat(F.when(F.col("k") % 2 == 0, "(ICD code: ").otherwise("(note_id: "), F.coalesce("handle", F.lit("unknown")), F.lit(")"))
+    text = F.trim(F.regexp_replace("quote", r"\s+", " "))
+    line = F.concat(F.col("place").cast("string"), F.lit('. "'), text, F.lit('"\n   Citation: '), cited, F.lit("\n   Attribution score: "), F.format_string("%+.4f", "attribution"), F.lit("\n"))
+    g = top.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).join(scores, "subject_id")
+    head = F.concat(F.lit(f"{p.RULE}\nRAW EVIDENCE: subject "), F.col("subject_id").cast("string"), F.lit(f"\n{p.RULE}\nPredicted probability: "), F.format_string("%.4f", "probability"), F.lit("\n\n"))
+    return g.select("subject_id", F.concat(head, F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit(f"\n{p.RULE}\n")).alias("card"))
 
 
 @frame("collect_note_ids", "SELECT doc_id AS subject_id, string_agg(CAST(handle AS STRING), ',' ORDER BY k) AS note_ids FROM (SELECT doc_id, handle, min(k) AS k FROM {factors} GROUP BY doc_id, handle) GROUP BY doc_id", "factors")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,21 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
 
 
+WEIGHTS = "name string, shape array<int>, weights array<double>"
+
+
+def write_weights(spark: SparkSession, path: str, weights: dict[str, np.ndarray], history: list[dict] | None = None) -> None:
+    """Model weights as a table of named arrays, and the history of a run (one record for each epoch) as JSON lines beside it."""
+    rows = [(name, list(w.shape), w.astype(float).ravel().tolist()) for name, w in weights.items()]
+    spark.createDataFrame(rows, WEIGHTS).write.mode("overwrite").parquet(path)
+    if history:
+        write_jsonl(spark.createDataFrame(history), f"{path}-history")
+
+
+def read_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["weights"]).reshape(r["shape"]) for r in spark.read.schema(WEIGHTS).parquet(path).collect()}
+
+
 def write_document(df: DataFrame, path: str, key: str | None = None) -> None:
     """One JSON document in one text file: an array of records, or a map by ``key``, in the order of the key (else of the records).
     For results that a person reads: they are gathered in one task."""

@@ -356,3 +356,14 @@ def test_bootstrap_against_plain_metrics(spark):
         assert (r["auc"], r["accuracy"], r["precision"], r["recall"], r["f1"]) == pytest.approx(want)
     one = spark.createDataFrame([(1, "a", 1, 0.5)], "s long, method string, label int, p double")
     assert metrics.resampled(one, "s", ["method"], 5).count() == 0
+
+
+def test_weights_and_padding(spark, tmp_path):
+    w = {"head": np.arange(6.0).reshape(2, 3), "bias": np.array([0.5])}
+    io.write_weights(spark, f"{tmp_path}/w", w, [{"epoch": 1, "auc": 0.5}, {"epoch": 2, "auc": 0.6}])
+    got = io.read_weights(spark, f"{tmp_path}/w")
+    assert set(got) == set(w) and all((got[k] == w[k]).all() and got[k].shape == w[k].shape for k in w)
+    assert spark.read.json(f"{tmp_path}/w-history").count() == 2
+    df = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [[1.0, 1.0]] * 4), (3, [])], "k long, bag array<array<double>>")
+    got = {r["k"]: r["p"] for r in df.select("k", vectors.padded(F.col("bag"), 3, 2).alias("p")).collect()}
+    assert got == {1: [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]], 2: [[1.0, 1.0]] * 3, 3: [[0.0, 0.0]] * 3}
