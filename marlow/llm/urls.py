@@ -180,7 +180,9 @@ def judged(pages: DataFrame) -> DataFrame:
         score = found.groupBy("sid").agg(mean(judging).alias("score"), F.when(F.count_if(~judging) > 0, mean(~judging)).alias("blind"))
         scored = written(all_.join(score, "sid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
         limit = threshold(scored.where("n_seed > 0").select("bad", F.coalesce("blind", "score").alias("score")))
-        rows = looked_up(urls.withColumn("shape", shape()), scored.select("shape", "n", "score"), "shape", scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        known_as = F.concat("host", F.lit(START), "shape")  # hosts that differ in their digits share shapes
+        keyed = urls.withColumn("shape", shape()).withColumn("key", known_as).drop("shape")
+        rows = looked_up(keyed, scored.select(known_as.alias("key"), "n", "score"), "key", scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         name, said = rule()
         block = (F.col("host") != "") & (F.col("score") > F.lit(limit))
         return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(said, F.when(block, "block").otherwise("allow")).alias("verdict"), F.round("score", 6).alias("score"), F.lit(round(limit, 6)).alias("threshold"))

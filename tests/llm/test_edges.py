@@ -173,4 +173,6 @@ def test_urls(spark):
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and got[4] == ("a.net", "/es/", "net/es/", "block") and got[5][:3] == ("a.com", "", None)
     assert urls.threshold(spark.createDataFrame([(False, -2.0), (True, -1.0)], "bad boolean, score double")) < 0  # empty hosts are allowed even so
+    alike = spark.createDataFrame([(1, "http://a1.org/x"), (2, "http://a2.org/x"), (3, "http://a2.org/x"), (4, "http://a2.org/7"), (5, "http://a2.org/8")], "page_id long, url string")
+    assert sorted(r["page_id"] for r in urls.judged(alike).collect()) == [1, 2, 3, 4, 5]
     assert urls.judged(df).count() == 7 and urls.judged(df.limit(0)).count() == 0
