@@ -54,6 +54,7 @@ RECORDS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER B
 def records(notes, codes, labels):
     """(subject_id, label, num_notes, num_codes, text): the whole history of each subject."""
     line = F.concat(F.coalesce("note_type", F.lit("")), F.lit(" at age "), F.col("age").cast("string"), F.lit(", "), F.col("days").cast("string"), F.lit(" days\n"), F.col("text"))
+    notes, codes = (x.join(labels.select("subject_id"), "subject_id", "left_semi") for x in (notes, codes))
     n = notes.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("charttime", "note_id", line.alias("line")))).alias("items"))
     n = n.select("subject_id", F.size("items").cast("long").alias("num_notes"), F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[Note "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("notes"))
     first = codes.groupBy("subject_id", "code", "version").agg(F.max_by(F.struct("days", "title", "ord"), F.struct("days", -F.col("ord"))).alias("c"))
