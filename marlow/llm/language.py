@@ -109,6 +109,38 @@ def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return out, owner, has
 
 
+def stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(packed sequences, owner of each, has a letter by text) of all ``texts``, at most some PIECE characters at once: short texts
+    together, and a longer one in slices that go on where the one before ended."""
+    for lo, hi in _pieces(texts):
+        for k in (k for k in range(lo, hi) if len(texts[k] or "") > PIECE):
+            yield from _sliced(texts[k], k, len(texts))
+        short = [t if len(t or "") <= PIECE else None for t in texts[lo:hi]]
+        seqs, owner, own = sequences(short)
+        has = np.zeros(len(texts), bool)
+        has[lo:hi] = own
+        yield seqs, owner + lo, has
+
+
+def _sliced(text: str, k: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    table, is_letter = letters()
+    before, in_word = np.full(ORDER - 1, BLANK, np.uint16), False
+    for at in range(0, len(text), PIECE):
+        code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+        low = table[code]
+        word = low != BLANK
+        kept = low[word | np.r_[in_word, word[:-1]]]
+        in_word = bool(word[-1])
+        line = np.r_[before, kept]
+        before = line[len(line) - ORDER + 1 :]
+        out = np.zeros(len(kept), _U)
+        for back in range(ORDER):
+            out |= line[ORDER - 1 - back : len(line) - back].astype(_U) << _U(16 * back)
+        has = np.zeros(n, bool)
+        has[k] = is_letter[code].any()
+        yield out, np.full(len(out), k), has
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -202,18 +234,19 @@ class Model:
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sum of log probabilities of this block's sequences by text and language, characters of
         the whole text, has a letter)."""
-        seqs, owner, has = sequences(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        if self.parts != (0, PARTS):
-            part = part_of(seqs)
-            mine = (part >= self.parts[0]) & (part < self.parts[1])
-            seqs, owner = seqs[mine], owner[mine]
-        total = np.zeros((len(texts), len(self.langs)))
+        total, n, has = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
         step = max(1, PIECE // max(1, len(self.langs) // 8))
-        for at in range(0, len(seqs), step):
-            own = owner[at : at + step]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total[own[first]] += np.add.reduceat(self._logs(seqs[at : at + step], ORDER), first, axis=0, dtype=np.float64)
+        for seqs, owner, own_has in stretches(texts):
+            n += np.bincount(owner, minlength=len(texts))
+            has |= own_has
+            if self.parts != (0, PARTS):
+                part = part_of(seqs)
+                mine = (part >= self.parts[0]) & (part < self.parts[1])
+                seqs, owner = seqs[mine], owner[mine]
+            for at in range(0, len(seqs), step):
+                own = owner[at : at + step]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                total[own[first]] += np.add.reduceat(self._logs(seqs[at : at + step], ORDER), first, axis=0, dtype=np.float64)
         return total, n, has
 
 
@@ -255,8 +288,8 @@ def counted(docs: DataFrame) -> DataFrame:
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for lang in set(langs):
                 mine = [t for t, x in zip(texts, langs) if x == lang]
-                for lo, hi in _pieces(mine):
-                    keys, n = np.unique(sequences(mine[lo:hi])[0], return_counts=True)
+                for seqs, _, _ in stretches(mine):
+                    keys, n = np.unique(seqs, return_counts=True)
                     held.setdefault(lang, []).append((keys, n))
                     if len(held[lang]) >= 32:
                         held[lang] = [merge(held[lang])]

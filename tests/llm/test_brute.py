@@ -164,6 +164,17 @@ def test_op2_is_kneser_ney_however_the_blocks_are_cut(spark):
     assert [v for r in many for v in r[2:]] == pytest.approx([v for r in one for v in r[2:]], rel=1e-5)
 
 
+def test_op2_long_texts_in_slices(monkeypatch):
+    texts = ["ab", "one, two  thréé! 4 five\u0301 six", None, "x" * 9 + " - yy", "", "end"]
+    whole = language.sequences(texts)
+    for piece in (1, 2, 5, 1000):
+        monkeypatch.setattr(language, "PIECE", piece)
+        parts = list(language.stretches(texts))
+        got = sorted((k, i, int(s)) for k in range(len(texts)) for i, s in enumerate(np.concatenate([q[o == k] for q, o, _ in parts])))
+        want = sorted((k, i, int(s)) for k in range(len(texts)) for i, s in enumerate(whole[0][whole[1] == k]))
+        assert got == want and np.any([h for _, _, h in parts], axis=0).tolist() == whole[2].tolist()
+
+
 def test_op2_model_adds_up(spark):
     df = spark.createDataFrame([(1, "abracadabra cab", "x"), (2, "bad cab", "x")], "doc_id long, text string, lang string")
     m = language.trained(df).block(0)
