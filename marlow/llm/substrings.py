@@ -28,6 +28,7 @@ numbered in their order first; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,8 @@ NO_ID = np.iinfo(np.int64).max
 UNITS = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1", len(LADDER)), ("post", "u1", len(LADDER))])
 FOUND = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1"), ("post", "u1")])
 
-#: Gear values; byte 0 has none, so that padding between texts leaves no trace.
-GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(1, 256)], np.uint32)
+#: Gear values (the low byte is all that counts); byte 0 has none, so that padding between texts leaves no trace.
+GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 7) & 255 for b in range(1, 256)], np.uint8)
 #: An odd number and its inverse modulo 2**64, for hashes of any stretch from one running sum.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -67,7 +68,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 def boundaries(data: np.ndarray) -> np.ndarray:
     """Places in ``data`` (uint8) before which a chunk may end, by content alone."""
-    h = GEAR[data].astype(np.uint8)
+    h = GEAR[data]
     step = 1
     while step < 8:  # the sum over 2 * step bytes from two sums over step bytes
         h[step:] = h[step:] + (h[:-step] << np.uint8(step))
@@ -96,29 +97,38 @@ def chunk_edges(data: bytes, edges: np.ndarray) -> list[int]:
     return out
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
+@cache
+def _powers(base: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64, enough for one slice of :func:`rungs`."""
+    x = np.full(PIECE + RUN * FAR + 2 * LADDER[-1] + 2, base, np.uint64)
     x[0] = 1
     return np.multiply.accumulate(x)
 
 
 def rungs(line: np.ndarray, starts: np.ndarray, ends: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (1 to 255; 0 where the text ends before) of the LADDER's stretches of ``line`` that end at ``starts``
-    and that begin at ``ends``, within texts from ``lows`` to ``highs``."""
-    total = np.r_[np.uint64(0), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _powers(len(line), BASE))]
-    back = _powers(len(line) + 1, INVERSE)
-
-    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = (total[b] - total[a]) * back[a]
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(BASE)
-        return np.maximum(x >> np.uint64(56), np.uint64(1)).astype(np.uint8)
-
+    and that begin at ``ends``, within texts from ``lows`` to ``highs``; ``starts`` ascend, and PIECE bytes are hashed at once."""
     pre, post = np.zeros((len(starts), len(LADDER)), np.uint8), np.zeros((len(starts), len(LADDER)), np.uint8)
-    for k, n in enumerate(LADDER):
-        fit = np.flatnonzero(starts - n >= lows)
-        pre[fit, k] = hashed(starts[fit] - n, starts[fit])
-        fit = np.flatnonzero(ends + n <= highs)
-        post[fit, k] = hashed(ends[fit], ends[fit] + n)
+    at = 0
+    while at < len(starts):
+        stop = int(np.searchsorted(starts, starts[at] + PIECE))
+        lo = max(0, int(starts[at]) - LADDER[-1])
+        data = line[lo : int(ends[at:stop].max()) + LADDER[-1]].astype(np.uint64) + np.uint64(1)
+        total = np.r_[np.uint64(0), np.cumsum(data * _powers(BASE)[: len(data)])]
+        back = _powers(INVERSE)
+
+        def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            x = (total[b] - total[a]) * back[a]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(BASE)
+            return np.maximum(x >> np.uint64(56), np.uint64(1)).astype(np.uint8)
+
+        s, e = starts[at:stop], ends[at:stop]
+        for k, n in enumerate(LADDER):
+            fit = np.flatnonzero(s - n >= lows[at:stop])
+            pre[at + fit, k] = hashed(s[fit] - n - lo, s[fit] - lo)
+            fit = np.flatnonzero(e + n <= highs[at:stop])
+            post[at + fit, k] = hashed(e[fit] - lo, e[fit] + n - lo)
+        at = stop
     return pre, post
 
 

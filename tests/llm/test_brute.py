@@ -566,6 +566,23 @@ def test_op10_finds_passages_of_short_words(spark):
     assert all(i % 2 for i in found) and len(found) >= 295
 
 
+def test_op10_rungs_in_slices(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)).encode() for n in (5000, 0, 40, 30_000)]
+    whole = substrings.units(texts, [1, 2, 3, 4], [0] * 4)
+    for piece in (100, 7000):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        substrings._powers.cache_clear()
+        assert (substrings.units(texts, [1, 2, 3, 4], [0] * 4) == whole).all()
+    substrings._powers.cache_clear()
+    same = {}  # equal stretches have equal hashes wherever they stand
+    for u in whole.tolist():
+        t = texts[u[2] - 1]
+        for n, h in zip(substrings.LADDER, u[6]):
+            part = t[max(0, u[4] - n) : u[4]] if u[4] >= n else None
+            assert (h == 0) == (part is None) and (part is None or same.setdefault(part, h) == h)
+
+
 def test_op10_against_all_units(spark, docs):
     texts = [(d["text"] or "").encode() for d in docs.values()]
     df = spark.createDataFrame([(i, d["text"]) for i, d in docs.items()], "doc_id long, text string")
