@@ -22,7 +22,8 @@ rows like others; an empty table gives an empty result; other columns pass throu
 :func:`mixed`, but that columns of the new names give way; a source without a weight,
 or a weight not above 0, raises ValueError, since its rows would be lost.
 The table of sources (one row each) and the period (``max(10000, 64 * sources)``
-slots) go to the driver: sources are corpora or hosts groups, not documents.
+slots) go to the driver and are broadcast: sources are corpora or groups of hosts, not documents, and more than
+``SOURCES`` of them are refused with ValueError.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from marlow.llm.shared import lasting, numbered, packed, shuffle_width, small, u
 #: Rows in a block.
 BLOCK = 16
 ALPHA = 0.7
+#: Most sources, so that the period has 1.28 million slots at most.
+SOURCES = 20_000
 
 
 def parts_of(weights: dict, parts: int) -> dict:
@@ -81,7 +84,9 @@ def mixed(rows: DataFrame, weights: dict | None = None, block: int = BLOCK, alph
     kind = dict(rows.dtypes)["source"]
     placed = numbered(rows, [F.col("source"), F.xxhash64("doc_id"), F.col("doc_id")], grouped=True)
     kept = unpacked(rows.columns, new)
-    n = {r["k0"]: r["n"] for r in placed.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r["k0"]: r["n"] for r in placed.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()}
+    if len(n) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources; group them first")
     if not n:
         return placed.select(*kept, *[F.lit(0).cast("long").alias(c) for c in new])
     if weights is None:

@@ -104,13 +104,16 @@ def test_sharding(docs, none):
     assert sharding.sharded(none).count() == 0
 
 
-def test_mixing(docs, none):
+def test_mixing(docs, none, monkeypatch):
     got = mixing.mixed(docs, block=2)
     assert got.where("epoch = 0").count() == docs.count()
     assert mixing.arranged(docs).columns == docs.columns
     assert mixing.mixed(none).count() == 0 and mixing.arranged(none).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(docs, {"s": 1.0})
+    monkeypatch.setattr(mixing, "SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mixed(docs)
 
 
 def test_substrings(spark, docs, none):
