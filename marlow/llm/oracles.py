@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from marlow.llm import chat, decontamination, licences, quality, urls
+from marlow.llm import chat, compression, decontamination, licences, quality, resampling, urls
 
 # -- op3: the measures by plain list functions; verdicts from the same threshold table.
 
@@ -127,4 +127,45 @@ SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.said, CASE WHEN u.host <> '
 FROM u CROSS JOIN lim LEFT JOIN sc ON sc.host = u.host AND sc.shape = u.shape
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op7_licence_scan": OP7, "op8_decontamination": OP8}
+# -- op11: words as rows; CRC-32 by its table over the bytes of each distinct word.
+
+OP11 = f"""
+WITH bits AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([CAST(i AS UBIGINT)], list_transform(range(8), lambda k: CAST(0 AS UBIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS word FROM texts),
+n AS (SELECT side, id, word, count(*) AS n FROM w GROUP BY ALL),
+d AS (SELECT word, hex(word) AS h FROM (SELECT DISTINCT word FROM n)),
+b AS (SELECT word, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS UBIGINT))), lambda c, x: xor(c >> 8, bits.tab[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), CAST(4294967295 AS UBIGINT)) % {resampling.BUCKETS} AS bucket FROM d, bits),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM n JOIN b USING (word) GROUP BY bucket),
+z AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + {resampling.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (all_t + {resampling.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM c, z),
+f AS (SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM n JOIN b USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS UBIGINT)::DOUBLE AS h FROM documents LEFT JOIN f USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.LEAST} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= {resampling.LEAST}) OVER () AS can FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.LEAST} AND place <= {resampling.PERCENT} * can // 100 THEN place END AS rank FROM o
+"""
+
+# -- op12: plain rounds, one table of parts and one of entries for each.
+
+_W = compression.SCALE
+
+
+def _round(k: int) -> str:
+    """Every part's nearest entry of codebook ``k`` and the codebook that follows."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT p, id, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT v.p, v.id, v.x, c.e, list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x) AS d FROM v JOIN c{k} c ON v.p = c.p) GROUP BY p, id),
+m{k} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, floor(sum(x) / count(*)) AS m FROM (SELECT p, e, unnest(range(len(x))) AS i, unnest(x) AS x FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.e = c.e)"""
+
+
+OP12 = f"""
+WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor({_W} * y::DOUBLE)) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS id FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS MATERIALIZED (SELECT id, p, x[p * len(x) // {compression.PARTS} + 1 : (p + 1) * len(x) // {compression.PARTS}] AS x FROM u, range({compression.PARTS}) t(p)),
+c0 AS (SELECT p, id AS e, x FROM v WHERE id < {compression.ENTRIES}),{",".join(_round(k) for k in range(compression.ROUNDS + 1))},
+r AS (SELECT id, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{compression.ROUNDS} GROUP BY id),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{compression.ROUNDS})
+SELECT u.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY u.label) AS BIGINT) AS label_error, s.codebooks_sha256 FROM u JOIN r USING (id), s
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op3_quality_rules": OP3, "op4_chat_formatting": OP4, "op7_licence_scan": OP7, "op8_decontamination": OP8, "op11_resampling": OP11, "op12_compression": OP12}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlow.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, substrings, urls
+from marlow.llm import chat, compression, decontamination, language, licences, mixing, neardup, packing, quality, resampling, sharding, substrings, urls
 from marlow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -16,4 +16,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_compression": compression.op12_compression,
+    "op13_packing": packing.op13_packing,
 }
