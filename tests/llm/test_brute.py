@@ -488,14 +488,37 @@ def test_op8_short_and_scattered_items_against_brute_force(spark):
     assert len(want) > 400 and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
-def test_op9_is_within_a_block_of_the_target():
-    parts = mixing.parts_of({"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.37}, 1000)
-    assert sum(parts.values()) == 1000
-    seen = Counter()
-    for t, s in enumerate(mixing.period(parts), 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * parts[x] / 1000) < 1 for x in parts)
-    assert seen == parts
+def follow(plan, had, begin, slots):
+    """Check that the given slots follow on one another and stay within less than a block of the weights."""
+    had = list(had)
+    for t, (s, i, slot) in enumerate(slots, begin):
+        assert slot == t and i == had[s]
+        had[s] += 1
+        assert plan.release(s, i) <= t < plan.deadline(s, i)
+        for x in range(len(had)) if t % 7 == 0 else (s,):
+            assert abs(had[x] * plan.down[x] - (t + 1) * plan.up[x]) < plan.down[x]
+    return had
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_op9_is_within_a_block_of_the_target(seed):
+    rng = np.random.default_rng(seed)
+    raw = [[1, 1, 1], [0.1] * 10, [5.0, 3.0, 1.0, 0.37], [0.3, 0.3, 0.3, 0.05, 0.05]][seed] if seed < 4 else (rng.random(int(rng.integers(2, 40))) ** 3 + 0.01).tolist()
+    plan = mixing.Pfair(list(mixing.exact(dict(enumerate(raw))).values()))
+    had, size = [0] * len(raw), plan.back + int(rng.integers(0, 50))
+    for f in range(8):  # frames made apart fit together
+        assert had == plan.border(f * size)
+        had = follow(plan, had, f * size, plan.frame(f * size, (f + 1) * size))
+
+
+def test_op9_does_not_drift():
+    for raw in ([1 / 3, 1 / 3, 1 / 3], [1.0, 2.0, 1e-4, 0.7], [1 / 3, 1 / 3, 1e-6]):
+        share = mixing.exact(dict(enumerate(raw)))
+        plan = mixing.Pfair(list(share.values()))
+        for t in (10, 10_000, 10_000_000):
+            had = plan.border(t)
+            assert sum(had) == t and all(abs(h - t * w) < 1 for h, w in zip(had, share.values()))
+            follow(plan, had, t, list(plan.run(list(had), t, t + 3000)))
 
 
 def test_op9_against_a_schedule_slot_by_slot(spark):
@@ -503,24 +526,35 @@ def test_op9_against_a_schedule_slot_by_slot(spark):
     by = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
         by[r["source"]].append(r["doc_id"])
-    parts = mixing.parts_of({s: len(v) ** mixing.ALPHA for s, v in by.items()}, 10_000)
-    blocks = {s: -(-len(v) // mixing.BLOCK) for s, v in by.items()}
     order = sorted(by, key=lambda s: (s is not None, str(s)))
-    given, slots = Counter(), []
-    while any(given[s] < blocks[s] for s in by):  # earliest deadline first among the released blocks
-        t = len(slots)
-        released = [s for s in order if given[s] * 10_000 // parts[s] <= t]
-        s = min(released, key=lambda s: (-(-(given[s] + 1) * 10_000 // parts[s]), order.index(s)))
-        slots.append((s, given[s]))
-        given[s] += 1
-    want = Counter()
-    for t, (s, i) in enumerate(slots):
-        b = i % blocks[s]
-        want.update((d, s, b, k, i // blocks[s], t) for k, d in enumerate(by[s][b * mixing.BLOCK : (b + 1) * mixing.BLOCK]))
+    share = mixing.exact({s: len(by[s]) ** mixing.ALPHA for s in order})
+    plan = mixing.Pfair([share[s] for s in order])
+    blocks = [-(-len(by[s]) // mixing.BLOCK) for s in order]
+    end = max(-(-b // share[s]) for s, b in zip(order, blocks))
+    left, want = set(range(len(order))), Counter()
+    for k, i, t in plan.frame(0, end):
+        d, b = by[order[k]], i % blocks[k]
+        want.update((x, order[k], b, j, i // blocks[k], t) for j, x in enumerate(d[b * mixing.BLOCK : (b + 1) * mixing.BLOCK]))
+        left -= {k} if i + 1 == blocks[k] else set()
+        if not left:
+            break
     got = Counter((r["doc_id"], r["source"], r["block"], r["in_block"], r["epoch"], r["slot"]) for r in result(spark, "op9_mixing"))
     assert got == want
 
 
+@pytest.mark.parametrize("slots", [0, 1 << 19])
+def test_op9_in_many_frames(spark, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SLOTS", slots)  # the schedule joined by shuffle, and by broadcast
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.least(F.floor(F.log2(F.col("id") + 1)), F.lit(8))).alias("source"))
+    got = mixing.mixed(df, {f"s{k}": 1 + k / 3 for k in range(9)}, block=3, frame=8)
+    rows = got.select("source", "block", "epoch", "slot").distinct().orderBy("slot").collect()
+    assert [r["slot"] for r in rows] == list(range(len(rows))) and got.where("epoch = 0").count() == 4000
+    total, seen = sum(1 + k / 3 for k in range(9)), Counter()
+    for t, r in enumerate(rows, 1):
+        seen[r["source"]] += 1
+        assert abs(seen[r["source"]] - t * (1 + int(r["source"][1:]) / 3) / total) < 1
+
+
 def test_op9_schedules_all(spark):
     df = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 700, "big").when(F.col("id") < 850, "mid").alias("source"))
     got = mixing.mixed(df, {"big": 1.0, "mid": 1.0, None: 2.0}, block=10).collect()
