@@ -15,7 +15,8 @@ equal, is reported and cut.
 
 Distribution: each task chunks its rows and settles digests among them first
 (one entry for each digest and its first row goes on, the rest is known to be
-duplicate), which takes a hot passage out of the shuffle.  Entries travel as packed
+duplicate), which takes a hot passage out of the shuffle; equal rows are chunked once, and places of a row at even
+steps with the same digest and surroundings are one entry, so neither copies of a row nor repeats within it add to what is sent.  Entries travel as packed
 arrays, one row for each task and bucket; a bucket is sorted in numpy, one at a
 time.  Buckets follow the number of shuffle partitions.
 
@@ -56,8 +57,8 @@ PIECE, SETTLE = 1 << 21, 1 << 20
 
 PAD = bytes(32)
 NO_ID = np.iinfo(np.int64).max
-UNITS = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1", len(LADDER)), ("post", "u1", len(LADDER))])
-FOUND = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1"), ("post", "u1")])
+UNITS = np.dtype([("d1", "<u8"), ("d2", "<u4"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("pre", "u1", len(LADDER)), ("post", "u1", len(LADDER)), ("step", "<i4"), ("times", "<i4")])
+FOUND = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("start", "<i4"), ("size", "<u2"), ("step", "<i4"), ("times", "<i4"), ("pre", "u1"), ("post", "u1")])
 
 #: Gear values (the low byte is all that counts); byte 0 has none, so that padding between texts leaves no trace.
 GEAR = np.array([0] + [xxhash.xxh32_intdigest(bytes([b]), 7) & 255 for b in range(1, 256)], np.uint8)
@@ -153,6 +154,7 @@ def units(texts: list[bytes], docs: list[int], subs: list[int]) -> np.ndarray:
             u = np.zeros(len(starts), UNITS)
             both = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts, ends)]), "<u8").reshape(-1, 2)
             u["d1"], u["d2"], u["doc"], u["sub"], u["start"] = both[:, 0], both[:, 1] & np.uint64(0xFFFFFFFF), docs[g], subs[g], starts
+            u["times"] = 1
             u["size"] = np.array(ends) - np.array(starts)
             mine.append(u)
             spans.append((at, at + len(data), len(u)))
@@ -180,19 +182,96 @@ def settled(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(units of the first row with their digest, duplicates found)."""
     if not len(u):
         return u, np.empty(0, FOUND)
-    u = u[np.lexsort((u["sub"], u["doc"], u["d2"], u["d1"]))]
+    u = u[np.lexsort((u["start"], u["sub"], u["doc"], u["d2"], u["d1"]))]
     d1, d2, doc, sub = (np.ascontiguousarray(u[c]) for c in ("d1", "d2", "doc", "sub"))
     new = np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     own = (doc == doc[first]) & (sub == sub[first])
     rest, kept = u[~own], u[first[~own]]
     found = np.empty(len(rest), FOUND)
-    for c in ("doc", "sub", "start", "size"):
+    for c in ("doc", "sub", "start", "size", "step", "times"):
         found[c] = rest[c]
     for c in ("pre", "post"):
         same = np.logical_and.accumulate((rest[c] == kept[c]) & (rest[c] != 0), axis=1).sum(1)
         found[c] = np.array((0, *LADDER), np.uint8)[same]
-    return u[own], found
+    return joined_places(u[own]), found
+
+
+def joined_places(u: np.ndarray) -> np.ndarray:
+    """Units of a row with equal digest, size and surroundings at even steps as one entry (their places ascend): a row that
+    repeats a passage sends it once."""
+    if len(u) < 2 or (u["times"] > 1).any():
+        return u
+    like = np.ones(len(u) - 1, bool)
+    for c in ("d1", "d2", "doc", "sub", "size"):
+        like &= u[c][1:] == u[c][:-1]
+    for c in ("pre", "post"):
+        like &= (u[c][1:] == u[c][:-1]).all(1)
+    step = np.diff(u["start"])
+    cut = np.r_[True, ~like]  # where another entry begins, at least
+    uneven = np.r_[False, False, step[1:] != step[:-1]]
+    cut |= uneven & ~np.r_[True, cut[:-1]]
+    at = np.flatnonzero(cut)
+    out = u[at].copy()
+    out["times"] = np.diff(np.r_[at, len(u)])
+    several = out["times"] > 1
+    out["step"][several] = step[at[several]]
+    return out
+
+
+def placed(f: np.ndarray) -> np.ndarray:
+    """What was found, each place alone again."""
+    if (f["times"] == 1).all():
+        return f
+    out = np.repeat(f, f["times"])
+    nth = np.arange(len(out)) - np.repeat(np.cumsum(f["times"]) - f["times"], f["times"])
+    out["start"] += (nth * out["step"]).astype(np.int32)
+    out["times"] = 1
+    return out
+
+
+def _sent(bucket: list[int], kind: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def entries(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a task sends of its rows (doc_id, sub, text): one entry for each digest and its first row by bucket (kind 0), and
+    the duplicates of these (kind 1).  Equal rows are chunked once between two settlements."""
+    held: list[np.ndarray] = []
+    seen: set[tuple[int, int]] = set()
+    count = 0
+
+    def out() -> pa.RecordBatch:
+        own, found = settled(np.concatenate(held))
+        bucket, kind, blob = [], [], []
+        # Units are in the order of d1, and so buckets are ranges of it.
+        cuts = np.searchsorted(own["d1"], np.array([((1 << 64) * b + buckets - 1) // buckets for b in range(1, buckets)], np.uint64)) if buckets > 1 else np.empty(0, int)
+        for b, part in enumerate(np.split(own, cuts)):
+            if len(part):
+                bucket.append(b), kind.append(0), blob.append(part.tobytes())
+        if len(found):
+            for b, part in enumerate(np.array_split(found, min(buckets, 1 + len(found) // 4096))):
+                bucket.append(int((int(part["doc"][0]) + b) % buckets)), kind.append(1), blob.append(part.tobytes())
+        return _sent(bucket, kind, blob)
+
+    for batch in batches:
+        rows = [(NO_ID if d is None else d, s) for d, s in zip(batch.column("doc_id").to_pylist(), batch.column("sub").to_pylist())]
+        fresh = []
+        for k, row in enumerate(rows):
+            if row not in seen:
+                seen.add(row)
+                fresh.append(k)
+        column = batch.column("text")
+        texts = [(column[k].as_py() or "").encode("utf-8", "surrogatepass") for k in fresh]
+        u = units(texts, [rows[k][0] for k in fresh], [rows[k][1] for k in fresh])
+        held.append(u)
+        count += len(u)
+        if count >= SETTLE:
+            yield out()
+            held, count = [], 0
+            seen.clear()
+    if held:
+        yield out()
 
 
 def duplicate_units(docs: DataFrame) -> DataFrame:
@@ -200,44 +279,13 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
     the UTF-8 text; ``sub`` is the text's hash, ``pre`` and ``post`` how far the match goes on."""
     buckets = 4 * shuffle_width(docs.sparkSession)
 
-    def rows(bucket: list[int], kind: list[int], blob: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        count = 0
-
-        def out() -> pa.RecordBatch:
-            own, found = settled(np.concatenate(held))
-            bucket, kind, blob = [], [], []
-            # Units are in the order of d1, and so buckets are ranges of it.
-            cuts = np.searchsorted(own["d1"], np.array([((1 << 64) * b + buckets - 1) // buckets for b in range(1, buckets)], np.uint64)) if buckets > 1 else np.empty(0, int)
-            for b, part in enumerate(np.split(own, cuts)):
-                if len(part):
-                    bucket.append(b), kind.append(0), blob.append(part.tobytes())
-            if len(found):
-                for b, part in enumerate(np.array_split(found, min(buckets, 1 + len(found) // 4096))):
-                    bucket.append(int((int(part["doc"][0]) + b) % buckets)), kind.append(1), blob.append(part.tobytes())
-            return rows(bucket, kind, blob)
-
-        for batch in batches:
-            ids = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
-            u = units(texts, ids, batch.column("sub").to_pylist())
-            held.append(u)
-            count += len(u)
-            if count >= SETTLE:
-                yield out()
-                held, count = [], 0
-        if held:
-            yield out()
-
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def give(f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(f), 1 << 16):
-                p = f[k : k + (1 << 16)]
+            total = np.cumsum(f["times"])
+            for few in np.split(f, np.searchsorted(total, np.arange(1 << 16, total[-1] if len(f) else 0, 1 << 16))):
+                p = placed(few)
                 cols = [pa.array(p["doc"].copy(), mask=p["doc"] == NO_ID), pa.array(p["sub"].copy()), *[pa.array(p[c].astype(np.int32)) for c in ("start", "size", "pre", "post")]]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sub", "start", "size", "pre", "post"])
 
@@ -254,7 +302,7 @@ def duplicate_units(docs: DataFrame) -> DataFrame:
         if held:
             yield from give(settled(np.concatenate(held))[1])
 
-    sent = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("sub"), F.col("text").cast("string")).mapInArrow(lambda b: lean(chunked(b)), "bucket int, kind int, blob binary")
+    sent = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("sub"), F.col("text").cast("string")).mapInArrow(lambda b: lean(entries(b, buckets)), "bucket int, kind int, blob binary")
     return sent.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: lean(merged(b)), "doc_id long, sub long, start int, size int, pre int, post int")
 
 

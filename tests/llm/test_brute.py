@@ -669,3 +669,29 @@ def test_pipeline_stages(spark, docs):
     assert set(kept["mixing"]) == set(kept["decontamination"]) and kept["sharding"] == kept["mixing"]
     loads = Counter(r["shard"] for r in df.collect())
     assert max(loads.values()) - min(loads.values()) <= 1
+
+
+def test_op10_sends_equal_rows_and_repeats_once():
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(300))
+    repeated = "some words that come again and again, " * 500
+
+    def sent(rows):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([hash(r[1]) for r in part], pa.int64()), pa.array([r[1] for r in part])], ["doc_id", "sub", "text"]) for part in (rows[k : k + 1000] for k in range(0, len(rows), 1000))]
+        return sum(len(b) for out in substrings.entries(iter(batches), 8) for b in out.column("blob").to_pylist())
+
+    for i in (7, None):
+        assert sent([(i, text)] * 100_000) == sent([(i, text)])
+    assert sent([(1, repeated)]) < 100 * substrings.UNITS.itemsize
+
+
+def test_op10_finds_all_places_of_a_repeated_passage(spark):
+    repeated = "some words that come again and again, " * 500
+    rows = [(1, repeated), (2, "Here first: " + repeated + "end"), (2, "Here first: " + repeated + "end"), (0, "Another start " + repeated[:3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)  # each row a task of its own
+    one = sorted(map(tuple, substrings.duplicate_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()))
+    got = sorted(map(tuple, substrings.duplicate_spans(df).collect()))
+    assert got == one and {r[0] for r in got} == {1, 2}
+    long = {r[0]: r[3] for r in got}
+    assert long[1] > 18_900 and long[2] > 18_900
