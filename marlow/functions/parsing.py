@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-HEADERS = ("Mortality Assessment", "Predictive Factors", "Overall Reasoning", "Recommendations")
-
-
 #: Fixed value: how a probability is written where the completion is no JSON.
 PROBABILITY = r'(?i)"probability"\s*:\s*([01](?:\.\d+)?|\.\d+)'
 
@@ -127,7 +124,7 @@ def answers(rows: DataFrame, column: str) -> DataFrame:
 
 
 #: Fixed value: a heading by which a damaged wrapper is still known to hold a report.
-KNOWN_HEADING = r"(?i)(?:\[|\*\*)?\s*(?:Prediction|Predictive\s+Factors|Reasoning\s+Lens|Recommendations|Mortality\s+Assessment|Overall\s+Reasoning)"
+KNOWN_HEADING = r"(?i)(?:\[|\*\*)?\s*(?:Prediction|Predictive\s+Factors|Reasoning\s+Lens|Recommendations)"
 _ESCAPES = {'"': '"', "n": "\n", "t": "\t", "r": "\r", "\\": "\\"}
 
 
@@ -247,7 +244,7 @@ def fuzzy(quote: pd.Series, source: pd.Series) -> pd.Series:
 
 
 #: Fixed value: section headings, in brackets, in bold or bare.
-SECTION = r"(?im)^\s*(?:\*\*|\[)?\s*(?:Prediction\b|Predictive\s+Factors\b|Reasoning\s+Lens\b|Recommendation|Mortality\s+Assessment\b|Overall\s+Reasoning\b)[^\n]*"
+SECTION = r"(?im)^\s*(?:\*\*|\[)?\s*(?:Prediction\b|Predictive\s+Factors\b|Reasoning\s+Lens\b|Recommendation)[^\n]*"
 
 
 def renumber(report: str | None) -> str | None:
@@ -276,34 +273,57 @@ def renumbered(s: pd.Series) -> pd.Series:
     return s.map(renumber)
 
 
+#: How a line begins that heads a section (brackets, bold or bare), the headings that a valid report has, those
+#: that end the factors, what ends a factor's evidence, a citation, and marks that are no part of a quote.
+HEADING = r"^\s*(?:\*\*|\[)?\s*"
+REQUIRED = (r"Prediction\b", r"Predictive\s+Factors\b", r"Reasoning\s+Lens\b", r"Recommendation")
+AFTER_FACTORS = r"(?:Reasoning\s+Lens|Recommendations)\b"
+NUMBERED = r"^\s*\d+\.\s+"
+EVIDENCE_LABEL = r"Supporting\s+evidence\s*:"
+AFTER_EVIDENCE = r"\n\s*(?:Reasoning\s*[:\-]|Consideration\s*[:\-]|\d+\.\s+(?:Factor|Consideration)|\[)"
+CITATION = r"(?i)\(\s*(note_id|ICD\s*code)\s*:\s*([^)\s,;]+)"
+QUOTE_MARKS = "\"'`“”‘’ \t"
+
+
+def stripped(text: Column, marks: str = r"\s") -> Column:
+    """``text`` without ``marks`` (of a character class) at its ends."""
+    return F.regexp_replace(text, rf"^[{marks}]+|[{marks}]+\z", "")
+
+
 def factor_section(report: Column) -> Column:
-    return F.regexp_extract(report, r"(?s)Predictive Factors\s*\n(.*?)(?=\n?(?:Overall Reasoning|Recommendations)|\z)", 1)
+    """What stands between the line of the factors' heading and the line that heads the next section; empty without one."""
+    return F.regexp_extract(report, rf"(?dim){HEADING}Predictive\s+Factors[^\n]*\n((?s:.*?))(?={HEADING}{AFTER_FACTORS}|\z)", 1)
 
 
 def factors(report: Column) -> Column:
     """The numbered factors of a report, in order."""
-    return F.filter(F.split(factor_section(report), r"(?m)(?=^\s*\d+\.\s)"), lambda x: x.rlike(r"^\s*\d+\.\s"))
+    return F.filter(F.split(factor_section(report), rf"(?dm)(?={NUMBERED})"), lambda x: x.rlike(NUMBERED))
+
+
+def factor_number(factor: Column) -> Column:
+    return F.regexp_extract(factor, r"^\s*(\d+)\.", 1).try_cast("int")
 
 
 def evidence_line(factor: Column) -> Column:
-    """What follows ``Supporting evidence:`` up to the next heading; the whole factor without one."""
-    got = F.regexp_extract(factor, r"(?is)Supporting\s+evidence\s*:\s*(.*?)(?=\n\s*(?:Reasoning|Attribution|Factor summary)\s*:|\z)", 1)
-    return F.trim(F.when(factor.rlike(r"(?i)Supporting\s+evidence\s*:"), got).otherwise(factor))
+    """What follows the evidence's label, over several lines if need be, up to what comes next; the whole factor without a label."""
+    got = F.regexp_extract(factor, rf"(?is){EVIDENCE_LABEL}\s*(.*?)(?={AFTER_EVIDENCE}|\z)", 1)
+    return stripped(F.when(factor.rlike(f"(?i){EVIDENCE_LABEL}"), got).otherwise(factor))
 
 
 def longest_quote(evidence: Column) -> Column:
-    """The longest quoted span of 3 characters or more; the first of equals."""
-    found = F.regexp_extract_all(evidence, F.lit('["“”]([^"“”]{3,})["“”]'), F.lit(1))
+    """The longest quoted span of 3 characters or more, the first of equals, without quotation marks and blanks at its ends;
+    null if nothing is left."""
+    found = F.regexp_extract_all(evidence, F.lit('["“]([^"”]{3,})["”]'), F.lit(1))
     best = F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
-    return F.get(best, F.lit(0))["x"]
+    return F.nullif(stripped(F.get(best, F.lit(0))["x"], QUOTE_MARKS), F.lit(""))
 
 
 def citation(evidence: Column) -> tuple[Column, Column]:
-    """(kind, id) of the first citation: a note id, or a code without its dots."""
-    note = F.regexp_extract(evidence, r"(?i)\(?Note ID:\s*([\w-]+)", 1)
-    code = F.regexp_extract(evidence, r"(?i)ICD code:\s*([\w.-]+)", 1)
-    kind = F.when(code != "", "icd").when(note != "", "note")
-    return kind, F.when(code != "", F.regexp_replace(F.regexp_replace(code, r"\.", ""), r"[.,;]+$", "")).when(note != "", note)
+    """(kind, id) of the first citation, be it of a note or a code; a code without its dots."""
+    what, handle = (F.regexp_extract(evidence, CITATION, k) for k in (1, 2))
+    kind = F.when(what == "", None).when(F.lower(what) == "note_id", "note").otherwise("icd")
+    handle = F.regexp_replace(handle, r"[.,;:)]+\z", "")
+    return kind, F.when(kind == "icd", F.replace(handle, F.lit("."), F.lit(""))).when(kind == "note", handle)
 
 
 def asserted(evidence: Column) -> Column:
@@ -311,18 +331,39 @@ def asserted(evidence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(evidence, r"(?i)\(\s*(?:note[_ ]id|ICD\s*code)\s*:[^)]*\)", " "), '["“”]', "")
 
 
+#: Labels within a factor.
+LABELS = "Factor summary|Supporting evidence|Reasoning|Attribution score|Cited source|Provenance"
+#: What is taken off a report, in this order: marks of headings, bullets before labels, bold of numbered headings, bold of
+#: labels after a number, bold of labels before a colon.
+CLEANING = (
+    (r"(?dm)^#{1,4}\s*", ""),
+    (rf"(?dm)^(\s*)[-*•]\s+(?=(?:{LABELS})\s*:)", "$1"),
+    (r"(?dm)^(\s*)\*\*\s*(\d+)\.\s+([^\n]+?)\s*\*\*", "$1$2. $3"),
+    (rf"(?dm)^(\s*\d+\.\s+)\*\*\s*({LABELS})\s*\*\*\s*(?=:?)", "$1$2"),
+    (rf"\*\*\s*({LABELS})\s*\*\*\s*:", "$1:"),
+)
+
+
 def cleaned(report: Column) -> Column:
-    """Markdown marks taken off headings, labels and bullets before labels."""
-    r = F.regexp_replace(report, r"(?m)^#+\s*", "")
-    r = F.regexp_replace(r, r"(?m)^\s*[-*•]\s+(?=(?:Factor summary|Supporting evidence|Reasoning)\s*:)", "")
-    return F.regexp_replace(r, r"\*\*(.+?)\*\*", "$1")
+    """Markdown taken off headings and labels, and off nothing else."""
+    for pattern, to in CLEANING:
+        report = F.regexp_replace(report, pattern, to)
+    return report
+
+
+def clean(rows: DataFrame, column: str = "report") -> DataFrame:
+    """``rows`` with ``column`` cleaned and its factors numbered; only reports with a summary at the start of a line, which may
+    lack its number, reach Python."""
+    done = rows.withColumn(column, cleaned(F.col(column)))
+    bare = F.coalesce(F.col(column).rlike(r"(?dim)^\s*Factor\s+summary\s*:"), F.lit(False))
+    return done.where(~bare).unionByName(done.where(bare).withColumn(column, renumbered(column)))
 
 
 def valid(report: Column, least: int = 500) -> Column:
-    """Long enough and with all four section headers."""
+    """Long enough and with a line that heads each of the four sections."""
     ok = F.length(report) > least
-    for h in HEADERS:
-        ok = ok & report.contains(h)
+    for h in REQUIRED:
+        ok = ok & report.rlike(f"(?dim){HEADING}{h}")
     return ok
 
 
@@ -338,18 +379,29 @@ FLAGGED_LINE = r"(?m)^\s+Flagged: Factor (\d+) — [a-z_ ]+(?: error)?\.$"
 RULE = "=" * 72
 
 
-def section_issues(report: Column, missing: str = "missing_section:", moved: str = "out_of_order_section:") -> list[Column]:
+def section_issues(report: Column, missing: str = "missing_section:", moved: str = "out_of_order_section:", back: bool = False) -> list[Column]:
     """An issue (or null) for each section of a typed report: missing, or before one that should stand before it.
+    Each is held against the furthest section so far or, with ``back``, against the one named just before it.
     What follows a missing section counts as out of order, as its place can't be told."""
     out, last, lost = [], F.lit(0), F.lit(False)
     for name in SECTIONS:
         at = F.instr(report, name)
         out.append(F.when(at == 0, F.lit(missing + name)).when(lost | (at < last), F.lit(moved + name)))
-        last = F.when((at > 0) & (at >= last), at).otherwise(last)
+        last = F.when((at > 0) if back else (at > 0) & (at >= last), at).otherwise(last)
         lost = lost | (at == 0)
     return out
 
 
+def section_spans(report: Column) -> Column:
+    """(name, start, stop) of each section of a typed report, from 0, each up to the next; null where one misses or moved."""
+    at = [F.instr(report, name) - 1 for name in SECTIONS]
+    ends = [*at[1:], F.length(report)]
+    ok = F.lit(True)
+    for a, b in zip(at, ends):
+        ok = ok & (a >= 0) & (a <= b)
+    return F.when(ok, F.array(*[F.struct(F.lit(n).alias("name"), a.cast("long").alias("start"), b.cast("long").alias("stop")) for n, a, b in zip(SECTIONS, at, ends)]))
+
+
 def _counted(report: Column, pattern: str) -> Column:
     return F.regexp_count(report, F.lit(pattern))
 
@@ -383,7 +435,7 @@ def typed_issues(subject: Column, report: Column) -> Column:
 def factor_issues(report: Column) -> Column:
     """Issues of the factor section: numbers exactly 1 to 5, and for each factor evidence with a quote and a citation
     before its reasoning, and reasoning.  Sections that miss or move are the only issues where there are any."""
-    sections = listed(section_issues(report, moved="section_out_of_order:"))
+    sections = listed(section_issues(report, moved="section_out_of_order:", back=True))
     lost = F.filter(sections, lambda x: x.startswith("missing"))
     sections = F.when(F.size(lost) > 0, lost).otherwise(sections)
     start, end = F.instr(report, SECTIONS[1]), F.instr(report, SECTIONS[2])

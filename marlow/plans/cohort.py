@@ -141,18 +141,6 @@ sql(
          LEFT JOIN (SELECT subject_id, count(*) AS n FROM {note_events} GROUP BY subject_id) n ON n.subject_id = s.subject_id
          LEFT JOIN (SELECT subject_id, count(*) AS n FROM {code_events} GROUP BY subject_id) c ON c.subject_id = s.subject_id GROUP BY s.subject_id) x""",
 )
-sql(
-    "handle_validity",
-    """WITH e AS (SELECT doc_id, doc_id % 97 AS subject_id, k, CASE WHEN (doc_id + k) % 2 = 0 THEN 'icd' ELSE 'note' END AS kind,
-           CASE WHEN (doc_id + k) % 2 = 0 THEN CAST((doc_id * 13 + k * 7) % 200 AS STRING) || '-' || CAST(9 + k % 2 AS STRING) ELSE CAST(handle AS STRING) END AS handle FROM {factors}),
-         n AS (SELECT subject_id, CAST(note_id AS STRING) AS id, note_id % 5 <> 0 AS shown FROM {note_events}), c AS (SELECT DISTINCT subject_id % 97 AS subject_id, CAST(code AS STRING) || '-' || CAST(version AS STRING) AS id FROM {code_events}),
-         src AS (SELECT DISTINCT 'note' AS kind, id FROM n UNION ALL SELECT DISTINCT 'icd', id FROM c), own AS (SELECT DISTINCT subject_id, 'note' AS kind, id FROM n UNION ALL SELECT subject_id, 'icd', id FROM c),
-         kept AS (SELECT subject_id, array_agg(id) AS ids FROM n WHERE shown AND subject_id % 6 <> 0 GROUP BY subject_id)
-       SELECT e.doc_id, e.k, e.kind, src.id IS NOT NULL AS source_found, own.id IS NOT NULL AS owned, e.kind = 'note' AND own.id IS NOT NULL AND kept.ids IS NOT NULL AND NOT coalesce(array_contains(kept.ids, e.handle), FALSE) AS cited_dropped
-       FROM e LEFT JOIN src ON src.kind = e.kind AND src.id = e.handle LEFT JOIN own ON own.subject_id = e.subject_id AND own.kind = e.kind AND own.id = e.handle LEFT JOIN kept ON kept.subject_id = e.subject_id""",
-)
-
-
 @frame("prefixed_verdicts", "SELECT t.flag_id, t.type_a, v.agree AS verdict_agree, v.severity AS verdict_severity FROM {flag_tasks} t JOIN {flag_verdicts} v ON v.flag_id = t.flag_id", "flag_tasks", "flag_verdicts")
 def prefixed_verdicts(tasks, verdicts):
     return tasks.select("flag_id", "type_a").join(relational.prefixed(verdicts, "verdict_", "flag_id"), "flag_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlow.functions import parsing as p
 from marlow.operators import relational
+from marlow.plans import roles
 from marlow.plans.catalog import frame, sql
 
 _DIGIT = "CAST(CAST((conv_id * 7 + turn) % 10 AS INT) AS STRING)"
@@ -44,7 +45,8 @@ sql("verbalizer_tokens", "SELECT method, label, CASE method WHEN 'm1' THEN CASE
 
 
 def factor_rows(reports):
-    return reports.select("subject_id", F.posexplode(p.factors(F.col("report"))).alias("pos", "factor")).select("subject_id", (F.col("pos") + 1).cast("int").alias("k"), "factor")
+    """(subject_id, k, factor): the numbered factors of each report."""
+    return reports.select("subject_id", F.explode(p.factors(F.col("report"))).alias("factor")).select("subject_id", p.factor_number(F.col("factor")).alias("k"), "factor")
 
 
 def evidence(reports):
@@ -53,20 +55,24 @@ def evidence(reports):
     return e.select("subject_id", "k", "evidence", p.longest_quote(F.col("evidence")).alias("quote"), kind.alias("kind"), handle.alias("handle"))
 
 
-BODY = "CAST(k AS STRING) || '. Factor summary: f' || CAST(k AS STRING) || chr(10) || 'Supporting evidence: \"' || quote || '\" (Note ID: ' || CAST(handle AS STRING) || ')' || chr(10) || 'Reasoning: r' || CAST(k AS STRING) || chr(10)"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_BODY = f"trim({roles.FACTOR}, {_BLANK})"
+#: What the pieces of a report say of its evidence, as parsing them back should.
+PARSED = f"""SELECT doc_id, k, CASE WHEN {roles.LABELLED} THEN trim({roles.EVIDENCE}, {_BLANK}) ELSE {_BODY} END AS evidence,
+    CASE WHEN length(quote) >= 3 THEN nullif(trim(quote, '"''`“”‘’ ' || chr(9)), '') END AS quote, kind, CASE WHEN kind = 'icd' THEN code ELSE CAST(handle AS STRING) END AS handle FROM {{factors}}"""
 
 
-@frame("extract_factors", f"SELECT doc_id AS subject_id, k, md5(rtrim({BODY}, chr(10))) AS digest FROM {{factors}}", "reports")
+@frame("extract_factors", f"SELECT doc_id AS subject_id, k, md5({_BODY}) AS digest FROM {{factors}}", "reports")
 def extract_factors(reports):
-    return factor_rows(reports).select("subject_id", "k", F.md5(F.regexp_replace("factor", r"\n+\z", "").cast("binary")).alias("digest"))
+    return factor_rows(reports).select("subject_id", "k", F.md5(p.stripped(F.col("factor")).cast("binary")).alias("digest"))
 
 
-@frame("evidence_line", "SELECT doc_id AS subject_id, k, '\"' || quote || '\" (Note ID: ' || CAST(handle AS STRING) || ')' AS evidence FROM {factors}", "reports")
+@frame("evidence_line", f"SELECT doc_id AS subject_id, k, evidence FROM ({PARSED})", "reports")
 def evidence_line(reports):
     return evidence(reports).select("subject_id", "k", "evidence")
 
 
-@frame("parse_evidence", "SELECT doc_id AS subject_id, k, CASE WHEN length(quote) >= 3 THEN quote END AS quote, 'note' AS kind, CAST(handle AS STRING) AS handle FROM {factors}", "reports")
+@frame("parse_evidence", f"SELECT doc_id AS subject_id, k, quote, kind, handle FROM ({PARSED})", "reports")
 def parse_evidence(reports):
     return evidence(reports).select("subject_id", "k", "quote", "kind", "handle")
 
@@ -78,35 +84,42 @@ def asserted_evidence(factors):
     return factors.select(F.col("doc_id").alias("subject_id"), "k", F.md5(p.asserted(line).cast("binary")).alias("digest"))
 
 
-CITED = """SELECT f.doc_id AS subject_id, f.k, n.note_id IS NOT NULL AS in_corpus, coalesce(n.subject_id = f.doc_id % 97, FALSE) AS owned, NOT (f.handle % 5 = 0) AS was_kept,
-         length(f.quote) >= 3 AND coalesce(contains(lower(trim(regexp_replace(n.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(f.quote, '\\s+', ' ', 'g')))), FALSE) AS found
-       FROM {factors} f LEFT JOIN {note_events} n ON n.note_id = f.handle"""
+_FLAT = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+CITED = f"""SELECT e.doc_id AS subject_id, e.k, e.kind, bool_or(s.id IS NOT NULL) AS in_corpus, bool_or(coalesce(s.subject_id = e.doc_id % 97, FALSE)) AS owned, max(CASE WHEN t.note_id IS NULL THEN 0 ELSE 1 END) = 1 AS was_kept,
+         bool_or(coalesce(contains({_FLAT.format('s.text')}, {_FLAT.format('e.quote')}), FALSE)) AS found
+       FROM ({PARSED}) e LEFT JOIN {{sources}} s ON s.kind = e.kind AND s.id = e.handle LEFT JOIN {{kept_notes}} t ON e.kind = 'note' AND CAST(t.note_id AS STRING) = e.handle AND t.subject_id = e.doc_id % 97 GROUP BY e.doc_id, e.k, e.kind"""
 
 
-def checked(reports, notes):
-    """Each cited quote: whether its source exists, belongs to the subject, was shown, and holds the quote.
-    A note that is cited is normalised once, and only then meets its quotes."""
+def checked(reports, sources, kept):
+    """Each factor's citation and quote, parsed from the reports: whether the source exists, belongs to the subject, was shown,
+    and holds the quote.  A source that is cited is normalised once, and only then meets its quotes; sources of one id (a code that
+    several subjects have) are one row with the set of its subjects."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    e = evidence(reports).select("subject_id", "k", F.col("handle").cast("long").alias("note_id"), flat(F.col("quote")).alias("quote"))
-    src = notes.select("note_id", F.col("subject_id").alias("owner"), flat(F.col("text")).alias("text"))
-    return e.join(src, "note_id", "left").select(
+    e = evidence(reports).select("subject_id", "k", "kind", "handle", flat(F.col("quote")).alias("quote"))
+    cited = e.where("kind IS NOT NULL").select("kind", F.col("handle").alias("id"))
+    src = sources.join(cited, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.collect_set("subject_id").alias("owners"), flat(F.max("text")).alias("text"))
+    shown = kept.select(F.lit("note").alias("kind"), F.col("note_id").cast("string").alias("id"), F.col("subject_id").alias("shown_to")).distinct()
+    both = e.join(src.withColumnRenamed("id", "handle"), ["kind", "handle"], "left").join(shown.withColumnRenamed("id", "handle"), ["kind", "handle"], "left")
+    person = F.col("subject_id") % 97
+    return both.select(
         "subject_id",
         "k",
-        F.col("owner").isNotNull().alias("in_corpus"),
-        F.coalesce(F.col("owner") == F.col("subject_id") % 97, F.lit(False)).alias("owned"),
-        (F.col("note_id") % 5 != 0).alias("was_kept"),
+        "kind",
+        F.col("owners").isNotNull().alias("in_corpus"),
+        F.coalesce(F.array_contains("owners", person), F.lit(False)).alias("owned"),
+        F.coalesce(F.col("shown_to") == person, F.lit(False)).alias("was_kept"),
         F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False)).alias("found"),
     )
 
 
-@frame("citation_validity", CITED, "reports", "note_events")
-def citation_validity(reports, notes):
-    return checked(reports, notes)
+@frame("citation_validity", CITED, "reports", "sources", "kept_notes")
+def citation_validity(reports, sources, kept):
+    return checked(reports, sources, kept)
 
 
-@frame("quote_containment", f"SELECT owned, count(*) AS n, count(*) FILTER (WHERE found) AS n_found FROM ({CITED}) GROUP BY owned", "reports", "note_events")
-def quote_containment(reports, notes):
-    return checked(reports, notes).groupBy("owned").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"))
+@frame("quote_containment", f"SELECT owned, count(*) AS n, count(*) FILTER (WHERE found) AS n_found FROM ({CITED}) GROUP BY owned", "reports", "sources", "kept_notes")
+def quote_containment(reports, sources, kept):
+    return checked(reports, sources, kept).groupBy("owned").agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("n_found"))
 
 
 @frame(
@@ -114,36 +127,56 @@ def quote_containment(reports, notes):
     f"""SELECT CAST(subject_id % 3 AS BIGINT) AS baseline, count(*) AS n, count(*) FILTER (WHERE in_corpus) AS n_corpus, count(*) FILTER (WHERE owned) AS n_owned, count(*) FILTER (WHERE owned AND found) AS n_faithful,
         round(100 * count(*) FILTER (WHERE owned AND found) / CAST(count(*) AS DOUBLE), 2) AS pct FROM ({CITED}) GROUP BY subject_id % 3""",
     "reports",
-    "note_events",
+    "sources",
+    "kept_notes",
 )
-def faithfulness_summary(reports, notes):
+def faithfulness_summary(reports, sources, kept):
     good = F.col("owned") & F.col("found")
-    g = checked(reports, notes).groupBy((F.col("subject_id") % 3).alias("baseline"))
+    g = checked(reports, sources, kept).groupBy((F.col("subject_id") % 3).alias("baseline"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if("in_corpus").alias("n_corpus"), F.count_if("owned").alias("n_owned"), F.count_if(good).alias("n_faithful"), F.round(100 * F.count_if(good) / F.count(F.lit(1)), 2).alias("pct"))
 
 
-@frame("record_fully_faithful", f"SELECT subject_id, count(*) AS n, count(*) = 5 AND count(*) FILTER (WHERE owned AND found) = 5 AS fully FROM ({CITED}) GROUP BY subject_id", "reports", "note_events")
-def record_fully_faithful(reports, notes):
+@frame("record_fully_faithful", f"SELECT subject_id, count(*) AS n, count(*) = 5 AND count(*) FILTER (WHERE owned AND found) = 5 AS fully FROM ({CITED}) GROUP BY subject_id", "reports", "sources", "kept_notes")
+def record_fully_faithful(reports, sources, kept):
     n, good = F.count(F.lit(1)), F.count_if(F.col("owned") & F.col("found"))
-    return checked(reports, notes).groupBy("subject_id").agg(n.alias("n"), ((n == 5) & (good == 5)).alias("fully"))
+    return checked(reports, sources, kept).groupBy("subject_id").agg(n.alias("n"), ((n == 5) & (good == 5)).alias("fully"))
 
 
-@frame("clean_report", "SELECT subject_id, md5(regexp_replace(regexp_replace(report, '(?m)^#+[ ]*', '', 'g'), '\\*\\*(.+?)\\*\\*', '\\1', 'g')) AS digest FROM {reports}", "reports")
+@frame(
+    "handle_validity",
+    f"""SELECT subject_id AS doc_id, k, kind, in_corpus AS source_found, owned, kind = 'note' AND owned AND NOT was_kept AND subject_id % 97 IN (SELECT subject_id FROM {{kept_notes}}) AS cited_dropped FROM ({CITED})""",
+    "reports",
+    "sources",
+    "kept_notes",
+)
+def handle_validity(reports, sources, kept):
+    """Parsed handles against all sources, the subject's own, and those that its prompt kept; where it kept none, none counts as dropped."""
+    known = kept.select(F.col("subject_id").alias("person")).distinct().withColumn("has_list", F.lit(True))
+    c = checked(reports, sources, kept).join(known, F.col("subject_id") % 97 == F.col("person"), "left")
+    dropped = (F.col("kind") == "note") & F.col("owned") & ~F.col("was_kept") & F.col("has_list").isNotNull()
+    return c.select(F.col("subject_id").alias("doc_id"), "k", "kind", F.col("in_corpus").alias("source_found"), "owned", dropped.alias("cited_dropped"))
+
+
+@frame("clean_report", f"SELECT subject_id, md5(report) AS digest FROM ({roles.CLEAN_REPORT})", "raw_reports")
 def clean_report(reports):
-    marked = F.regexp_replace("report", r"(?m)^(Recommendations)$", "**$1**")
-    return reports.select("subject_id", F.md5(p.cleaned(marked).cast("binary")).alias("digest"))
+    """Headings, labels and numbers as the parsers want them."""
+    return p.clean(reports).select("subject_id", F.md5(F.col("report").cast("binary")).alias("digest"))
 
 
-@frame("validate_report", "SELECT subject_id, length(report) > 500 AND contains(report, 'Mortality Assessment') AND contains(report, 'Predictive Factors') AND contains(report, 'Overall Reasoning') AND contains(report, 'Recommendations') AS ok FROM {reports}", "reports")
+@frame("validate_report", "SELECT subject_id, length(report) > 500 AND subject_id % 10 <> 9 AS ok FROM {reports}", "reports")
 def validate_report(reports):
     return reports.select("subject_id", p.valid(F.col("report")).alias("ok"))
 
 
-sql(
+@frame(
     "section_spans",
-    """SELECT subject_id, a, b, c, d, a > 0 AND b > a AND c > b AND d > c AS in_order FROM (SELECT subject_id, CAST(instr(report, 'Mortality Assessment') AS BIGINT) AS a, CAST(instr(report, 'Predictive Factors') AS BIGINT) AS b,
-         CAST(instr(report, 'Overall Reasoning') AS BIGINT) AS c, CAST(instr(report, 'Recommendations') AS BIGINT) AS d FROM {reports})""",
+    f"""SELECT subject_id, s.name, CAST(s.a AS BIGINT) AS start, CAST(s.b AS BIGINT) AS stop FROM (SELECT subject_id, unnest([{', '.join(f"{{'name': '{n}', 'a': p{k}, 'b': {f'p{k + 1}' if k < 3 else 'length(report)'}}}" for k, n in enumerate(p.SECTIONS))}]) AS s
+         FROM (SELECT *, {', '.join(f"strpos(report, '{n}') - 1 AS p{k}" for k, n in enumerate(p.SECTIONS))} FROM {{typed_reports}}) WHERE p0 >= 0 AND p0 <= p1 AND p1 <= p2 AND p2 <= p3)""",
+    "typed_reports",
 )
+def section_spans(reports):
+    """Where each section of a typed report begins and ends, for reports that have all four in order."""
+    return reports.select("subject_id", F.explode(p.section_spans(F.col("report"))).alias("s")).select("subject_id", "s.*")
 
 
 _ORDER = "wrong_factor_count_or_order:"
@@ -152,7 +185,7 @@ _ORDER = "wrong_factor_count_or_order:"
 @frame(
     "format_issues",
     f"""SELECT subject_id, CASE v WHEN 2 THEN 'missing_section:{p.SECTIONS[2]}' WHEN 3 THEN 'section_out_of_order:{p.SECTIONS[3]}' WHEN 4 THEN 'factor_numbering:1,2,3,4' WHEN 5 THEN 'factor_numbering:1,2,3,5,4'
-         WHEN 6 THEN 'factor2:no_quoted_evidence' WHEN 11 THEN 'factor3:missing_reasoning' WHEN 12 THEN 'factor4:no_note_id' ELSE '' END AS issues, v NOT IN (2, 3, 4, 5, 6, 11, 12) AS passed FROM {{typed_reports}}""",
+         WHEN 6 THEN 'factor2:no_quoted_evidence' WHEN 11 THEN 'factor3:missing_reasoning' WHEN 12 THEN 'factor4:no_note_id' WHEN 13 THEN 'section_out_of_order:{p.SECTIONS[2]}' ELSE '' END AS issues, v NOT IN (2, 3, 4, 5, 6, 11, 12, 13) AS passed FROM {{typed_reports}}""",
     "typed_reports",
 )
 def format_issues(reports):
@@ -167,8 +200,8 @@ def _found(pattern: str) -> str:
 _E, _R, _A = (_found(x) for x in (p.EVIDENCE_LINE, p.REASONING_LINE, p.ATTRIBUTION_LINE))
 _N = f"array_to_string(regexp_extract_all(report, '{p.FACTOR_LINE}', 1), ',')"
 _POS = ", ".join(f"strpos(report, '{x}') AS s{k}" for k, x in enumerate(p.SECTIONS))
-# The sections of the role miss or move only from the third on.
-_ANATOMY = f"""CASE WHEN s2 = 0 THEN 'missing_section:{p.SECTIONS[2]};out_of_order_section:{p.SECTIONS[3]};' WHEN s3 < s2 THEN 'out_of_order_section:{p.SECTIONS[3]};' ELSE '' END || CASE WHEN {_N} <> '1,2,3,4,5' THEN '{_ORDER}' || {_N} || ';' ELSE '' END
+# The sections of the role miss only from the third on, and move together.
+_ANATOMY = f"""CASE WHEN s2 = 0 THEN 'missing_section:{p.SECTIONS[2]};out_of_order_section:{p.SECTIONS[3]};' WHEN s2 < s1 THEN 'out_of_order_section:{p.SECTIONS[2]};out_of_order_section:{p.SECTIONS[3]};' WHEN s3 < s2 THEN 'out_of_order_section:{p.SECTIONS[3]};' ELSE '' END || CASE WHEN {_N} <> '1,2,3,4,5' THEN '{_ORDER}' || {_N} || ';' ELSE '' END
   || CASE WHEN {_E} < 5 THEN 'too_few_supporting_evidence:' || {_E} || ';' ELSE '' END || CASE WHEN {_R} < 5 THEN 'too_few_reasoning:' || {_R} || ';' ELSE '' END"""
 _ATTRIBUTED = f"CASE WHEN {_A} < 5 THEN 'too_few_attribution:' || {_A} || ';' ELSE '' END"
 TYPED_CHECK = rf"""SELECT subject_id, CASE WHEN regexp_extract(report, 'Patient (\d+)', 1) <> CAST(subject_id AS STRING) THEN 'missing_patient_header;' ELSE '' END || CASE WHEN contains(report, 'Mortality prediction: high') THEN 'missing_mortality_line;' ELSE '' END
@@ -211,7 +244,7 @@ FIRST = "SELECT subject_id, n_flagged FROM {rollouts} WHERE idx = 0 AND n_flagge
 
 @frame(
     "first_candidate_flags",
-    f"""SELECT t.subject_id, f.n_flagged, t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AS format_pass, coalesce(t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AND f.n_flagged <= 2, FALSE) AS gated FROM {{typed_reports}} t LEFT JOIN ({FIRST}) f ON f.subject_id = t.subject_id""",
+    f"""SELECT t.subject_id, f.n_flagged, t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13) AS format_pass, coalesce(t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13) AND f.n_flagged <= 2, FALSE) AS gated FROM {{typed_reports}} t LEFT JOIN ({FIRST}) f ON f.subject_id = t.subject_id""",
     "typed_reports",
     "rollouts",
 )
@@ -224,7 +257,7 @@ def first_candidate_flags(reports, rollouts):
 
 @frame(
     "judged_formats",
-    """SELECT t.subject_id, t.v NOT IN (2, 3, 4, 5, 6, 11, 12) AS passed FROM {typed_reports} t WHERE EXISTS (SELECT 1 FROM {verdicts} v WHERE v.subject_id = t.subject_id AND lower(trim(v.trust)) = 'purchase')""",
+    """SELECT t.subject_id, t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13) AS passed FROM {typed_reports} t WHERE EXISTS (SELECT 1 FROM {verdicts} v WHERE v.subject_id = t.subject_id AND lower(trim(v.trust)) = 'purchase')""",
     "typed_reports",
     "verdicts",
 )
@@ -237,7 +270,7 @@ def judged_formats(reports, verdicts):
 @frame(
     "review_records",
     """SELECT t.subject_id, md5(t.report) AS digest, round(s.probability, 6) AS probability, length(t.report) AS n_chars FROM {typed_reports} t JOIN (SELECT DISTINCT subject_id FROM {rollouts} WHERE idx = 0 AND n_flagged <= 2) r ON r.subject_id = t.subject_id
-       LEFT JOIN (SELECT subject_id, probability FROM {predictions} WHERE method = 'm1') s ON s.subject_id = t.subject_id WHERE t.v NOT IN (2, 3, 4, 5, 6, 11, 12)""",
+       LEFT JOIN (SELECT subject_id, probability FROM {predictions} WHERE method = 'm1') s ON s.subject_id = t.subject_id WHERE t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13)""",
     "typed_reports",
     "rollouts",
     "predictions",
@@ -362,7 +395,7 @@ def normalize_text(notes):
 def fuzzy_quotes(reports, notes):
     """Partial ratio of each quote with its source, at three thresholds; quotes found as
     they are score 100 and never reach Python."""
-    e = evidence(reports).withColumn("note_id", F.col("handle").cast("long")).where("length(quote) >= 3").join(notes.select("note_id", "text"), "note_id")
+    e = evidence(reports).where("kind = 'note'").withColumn("note_id", F.col("handle").try_cast("long")).where("length(quote) >= 3").join(notes.select("note_id", "text"), "note_id")
     found = F.col("text").contains(F.col("quote"))
     s = e.where(found).select("subject_id", "k", F.lit(100.0).alias("score")).union(e.where(~found).select("subject_id", "k", p.fuzzy("quote", "text").alias("score")))
     return s.select("subject_id", "k", F.round("score", 4).alias("score"), *[(F.col("score") >= t).alias(f"at_{t}") for t in (85, 90, 95)])

@@ -12,10 +12,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from marlow.functions.parsing import SECTIONS
 
-# Headings of typed reports.
-SECTIONS = ("[Prediction + Explanation]", "[Predictive Factors + Evidence-Based Reasoning]", "[Reasoning Lens]", "[Recommendations]")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _factor(k: int) -> str:
@@ -30,15 +29,49 @@ def _factor(k: int) -> str:
     return f"CASE WHEN v = 4 AND {k} = 5 THEN '' ELSE {whole} END" if k == 5 else whole
 
 
-#: A typed report of every document, the same SQL in both dialects; thirteen variants, of which 0 has no fault.
+_LENS = f"CASE WHEN v = 2 THEN '' WHEN v = 3 THEN '{SECTIONS[3]}' || chr(10) || '{SECTIONS[2]}' || chr(10) ELSE '{SECTIONS[2]}' || chr(10) || 'Because.' || chr(10) END || CASE WHEN v = 3 THEN '' ELSE '{SECTIONS[3]}' || chr(10) || 'Watch.' || chr(10) END"
+_FIRST = f"'{SECTIONS[0]}' || chr(10) || 'It is so.' || chr(10) || '{SECTIONS[1]}' || chr(10) || {' || '.join(_factor(k) for k in range(1, 6))}"
+#: A typed report of every document, the same SQL in both dialects; fourteen variants, of which 0 has no fault.
 TYPED = f"""SELECT doc_id AS subject_id, v, repeat('=', 72) || chr(10) || 'EVIDENCE ALIGNMENT REPORT: Patient ' || CAST(CASE WHEN v = 9 THEN doc_id + 1 ELSE doc_id END AS STRING) || chr(10) || repeat('=', 72) || chr(10)
-    || 'Mortality prediction: ' || CASE WHEN v = 1 THEN 'high' ELSE '0.' || CAST(1000 + doc_id % 9000 AS STRING) END || chr(10) || '{SECTIONS[0]}' || chr(10) || 'It is so.' || chr(10) || '{SECTIONS[1]}' || chr(10)
-    || {' || '.join(_factor(k) for k in range(1, 6))}
-    || CASE WHEN v = 2 THEN '' WHEN v = 3 THEN '{SECTIONS[3]}' || chr(10) || '{SECTIONS[2]}' || chr(10) ELSE '{SECTIONS[2]}' || chr(10) || 'Because.' || chr(10) END || CASE WHEN v = 3 THEN '' ELSE '{SECTIONS[3]}' || chr(10) || 'Watch.' || chr(10) END
+    || 'Mortality prediction: ' || CASE WHEN v = 1 THEN 'high' ELSE '0.' || CAST(1000 + doc_id % 9000 AS STRING) END || chr(10) || CASE WHEN v = 13 THEN {_LENS} || {_FIRST} ELSE {_FIRST} || {_LENS} END
     || CASE WHEN v = 8 THEN 'Verification: 6/5 steps passed.' ELSE 'Verification: ' || CAST(doc_id % 6 AS STRING) || '/5 steps passed.' END || chr(10)
     || CASE WHEN v = 10 THEN '  Flagged: Factor 9 ' || DASH || ' provenance error.' || chr(10) WHEN doc_id % 5 = 0 THEN '  Flagged: Factor 2 ' || DASH || ' hallucination.' || chr(10) ELSE '' END
     || CASE WHEN doc_id % 29 = 0 THEN '' ELSE repeat('=', 72) || chr(10) END AS report
-  FROM (SELECT doc_id, doc_id % 13 AS v, translate(substring(coalesce(text, ''), 11, 30), '"' || chr(10), '  ') AS q FROM {{documents}}) d"""
+  FROM (SELECT doc_id, doc_id % 14 AS v, translate(substring(coalesce(text, ''), 11, 30), '"' || chr(10), '  ') AS q FROM {{documents}}) d"""
+
+# Reports as models write them: headings in brackets, in bold or bare (``form``), quotes straight or curly, evidence with or without
+# its label, citations of notes and codes, a code after a note, evidence that goes on in the next line.
+_K, _FORM = "CAST(k AS STRING)", "doc_id % 3"
+
+
+def _heading(bracketed: str, bold: str, bare: str) -> str:
+    return f"CASE {_FORM} WHEN 0 THEN '[{bracketed}]' WHEN 1 THEN '**{bold}**' ELSE '{bare}' END || chr(10)"
+
+
+#: SQL of a factor's citation, of its evidence, of itself, both dialects, over the role ``factors``.
+CITATION = "CASE WHEN kind = 'icd' THEN '(ICD code: ' || substring(code, 1, 1) || '.' || substring(code, 2) || ')' ELSE '(note_id: ' || CAST(handle AS STRING) || ')' END"
+EVIDENCE = f"""CASE WHEN (doc_id + k) % 2 = 0 THEN '“' || quote || '”' ELSE '"' || quote || '"' END || ' ' || {CITATION} || CASE WHEN kind = 'note' AND (doc_id + k) % 9 = 4 THEN '; see (ICD code: I10-10)' ELSE '' END
+    || CASE WHEN (doc_id + k) % 4 = 1 THEN chr(10) || '   Age: 60; Date: 2020-01-01' ELSE '' END"""
+LABELLED = "(doc_id + k) % 6 <> 5"
+FACTOR = f"""CASE {_FORM} WHEN 0 THEN {_K} || '. Factor summary: f' WHEN 1 THEN {_K} || '. **Factor summary**: f' ELSE {_K} || '. Factor: f' END || {_K} || chr(10) || '   ' || CASE WHEN {LABELLED} THEN 'Supporting evidence: ' ELSE '' END
+    || {EVIDENCE} || chr(10) || '   Reasoning: r' || {_K} || ', not yet the Recommendations' || chr(10) || '   Attribution score: +0.' || {_K} || chr(10)"""
+_BEFORE = f"""{_heading(SECTIONS[0][1:-1], 'Prediction', 'Prediction and explanation')} || 'Risk: ' || CAST(doc_id % 100 AS STRING) || '%' || chr(10) || chr(10) || {_heading(SECTIONS[1][1:-1], 'Predictive Factors', 'Predictive Factors:')}"""
+_BEHIND = f"""{_heading('Reasoning Lens', 'Reasoning Lens', 'Reasoning Lens')} || 'It follows.' || chr(10) || CASE WHEN doc_id % 10 = 9 THEN '' ELSE {_heading('Recommendations', 'Recommendations', 'Recommendations:')} || 'Watch.' || chr(10) END"""
+#: SQL of a factor with Markdown around headings and labels, and of the same factor clean; those without a number are counted by themselves.
+RAW_FACTOR = f"""CASE k % 3 WHEN 0 THEN '**' || {_K} || '. Factor summary: f' || {_K} || '**' WHEN 1 THEN {_K} || '. **Factor summary**: f' || {_K} ELSE 'Factor summary: f' || {_K} END || chr(10) || '   - Supporting evidence: "' || quote || '"' || chr(10)
+    || '   **Reasoning**: low **bold word** here' || chr(10) || '   * Attribution score: +0.' || {_K} || chr(10) || '   ** Cited source ** : x' || chr(10) || '   - Other: y' || chr(10)"""
+CLEAN_FACTOR = f"""CASE k % 3 WHEN 2 THEN CAST((k + 1) / 3 AS STRING) ELSE {_K} END || '. Factor summary: f' || {_K} || chr(10) || '   Supporting evidence: "' || quote || '"' || chr(10)
+    || '   Reasoning: low **bold word** here' || chr(10) || '   Attribution score: +0.' || {_K} || chr(10) || '   Cited source: x' || chr(10) || '   - Other: y' || chr(10)"""
+
+
+def _joined(before: str, factor: str, behind: str, aggregate: str) -> str:
+    return f"SELECT doc_id AS subject_id, {before} || {aggregate.replace('FACTOR', factor)} || {behind} AS report FROM {{factors}} GROUP BY doc_id"
+
+
+_SPARK_JOIN = "array_join(transform(array_sort(collect_list(struct(k, FACTOR AS body))), x -> x.body), '')"
+_DUCK_JOIN = "string_agg(FACTOR, '' ORDER BY k)"
+_RAW = ("'## [Prediction + Explanation]' || chr(10) || '##### five' || chr(10) || '### Predictive Factors' || chr(10)", "'# Reasoning Lens' || chr(10) || 'so' || chr(10)")
+CLEAN_REPORT = _joined("'[Prediction + Explanation]' || chr(10) || '# five' || chr(10) || 'Predictive Factors' || chr(10)", CLEAN_FACTOR.replace("/ 3", "// 3"), "'Reasoning Lens' || chr(10) || 'so' || chr(10)", _DUCK_JOIN)
 
 #: role -> (Spark SQL, other SQL or None); {x} is a table or role.
 ROLES: dict[str, tuple[str, str | None]] = {
@@ -98,16 +131,23 @@ ROLES: dict[str, tuple[str, str | None]] = {
         None,
     ),
     "factors": (
-        """SELECT doc_id, k, handle, regexp_replace(coalesce(raw_quote, ''), '["\\\\n]', ' ') AS quote FROM {factor_rows}""",
-        """SELECT doc_id, k, handle, regexp_replace(coalesce(raw_quote, ''), '["\\n]', ' ', 'g') AS quote FROM {factor_rows}""",
+        """SELECT doc_id, k, handle, regexp_replace(coalesce(raw_quote, ''), '["\\\\n]', ' ') AS quote, CASE WHEN (doc_id + 2 * k) % 7 = 0 THEN 'icd' ELSE 'note' END AS kind,
+             CAST((doc_id * 13 + k * 7) % 200 AS STRING) || '-' || CAST(9 + k % 2 AS STRING) AS code FROM {factor_rows}""",
+        """SELECT doc_id, k, handle, regexp_replace(coalesce(raw_quote, ''), '["\\n]', ' ', 'g') AS quote, CASE WHEN (doc_id + 2 * k) % 7 = 0 THEN 'icd' ELSE 'note' END AS kind,
+             CAST((doc_id * 13 + k * 7) % 200 AS STRING) || '-' || CAST(9 + k % 2 AS STRING) AS code FROM {factor_rows}""",
     ),
-    "reports": (
-        """SELECT doc_id AS subject_id, concat('# Mortality Assessment\\n\\nRisk: ', CAST(CAST(doc_id % 100 AS INT) AS STRING), '%\\n\\nPredictive Factors\\n',
-             array_join(transform(array_sort(collect_list(struct(k, quote, handle))), x -> concat(CAST(x.k AS STRING), '. Factor summary: f', CAST(x.k AS STRING), '\\nSupporting evidence: "', x.quote, '" (Note ID: ', CAST(x.handle AS STRING), ')\\nReasoning: r', CAST(x.k AS STRING), '\\n')), ''),
-             'Overall Reasoning\\nIt follows.\\nRecommendations\\nWatch.\\n') AS report FROM {factors} GROUP BY doc_id""",
-        """SELECT doc_id AS subject_id, concat('# Mortality Assessment' || chr(10) || chr(10) || 'Risk: ', CAST(CAST(doc_id % 100 AS INT) AS VARCHAR), '%' || chr(10) || chr(10) || 'Predictive Factors' || chr(10),
-             string_agg(concat(CAST(k AS VARCHAR), '. Factor summary: f', CAST(k AS VARCHAR), chr(10), 'Supporting evidence: "', quote, '" (Note ID: ', CAST(handle AS VARCHAR), ')', chr(10), 'Reasoning: r', CAST(k AS VARCHAR), chr(10)), '' ORDER BY k),
-             'Overall Reasoning', chr(10), 'It follows.', chr(10), 'Recommendations', chr(10), 'Watch.', chr(10)) AS report FROM {factors} GROUP BY doc_id""",
+    "reports": (_joined(_BEFORE, FACTOR, _BEHIND, _SPARK_JOIN), _joined(_BEFORE, FACTOR, _BEHIND, _DUCK_JOIN)),
+    "raw_reports": (_joined(_RAW[0], RAW_FACTOR, _RAW[1], _SPARK_JOIN), _joined(_RAW[0], RAW_FACTOR, _RAW[1], _DUCK_JOIN)),
+    # The notes that a subject's prompt kept: the latest seven of ten.
+    "kept_notes": (
+        """SELECT subject_id, note_id FROM (SELECT subject_id, note_id, row_number() OVER (PARTITION BY subject_id ORDER BY days, note_id) AS place, count(*) OVER (PARTITION BY subject_id) AS n FROM {note_events}) WHERE 10 * place <= 7 * n""",
+        None,
+    ),
+    # What a citation may name: notes by id and codes by code and version, with their subjects and texts.
+    "sources": (
+        """SELECT 'note' AS kind, CAST(note_id AS STRING) AS id, subject_id, text FROM {note_events} UNION ALL
+           SELECT DISTINCT 'icd', CAST(code AS STRING) || '-' || CAST(version AS STRING), subject_id % 97, title FROM {code_events}""",
+        None,
     ),
     "typed_reports": (TYPED.replace("DASH", "'—'"), None),
     "rollouts": (

@@ -80,7 +80,80 @@ def test_evidence(spark):
     df = spark.createDataFrame([('Supporting evidence: "abc def" (ICD code: I10.9-10)',), ('"abc" and "abcdef"',), ('"ab" and "abcd"',), ("none",)], "e string")
     kind, handle = parsing.citation(F.col("e"))
     got = [tuple(r) for r in df.select(parsing.longest_quote(parsing.evidence_line(F.col("e"))), kind, handle).collect()]
-    assert got == [("abc def", "icd", "I109-10"), ("abcdef", None, None), (" and ", None, None), (None, None, None)]
+    assert got == [("abc def", "icd", "I109-10"), ("abcdef", None, None), ("and", None, None), (None, None, None)]
+
+
+def parsed(spark, texts, *columns):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [tuple(r) if len(columns) > 1 else r[0] for r in df.orderBy("i").select(*columns).collect()]
+
+
+def test_factors_of_all_headings(spark):
+    t = F.col("t")
+    body = "1. Factor summary: a\n   Reasoning: the first Recommendations inside a line\n\n 2. **Factor summary**: b\n"
+    two = ["1. Factor summary: a\n   Reasoning: the first Recommendations inside a line", "2. **Factor summary**: b"]
+    heads = ["[Predictive Factors + Evidence-Based Reasoning]", "**Predictive Factors**", "Predictive Factors:", "  predictive   factors"]
+    ends = ["[Reasoning Lens]", "**Recommendations**", " Reasoning Lens:", ""]
+    texts = [f"Prediction\nx\n{h}\n{body}{e}\n3. Factor: none\n" for h, e in zip(heads, ends)]
+    got = parsed(spark, texts, F.transform(parsing.factors(t), lambda x: parsing.stripped(x)))
+    assert got[:3] == [two] * 3 and got[3] == [*two, "3. Factor: none"]
+    assert parsed(spark, ["no heading\n1. Factor summary: a", "Predictive Factors", "see Predictive Factors\n1. x"], parsing.factors(t)) == [[], [], []]
+    assert parsed(spark, ["12. Factor: a", " 3. x", "x"], parsing.factor_number(t)) == [12, 3, None]
+
+
+def test_evidence_of_all_forms(spark):
+    t = F.col("t")
+    kind, handle = parsing.citation(t)
+    cases = {
+        '"abc def" (note_id: 12345-DS-3)': ("abc def", "note", "12345-DS-3"),
+        "“curly ‘one’” ( NOTE_ID : 7;)": ("curly ‘one", "note", "7"),
+        '"a b c" (note_id: 5), "x y z and w" (ICD code: I10.9-10)': ("x y z and w", "note", "5"),
+        '"a b c" (ICDcode:I10.9.) then (note_id: 5)': ("a b c", "icd", "I109"),
+        "said (Note ID: 5) and note_id: 6": (None, None, None),
+        '"ab" ""': (None, None, None),
+        '"   " (note_id: 1)': (None, "note", "1"),
+    }
+    assert parsed(spark, cases, parsing.longest_quote(t), kind, handle) == list(cases.values())
+    lines = {
+        "1. Factor: a\n  Supporting  Evidence :  x\n  Age: 3; Date: d\n  Reasoning - why\n  y": "x\n  Age: 3; Date: d",
+        "Supporting evidence: x\nAttribution: y\nConsideration: z": "x\nAttribution: y",
+        "Supporting evidence: x\n2. Factor summary: y": "x",
+        "Supporting evidence: x\n2. other\n[Reasoning Lens]": "x\n2. other",
+        " 1. Factor: a\n  no label \n": "1. Factor: a\n  no label",
+    }
+    assert parsed(spark, lines, parsing.evidence_line(t)) == list(lines.values())
+
+
+def test_cleaning_takes_nothing_else(spark):
+    cases = {
+        "#### Head\n##### five\n a # b": "Head\n# five\n a # b",
+        "low **bold word** here": "low **bold word** here",
+        "  - Supporting evidence: x\n  - other: y\n• Provenance : z": "  Supporting evidence: x\n  - other: y\nProvenance : z",
+        " **2. Title of it** rest": " 2. Title of it rest",
+        "3. ** Factor summary **: x\n4. **Reasoning**  : y\n5. **bold** z": "3. Factor summary: x\n4. Reasoning: y\n5. **bold** z",
+        "**Cited source** : a **Attribution score**: b": "Cited source: a Attribution score: b",
+        "Predictive Factors\nFactor summary: a\n**2. Factor summary: b**\nFactor summary: c": "Predictive Factors\n1. Factor summary: a\n2. Factor summary: b\nFactor summary: c",
+        None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    assert [r["t"] for r in parsing.clean(df, "t").orderBy("i").collect()] == list(cases.values())
+
+
+def test_valid_reports_have_lines_that_head_all_sections(spark):
+    good = "[Prediction + Explanation]\n**Predictive Factors**\nReasoning Lens\n  recommendation:\n" + "x" * 500
+    inside = good.replace("Reasoning Lens", "the Reasoning Lens")
+    assert parsed(spark, [good, good[:500], inside, good.replace("[Pred", "[Pre-d"), None], parsing.valid(F.col("t"))) == [True, False, False, False, None]
+
+
+def test_section_spans_and_order(spark):
+    a, b, c, d = parsing.SECTIONS
+    t = F.col("t")
+    got = parsed(spark, [f"x{a}{b}yy{c}{d}z", f"{a}{c}{b}{d}", f"{a}{b}{c}"], parsing.section_spans(t))
+    assert [tuple(s) for s in got[0]] == [(a, 1, 1 + len(a)), (b, 1 + len(a), 3 + len(a + b)), (c, 3 + len(a + b), 3 + len(a + b + c)), (d, 3 + len(a + b + c), 4 + len(a + b + c + d))]
+    assert got[1:] == [None, None]
+    moved = f"{c}{d}{a}{b}"  # after a step back the next one is held against that
+    assert parsed(spark, [moved], parsing.listed(parsing.section_issues(t, moved="o:", back=True)))[0] == [f"o:{c}"]
+    assert parsed(spark, [moved], parsing.listed(parsing.section_issues(t, moved="o:")))[0] == [f"o:{c}", f"o:{d}"]
 
 
 def test_partial_ratio():
@@ -131,8 +204,8 @@ def test_unwrap_and_renumber():
     assert parsing.unwrap('{\n[Reasoning Lens]\nbecause\n}') == "[Reasoning Lens]\nbecause" and parsing.unwrap('{"report": "Recommendations: rest}') == "Recommendations: rest"
     assert parsing.unwrap("{ nothing }") is None and parsing.unwrap(" ") is None and parsing.unwrap({"report": "x"}) == "x" and parsing.unwrap({"report": 3}) is None
     assert parsing.unwrap("plain") == "plain" and parsing.unwrap(None) is None
-    r = "Predictive Factors\nFactor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nOverall Reasoning\nFactor summary: e"
-    assert parsing.renumber(r) == "Predictive Factors\n1. Factor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nOverall Reasoning\nFactor summary: e"
+    r = "Predictive Factors\nFactor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nReasoning Lens\nFactor summary: e"
+    assert parsing.renumber(r) == "Predictive Factors\n1. Factor summary: a\n3. Factor summary: b\n\n  Factor summary: c\n4. **Title**\n\nFactor summary: d\nReasoning Lens\nFactor summary: e"
     assert parsing.renumber("[Predictive Factors + x]\nHeart\n  Factor summary: a\nLungs\nFactor summary: b\n[Reasoning Lens]") == "[Predictive Factors + x]\nHeart\n1. Factor summary: a\nLungs\n2. Factor summary: b\n[Reasoning Lens]"
 
 
