@@ -1,4 +1,4 @@
-"""Dense model kernels in numpy: experts, attention, MIL and integrated gradients.
+"""Dense model kernels in numpy: activation, layer norm, gated-attention MIL, mean-pool MLP.
 
 Weights are drawn from a seed, as no trained weights exist; shapes and formulas are
 those of the published layers.
@@ -6,92 +6,50 @@ those of the published layers.
 
 from __future__ import annotations
 
-import numpy as np
-
-
-def gelu(x: np.ndarray) -> np.ndarray:
-    """Gaussian error linear unit by its tanh approximation."""
-    return 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3)))
-
-
-def gelu_slope(x: np.ndarray) -> np.ndarray:
-    t = np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))
-    return 0.5 * (1 + t) + 0.5 * x * (1 - t**2) * np.sqrt(2 / np.pi) * (1 + 3 * 0.044715 * x**2)
-
-
-def layer_norm(x: np.ndarray) -> np.ndarray:
-    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
-
+import math
 
-def layer_norm_back(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Gradient of ``layer_norm`` at ``x`` applied to ``g``."""
-    s = np.sqrt(x.var(-1, keepdims=True) + 1e-5)
-    n = (x - x.mean(-1, keepdims=True)) / s
-    return (g - g.mean(-1, keepdims=True) - n * (g * n).mean(-1, keepdims=True)) / s
-
-
-class Expert:
-    """Residual layer norm, linear, GELU, linear; then a linear head."""
-
-    def __init__(self, dim: int, hidden: int, seed: int):
-        r = np.random.default_rng(seed)
-        self.w1, self.w2 = r.normal(0, dim**-0.5, (dim, hidden)), r.normal(0, hidden**-0.5, (hidden, dim))
-        self.head = r.normal(0, dim**-0.5, dim)
+import numpy as np
 
-    def out(self, x: np.ndarray) -> np.ndarray:
-        return x + gelu(layer_norm(x) @ self.w1) @ self.w2
 
-    def back(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        pre = layer_norm(x) @ self.w1
-        return g + layer_norm_back(x, ((g @ self.w2.T) * gelu_slope(pre)) @ self.w1.T)
+_erf = np.frompyfunc(math.erf, 1, 1)
 
 
-def attended(q: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Softmax attention of one query over items."""
-    a = np.exp(items @ q - (items @ q).max())
-    return (a / a.sum()) @ items
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.asarray(_erf(np.asarray(x, float) / math.sqrt(2)), float))
 
 
-def attended_back(q: np.ndarray, items: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Gradient of the attended vector to the items, applied to ``g``."""
-    a = np.exp(items @ q - (items @ q).max())
-    a = a / a.sum()
-    v = items @ g
-    return a[:, None] * g + (a * (v - a @ v))[:, None] * q
+def gelu(x: np.ndarray) -> np.ndarray:
+    """Gaussian error linear unit, exact."""
+    return x * normal_cdf(x)
 
 
-def probability(q: np.ndarray, items: np.ndarray, expert: Expert) -> float:
-    return float(1 / (1 + np.exp(-expert.out(attended(q, items)) @ expert.head)))
+def gelu_slope(x: np.ndarray) -> np.ndarray:
+    return normal_cdf(x) + x * np.exp(-0.5 * x**2) / math.sqrt(2 * math.pi)
 
 
-def integrated_gradients(q: np.ndarray, items: np.ndarray, expert: Expert, steps: int = 50, start: np.ndarray | None = None) -> np.ndarray:
-    """Attribution of each item on the way from ``start`` (zero vectors by default), by the trapezoid rule."""
-    total = np.zeros_like(items)
-    start = np.zeros_like(items) if start is None else start
-    for k in range(steps + 1):
-        x = start + (items - start) * (k / steps)
-        c = attended(q, x)
-        p = 1 / (1 + np.exp(-expert.out(c) @ expert.head))
-        g = attended_back(q, x, expert.back(c, p * (1 - p) * expert.head))
-        total += g * (0.5 if k in (0, steps) else 1.0)
-    return (total * (items - start)).sum(1) / steps
+def layer_norm(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
 
 
 class GatedMil:
-    """Gated attention over a bag, then a linear head."""
+    """A projection with GELU, gated attention over the bag, then a linear head."""
 
-    def __init__(self, dim: int, hidden: int, seed: int):
+    def __init__(self, dim: int, hidden: int, seed: int, attention: int = 8):
         r = np.random.default_rng(seed)
-        self.v, self.u = r.normal(0, dim**-0.5, (dim, hidden)), r.normal(0, dim**-0.5, (dim, hidden))
-        self.w, self.head = r.normal(0, hidden**-0.5, hidden), r.normal(0, dim**-0.5, dim)
+        self.p, self.c = r.normal(0, dim**-0.5, (dim, hidden)), r.normal(0, 0.1, hidden)
+        self.v, self.u = r.normal(0, hidden**-0.5, (hidden, attention)), r.normal(0, hidden**-0.5, (hidden, attention))
+        self.bv, self.bu = r.normal(0, 0.1, attention), r.normal(0, 0.1, attention)
+        self.w, self.head, self.bias = r.normal(0, attention**-0.5, attention), r.normal(0, hidden**-0.5, hidden), 0.1
 
-    def attention(self, bag: np.ndarray) -> np.ndarray:
-        """The weight of each item before they are divided by their sum; bounded, as both gates are."""
-        return np.exp((np.tanh(bag @ self.v) / (1 + np.exp(-(bag @ self.u)))) @ self.w)
+    def items(self, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight before it is divided by the bag's sum, value under the head) of each item; a weight is bounded, as both gates are."""
+        h = gelu(bag @ self.p + self.c)
+        a = (np.tanh(h @ self.v + self.bv) / (1 + np.exp(-(h @ self.u + self.bu)))) @ self.w
+        return np.exp(a), h @ self.head
 
     def score(self, bag: np.ndarray) -> float:
-        a = self.attention(bag)
-        return float(1 / (1 + np.exp(-((a / a.sum()) @ bag) @ self.head)))
+        a, x = self.items(bag)
+        return float(1 / (1 + np.exp(-(a @ x / a.sum() + self.bias))))
 
 
 class MeanPoolMlp:

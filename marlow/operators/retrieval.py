@@ -12,13 +12,15 @@ from marlow.functions import vectors
 MOST_QUERIES = 4096
 
 
-def scored(chunks: DataFrame, queries: DataFrame, score: Column | None = None) -> DataFrame:
-    """Each chunk with each query (query_idx, vector) and their ``score`` (cosine by default)."""
+def scored(chunks: DataFrame, queries: DataFrame, score: Column | None = None, exact: str | None = None) -> DataFrame:
+    """Each chunk with each query (query_idx, vector) and their ``score`` (cosine by default) to 4 places; with ``exact`` the unrounded one too, by that name."""
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries")
     q = F.broadcast(queries.select("query_idx", F.col("vector").alias("query_vector")))
-    return chunks.join(q).withColumn("score", F.round(score if score is not None else vectors.cosine(F.col("vector"), F.col("query_vector")), 4)).drop("query_vector")
+    raw = score if score is not None else vectors.cosine(F.col("vector"), F.col("query_vector"))
+    out = chunks.join(q).withColumn("_raw", raw).withColumn("score", F.round("_raw", 4)).drop("query_vector")
+    return out.withColumnRenamed("_raw", exact) if exact else out.drop("_raw")
 
 
 def top_k(scores: DataFrame, k: int, keys: list[str], order: str = "score", tie: str = "vec_id") -> DataFrame:

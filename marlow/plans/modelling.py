@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from marlow.functions import vectors
 from marlow.plans.catalog import frame
-from marlow.plans.retrieval import _LN, _topk, hits, mean_pooled, summaries
+from marlow.operators import gating
+from marlow.plans.retrieval import _LN, chosen_sql, mean_pooled, summaries, weighted_sql
 
 WEIGHT = "(((i * 37) % 64) - 31.5) / CAST(64 AS DOUBLE)"
 
@@ -69,40 +70,25 @@ def static_gates(notes, codes, queries):
     return static.join(dynamic, "subject_id")
 
 
-def _attended(side: str, modality: str) -> str:
-    top = f"SELECT subject_id, query_idx, vec_id, exp(score) / sum(exp(score)) OVER (PARTITION BY subject_id, query_idx) AS a FROM ({_topk(side, modality, 4)})"
-    return f"SELECT w.subject_id, '{modality}' AS modality, w.query_idx, i - 1 AS position, sum(w.a * CAST(v.vector[i] AS DOUBLE)) * (1 + (w.query_idx + 1) / CAST(10 AS DOUBLE)) AS x FROM ({top}) w JOIN {{{side}}} v ON v.vec_id = w.vec_id, unnest(range(1, len(v.vector) + 1)) t(i) GROUP BY w.subject_id, w.query_idx, i"
-
-
-def experts(notes, codes, queries):
-    """(subject_id, modality, query_idx, position, x): what each query's expert makes of the items it retrieved.  The stand-in expert, as no
-    trained one exists, scales by the query."""
-    out = None
-    for modality, rows in (("Note", notes), ("Code", codes)):
-        kept = hits(rows, queries, modality).join(rows.select("vec_id", "vector"), "vec_id")
-        total = F.sum(F.exp("score")).over(Window.partitionBy("subject_id", "query_idx"))
-        e = kept.withColumn("a", F.exp("score") / total).select("subject_id", "query_idx", "a", F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
-        x = e.groupBy("subject_id", "query_idx", F.col("position").cast("long").alias("position")).agg((F.sum(F.col("a") * F.col("x")) * (1 + (F.col("query_idx") + 1) / F.lit(10.0))).alias("x"))
-        x = x.withColumn("modality", F.lit(modality))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
-def active_mean(notes, codes, queries, *by: str):
-    """Mean of the open experts' outputs by subject (and ``by``), layer-normalised, one row an element."""
-    gated = experts(notes, codes, queries).join(gates(notes, codes, queries).where("open").select("subject_id", "modality", "query_idx"), ["subject_id", "modality", "query_idx"])
-    mean = gated.groupBy("subject_id", *by, "position").agg(F.avg("x").alias("x"))
-    w = Window.partitionBy("subject_id", *by)
-    return mean.withColumn("x", (F.col("x") - F.avg("x").over(w)) / F.sqrt(F.var_pop("x").over(w) + 1e-5))
-
-
-_MIXED = f"SELECT e.subject_id, e.modality, e.position, e.x FROM ({_attended('note_vectors', 'Note')} UNION ALL {_attended('code_vectors', 'Code')}) e JOIN (SELECT subject_id, modality, query_idx FROM ({GATES}) WHERE {OPEN}) g ON g.subject_id = e.subject_id AND g.query_idx = e.query_idx"
+#: SQL of the model's weights by query, place in the vector and place in the hidden layer (see ``Gated.fixed``), and of the error function by its series.
+_H = 16
+_W1, _B1 = "((p.position * 31 + j * 17 + p.query_idx * 13) % 61 - 30) / CAST(150 AS DOUBLE)", "((j * 7 + query_idx * 3) % 11 - 5) / CAST(50 AS DOUBLE)"
+_W2, _B2 = "((j * 29 + t.i * 19 + query_idx * 7) % 53 - 26) / CAST(100 AS DOUBLE)", "((i * 5 + query_idx * 11) % 13 - 6) / CAST(100 AS DOUBLE)"
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda n: power(-1, n) * power(y, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+#: Every expert's output: what attention gathers, and a residual of layer norm, linear, GELU, linear.
+EXPERTS = f"""x AS (SELECT * FROM ({weighted_sql('note_vectors', 'Note')}) UNION ALL SELECT * FROM ({weighted_sql('code_vectors', 'Code')})),
+  z AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM x WINDOW w AS (PARTITION BY subject_id, query_idx)),
+  pre AS (SELECT subject_id, query_idx, j, sum(z * ({_W1})) + {_B1} AS h FROM z p, unnest(range(0, {_H})) t(j) GROUP BY subject_id, query_idx, j),
+  act AS (SELECT subject_id, query_idx, j, 0.5 * h * (1 + {_ERF.replace('y,', '(h / sqrt(2)),')}) AS g FROM pre),
+  o AS (SELECT subject_id, query_idx, i AS position, sum(g * ({_W2})) + {_B2} AS delta FROM act, unnest(range(0, 64)) t(i) GROUP BY subject_id, query_idx, i),
+  e AS (SELECT x.subject_id, x.modality, x.query_idx, x.position, x.x + o.delta AS x FROM x JOIN o ON o.subject_id = x.subject_id AND o.query_idx = x.query_idx AND o.position = x.position),
+  m AS (SELECT e.* FROM e JOIN (SELECT subject_id, query_idx FROM ({GATES}) WHERE {OPEN}) g ON g.subject_id = e.subject_id AND g.query_idx = e.query_idx)"""
 _HEAD = WEIGHT.replace("i *", "position *")
 
 
 @frame(
     "fused_score",
-    f"""WITH m AS (SELECT subject_id, position, avg(x) AS x FROM ({_MIXED}) GROUP BY subject_id, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM m WINDOW w AS (PARTITION BY subject_id))
+    f"""WITH {EXPERTS}, f AS (SELECT subject_id, position, avg(x) AS x FROM m GROUP BY subject_id, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM f WINDOW w AS (PARTITION BY subject_id))
         SELECT subject_id, round(1 / (1 + exp(-sum(z * ({_HEAD})))), 4) AS p FROM n GROUP BY subject_id""",
     "note_vectors",
     "code_vectors",
@@ -110,12 +96,12 @@ _HEAD = WEIGHT.replace("i *", "position *")
 )
 def fused_score(notes, codes, queries):
     """Addition fusion: the mean of all open experts, layer-normalised, through a linear head."""
-    return active_mean(notes, codes, queries).groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(F.col("x") * weight(F.col("position"))))), 4).alias("p"))
+    return gating.scored(gating.brought(notes, codes, queries, gates(notes, codes, queries)), gating.fixed(queries)).select("subject_id", F.round("p", 4).alias("p"))
 
 
 @frame(
     "concat_fused_score",
-    f"""WITH m AS (SELECT subject_id, modality, position, avg(x) AS x FROM ({_MIXED}) GROUP BY subject_id, modality, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM m WINDOW w AS (PARTITION BY subject_id, modality))
+    f"""WITH {EXPERTS}, f AS (SELECT subject_id, modality, position, avg(x) AS x FROM m GROUP BY subject_id, modality, position), n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM f WINDOW w AS (PARTITION BY subject_id, modality))
         SELECT subject_id, round(1 / (1 + exp(-sum(CASE WHEN modality = 'Note' THEN z ELSE -z END * ({_HEAD})))), 4) AS p FROM n GROUP BY subject_id""",
     "note_vectors",
     "code_vectors",
@@ -124,8 +110,7 @@ def fused_score(notes, codes, queries):
 def concat_fused_score(notes, codes, queries):
     """Concatenation fusion: open note experts and open code experts averaged and layer-normalised apart, then side by side through one head
     (the codes' half has the weights with their signs turned)."""
-    sign = F.when(F.col("modality") == "Note", 1.0).otherwise(-1.0)
-    return active_mean(notes, codes, queries, "modality").groupBy("subject_id").agg(F.round(1 / (1 + F.exp(-F.sum(sign * F.col("x") * weight(F.col("position"))))), 4).alias("p"))
+    return gating.scored(gating.brought(notes, codes, queries, gates(notes, codes, queries)), gating.fixed(queries, concat=True)).select("subject_id", F.round("p", 4).alias("p"))
 
 
 @frame(
@@ -146,15 +131,16 @@ def active_query_averages(notes, codes, queries):
 @frame(
     "active_items",
     f"""SELECT h.subject_id, count(*) AS n_items, string_agg(CAST(h.query_idx AS STRING) || ':' || CAST(h.vec_id AS STRING) || '@' || CAST(h.days AS STRING), ',' ORDER BY h.query_idx, h.rank) AS items
-        FROM ({_topk('note_vectors', 'Note', 4)}) h JOIN (SELECT subject_id, query_idx FROM ({GATES}) WHERE modality = 'Note' AND ({OPEN})) g ON g.subject_id = h.subject_id AND g.query_idx = h.query_idx GROUP BY h.subject_id""",
+        FROM (SELECT subject_id, query_idx, vec_id, days, rank FROM ({chosen_sql('note_vectors', 'Note')}) UNION ALL SELECT subject_id, query_idx, vec_id, days, rank FROM ({chosen_sql('code_vectors', 'Code')})) h
+        JOIN (SELECT subject_id, query_idx FROM ({GATES}) WHERE {OPEN}) g ON g.subject_id = h.subject_id AND g.query_idx = h.query_idx GROUP BY h.subject_id""",
     "note_vectors",
     "code_vectors",
     "query_vectors",
 )
 def active_items(notes, codes, queries):
-    """Retrieved items of the queries whose gate is open, with their metadata."""
-    active = gates(notes, codes, queries).where("open AND modality = 'Note'").select("subject_id", "query_idx")
-    kept = hits(notes, queries, "Note").join(active, ["subject_id", "query_idx"])
+    """Retrieved items of the queries of both kinds whose gate is open, with their metadata."""
+    active = gates(notes, codes, queries).where("open").select("subject_id", "query_idx")
+    kept = gating.selected(notes, codes, queries).select("subject_id", "query_idx", "vec_id", "days", "rank").join(active, ["subject_id", "query_idx"])
     g = kept.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("query_idx", "rank", "vec_id", "days"))).alias("x"))
     line = F.transform("x", lambda e: F.concat(e["query_idx"].cast("string"), F.lit(":"), e["vec_id"].cast("string"), F.lit("@"), e["days"].cast("string")))
     return g.select("subject_id", "n_items", F.array_join(line, ",").alias("items"))
@@ -233,44 +219,22 @@ def mil_scores(notes, codes):
         net = GatedMil(dim, 16, 5)
         for b in batches:
             if len(b):
-                m = np.stack(b["vector"].to_numpy()).astype(float)
-                yield pd.DataFrame({"subject_id": b["subject_id"], "a": net.attention(m), "h": m @ net.head})
+                a, h = net.items(np.stack(b["vector"].to_numpy()).astype(float))
+                yield pd.DataFrame({"subject_id": b["subject_id"], "a": a, "h": h})
+
+    from marlow.functions.networks import GatedMil as Net
 
     cols = ["subject_id", "vector"]
     items_ = notes.select(*cols).unionByName(codes.select(*cols)).mapInPandas(run, "subject_id long, a double, h double")
-    g = items_.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_items"), (F.sum(F.col("a") * F.col("h")) / F.sum("a")).alias("z"))
+    g = items_.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_items"), (F.sum(F.col("a") * F.col("h")) / F.sum("a") + Net(1, 1, 5).bias).alias("z"))
     return g.select("subject_id", "n_items", F.round(1 / (1 + F.exp(-F.col("z"))), 6).alias("p"))
 
 
 @frame("expert_scores", None, "note_vectors", "code_vectors", "query_vectors")
 def expert_scores(notes, codes, queries):
-    """Retrieved items of every query through attention and an expert, with integrated gradients from two starting points: zero,
-    and the mean of the items.  A group is the few items that one query retrieved for one subject."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        from marlow.functions.networks import Expert, integrated_gradients, probability
-
-        m = np.stack(pdf["vector"].to_numpy()).astype(float)
-        query = np.asarray(pdf["query"].iloc[0], float)
-        e = Expert(m.shape[1], 32, 3 + int(pdf["query_idx"].iloc[0]))
-        p = probability(query, m, e)
-        out = pdf[["subject_id", "modality", "query_idx", "vec_id"]].assign(p=round(p, 6))
-        for name, start in (("zero", np.zeros_like(m)), ("mean", np.repeat(m.mean(0, keepdims=True), len(m), 0))):
-            a = integrated_gradients(query, m, e, start=start)
-            out[f"from_{name}"] = a.round(6)
-            out[f"gap_{name}"] = round(p - probability(query, start, e) - a.sum(), 6)
-        return out
-
-    kept = None
-    for modality, rows in (("Note", notes), ("Code", codes)):
-        asked = queries.where(F.col("modality") == modality)
-        k = hits(rows, asked, modality).join(rows.select("vec_id", "vector"), "vec_id").join(few(asked.select("query_idx", F.col("vector").alias("query"))), "query_idx")
-        k = k.select("subject_id", F.lit(modality).alias("modality"), "query_idx", "vec_id", "vector", "query")
-        kept = k if kept is None else kept.unionByName(k)
-    schema = "subject_id long, modality string, query_idx int, vec_id long, p double, from_zero double, gap_zero double, from_mean double, gap_mean double"
-    return kept.groupBy("subject_id", "query_idx").applyInPandas(run, schema)
+    """The items of each query with the subject's fused probability and their shares in it: integrated gradients through the whole
+    model, from zero and from the mean of all items that the subject's queries selected, and what the shares miss of the probabilities' difference."""
+    return gating.attributed(gating.brought(notes, codes, queries, gates(notes, codes, queries)), gating.fixed(queries))
 
 
 @frame("encode_chunks", None, "note_events")
@@ -287,23 +251,22 @@ def encode_chunks(notes):
     return chunked(notes).select("note_id", "chunk_no", "chunk").mapInPandas(run, "note_id long, chunk_no long, vector array<float>")
 
 
-PAD = 6
+_BAG = "SELECT subject_id, CAST(subject_id / 8 AS BIGINT) AS batch, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY vec_id) AS INT) AS place, vector FROM {note_vectors}".replace("CAST(subject_id / 8 AS BIGINT)", "subject_id // 8")
 
 
 @frame(
     "padded_bags",
-    f"""WITH r AS (SELECT subject_id, vec_id, vector, row_number() OVER (PARTITION BY subject_id ORDER BY vec_id) AS place FROM {{note_vectors}}), n AS (SELECT subject_id, least(count(*), {PAD}) AS n FROM r GROUP BY subject_id)
-        SELECT n.subject_id, CAST(t.place AS INT) AS place, t.place <= n.n AS mask, round(coalesce(CAST(r.vector[1] AS DOUBLE), 0), 6) AS first, CAST(coalesce(len(r.vector), 64) AS INT) AS width FROM n CROSS JOIN unnest(range(1, {PAD + 1})) t(place) LEFT JOIN r ON r.subject_id = n.subject_id AND r.place = t.place""",
+    f"""WITH r AS ({_BAG}), n AS (SELECT subject_id, batch, count(*) AS n FROM r GROUP BY subject_id, batch), l AS (SELECT batch, max(n) AS longest FROM n GROUP BY batch)
+        SELECT n.subject_id, n.batch, CAST(t.place AS INT) AS place, t.place <= n.n AS mask, round(coalesce(list_sum(list_transform(r.vector, lambda x: CAST(x AS DOUBLE))), 0), 5) AS total, CAST(coalesce(len(r.vector), 64) AS INT) AS width
+        FROM n JOIN l ON l.batch = n.batch, unnest(range(1, l.longest + 1)) t(place) LEFT JOIN r ON r.subject_id = n.subject_id AND r.place = t.place""",
     "note_vectors",
 )
 def padded_bags(notes):
-    """The first vectors of each subject as a bag of fixed size, filled up with zero vectors, and a mask of what is real."""
-    dim = vectors.width(notes)
-    w = Window.partitionBy("subject_id").orderBy("vec_id")
-    first = notes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= PAD).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("place", vectors.doubles(F.col("vector")).alias("v")))).alias("x"))
-    bags = first.select("subject_id", vectors.padded(F.transform("x", lambda e: e["v"]), PAD, dim).alias("bag"), F.size("x").alias("n"))
-    rows = bags.select("subject_id", "n", F.posexplode("bag").alias("i", "v"))
-    return rows.select("subject_id", (F.col("i") + 1).cast("int").alias("place"), (F.col("i") < F.col("n")).alias("mask"), F.round(F.col("v")[0], 6).alias("first"), F.size("v").alias("width"))
+    """The vectors of each subject, all of them, filled up with zero vectors to the longest bag of its batch (eight subjects), and a mask of what is real.  A bag is
+    its rows by place; it is never one value."""
+    padded = gating.padded_bags(notes.withColumn("batch", F.floor(F.col("subject_id") / 8).cast("long")))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return padded.select("subject_id", "batch", "place", "mask", F.round(total, 5).alias("total"), F.size("vector").alias("width"))
 
 
 @frame("linear_probe", None, "note_vectors", "subject_labels")

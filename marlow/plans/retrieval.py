@@ -165,16 +165,29 @@ def summary_layernorm(notes):
     return summaries(notes).withColumn("x", F.round("x", 5))
 
 
-@frame(
-    "linear_attention",
-    f"""WITH k AS ({_topk('note_vectors', 'Note', 4)}), w AS (SELECT subject_id, query_idx, vec_id, exp(score) / sum(exp(score)) OVER (PARTITION BY subject_id, query_idx) AS a FROM k)
-        SELECT w.subject_id, w.query_idx, i - 1 AS position, round(sum(w.a * CAST(v.vector[i] AS DOUBLE)), 5) AS x FROM w JOIN {{note_vectors}} v ON v.vec_id = w.vec_id, unnest(range(1, 65)) t(i) GROUP BY w.subject_id, w.query_idx, i""",
-    "note_vectors",
-    "query_vectors",
-)
+#: What divides the scores before their softmax.
+TEMPERATURE = 0.5
+
+
+def chosen_sql(side: str, modality: str, k: int = 4) -> str:
+    """The items that each query of a kind retrieves by the dot product with its direction, with that product."""
+    raw = f"SELECT v.subject_id, v.vec_id, v.days, v.vector, q.query_idx, {_dot('v.vector', 'q.vector')} / greatest(sqrt({_dot('q.vector', 'q.vector')}), 1e-8) AS raw FROM {{{side}}} v JOIN {{query_vectors}} q ON q.modality = '{modality}'"
+    return f"SELECT *, '{modality}' AS modality FROM (SELECT *, CAST(row_number() OVER (PARTITION BY subject_id, query_idx ORDER BY round(raw, 4) DESC, vec_id) AS INT) AS rank FROM ({raw})) WHERE rank <= {k}"
+
+
+def weighted_sql(side: str, modality: str) -> str:
+    """The softmax-weighted sum of what each query retrieved, one row an element."""
+    a = f"SELECT *, exp(raw / {TEMPERATURE}) / sum(exp(raw / {TEMPERATURE})) OVER (PARTITION BY subject_id, query_idx) AS a FROM ({chosen_sql(side, modality)})"
+    return f"SELECT subject_id, modality, query_idx, i - 1 AS position, sum(a * CAST(vector[i] AS DOUBLE)) AS x FROM ({a}) w, unnest(range(1, len(vector) + 1)) t(i) GROUP BY subject_id, modality, query_idx, i"
+
+
+@frame("linear_attention", f"SELECT subject_id, query_idx, position, round(x, 5) AS x FROM ({weighted_sql('note_vectors', 'Note')})", "note_vectors", "query_vectors")
 def linear_attention(notes, queries):
-    """Softmax-weighted sum of the retrieved vectors of each subject and query."""
-    kept = hits(notes, queries, "Note").join(notes.select("vec_id", "vector"), "vec_id")
-    total = F.sum(F.exp("score")).over(Window.partitionBy("subject_id", "query_idx"))
-    e = kept.withColumn("a", F.exp("score") / total).select("subject_id", "query_idx", "a", F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
+    """Softmax-weighted sum of the retrieved vectors of each subject and query: the dot product with the query's direction, over a temperature."""
+    from marlow.operators import gating
+
+    asked = queries.where("modality = 'Note'")
+    kept = gating.chosen(notes, asked).withColumn("e", F.exp(F.col("raw") / TEMPERATURE))
+    total = F.sum("e").over(Window.partitionBy("subject_id", "query_idx"))
+    e = kept.withColumn("a", F.col("e") / total).select("subject_id", "query_idx", "a", F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
     return e.groupBy("subject_id", "query_idx", F.col("position").cast("long").alias("position")).agg(F.round(F.sum(F.col("a") * F.col("x")), 5).alias("x"))

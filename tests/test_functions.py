@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlow.functions import networks, parsing, text, vectors
+from marlow.functions import gated, networks, parsing, text, vectors
 from marlow.operators import external, metrics, relational
 from marlow.sources import config, io
 
@@ -209,11 +209,90 @@ def test_unwrap_and_renumber():
     assert parsing.renumber("[Predictive Factors + x]\nHeart\n  Factor summary: a\nLungs\nFactor summary: b\n[Reasoning Lens]") == "[Predictive Factors + x]\nHeart\n1. Factor summary: a\nLungs\n2. Factor summary: b\n[Reasoning Lens]"
 
 
-def test_integrated_gradients_are_complete():
-    r = np.random.default_rng(0)
-    q, items, e = r.normal(size=8), r.normal(size=(4, 8)), networks.Expert(8, 6, 1)
-    a = networks.integrated_gradients(q, items, e, 2000)
-    assert a.sum() == pytest.approx(networks.probability(q, items, e) - networks.probability(q, items * 0, e), abs=1e-3)
+def a_model(r, concat=False):
+    m = gated.Gated.fixed(r.normal(size=(5, 12)), 3, hidden=7, concat=concat)
+    for k in m.weights:
+        m.weights[k] = m.weights[k] + r.normal(0, 0.1, m.weights[k].shape)
+    real = np.ones((5, 3), bool)
+    real[1, 2] = real[4] = False
+    return m, gated.Subject(r.normal(size=(5, 3, 12)) * real[..., None], real, r.normal(size=(2, 12)))
+
+
+@pytest.mark.parametrize("concat", [False, True])
+def test_gradients_by_differences(concat):
+    r = np.random.default_rng(1)
+    m, s = a_model(r, concat)
+    s.gates = m.gates(s)[0]  # hard gates have no slope; see the next test
+    grads, items = m.backward(s, m.forward(s)[1], 1.0)
+    for name, x in [*m.weights.items(), ("items", s.items)]:
+        g = items if name == "items" else grads[name]
+        for _ in range(6):
+            i = tuple(int(r.integers(0, n)) for n in x.shape)
+            if name == "items" and not s.real[i[:2]]:
+                continue
+            old, ends = x[i], []
+            for e in (1e-6, -1e-6):
+                x[i] = old + e
+                ends.append(m.forward(s)[0])
+            x[i] = old
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[i], abs=2e-6), name
+
+
+def test_gates_pass_their_gradient_straight_through():
+    r = np.random.default_rng(2)
+    m, s = a_model(r)
+    logit, c = m.forward(s)
+    grads, _ = m.backward(s, c, 1.0)
+
+    def soft(w):  # the logit if gates were hard + (now - before) of sigmoid(cos) - sigmoid(theta)
+        m.weights, old = w, m.weights
+        p = m.gates(s)[1]
+        m.weights = old
+        now = gated.sigmoid(p["cos"][1:]) - gated.sigmoid(w["theta"])
+        open_ = c["open"] + np.r_[0, now - before]
+        mixed = (c["out"] * open_[:, None]).sum(0) / c["count"][0]
+        n, _ = gated.norm(mixed)
+        return float(((n * w["final_gain"][0] + w["final_shift"][0]) * w["head"][0]).sum() + w["bias"][0])
+
+    p = c["gate"]
+    before = gated.sigmoid(p["cos"][1:]) - gated.sigmoid(m.weights["theta"])
+    assert soft(m.weights) == pytest.approx(logit)
+    for name in ("theta", "summary_gain", "summary_shift"):
+        for i in range(2):
+            ends = []
+            for e in (1e-6, -1e-6):
+                w = {k: v.copy() for k, v in m.weights.items()}
+                w[name][i] += e
+                ends.append(soft(w))
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(grads[name][i], abs=1e-6), name
+
+
+@pytest.mark.parametrize("concat", [False, True])
+def test_integrated_gradients_are_complete(concat):
+    m, s = a_model(np.random.default_rng(3), concat)
+    open_ = m.gates(s)[0]
+    mean = s.real[..., None] * s.items.reshape(-1, 12)[s.real.reshape(-1)].mean(0)
+    for start, steps in ((np.zeros_like(s.items), 6000), (mean, 200)):
+        a = m.attributed(s, start, steps)
+        assert a.sum() == pytest.approx(m.probability(s) - m.probability(gated.Subject(start, s.real, s.summaries, open_)), abs=1e-3)
+        assert (a[open_ == 0] == 0).all() and (a[~s.real] == 0).all()
+
+
+def test_queries_loss_by_differences():
+    m, _ = a_model(np.random.default_rng(4))
+    _, g = m.diversity()
+    q = m.weights["queries"]
+    for i in ((0, 0), (1, 3), (4, 11)):
+        old, ends = q[i], []
+        for e in (1e-6, -1e-6):
+            q[i] = old + e
+            ends.append(m.diversity()[0])
+        q[i] = old
+        assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[i], abs=1e-5)
+
+
+def test_gelu_is_exact():
+    assert networks.gelu(np.array([1.0]))[0] == pytest.approx(0.8413447460685429) and networks.gelu(np.array([-3.0]))[0] == pytest.approx(-0.00404969409489031)
 
 
 def test_auc(spark):
