@@ -54,8 +54,7 @@ def auc_exact(predictions):
 
 @frame("bootstrap_draws", f"{GRID} SELECT draw, count(*) AS n_distinct, CAST(sum(times) AS BIGINT) AS n, CAST(sum(times * subject_id) AS BIGINT) AS checksum FROM w GROUP BY draw", "predictions")
 def bootstrap_draws(predictions):
-    d = metrics.draws(predictions, "subject_id", DRAWS)
-    return d.groupBy("draw").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("times").alias("n"), F.sum(F.col("times") * F.col("subject_id")).alias("checksum"))
+    return metrics.draws(predictions, "subject_id", DRAWS)
 
 
 METRICS = ("auc", "accuracy", "precision", "recall", "f1")

@@ -191,3 +191,32 @@ def linear_attention(notes, queries):
     total = F.sum("e").over(Window.partitionBy("subject_id", "query_idx"))
     e = kept.withColumn("a", F.col("e") / total).select("subject_id", "query_idx", "a", F.posexplode(vectors.doubles(F.col("vector"))).alias("position", "x"))
     return e.groupBy("subject_id", "query_idx", F.col("position").cast("long").alias("position")).agg(F.round(F.sum(F.col("a") * F.col("x")), 5).alias("x"))
+
+
+EVERY = 50
+
+
+def searched(embeddings, k: int = 4):
+    """The index of all vectors, the queries (every vector whose id is divisible by 50), and what it finds."""
+    from marlow.operators import ann
+
+    index = ann.build(embeddings)
+    asked = index.rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "vector")
+    return index, asked, ann.search(index, asked, k, ann.probes_for(index, asked, k))
+
+
+@frame("ann_topk", None, "embeddings")
+def ann_topk(embeddings):
+    """The four nearest vectors of every fiftieth one by the index."""
+    return searched(embeddings)[2].select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@frame("ann_recall", f"SELECT count(*) AS n_queries, TRUE AS reached FROM {{embeddings}} WHERE vec_id % {EVERY} = 0", "embeddings")
+def ann_recall(embeddings):
+    """Whether the index finds nine of ten of the four true neighbours of all queries."""
+    from marlow.operators import ann
+
+    index, asked, found = searched(embeddings)
+    true = ann.exact(index.rows, asked, 4)
+    hit = true.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))

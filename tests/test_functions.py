@@ -495,7 +495,7 @@ def test_bootstrap_against_plain_metrics(spark):
     rows = [(k, m, int(k % 3 == 0), round(float(rng.random()), 1)) for k in range(30) for m in ("a", "b")]
     df = spark.createDataFrame(rows, "s long, method string, label int, p double")
     weights = {}
-    for r in metrics.draws(df, "s", 20).collect():
+    for r in metrics.times(df, "s", 20).collect():
         weights.setdefault(r["draw"], {})[r["s"]] = r["times"]
     for r in metrics.resampled(df, "s", ["method"], 20).collect():
         items = [(y, p, weights[r["draw"]].get(s, 0)) for s, m, y, p in rows if m == r["method"]]
@@ -519,3 +519,48 @@ def test_weights_and_padding(spark, tmp_path):
     df = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [[1.0, 1.0]] * 4), (3, [])], "k long, bag array<array<double>>")
     got = {r["k"]: r["p"] for r in df.select("k", vectors.padded(F.col("bag"), 3, 2).alias("p")).collect()}
     assert got == {1: [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]], 2: [[1.0, 1.0]] * 3, 3: [[0.0, 0.0]] * 3}
+
+
+def test_bootstrap_of_hot_scores(spark):
+    from marlow.operators import metrics
+
+    rng = np.random.default_rng(5)
+    n, draws = 1300, 7  # several blocks of subjects; half of all scores are equal, methods with two keys
+    p = np.where(rng.random(n) < 0.5, 0.5, rng.random(n).round(2))
+    label = rng.integers(0, 2, n)
+    rows = [(int(i), m, "x", int(label[i]), float(abs(p[i] - k))) for i in range(n) for k, m in enumerate(("a", "b"))]
+    df = spark.createDataFrame(rows, "subject_id long, method string, kind string, label int, p double")
+    got = {(r["draw"], r["method"]): r for r in metrics.resampled(df, "subject_id", ["method", "kind"], draws).collect()}
+    import hashlib
+
+    for d in range(draws):
+        source = [int(hashlib.md5(f"42|{d}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+        for k, m in enumerate(("a", "b")):
+            x, y = abs(p[source] - k), label[source]
+            pos, neg = np.sort(x[y == 1]), np.sort(x[y == 0])
+            won = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+            r = got[d, m]
+            assert r["auc"] == pytest.approx(won / (len(pos) * len(neg))) and r["recall"] == pytest.approx((pos >= 0.5).mean()) and r["accuracy"] == pytest.approx(((x >= 0.5) == (y == 1)).mean())
+    counted = metrics.draws(df.select("subject_id"), "subject_id", draws).collect()
+    assert all(r["n"] == n and 0.6 * n < r["n_distinct"] < 0.66 * n for r in counted) and len(counted) == draws
+
+
+def test_index_of_split_cells(spark, monkeypatch):
+    from marlow.operators import ann
+
+    monkeypatch.setattr(ann, "SLICE", 100)
+    monkeypatch.setattr(ann, "AT_ONCE", 16)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(0, 0.02, (600, 16)) + rng.normal(0, 1, 16), rng.normal(0, 1, (600, 16))])  # half of all in one place
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [float("nan")] * 16), (2002, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = ann.build(df, parts=4, rounds=4)
+    assert index.codes.count() == 1200 and index.codes.groupBy("cell", "slice").count().agg(F.max("count")).first()[0] <= 200 and index.slices.agg(F.max("slices")).first()[0] >= 3
+    asked = index.rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    true = ann.exact(index.rows, asked, 4)
+    unit_ = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q, ids in true.groupBy("query_id").agg(F.collect_set("id")).collect():
+        order = np.lexsort((np.arange(1200), -np.round(unit_ @ unit_[q], 5)))[:4]
+        assert len(set(order.tolist()) & set(ids)) >= 3 and q in ids
+    found = ann.search(index, asked, 4, ann.probes_for(index, asked, 4))
+    assert ann.recall(found, true) >= 0.9 and found.groupBy("query_id").count().where("count <> 4").count() == 0
