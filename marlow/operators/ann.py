@@ -7,7 +7,7 @@ its own (one number a part and entry), and the best of them are scored again wit
 Centres and codebooks are fitted on a bounded sample (``SAMPLE`` rows, by a hash of the id) by rounds of k-means whose sums come from the
 executors; every row is indexed.  Both are broadcast: their size goes by ``cells``, at most ``CELLS``, and the width.  Codes are a table; a cell
 that holds more than ``SLICE`` rows is split, and its queries go to all its slices, so that no task holds a whole hot cell.  How many cells are
-probed is found by doubling until a bounded set of queries reaches the recall that is asked for, against brute force.
+probed, and how many candidates scored again, is measured against brute force with a bounded set of queries.
 
 Vectors are compared by cosine; rows without a vector, with another width or with a component that is null or not finite are not indexed.  Ties go to the smaller id.
 """
@@ -214,11 +214,20 @@ def recall(found: DataFrame, true: DataFrame) -> float:
     return true.select("query_id", "id").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").count() / n if n else 1.0
 
 
-def probes_for(index: Index, queries: DataFrame, k: int, goal: float = 0.95, measured: int = MEASURED) -> int:
-    """The least power of two of cells to probe by which a bounded set of queries (those least by a hash) reaches ``goal``."""
+def settings_for(index: Index, queries: DataFrame, k: int, goal: float = 0.95, measured: int = MEASURED) -> tuple[int, int]:
+    """(probes, more) for :func:`search`, measured with a bounded set of queries (those least by a hash): the cells that hold all but half of the
+    misses allowed, from the places of the true neighbours' cells in each query's order; then as many candidates, doubled from 4, as
+    reach ``goal``."""
     few = settled(queries.orderBy(F.xxhash64("query_id")).limit(measured))
     true = settled(exact(index.rows, few, k))
-    probes = 1
-    while probes < len(index.centres) and recall(search(index, few, k, probes), true) < goal:
-        probes *= 2
-    return min(probes, len(index.centres))
+    asked = few.collect()
+    if not asked:
+        return 1, 4
+    order = index.nearest_cells(np.array([r["vector"] for r in asked], np.float32), len(index.centres))
+    place = {r["query_id"]: np.argsort(o) for r, o in zip(asked, order)}
+    depth = np.sort([place[r["query_id"]][r["cell"]] for r in true.join(index.codes.select("id", "cell"), "id").select("query_id", "cell").collect()])
+    probes = 1 + int(depth[max(0, min(len(depth), int(np.ceil(len(depth) * (1 + goal) / 2))) - 1)])
+    more, n = 4, index.codes.count()
+    while more * k < n and recall(search(index, few, k, probes, more), true) < goal:
+        more *= 2
+    return probes, more

@@ -202,7 +202,7 @@ def searched(embeddings, k: int = 4):
 
     index = ann.build(embeddings)
     asked = index.rows.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "vector")
-    return index, asked, ann.search(index, asked, k, ann.probes_for(index, asked, k))
+    return index, asked, ann.search(index, asked, k, *ann.settings_for(index, asked, k))
 
 
 @frame("ann_topk", None, "embeddings")
