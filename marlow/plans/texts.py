@@ -183,3 +183,60 @@ def filled_prompt(predictions):
     rows = predictions.where("method = 'm2' AND probability IS NOT NULL")
     evidence = F.concat(F.lit("about "), F.col("n_chars").cast("string"), F.lit(" characters"))
     return rows.select("subject_id", prompts.filled(prompts.PROMPTS["explain"]["user"], probability=F.format_string("%.4f", "probability"), evidence=evidence).alias("prompt"))
+
+
+PROMPT_BUDGET = 6000
+_SYSTEM, _USER = (prompts.PROMPTS["full_context"][k].replace("'", "''").replace("\n", "' || chr(10) || '") for k in ("system", "user"))
+
+
+def _words(text: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda x: x <> ''))"
+
+
+def _prompt(body: str) -> str:
+    return f"'<system>' || chr(10) || '{_SYSTEM}' || chr(10) || '<user>' || chr(10) || '{_USER}' || {body} || chr(10) || '<assistant>' || chr(10)"
+
+
+def _fits(newest: bool) -> str:
+    """A linear scan over the number of notes kept, by the words of all parts."""
+    line = f"'[' || CAST(t.n - k AS STRING) || ' {'older' if newest else 'newer'} notes left out]'"
+    kept = f"string_agg(b.block, chr(10) ORDER BY b.i) FILTER (WHERE b.i {'> t.n - f.kept' if newest else '<= f.kept'})"
+    line_ = line.replace("t.n - k", "any_value(t.n) - any_value(f.kept)")
+    body = f"CASE WHEN any_value(f.kept) = any_value(t.n) THEN '' ELSE {line_} || chr(10) END || coalesce({kept}, '')" if newest else f"coalesce({kept}, '') || CASE WHEN any_value(f.kept) = any_value(t.n) THEN '' ELSE chr(10) || {line_} END"
+    return rf"""WITH {RECORDS}, b AS (SELECT n.subject_id, n.i, '[Note ' || CAST(i AS STRING) || '] ' || coalesce(note_type, '') || ' at age ' || CAST(age AS STRING) || ', ' || CAST(days AS STRING) || ' days' || chr(10) || text AS block FROM n SEMI JOIN rec ON rec.subject_id = n.subject_id),
+      t AS (SELECT subject_id, num_notes AS n, 'Clinical notes (N=' || CAST(num_notes AS STRING) || ')' || chr(10) AS head, regexp_extract(text, '(?s)' || chr(10) || chr(10) || 'Codes \(N=\d+\)' || chr(10) || '.*$') AS tail FROM rec),
+      c AS (SELECT t.subject_id, t.n, {_words(_prompt("head || tail"))} AS fixed FROM t),
+      w AS (SELECT subject_id, i, {_words('block')} AS w FROM b),
+      k AS (SELECT c.subject_id, c.n, w.i AS k, (c.fixed + CASE WHEN w.i < c.n THEN 5 ELSE 0 END + sum(w.w) OVER (PARTITION BY c.subject_id ORDER BY w.i)) * 13 // 10 AS tokens FROM c JOIN (SELECT x.subject_id, CASE WHEN {newest} THEN y.n - x.i + 1 ELSE x.i END AS i, x.w FROM w x JOIN c y ON y.subject_id = x.subject_id) w ON w.subject_id = c.subject_id),
+      f AS (SELECT c.subject_id, coalesce(max(k.k) FILTER (WHERE k.tokens <= {PROMPT_BUDGET}), least(1, any_value(c.n))) AS kept FROM c LEFT JOIN k ON k.subject_id = c.subject_id GROUP BY c.subject_id),
+      o AS (SELECT t.subject_id, any_value(t.n) AS n, any_value(f.kept) AS kept, any_value(t.head) || {body} || any_value(t.tail) AS text FROM t JOIN f ON f.subject_id = t.subject_id LEFT JOIN b ON b.subject_id = t.subject_id GROUP BY t.subject_id)
+      SELECT subject_id, md5({_prompt('text')}) AS digest, CAST({_words(_prompt('text'))} * 13 // 10 AS BIGINT) AS tokens, kept < n AS truncated, CAST(kept AS INT) AS kept, CAST(n AS INT) AS total FROM o"""
+
+
+def _fitted_prompts(notes, codes, labels, newest: bool):
+    from marlow.operators import truncation
+
+    out = truncation.fit(records(notes, codes, labels), PROMPT_BUDGET, newest=newest)
+    return out.select("subject_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), "tokens", "truncated", "kept", "total")
+
+
+@frame("fit_prompt_recent", _fits(True), "note_events", "code_events", "subject_labels")
+def fit_prompt_recent(notes, codes, labels):
+    """The newest notes that a rendered prompt has room for, by bisection."""
+    return _fitted_prompts(notes, codes, labels, True)
+
+
+@frame("fit_prompt_early", _fits(False), "note_events", "code_events", "subject_labels")
+def fit_prompt_early(notes, codes, labels):
+    return _fitted_prompts(notes, codes, labels, False)
+
+
+@frame("fit_prompt_tokens", None, "note_events", "code_events", "subject_labels")
+def fit_prompt_tokens(notes, codes, labels):
+    """The same with the tokens of a byte-pair tokenizer."""
+    import public_tokenizers
+
+    from marlow.operators import truncation
+
+    out = truncation.fit(records(notes, codes, labels), PROMPT_BUDGET, truncation.byte_pairs(public_tokenizers.path("byte_bpe_50k.json")))
+    return out.select("subject_id", "tokens", "truncated", "kept", "total")

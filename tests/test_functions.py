@@ -564,3 +564,30 @@ def test_index_of_split_cells(spark, monkeypatch):
         assert len(ids) == 4 and score[ids].min() > np.sort(score)[-4] - 1e-5
     found = ann.search(index, asked, 4, *ann.settings_for(index, asked, 4))
     assert ann.recall(found, true) >= 0.9 and found.groupBy("query_id").count().where("count <> 4").count() == 0
+
+
+@pytest.mark.parametrize("newest", [True, False])
+def test_truncation_is_that_of_a_linear_scan(newest):
+    import public_tokenizers
+
+    from marlow.operators import truncation as tr
+
+    bpe = tr.byte_pairs(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(9)
+    words = ["fever", "42", "naïve", "—", "sepsis!!", "a" * 30, "\n", "[x]"]
+    texts = ["", "Clinical notes (N=0)\n\n\nCodes (N=1)\nc", "no notes at all"]
+    for n in (1, 2, 5, 17):
+        notes = [f"[Note {i + 1}] t at age 3, 4 days\n" + " ".join(rng.choice(words, int(rng.integers(1, 60)))) for i in range(n)]
+        texts.append(f"Clinical notes (N={n})\n" + "\n".join(notes) + "\n\nCodes (N=2)\nx (1-9)\ny (2-10)")
+    records = [tr.Record.of(t) for t in texts]
+    assert [len(r.notes) for r in records] == [0, 0, 0, 1, 2, 5, 17] and all(r.text(len(r.notes), newest) == t for r, t in zip(records, texts))
+    render = lambda t: tr.rendered("answer", t, "Be brief.")
+    for budget in (10, 120, 300, 700, 10_000):
+        for r, (prompt, tokens, kept) in zip(records, tr.fitted(records, budget, bpe, newest, render)):
+            n = len(r.notes)
+            costs = bpe([render(r.text(k, newest)) for k in range(n + 1)])
+            fits = [k for k in range(1, n + 1) if costs[k] <= budget]
+            assert kept == (max(fits) if fits else min(1, n)) and tokens == costs[kept] and prompt == render(r.text(kept, newest))
+    calls = []
+    tr.fitted(records, 300, lambda p: calls.append(len(p)) or bpe(p), newest, render)
+    assert calls[0] == 7 and len(calls) <= 6  # all together, and by halves
