@@ -13,21 +13,28 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where the session names none and the master is local."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="marlow-checkpoint-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", made)
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names; a local one only where it names none and the master is local."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        made = tempfile.mkdtemp(prefix="marlow-checkpoint-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", made)
-        spark.sparkContext.setCheckpointDir(made)
+    """``df`` checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

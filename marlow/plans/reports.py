@@ -311,13 +311,22 @@ def holistic_report(predictions, reports):
     return rows.select("subject_id", F.md5(F.concat(head, F.regexp_replace("report", r"\n+\z", ""), F.lit("\n")).cast("binary")).alias("digest"))
 
 
-@frame("split_patient_blocks", "SELECT subject_id, md5(rtrim(report, chr(10))) AS digest FROM {reports}", "reports")
+@frame("split_patient_blocks", rf"SELECT regexp_extract(report, 'Patient (\d+)', 1) AS subject_id, md5(rtrim(report, {_BLANK}) || chr(10)) AS digest FROM {{typed_reports}}", "typed_reports")
 def split_patient_blocks(reports):
-    """Reports written one after the other under ruled headers, fifty to a file, and split apart again."""
-    blocks = F.concat(F.lit("=====\nPATIENT "), F.col("subject_id").cast("string"), F.lit("\n=====\n"), F.col("report"))
-    files = reports.groupBy(F.floor(F.col("subject_id") / 50).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(blocks)), "").alias("text"))
-    part = files.select(F.explode(F.split("text", r"(?m)(?=^=====\nPATIENT \d+\n=====\n)")).alias("b")).where(F.col("b").rlike(r"^=====\nPATIENT"))
-    return part.select(F.regexp_extract("b", r"PATIENT (\d+)", 1).cast("long").alias("subject_id"), F.md5(F.regexp_replace(F.regexp_replace("b", r"^=====\nPATIENT \d+\n=====\n", ""), r"\n+\z", "").cast("binary")).alias("digest"))
+    """Typed reports, written one after the other into few text files and read back as single reports by byte ranges."""
+    import uuid
+
+    from marlow.operators.ordering import settled, shared_folder
+    from marlow.sources.reports import read_reports
+
+    spark = reports.sparkSession
+    path = f"{shared_folder(spark)}/marlow/{uuid.uuid4().hex}"
+    reports.repartitionByRange(2, "subject_id").sortWithinPartitions("subject_id").select("report").write.text(path)
+    blocks = read_reports(spark, path, split=1 << 18)
+    out = settled(blocks.select("subject_id", F.md5(F.col("block").cast("binary")).alias("digest")))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return out
 
 
 ITEMS = "SELECT doc_id AS subject_id, k, handle, quote, ((doc_id * 31 + k * 17) % 21 - 10) / CAST(10 AS DOUBLE) AS attribution FROM {factors}"

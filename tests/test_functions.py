@@ -591,3 +591,35 @@ def test_truncation_is_that_of_a_linear_scan(newest):
     calls = []
     tr.fitted(records, 300, lambda p: calls.append(len(p)) or bpe(p), newest, render)
     assert calls[0] == 7 and len(calls) <= 6  # all together, and by halves
+
+
+def test_any_cut_of_a_file_gives_the_same_reports(spark, tmp_path):
+    import io as bytes_
+
+    from marlow.sources import reports
+
+    rng = np.random.default_rng(4)
+    parts = []
+    for k in range(40):
+        rule = "=" * int(rng.integers(1, 9000 if k == 7 else 80))
+        parts.append((str(k % 30), f"{rule}\nEVIDENCE ALIGNMENT REPORT: Patient {k % 30}\n=====\n" + "é text = x\n====\nEVIDENCE ALIGNMENT REPORT: Patient none\n" * int(rng.integers(0, 30)) + ("==\n" if k % 3 else "")))
+    text = "a preface\n" + "".join(p for _, p in parts)
+    (tmp_path / "all.txt").write_text(text)
+    import re
+
+    heads = list(re.finditer(r"=+\nEVIDENCE ALIGNMENT REPORT: Patient (\d+)\n=+", text))
+    want = [(m[1], text[m.start() : heads[i + 1].start() if i + 1 < len(heads) else len(text)].rstrip() + "\n") for i, m in enumerate(heads)]
+    assert len(want) == 40
+    data = text.encode()
+    for split in (1, 7, 64, 1000, 10**6):
+        for step in (50, 1 << 20) if split > 50 else (1 << 20,):
+            reports.STEP, old = step, reports.STEP
+            try:
+                f = bytes_.BytesIO(data)
+                lows = range(0, len(data), split) if split > 7 else range(0, 4000, split)
+                got = [(n, b) for lo in lows for n, _, b in reports.blocks(f, lo, min(len(data), lo + split), len(data))]
+            finally:
+                reports.STEP = old
+            assert got == (want if split > 7 else want[: len(got)]) and len(got) >= 3
+    df = reports.read_reports(spark, str(tmp_path), split=500).orderBy("path", "start")
+    assert [(r["subject_id"], r["block"]) for r in df.collect()] == want and df.rdd.getNumPartitions() >= 1
