@@ -153,13 +153,3 @@ def positional_metadata(notes):
     items = notes.select("vec_id").join(F.broadcast(n)).select("vec_id", ((F.col("vec_id") * 37 + 11) % F.col("n")).alias("global_index"))
     rows = relational.with_row_index(notes.select(F.col("vec_id").alias("found_id"), "days"), "found_id")
     return items.join(rows, items["global_index"] == rows["row_index"]).select("vec_id", "global_index", "found_id", "days")
-
-
-@frame("gathered_shards", "SELECT subject_id, round(max(probability), 6) AS probability FROM {predictions} WHERE method = 'm1' GROUP BY subject_id", "predictions")
-def gathered_shards(predictions):
-    """Scores dealt to eight ranks, the last ranks filled up with first rows as padding, and gathered again with one row for each subject."""
-    rows = relational.with_row_index(predictions.where("method = 'm1'").select("subject_id", "probability"), "subject_id")
-    n = rows.count()
-    padding = rows.where(F.col("row_index") < -n % 8).withColumn("row_index", F.col("row_index") + n)
-    dealt = rows.unionByName(padding).withColumn("rank", (F.col("row_index") % 8).cast("int"))
-    return relational.keep_first(dealt.select("subject_id", "probability", "row_index"), ["subject_id"], "row_index").select("subject_id", F.round("probability", 6).alias("probability"))

@@ -269,15 +269,37 @@ def padded_bags(notes):
     return padded.select("subject_id", "batch", "place", "mask", F.round(total, 5).alias("total"), F.size("vector").alias("width"))
 
 
-@frame("linear_probe", None, "note_vectors", "subject_labels")
-def linear_probe(notes, labels):
-    """A logistic head trained on the mean vectors of four subjects in five and asked about all: (subject_id, label, held_out, p).  The one
-    training loop of the library; its gradients are sums over the executors."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    pooled = mean_pooled(notes).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("position", "x"))).alias("v"))
-    rows = pooled.join(labels, "subject_id").select("subject_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("v", lambda e: e["x"])).alias("features"), (F.pmod(F.xxhash64("subject_id"), F.lit(5)) == 0).alias("held_out"))
-    model = LogisticRegression(maxIter=15, regParam=0.1).fit(rows.where("NOT held_out"))
-    p = vector_to_array("probability")
-    return model.transform(rows).select("subject_id", F.col("label").cast("int").alias("label"), "held_out", F.round(p[F.size(p) - 1], 4).alias("p"))
+@frame("encoded_gates", None, "note_vectors", "code_vectors", "query_vectors")
+def encoded_gates(notes, codes, queries):
+    """Gates of summaries through an encoder layer, beside those of plain means: (subject_id, modality, query_idx, cos, open, open_of_means)."""
+    from marlow.functions.encoder import Layer
+
+    layer = Layer.fixed(vectors.width(notes))
+    w = Window.partitionBy("subject_id", "modality")
+    sides = [gating.encoded_summaries(rows, layer).withColumn("modality", F.lit(m)) for m, rows in (("Note", notes), ("Code", codes))]
+    x = sides[0].unionByName(sides[1]).select("subject_id", "modality", F.posexplode("v").alias("i", "x"))
+    normed = x.withColumn("x", (F.col("x") - F.avg("x").over(w)) / F.sqrt(F.var_pop("x").over(w) + 1e-5)).groupBy("subject_id", "modality").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    q = few(queries.select("modality", "query_idx", F.col("vector").alias("q")))
+    cos = F.round(vectors.cosine(F.transform("v", lambda e: e["x"]), F.col("q")), 4)
+    g = normed.join(q, "modality").select("subject_id", "modality", "query_idx", cos.alias("cos"))
+    above = 1 / (1 + F.exp(-F.col("cos"))) > 1 / (1 + F.exp(F.lit(-THETA)))
+    plain = gates(notes, codes, queries).select("subject_id", "modality", "query_idx", F.col("open").alias("open_of_means"))
+    return g.withColumn("open", (F.col("query_idx") == 0) | above).join(plain, ["subject_id", "modality", "query_idx"])
+
+
+@frame("trained_gates", None, "note_vectors", "code_vectors", "query_vectors", "subject_labels")
+def trained_gates(notes, codes, queries, labels):
+    """The gated model trained for two epochs on four subjects of five, its state written each epoch, and all subjects asked: (subject_id,
+    part, label, p)."""
+    import uuid
+
+    from marlow.operators import training
+    from marlow.operators.ordering import settled, shared_folder
+
+    spark = notes.sparkSession
+    path = f"{shared_folder(spark)}/marlow/{uuid.uuid4().hex}"
+    part = F.when(F.pmod(F.xxhash64("subject_id"), F.lit(5)) == 0, "val").otherwise("train")
+    known = settled(labels.select("subject_id", "label", part.alias("part")).join(notes.select("subject_id").distinct(), "subject_id", "left_semi"))
+    model, _ = training.fit(notes, codes, known, gating.fixed(queries), training.Plan(num_epochs=2, batches=2, warmup_steps=2, use_sampling_retrieval=True, temp_anneal_epochs=1), path)
+    out = training.predicted(notes, codes, training.inputs(notes, codes, known), model, gating.K)
+    return out.join(known.select("subject_id", "part"), "subject_id").where("label IS NOT NULL").select("subject_id", "part", "label", F.round("p", 4).alias("p"))

@@ -623,3 +623,70 @@ def test_any_cut_of_a_file_gives_the_same_reports(spark, tmp_path):
             assert got == (want if split > 7 else want[: len(got)]) and len(got) >= 3
     df = reports.read_reports(spark, str(tmp_path), split=500).orderBy("path", "start")
     assert [(r["subject_id"], r["block"]) for r in df.collect()] == want and df.rdd.getNumPartitions() >= 1
+
+
+def test_encoder_layer_against_loops(spark):
+    from marlow.functions.encoder import Layer
+    from marlow.operators import gating
+
+    rng = np.random.default_rng(1)
+    layer, dim = Layer.fixed(8, heads=2, hidden=6), 8
+    w = layer.weights
+
+    def by_loops(x):
+        out = []
+        for i in range(len(x)):
+            mixed = []
+            for h in range(2):
+                cols = slice(h * 4, h * 4 + 4)
+                q = x[i] @ w["q"][:, cols] + w["q_bias"][cols]
+                score = [q @ (k @ w["k"][:, cols] + w["k_bias"][cols]) / 2 for k in x]
+                e = [np.exp(s) for s in score]
+                mixed += list(sum(a * (k @ w["v"][:, cols] + w["v_bias"][cols]) for a, k in zip(e, x)) / sum(e))
+            y = x[i] + np.array(mixed) @ w["o"] + w["o_bias"]
+            y = (y - y.mean()) / np.sqrt(y.var() + 1e-5) * w["norm1"] + w["norm1_bias"]
+            z = y + networks.gelu(y @ w["f1"] + w["f1_bias"]) @ w["f2"] + w["f2_bias"]
+            out.append((z - z.mean()) / np.sqrt(z.var() + 1e-5) * w["norm2"] + w["norm2_bias"])
+        return np.mean(out, axis=0)
+
+    bags = {1: rng.normal(size=(23, dim)), 2: rng.normal(size=(1, dim)), 3: rng.normal(size=(7, dim))}
+    df = spark.createDataFrame([(s, 100 * s + i, v.tolist()) for s, x in bags.items() for i, v in enumerate(x)], "subject_id long, vec_id long, vector array<double>")
+    for block in (4, 256):  # one block, and many that are merged
+        for r in gating.encoded_summaries(df, layer, block).collect():
+            assert np.allclose(r["v"], by_loops(bags[r["subject_id"]]), atol=1e-9)
+
+
+def test_training_lowers_the_loss_and_goes_on_from_its_files(spark, tmp_path):
+    from marlow.operators import gating, training
+
+    rng = np.random.default_rng(7)
+    n, d = 24, 6
+    label = rng.integers(0, 2, n)
+    side = np.where(label == 1, 1.0, -1.0)
+    rows = [(s, s * 10 + j, j, (rng.normal(0, 0.3, d) + side[s] * np.eye(d)[j % d]).tolist()) for s in range(n) for j in range(5)]
+    notes = spark.createDataFrame(rows, "subject_id long, vec_id long, days long, vector array<double>").cache()
+    codes = notes.where("vec_id % 10 < 3 AND subject_id <> 5")  # one subject has no codes
+    labels = spark.createDataFrame([(s, int(label[s]), "val" if s % 4 == 0 else "train") for s in range(n)], "subject_id long, label int, part string")
+    model = gated.Gated.fixed(rng.normal(size=(3, d)), 2, hidden=4)
+    fixed = training.inputs(notes, codes, labels)
+    got = training.gradient(training._rows(notes, codes, fixed, model, 2), model, 2)
+    asked = training._rows(notes, codes, fixed, model, 2).toPandas()
+    total, loss = None, 0.0
+    for _, s, y in training.subjects(iter([asked.sort_values("subject_id").iloc[:31], asked.sort_values("subject_id").iloc[31:]]), model, 2):
+        logit, c = model.forward(s)
+        g = training._flat(model.backward(s, c, float(gated.sigmoid(np.float64(logit))) - y)[0])
+        total, loss = g if total is None else total + g, loss + np.logaddexp(0, logit) - y * logit
+    assert got[1] == n and got[0] == pytest.approx(loss) and np.allclose(training._flat(got[2]), total)
+
+    plan = training.Plan(num_epochs=2, batches=2, lr=0.03, warmup_steps=2, k_retrieval=2)
+    path = f"{tmp_path}/state"
+    training.fit(notes, codes, labels, model, plan, path)
+    trained, history = training.fit(notes, codes, labels, model, training.replace(plan, num_epochs=4), path)
+    assert [h["epoch"] for h in history] == [1, 2, 3, 4] and history[-1]["loss"] < 0.8 * history[0]["loss"]
+    whole, all_ = training.fit(notes, codes, labels, model, training.replace(plan, num_epochs=4), f"{tmp_path}/whole")
+    assert [h["loss"] for h in all_] == pytest.approx([h["loss"] for h in history]) and all(np.allclose(whole.weights[k], trained.weights[k]) for k in whole.weights)
+    assert training.stopped([{"auc": a} for a in (0.6, 0.5, 0.6, 0.6)], 3) and not training.stopped([{"auc": a} for a in (0.6, 0.5, 0.7, 0.6)], 3)
+    t = training.Plan(use_sampling_retrieval=True, batches=2, temp_anneal_epochs=2)
+    assert [training.temperature(t, s) for s in (0, 3, 4)] == [1.5, pytest.approx(0.05), None] and training.temperature(plan, 0) is None
+    drawn = gating.chosen(notes, training._queries(spark, model), 2, (1, 0.5)).collect()
+    assert len({(r["subject_id"], r["query_idx"], r["vec_id"]) for r in drawn}) == n * 3 * 2
