@@ -177,35 +177,60 @@ def normalized(s: pd.Series) -> pd.Series:
     return s.map(plain)
 
 
-def _lcs(short: str, window: str) -> int:
-    """Length of the longest common subsequence, by bits of one integer."""
-    masks: dict[str, int] = {}
+def _common(short: str, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``short`` with each stretch low to high of ``code``: one bit a character of ``short``
+    in words of 64, all stretches a step at a time."""
+    words = -(-len(short) // 64)
+    letters = {c: i + 1 for i, c in enumerate(dict.fromkeys(short))}
+    masks = np.zeros((len(letters) + 1, words), np.uint64)
     for i, c in enumerate(short):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(short)) - 1
-    s = full
-    for c in window:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return len(short) - s.bit_count()
+        masks[letters[c], i // 64] |= np.uint64(1 << i % 64)
+    at = np.zeros(int(code.max(initial=0)) + 1, np.int64) if code.max(initial=0) < 1 << 17 else None
+    known = np.array([ord(c) for c in letters], np.int64)
+    if at is not None:
+        inside = known[known < len(at)]
+        at[inside] = np.arange(1, len(known) + 1)[known < len(at)]
+        letter = at[code]
+    else:
+        order = np.argsort(known)
+        place = np.minimum(np.searchsorted(known[order], code), len(known) - 1)
+        letter = np.where(known[order][place] == code, order[place] + 1, 0)
+    state = np.full((words, len(low)), np.iinfo(np.uint64).max)
+    size = high - low
+    for j in range(int(size.max(initial=0))):
+        step = masks[np.where(j < size, letter[np.minimum(low + j, len(code) - 1)], 0)]
+        carry = np.zeros(len(low), bool)
+        for w in range(words):
+            s = state[w]
+            u = s & step[:, w]
+            total = s + u
+            over = total < s
+            total += carry
+            carry = over | (carry & (total == 0))
+            state[w] = total | (s - u)
+    full = np.array([(1 << min(64, len(short) - 64 * w)) - 1 for w in range(words)], np.uint64)
+    return len(short) - np.bitwise_count(state & full[:, None]).sum(0).astype(np.int64)
 
 
 def _windows(a: str, b: str, low: np.ndarray, high: np.ndarray, best: float) -> float:
     """The best 2 * lcs / (len(a) + length) of ``a`` with the stretches low to high of ``b``, or ``best`` if that is more.
 
     The number of characters in common (with repeats) bounds the subsequence; stretches are tried from the
-    highest bound down, until no bound is above what was found."""
-    code = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    highest bound down, ever more at a time, until no bound is above what was found."""
+    code = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     bound = np.zeros(len(low), np.int64)
     for c in set(a):
         seen = np.r_[0, np.cumsum(code == ord(c))]
         bound += np.minimum(a.count(c), seen[high] - seen[low])
     size = len(a) + high - low
     ratio = 2 * bound / size
-    for k in np.argsort(-ratio, kind="stable").tolist():
-        if ratio[k] <= best:
-            break
-        best = max(best, 2 * _lcs(a, b[low[k] : high[k]]) / int(size[k]))
+    order = np.argsort(-ratio, kind="stable")
+    at, step = 0, 32
+    while at < len(order) and ratio[order[at]] > best:
+        k = order[at : at + step]
+        k = k[ratio[k] > best]
+        best = max(best, float((2 * _common(a, code, low[k], high[k]) / size[k]).max()))
+        at, step = at + step, min(4 * step, 8192)
     return best
 
 
