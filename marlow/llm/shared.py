@@ -154,6 +154,14 @@ def numbered(df: DataFrame, order: list[Column], grouped: bool = False) -> DataF
     return placed.join(bases, on).select("row", *keys, (placed["at"] - bases["first"] + bases["base"]).alias("rank"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """:func:`written` in an eighth as many files as a shuffle has partitions (twice the cores at least): the many
+    small tables of a contraction.  On a local file system each file starts a process, in whose first moment
+    the memory of its executor counts twice."""
+    spark = df.sparkSession
+    return written(df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_width(spark) // 8)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b; any orderable type, either way
     round): one row (node, root) for each node named by an edge, root being the
@@ -164,17 +172,17 @@ def components(edges: DataFrame) -> DataFrame:
     each tree flat, and edges between different roots go to the next level.  All
     steps are joins and ``min`` aggregates, so a hub is combined on the map side
     and its neighbour list never stands in one place.  Each level is written to
-    the shared folder; nothing is collected but row counts.
+    the shared folder, in few files; nothing is collected but row counts.
     """
     a, b = F.col("a"), F.col("b")
-    live = written(edges.select(a, b).where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    live = _kept(edges.select(a, b).where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     result = None
     while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        up = _kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
         while True:  # pointer jumping
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = written(up.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            jumped = _kept(up.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
             forget(up)
             up = jumped.select("node", "root")
@@ -185,11 +193,11 @@ def components(edges: DataFrame) -> DataFrame:
             result = up
         else:
             nxt = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            merged = written(result.join(nxt, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            merged = _kept(result.join(nxt, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
             forget(result)
             result = merged
         ra, rb = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        nxt_live = written(live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        nxt_live = _kept(live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         forget(live)
         live = nxt_live
     if result is None:
