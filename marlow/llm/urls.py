@@ -19,7 +19,8 @@ Everything is DataFrame code, and the model grows with the input: counts of all
 (of any script, as they are), and of their shorter ends, are tables.  The difference of each distinct window is
 worked out once; shapes look up their windows by a join and add them up as whole billionths, so that
 no order of addition matters.  A window or shape that has a thousandth of all rows is looked up by a broadcast
-join (there are a thousand of these at most, whatever the input), all others by a shuffle, so no key is hot.
+join (there are a thousand of these at most, whatever the input); so are the sequences of one and two characters, which all windows share, while
+they are few enough (``FEW``).  All others meet by a shuffle.
 
 Values: a null url or one without ``://`` has empty host and path and an empty text,
 scores 0 and is allowed; repeated rows get equal verdicts; ties (score at the
@@ -53,6 +54,8 @@ MISTAKES = 0.02
 BINS, SPAN = 400, 4.0
 #: Rows of all rows that make a key hot, as a share.
 HOT = 1000
+#: Characters of sequences that are broadcast, as nearly all windows share them, and how many of these there may be at most.
+SHORT, FEW = 2, 200_000
 
 
 def host() -> Column:
@@ -111,14 +114,16 @@ def differences(known: DataFrame, asked: DataFrame, order: int = ORDER) -> DataF
     pairs = [(name, f, f if name in CALIBRATING else None) for names in (JUDGING, CALIBRATING) for f, name in enumerate(names)]
     others = F.explode(F.array(*[F.struct(F.lit(name).alias("f"), without("good", g), without("bad", b)) for name, g, b in pairs]))
     grams = written(sums.select("gram", others.alias("o")).select("gram", "o.*").where("good > 0 OR bad > 0"))
-    contexts = grams.groupBy("f", F.expr("left(gram, length(gram) - 1)").alias("context")).agg(
-        F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.count_if(F.col("good") > 0).alias("k_good"), F.count_if(F.col("bad") > 0).alias("k_bad")
+    contexts = written(
+        grams.groupBy("f", F.expr("left(gram, length(gram) - 1)").alias("context")).agg(
+            F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.count_if(F.col("good") > 0).alias("k_good"), F.count_if(F.col("bad") > 0).alias("k_bad")
+        )
     )
     empty = contexts.where("context = ''").drop("context")  # a row for each pair of models, so not a hot key of the join
     ask = f"explode(transform(sequence(1, {order}), k -> named_struct('k', k, 'f', left(w, 1), 'gram', right(w, k), 'context', left(right(w, k), k - 1))))"
-    steps = asked.select("w", F.expr(ask).alias("s")).select("w", "s.*").join(grams, ["f", "gram"], "left")
+    steps = met(asked.select("w", F.expr(ask).alias("s")).select("w", "s.*"), grams, "gram", "k", SHORT)
     counts = ["n_good", "n_bad", "k_good", "k_bad"]
-    longer = steps.where("k > 1").join(contexts, ["f", "context"], "left").select("w", "k", "good", "bad", *counts)
+    longer = met(steps.where("k > 1"), contexts.where("context <> ''"), "context", "k", SHORT + 1).select("w", "k", "good", "bad", *counts)
     steps = longer.union(steps.where("k = 1").join(F.broadcast(empty), "f", "left").select("w", "k", "good", "bad", *counts))
     chain = steps.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("good", "bad", *counts)]))).alias("s"))
 
@@ -128,6 +133,17 @@ def differences(known: DataFrame, asked: DataFrame, order: int = ORDER) -> DataF
     return chain.select("w", F.expr(f"CAST(round(1e9D * ({log('bad')} - {log('good')})) AS BIGINT)").alias("d"))
 
 
+def met(rows: DataFrame, table: DataFrame, key: str, order: str, short: int) -> DataFrame:
+    """``rows`` joined on the left to ``table`` by f and ``key``.  Keys of few characters, which all rows share (those of rows whose ``order`` is
+    ``short`` at most), are broadcast if there are no more than ``FEW`` of them."""
+    size = short - (key == "context")
+    few = table.where(F.length(key) <= size)
+    if few.limit(FEW + 1).count() > FEW:
+        return rows.join(table, ["f", key], "left")
+    near = rows.where(F.col(order) <= short).join(F.broadcast(few), ["f", key], "left")
+    return near.unionByName(rows.where(F.col(order) > short).join(table.where(F.length(key) > size), ["f", key], "left"))
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined to ``table`` (key, n, ...), which has each key once and in ``n`` how many of the ``total`` rows have it."""
     hot = F.broadcast(table.where(F.col("n") * HOT >= total))
