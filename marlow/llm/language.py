@@ -386,8 +386,8 @@ def scored(docs: DataFrame, model: Trained | None, keep: tuple[str, ...] = ("doc
 
         return docs.select(*keep, text.alias("text")).mapInArrow(lambda b: lean(run(b)), f"{kept}, {says}")
 
-    # Several blocks: one pass over the texts for each, sums by text digest (equal texts have equal sums).
-    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    # Several blocks: one pass over the texts for each, and sums by row number; the numbered rows are written first, so that a row keeps its number.
+    docs = written(docs.select(*keep, text.alias("text")).withColumn("_row", F.monotonically_increasing_id()))
     langs = sorted({x for some, _, _ in model.blocks for x in some})
     place = {x: i for i, x in enumerate(langs)}
     passes = []
@@ -400,16 +400,15 @@ def scored(docs: DataFrame, model: Trained | None, keep: tuple[str, ...] = ("doc
                 texts = b.column("text").to_pylist()
                 for lo, hi in _pieces(texts):
                     total, n, has = m.sums(texts[lo:hi])
-                    cols = [b.column("digest").slice(lo, hi - lo), pa.array([k] * (hi - lo), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(has)]
-                    yield pa.RecordBatch.from_arrays(cols, ["digest", "k", "total", "n", "has"])
+                    cols = [b.column("_row").slice(lo, hi - lo), pa.array([k] * (hi - lo), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(has)]
+                    yield pa.RecordBatch.from_arrays(cols, ["_row", "k", "total", "n", "has"])
 
-        sums = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(lambda b, f=partial: lean(f(b)), "digest binary, k int, total array<double>, n long, has boolean")
-        passes.append(written(sums.groupBy("digest", "k").agg(*[F.first(c).alias(c) for c in ("total", "n", "has")])))
+        passes.append(written(docs.select("_row", "text").mapInArrow(lambda b, f=partial: lean(f(b)), "_row long, k int, total array<double>, n long, has boolean")))
         sent.destroy()
     parts = passes[0]
     for p in passes[1:]:
         parts = parts.union(p)
-    one = parts.groupBy("digest").agg(F.collect_list(F.struct("k", "total")).alias("parts"), F.first("n").alias("n"), F.first("has").alias("has"))
+    one = parts.groupBy("_row").agg(F.collect_list(F.struct("k", "total")).alias("parts"), F.first("n").alias("n"), F.first("has").alias("has"))
     where = [np.array([place[x] for x in some]) for some, _, _ in model.blocks]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,10 +418,10 @@ def scored(docs: DataFrame, model: Trained | None, keep: tuple[str, ...] = ("doc
                 for p in sorted(row, key=lambda p: p["k"]):
                     total[i, where[p["k"]]] += p["total"]
             got = verdicts(langs, total, b.column("n").to_numpy(), b.column("has").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array(v, types[c]) for c, v in got.items()]], ["digest", *got])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *[pa.array(v, types[c]) for c, v in got.items()]], ["_row", *got])
 
-    said = one.mapInArrow(lambda b: lean(summed(b)), f"digest binary, {says}")
-    return docs.select(*keep, digest.alias("digest")).join(said, "digest").select(*keep, *types)
+    said = one.mapInArrow(lambda b: lean(summed(b)), f"_row long, {says}")
+    return docs.select(*keep, "_row").join(said, "_row").select(*keep, *types)
 
 
 def calibrated(rows: DataFrame, labelled: Column, accept: float = ACCEPT, width: float = 0.02) -> DataFrame:
