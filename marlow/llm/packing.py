@@ -17,9 +17,9 @@ length by range partitions on (length, row), so that a length which a third of a
 over many tasks.  Ids are read again, and joined by row number, only for the rests that are cut: the schedule knows them as ranges of
 rows of a length.
 
-Tokens: words (parted by blanks) are looked up among those met before, which gives the ids of the whole text, since the
-tokenizer drops white space and no token reaches over it; a task's worker keeps up to ``WORDS`` of them.  New words of
-letters a-z alone go to the same merges without the steps that leave them as they are.
+Tokens: the different words of a group of texts are encoded once each and their ids laid out in the texts' order, which gives the ids of the
+whole texts, since the tokenizer drops white space and no token reaches over it.  Words of Latin letters go to the same merges without
+the steps that leave them as they are, and marks after them apart, as the tokenizer has it.
 
 Values: a null text is empty: its document is the end id alone; null doc_ids and repeated rows are documents like others; an empty table gives an
 empty result; other columns are ignored; very long texts are tokenised in slices of ``SLICE`` characters, cut at white space.  Which of the documents
@@ -28,6 +28,7 @@ of equal length go together follows the rows' order in the files.  Sequence ids
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,56 +49,59 @@ SIZE = 2048
 CRUMB = 16
 #: The id at the end of each document.
 END = 1
-#: Words that a worker remembers, and characters of a text that are tokenised at once.
-WORDS, SLICE = 600_000, 1 << 20
-#: A longer word, in characters, isn't remembered.
-LONG = 64
+#: Characters of a text that are tokenised at once, and of texts that are looked up together; rows that are.
+SLICE, GROUP, ROWS = 1 << 20, 1 << 24, 4096
+#: Marks that are one token run after a letter, and letters that normalising leaves as they are but for their case.
+MARKS = ".,;:!?%&$#*()[]{}/\\-_=+~@^`\""
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+#: Texts with separators that not all take for white space are tokenised whole.
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]").search
 
 
 # -- tokens
 
 
-class Words(dict):
+class Words:
     """The ids of words as bytes (little-endian, 32 bits), for a tokenizer that drops white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.comma = self.whole.encode(",", add_special_tokens=False).ids
-
-    def learn(self, words: set[str]) -> None:
-        """Remember all ``words``; those of letters a-z are encoded together."""
-        bare: dict[str, str] = {}
-        for w in words:
-            if w not in self:
-                head = w[:-1] if w[-1:] in ".,;:!?" else w
-                if head.isascii() and head.isalpha():
-                    bare[w] = head.lower()
-                else:
-                    self[w] = self.encoded(w)
-        heads = [h for h in set(bare.values()) if h not in self]
-        if heads:
-            ids = np.array(self.plain.encode_batch_fast([" , ".join(heads)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.comma[0]) * 4
-            if len(cuts) == len(heads) - 1 and len(self.comma) == 1:
-                data = ids.tobytes()
-                self.update(zip(heads, (data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))))
-            else:
-                self.update((h, self.encoded(h)) for h in heads)
-        for w, head in bare.items():
-            if len(w) == len(head):
-                self[w] = self[head]
-            else:
-                if w[-1] not in self:
-                    self[w[-1]] = self.encoded(w[-1])
-                self[w] = self[head] + self[w[-1]]
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        comma = self.whole.encode(",", add_special_tokens=False).ids
+        self.comma = comma[0] if len(comma) == 1 else -1
+
+    def encoded(self, texts: list[str]) -> pa.Array:
+        ids = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return pa.array([x.tobytes() for x in ids], pa.binary())
+
+    def heads(self, words: pa.Array) -> pa.Array:
+        """Ids of words of Latin letters in lower case: one text of all, parted at commas."""
+        if not len(words):
+            return pa.array([], pa.binary())
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " , ")[0].as_py()
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = ids == self.comma
+        if at.sum() != len(words) - 1:
+            return self.encoded(words.to_pylist())
+        ends = np.r_[0, np.flatnonzero(at) - np.arange(at.sum()), len(ids) - at.sum()]
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids[~at].tobytes())])
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each of ``words``: Latin letters without the marks behind them, the marks, and other words as they are."""
+        bare = pc.utf8_rtrim(words, MARKS)
+        simple = pc.match_substring_regex(bare, f"^{LETTERS}+$")
+        head = pc.utf8_lower(bare.filter(simple)).dictionary_encode()
+        tail = pc.replace_substring_regex(words.filter(simple), f"^{LETTERS}+", "").dictionary_encode()
+        parts = self.heads(head.dictionary).take(head.indices), self.encoded(tail.dictionary.to_pylist()).take(tail.indices)
+        known = pc.binary_join_element_wise(*parts, b"")
+        order = np.empty(len(words), np.int64)
+        mask = simple.to_numpy(zero_copy_only=False)
+        order[np.flatnonzero(mask)], order[np.flatnonzero(~mask)] = np.arange(mask.sum()), mask.sum() + np.arange((~mask).sum())
+        return pa.concat_arrays([known, self.encoded(words.filter(pc.invert(simple)).to_pylist())]).take(pa.array(order))
 
 
 @cache
@@ -104,13 +109,6 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def _cut(text: str) -> list[str]:
-    """The words of ``text``: parted by what both Python and the tokenizer take for white space."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python alone
-        return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
-    return text.split()
-
-
 def _parts(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > SLICE:
@@ -125,31 +123,30 @@ def _parts(text: str) -> Iterator[str]:
 def token_bytes(texts: list[str], path: str) -> Iterator[tuple[int, bytes]]:
     """(number of the text, ids as bytes), a long text in several."""
     known = _words(path)
-    group: list[tuple[int, list[str]]] = []
+    group: list[tuple[int, str]] = []
     size = 0
     for k, text in enumerate(texts):
         for part in _parts(text):
-            group.append((k, _cut(part)))
+            group.append((k, part))
             size += len(part)
-            if size >= SLICE:
+            if size >= GROUP:
                 yield from _looked_up(known, group)
                 group, size = [], 0
     yield from _looked_up(known, group)
 
 
-def _looked_up(known: Words, group: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
-    words = set().union(*[w for _, w in group])
-    new = words.difference(known)
-    if new:
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = words
-        known.learn(new)
-    for k, w in group:
-        yield k, b"".join(map(known.__getitem__, w))
-    for w in new:
-        if len(w) > LONG:
-            del known[w]
+def _looked_up(known: Words, group: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
+    """Each text's ids: the different words of all texts are encoded once, and their ids laid out in the texts' order."""
+    odd = [ODD(text) is not None for _, text in group]
+    apart = iter(known.encoded([text for (_, text), o in zip(group, odd) if o]).to_pylist())
+    split = pc.utf8_split_whitespace(pa.array(["" if o else text for (_, text), o in zip(group, odd)], pa.string()))
+    words = split.flatten().dictionary_encode()
+    ids = known.ids(words.dictionary).take(words.indices)
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    data = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+    edges = ends[split.offsets.to_numpy()].tolist() if group else []
+    for (owner, _), o, a, b in zip(group, odd, edges, edges[1:]):
+        yield owner, next(apart) if o else bytes(data[a:b])
 
 
 def tokenised(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -163,8 +160,8 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> D
         part = TaskContext.get().partitionId()
         at = before = 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                piece = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, ROWS):
+                piece = b.slice(lo, ROWS)
                 texts = ["" if t is None else t for t in piece.column(1).to_pylist()]
                 n, full, rests = [0] * len(texts), [[] for _ in texts], [b""] * len(texts)
 

@@ -236,7 +236,7 @@ def test_schedule_is_that_of_single_rests(size, counts):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,;:!?'sStT<|>aZé́  　\x1c\x85İß中½  "), st.characters(exclude_categories=["Cs"])), max_size=60))
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,;:!?'sStT<|>aZÀÖœŒıȺǅ-_\"%&)`^+~@{*#é́  　\x1c\x85İß中½  "), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_words_give_the_ids_of_the_whole_text(text):
     whole = Tokenizer.from_file(VOCABULARY) if not hasattr(test_words_give_the_ids_of_the_whole_text, "t") else test_words_give_the_ids_of_the_whole_text.t
     test_words_give_the_ids_of_the_whole_text.t = whole
@@ -244,10 +244,10 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-def test_words_forget(monkeypatch, tokenizer):
-    monkeypatch.setattr(packing, "WORDS", 50)
+def test_words_in_groups_and_slices(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "SLICE", 100)
-    texts = [" ".join(f"Word{'abcdefgh'[k % 8] * (k % 5)}{k}, and so" for k in range(j, j + 40)) for j in range(20)]
+    monkeypatch.setattr(packing, "GROUP", 300)
+    texts = [" ".join(f"Word{'abcdefgh'[k % 8] * (k % 5)}{k}, and so" for k in range(j, j + 40)) for j in range(20)] + ["", "x\x1cy " * 90, "“Curly” — Œuvre’s  İx" * 9]
     got: dict = {}
     for k, ids in packing.token_bytes(texts, VOCABULARY):
         got[k] = got.get(k, b"") + ids
