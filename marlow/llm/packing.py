@@ -50,7 +50,9 @@ CRUMB = 16
 #: The id at the end of each document.
 END = 1
 #: Characters of a text that are tokenised at once, and of texts that are looked up together; rows that are.
-SLICE, GROUP, ROWS = 1 << 20, 1 << 24, 4096
+SLICE, GROUP, ROWS = 1 << 20, 1 << 23, 4096
+#: Words that go to the tokenizer as one text.
+PART = 1 << 15
 #: Marks that are one token run after a letter, and letters that normalising leaves as they are but for their case.
 MARKS = ".,;:!?%&$#*()[]{}/\\-_=+~@^`\""
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
@@ -79,9 +81,10 @@ class Words:
         return pa.array([x.tobytes() for x in ids], pa.binary())
 
     def heads(self, words: pa.Array) -> pa.Array:
-        """Ids of words of Latin letters in lower case: one text of all, parted at commas."""
-        if not len(words):
-            return pa.array([], pa.binary())
+        """Ids of words of Latin letters in lower case: ``PART`` of them at a time as one text, parted at commas."""
+        return pa.concat_arrays([pa.array([], pa.binary()), *[self._joined(words.slice(lo, PART)) for lo in range(0, len(words), PART)]])
+
+    def _joined(self, words: pa.Array) -> pa.Array:
         text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " , ")[0].as_py()
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         at = ids == self.comma
