@@ -62,15 +62,3 @@ class MeanPoolMlp:
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-layer_norm(gelu(z @ self.w + self.b)) @ self.head))
-
-
-def hashed_bag(text: str | None, dim: int = 64) -> np.ndarray:
-    """A stand-in text encoder: hashed bag of words of unit length."""
-    import zlib
-
-    v = np.zeros(dim)
-    for w in (text or "").lower().split():
-        h = zlib.crc32(w.encode())
-        v[h % dim] += 1 if h >> 16 & 1 else -1
-    n = np.linalg.norm(v)
-    return v / n if n else v

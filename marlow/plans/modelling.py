@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from marlow.functions import vectors
 from marlow.plans.catalog import frame
 from marlow.operators import gating
-from marlow.plans.retrieval import _LN, chosen_sql, mean_pooled, summaries, weighted_sql
+from marlow.plans.retrieval import _LN, chosen_sql, summaries, weighted_sql
+from marlow.plans.texts import CHUNKS
 
 WEIGHT = "(((i * 37) % 64) - 31.5) / CAST(64 AS DOUBLE)"
 
@@ -239,16 +240,31 @@ def expert_scores(notes, codes, queries):
 
 @frame("encode_chunks", None, "note_events")
 def encode_chunks(notes):
-    """Chunks through the stand-in encoder, a batch at a time."""
+    """Chunks through an encoder fitted to them."""
+    from marlow.operators import encoding
     from marlow.plans.texts import chunked
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from marlow.functions.networks import hashed_bag
+    chunks = chunked(notes).select("note_id", "chunk_no", "chunk")
+    return encoding.encoded(chunks, "chunk", encoding.fitted(chunks, "chunk")).select("note_id", "chunk_no", "vector")
 
-        for b in batches:
-            yield pd.DataFrame({"note_id": b["note_id"], "chunk_no": b["chunk_no"], "vector": [hashed_bag(c).astype("float32") for c in b["chunk"]]})
 
-    return chunked(notes).select("note_id", "chunk_no", "chunk").mapInPandas(run, "note_id long, chunk_no long, vector array<float>")
+@frame("encoded_copies", rf"{CHUNKS} SELECT count(*) AS n, TRUE AS reached FROM c WHERE len(regexp_extract_all(chunk, '\S+')) >= 50", "note_events")
+def encoded_copies(notes):
+    """Whether copies that lack every fifth word lie nearer to their chunk than to another (the next by id) in 19 cases of 20; the encoder knows the
+    chunks, not the copies."""
+    from marlow.operators import encoding
+    from marlow.plans.texts import chunked
+
+    chunks = chunked(notes).select("note_id", "chunk_no", "chunk")
+    words = F.regexp_extract_all("chunk", F.lit(r"\S+"), F.lit(0))
+    long = chunks.where(F.size(words) >= 50)
+    copies = long.withColumn("copy", F.array_join(F.filter(words, lambda w, i: i % 5 != 4), " "))
+    e = encoding.fitted(chunks, "chunk")
+    own = encoding.encoded(copies, "chunk", e).withColumnRenamed("vector", "v")
+    both = encoding.encoded(own, "copy", e).select("note_id", "chunk_no", "v", F.col("vector").alias("c"))
+    other = F.coalesce(F.lead("v").over(Window.partitionBy(F.pmod(F.xxhash64("note_id"), F.lit(64))).orderBy("note_id", "chunk_no")), F.array_repeat(F.lit(0.0).cast("float"), encoding.WIDTH))
+    near = both.withColumn("other", other).select((vectors.cosine(F.col("c"), F.col("v")) > vectors.cosine(F.col("c"), F.col("other"))).alias("near"))
+    return near.agg(F.count(F.lit(1)).alias("n"), (F.count_if("near") >= 0.95 * F.count(F.lit(1))).alias("reached"))
 
 
 _BAG = "SELECT subject_id, CAST(subject_id / 8 AS BIGINT) AS batch, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY vec_id) AS INT) AS place, vector FROM {note_vectors}".replace("CAST(subject_id / 8 AS BIGINT)", "subject_id // 8")

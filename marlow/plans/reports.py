@@ -44,6 +44,28 @@ sql(
 sql("verbalizer_tokens", "SELECT method, label, CASE method WHEN 'm1' THEN CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END WHEN 'm2' THEN CASE WHEN label = 1 THEN '+' ELSE '-' END ELSE CASE WHEN label = 1 THEN '<r1>' ELSE '<r0>' END END AS token, count(*) AS n FROM {predictions} GROUP BY method, label")
 
 
+_ROLLED = """SELECT subject_id, idx, HASH32[['Subject ' || CAST(subject_id AS STRING) || '|' || CAST(seed AS STRING)]] AS h FROM (
+    SELECT p.subject_id, r.idx, HASH32[['42|' || CAST(p.subject_id AS STRING) || '|' || CAST(r.idx AS STRING)]] AS seed FROM {predictions} p CROSS JOIN unnest(range(0, 3)) r(idx) WHERE p.method = 'm1')"""
+_LOGS = f"SELECT *, CASE WHEN h % 11 > 0 THEN -(h % 1000) / CAST(250 AS DOUBLE) END AS yes, CASE WHEN h % 13 > 0 THEN -((h // 1000) % 1000) / CAST(250 AS DOUBLE) END AS no FROM ({_ROLLED})"
+
+
+@frame(
+    "rollout_answers",
+    f"""SELECT subject_id, CAST(idx AS INT) AS rollout_idx, round(yes, 6) AS logp_yes, round(no, 6) AS logp_no, round(CASE WHEN yes IS NULL AND no IS NULL THEN 0.5 WHEN no IS NULL THEN 1.0 WHEN yes IS NULL THEN 0.0 ELSE 1 / (1 + exp(no - yes)) END, 6) AS probability,
+          CASE WHEN yes IS NULL AND no IS NULL THEN 'Maybe' WHEN no IS NULL OR yes >= no THEN 'Yes' ELSE 'No' END AS generated_token, 'r' || CAST(h % 100 AS STRING) AS report FROM ({_LOGS})""",
+    "predictions",
+)
+def rollout_answers(predictions):
+    """Three seeded rollouts of a prompt for each subject, from the call (of a stand-in model) through its first tokens' log probabilities to the probability
+    and the report behind the answer."""
+    from marlow.operators import external
+
+    asked = predictions.where("method = 'm1'").select("subject_id", F.concat(F.lit("Subject "), F.col("subject_id").cast("string")).alias("prompt"))
+    got = p.answers(external.rollouts(asked, external.stub_rollout, 3), "completion")
+    x = external.answer_probability(F.col("first"), F.col("completion"))
+    return got.select("subject_id", "rollout_idx", *[F.round(x[c], 6).alias(c) for c in ("logp_yes", "logp_no", "probability")], x["generated_token"].alias("generated_token"), "report")
+
+
 def factor_rows(reports):
     """(subject_id, k, factor): the numbered factors of each report."""
     return reports.select("subject_id", F.explode(p.factors(F.col("report"))).alias("factor")).select("subject_id", p.factor_number(F.col("factor")).alias("k"), "factor")

@@ -1,6 +1,7 @@
 """Scalars, parsers, kernels and interfaces on literal cases."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -690,3 +691,79 @@ def test_training_lowers_the_loss_and_goes_on_from_its_files(spark, tmp_path):
     assert [training.temperature(t, s) for s in (0, 3, 4)] == [1.5, pytest.approx(0.05), None] and training.temperature(plan, 0) is None
     drawn = gating.chosen(notes, training._queries(spark, model), 2, (1, 0.5)).collect()
     assert len({(r["subject_id"], r["query_idx"], r["vec_id"]) for r in drawn}) == n * 3 * 2
+
+
+def test_rollouts_come_once_and_give_probabilities(spark):
+    prompts = spark.createDataFrame([(k, f"p{k}") for k in range(9)], "subject_id long, prompt string").repartition(3)
+    got = external.rollouts(prompts, external.stub_rollout, 4, top=2)
+    rows = got.collect()
+    assert len({(r["subject_id"], r["rollout_idx"]) for r in rows}) == len(rows) == 36 and len({r["seed"] for r in rows}) == 36
+    assert rows == got.collect() and all(len(r["first"]) <= 2 and r["first"][0]["logprob"] >= r["first"][-1]["logprob"] for r in rows)
+    rest = external.rollouts(prompts, external.stub_rollout, 4, done=got.where("rollout_idx < 3"))
+    assert sorted((r["subject_id"], r["rollout_idx"]) for r in rest.collect()) == [(k, 3) for k in range(9)]
+    cases = [([("Yes", -1.0), ("No", -3.0)], 1 / (1 + np.exp(-2.0)), "Yes"), ([(" Yes", -2.0)], 1.0, "Yes"), ([("Maybe", -0.1), ("No ", -1.0)], 0.0, "Maybe"), ([("x", -1.0)], 0.5, "x"), ([], 0.5, "first")]
+    df = spark.createDataFrame([(i, [(t, x) for t, x in f], "first word") for i, (f, _, _) in enumerate(cases)], f"i int, first {external.FIRST}, completion string")
+    x = external.answer_probability(F.col("first"), F.col("completion"))
+    out = df.select("i", x["probability"].alias("p"), x["generated_token"].alias("t"), x["parse_ok"].alias("ok")).orderBy("i").collect()
+    assert [(r["p"], r["t"]) for r in out] == [(pytest.approx(p), t) for _, p, t in cases] and [r["ok"] for r in out] == [True, True, True, False, False]
+
+
+def test_verdicts_are_appended_with_their_costs(spark, tmp_path):
+    work = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc")], "subject_id long, report string")
+
+    def judge(report):
+        if report == "bad":
+            raise RuntimeError("no")
+        return external.Judgement(report.upper(), len(report), 2)
+
+    path = str(tmp_path / "cache")
+    first = {r["subject_id"]: (r["verdict"], r["input_tokens"], r["output_tokens"]) for r in external.judged_through(work, path, judge, "m", tries=1).collect()}
+    assert first == {1: ("A", 1, 2), 3: ("CCC", 3, 2)}
+    again = external.judged_through(work, path, lambda r: external.Judgement("late"), "m", tries=1)  # only the failed one is asked again
+    assert {r["subject_id"]: r["verdict"] for r in again.collect()} == {1: "A", 2: "late", 3: "CCC"}
+
+
+def test_pooled_head_by_hand(spark):
+    from marlow.functions.networks import MeanPoolMlp, layer_norm
+    from marlow.plans import modelling
+
+    rng = np.random.default_rng(3)
+    notes, codes = rng.normal(size=(4, 6)), rng.normal(size=(2, 6))
+    frame_ = lambda x, ids: spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "subject_id long, vector array<double>")
+    got = {r["subject_id"]: r["p"] for r in modelling.mean_pool_mlp(frame_(notes, [1, 1, 1, 2]), frame_(codes, [1, 3])).collect()}
+    head = MeanPoolMlp(12, 16, 7)
+    for s, a, b in ((1, notes[:3].mean(0), codes[0]), (2, notes[3], np.zeros(6)), (3, np.zeros(6), codes[1])):
+        z = np.r_[a, b] @ head.w + head.b
+        z = np.array([x * 0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z])
+        assert got[s] == pytest.approx(1 / (1 + np.exp(-(layer_norm(z) @ head.head))), abs=1e-6)
+
+
+def test_encoder_fitted_to_a_corpus(spark):
+    from marlow.operators import encoding
+
+    texts = ["the cat sat", "the dog sat", "the end", None, "", "the rare word"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    e = encoding.fitted(df)
+    at = {w: next(iter(encoding.buckets_of(w))) for w in ("the", "cat", "sat", "never")}
+    assert e.weights[at["the"]] == pytest.approx(math.log(7 / 5) + 1) and e.weights[at["sat"]] == pytest.approx(math.log(7 / 3) + 1) and e.weights[at["never"]] == pytest.approx(math.log(7) + 1)
+    got = {r["i"]: np.array(r["vector"]) for r in encoding.encoded(df, "text", e, at_once=2).collect()}
+    want = e.weights[at["the"]] * encoding.directions(1, 64)[at["the"]].astype(float)
+    assert np.allclose(e.encode(["The"])[0], want / np.linalg.norm(want), atol=1e-6) and np.allclose(got[0], e.encode(["the cat sat"])[0])
+    assert not got[3].any() and not got[4].any() and got[0] @ got[1] > got[0] @ got[2]
+
+
+def test_unwrapped_reports_of_all_wrappers(spark):
+    from marlow.plans import reports
+
+    cases = {'{"report": "a"}': "a", '```json\n{"report": "b\nc"}\n```': "b\nc", '{"report": "Reasoning Lens d': "Reasoning Lens d", "{ nothing }": None, "plain": "plain", '{"x": 1}': None}
+    df = spark.createDataFrame([(i, 0, c) for i, c in enumerate(cases)], "conv_id long, turn int, completion string")
+    assert [r["report"] for r in reports.unwrap_reports(df).orderBy("conv_id").collect()] == list(cases.values())
+
+
+def test_normalised_texts_are_compatible_forms(spark):
+    from marlow.plans import reports
+    import hashlib
+
+    cases = {"ﬁrst  Ａge": "first age", "x²\u00a0y": "x2 y", "e\u0301": "é", "①…": "1", "½ cup": "1⁄2 cup"}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "note_id long, text string")
+    assert [r["digest"] for r in reports.normalize_text(df).orderBy("note_id").collect()] == [hashlib.md5(v.encode()).hexdigest() for v in cases.values()]
