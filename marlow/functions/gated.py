@@ -51,6 +51,7 @@ class Subject:
     real: np.ndarray
     summaries: np.ndarray
     gates: np.ndarray | None = None  # given gates, else those of the summaries
+    ids: np.ndarray | None = None  # of the items
 
 
 @dataclass

@@ -78,27 +78,28 @@ def _queries(spark: SparkSession, model: Gated) -> DataFrame:
 
 def _rows(notes: DataFrame, codes: DataFrame, fixed: DataFrame, model: Gated, k: int, noise: tuple[int, float] | None = None) -> DataFrame:
     items = gating.selected(notes, codes, _queries(fixed.sparkSession, model), k, noise)
-    items = items.select("subject_id", F.col("query_idx").alias("q"), F.col("rank").cast("int").alias("rank"), vectors.doubles(F.col("vector")).alias("vector"))
+    items = items.select("subject_id", F.col("query_idx").alias("q"), F.col("rank").cast("int").alias("rank"), vectors.doubles(F.col("vector")).alias("vector"), F.col("vec_id").cast("long").alias("vec_id"))
     # a column made anew: a union does not take constraints over from a checkpoint
-    fixed = fixed.select("subject_id", "q", "rank", F.transform("vector", lambda x: x).alias("vector"))
+    fixed = fixed.select("subject_id", "q", "rank", F.transform("vector", lambda x: x).alias("vector"), F.lit(None).cast("long").alias("vec_id"))
     return items.unionByName(fixed).repartition("subject_id").sortWithinPartitions("subject_id")
 
 
 def subjects(batches: Iterator[pd.DataFrame], model: Gated, k: int) -> Iterator[tuple[int, Subject, int]]:
-    """(subject_id, subject, label) from rows sorted by subject, one at a time."""
+    """(subject_id, subject, label) from rows sorted by subject, one at a time; a subject's ``ids`` are the vec_ids of its items."""
     n, d = model.weights["queries"].shape
     rest: list[pd.DataFrame] = []
 
     def one(rows: pd.DataFrame) -> tuple[int, Subject, int]:
         items, real, means, label = np.zeros((n, k, d)), np.zeros((n, k), bool), np.zeros((2, d)), 0
-        for q, rank, v in zip(rows["q"], rows["rank"], rows["vector"]):
+        ids = np.zeros((n, k), np.int64)
+        for q, rank, v, i in zip(rows["q"], rows["rank"], rows["vector"], rows["vec_id"]):
             if q >= 0:
-                items[q, rank - 1], real[q, rank - 1] = v, True
+                items[q, rank - 1], real[q, rank - 1], ids[q, rank - 1] = v, True, int(i)
             elif q == -3:
                 label = int(rank)
             else:
                 means[-1 - q] = v
-        return rows["subject_id"].iloc[0], Subject(items, real, means), label
+        return rows["subject_id"].iloc[0], Subject(items, real, means, ids=ids), label
 
     for b in batches:
         if not len(b):
@@ -168,6 +169,32 @@ def predicted(notes: DataFrame, codes: DataFrame, fixed: DataFrame, model: Gated
     return _rows(notes, codes, fixed, model, k).mapInPandas(run, "subject_id long, label int, p double")
 
 
+def explained(notes: DataFrame, codes: DataFrame, fixed: DataFrame, model: Gated, k: int, steps: int = 50) -> DataFrame:
+    """The items of all open queries with their integrated gradients from zero and from the mean of what the subject's queries selected."""
+    shared = fixed.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for i, s, label in subjects(batches, m, k):
+            open_ = m.gates(s)[0].astype(bool)
+            at = np.nonzero(s.real & open_[:, None])
+            mean = s.items[s.real].mean(0) if s.real.any() else np.zeros(s.items.shape[2])
+            shares = [m.attributed(s, start, steps)[at] for start in (np.zeros_like(s.items), s.real[..., None] * mean)]
+            yield pd.DataFrame({"subject_id": i, "label": label, "p": m.probability(s), "q": at[0], "rank": at[1] + 1, "vec_id": s.ids[at], "from_zero": shares[0], "from_mean": shares[1]})
+
+    return _rows(notes, codes, fixed, model, k).mapInPandas(run, "subject_id long, label int, p double, q int, rank int, vec_id long, from_zero double, from_mean double")
+
+
+def restored(spark: SparkSession, path: str, model: Gated) -> Gated:
+    """``model`` with the weights of the epoch of the best AUC in a state's table."""
+    found = _read(spark, path)
+    if found is None:
+        raise ValueError(f"no state at {path}")
+    auc = np.nan_to_num(found[1]["history"][:, 1], nan=-np.inf)
+    _, parts = _read(spark, path, int(auc.argmax()) + 1)
+    return replace(model, weights={k: parts[k] for k in model.weights})
+
+
 @dataclass
 class Adam:
     """Adam with decoupled weight decay; the rate rises to ``lr`` over the warm-up."""
@@ -245,9 +272,7 @@ def fit(notes: DataFrame, codes: DataFrame, labels: DataFrame, model: Gated, pla
         history.append({"epoch": len(history) + 1, "loss": total / max(1, seen), "auc": float("nan") if auc is None else auc})
         parts = dict(model.weights) | {f"first:{k}": x for k, x in state.first.items()} | {f"second:{k}": x for k, x in state.second.items()}
         _write(spark, path, len(history), parts | {"step": np.array([state.step]), "history": np.array([[h["loss"], h["auc"]] for h in history])})
-    best = max(history, key=lambda h: (-np.inf if np.isnan(h["auc"]) else h["auc"], -h["epoch"]))["epoch"]
-    _, parts = _read(spark, path, best)
-    return replace(model, weights={k: parts[k] for k in model.weights}), history
+    return restored(spark, path, model), history
 
 
 def stopped(history: list[dict], patience: int) -> bool:

@@ -348,12 +348,88 @@ def test_sources(spark, tmp_path):
         io.write_vectors(spark.createDataFrame([([1.0],)], "vector array<float>"), str(tmp_path / "v"), 2)
 
 
+CONFIG = """
+# queries
+emb_dim: 6   # width
+num_queries: 3
+num_note_queries: 2
+num_code_queries: 1
+k_retrieval: 2
+attn_temperature: 1.0
+use_sampling_retrieval: FALSE
+init_temperature: 1.5
+final_temperature: 0.05
+temp_anneal_epochs: 2
+aggregator: "mean"
+transformer_layers: 1
+transformer_heads: 8
+transformer_dim_ff: 2048
+dropout: 0.1
+expert_hidden_dim: 4
+num_epochs: 1
+batch_size: 8
+lr: 1e-3
+weight_decay: 0.01
+warmup_steps: 2
+aux_loss_weight: 0.01
+simplicity_loss_weight: 1.0
+max_grad_norm: null
+note_parquet: "NOTES"
+code_parquet: CODES
+db_uri: "x#y"
+note_table: n
+code_table: c
+train_set_ratio: 0.8
+random_state: 42
+device: "cuda"
+seed: 42
+"""
+
+
 def test_settings():
-    good = {"note_queries": 4, "code_queries": 4, "top_k": 4, "chunk_length": 200, "chunk_overlap": 40, "threshold": 0.5, "seed": 42}
-    assert config.settings(good).queries == 8
-    for bad in ({**good, "more": 1}, {k: v for k, v in good.items() if k != "seed"}):
+    values = config.parsed(CONFIG)
+    good = config.settings(values)
+    assert (good.emb_dim, good.lr, good.use_sampling_retrieval, good.max_grad_norm, good.db_uri, good.enable_dynamic_gating) == (6, 0.001, False, None, "x#y", True)
+    plan = good.plan(17)
+    assert plan.batches == 3 and plan.warmup_steps == 2 and plan.max_grad_norm is None and plan.simplicity_loss_weight == 1.0
+    for bad in ({"num_code_queries": 2}, {"num_note_queries": 0, "num_code_queries": 3}, {"aggregator": "x"}):
+        with pytest.raises(ValueError):
+            config.settings({**values, **bad})
+    for bad in ({**values, "typo": 1}, {k: v for k, v in values.items() if k != "lr"}):
         with pytest.raises(TypeError):
             config.settings(bad)
+    assert config.settings({**values, "enable_dynamic_gating": False}).model(np.ones((3, 6))).static
+    with pytest.raises(ValueError):
+        good.model(np.ones((3, 5)))
+    with pytest.raises(ValueError):
+        config.parsed("a: 1\n  - b")
+
+
+def test_command_line(spark, tmp_path):
+    from marlow.__main__ import main
+
+    rng = np.random.default_rng(7)
+    label = rng.integers(0, 2, 12)
+    rows = [(s, s * 10 + j, j, (rng.normal(0, 0.3, 6) + (2 * label[s] - 1) * np.eye(6)[j]).tolist()) for s in range(12) for j in range(4)]
+    notes = spark.createDataFrame(rows, "subject_id long, vec_id long, days long, vector array<double>")
+    notes.write.parquet(f"{tmp_path}/notes")
+    notes.where("days < 2").write.parquet(f"{tmp_path}/codes")
+    spark.createDataFrame([("Note", 0, rng.normal(size=6).tolist()), ("Note", 1, rng.normal(size=6).tolist()), ("Code", 2, rng.normal(size=6).tolist())], "modality string, query_idx int, vector array<double>").write.parquet(f"{tmp_path}/queries")
+    spark.createDataFrame([(s, int(label[s]), "val" if s % 3 == 0 else "train") for s in range(12)], "subject_id long, label int, part string").write.parquet(f"{tmp_path}/labels")
+    (tmp_path / "run.yaml").write_text(CONFIG.replace("NOTES", f"{tmp_path}/notes").replace("CODES", f"{tmp_path}/codes"))
+    common = ["--config", f"{tmp_path}/run.yaml", "--queries", f"{tmp_path}/queries", "--labels", f"{tmp_path}/labels", "--state", f"{tmp_path}/state"]
+    main(["train", *common, "--set", "lr=0.01"], spark)
+    main(["score", *common, "--output", f"{tmp_path}/scores"], spark)
+    main(["explain", *common, "--output", f"{tmp_path}/shares", "--num-steps", "400"], spark)
+    p = {r["subject_id"]: r["probability"] for r in spark.read.json(f"{tmp_path}/scores").collect()}
+    shares = spark.read.parquet(f"{tmp_path}/shares").toPandas()
+    assert len(p) == 12 and set(shares["subject_id"]) == set(range(12)) and all(abs(g["p"].iloc[0] - p[s]) < 1e-9 for s, g in shares.groupby("subject_id"))
+    assert set(zip(shares["subject_id"], shares["vec_id"])) <= {(r[0], r[1]) for r in rows}
+    block = "=" * 72 + "\nEVIDENCE ALIGNMENT REPORT: Patient {}\n" + "=" * 72 + "\nMortality prediction: 0.5\n"
+    (tmp_path / "typed.txt").write_text("".join(block.format(k) for k in (3, 1, 3)))
+    main(["check", "--typed-txt", f"{tmp_path}/typed.txt", "--out-check", f"{tmp_path}/check", "--out-per-pat", f"{tmp_path}/blocks"], spark)
+    checked = spark.read.json(f"{tmp_path}/check").collect()
+    assert sorted(r["sid"] for r in checked) == [1, 3] and all("missing_verification_line" in r["failures"] and not r["format_pass"] for r in checked)
 
 
 def test_streams(spark, tmp_path):
