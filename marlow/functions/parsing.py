@@ -37,18 +37,16 @@ def strict(text: Column) -> tuple[Column, Column]:
 
 def completions(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with probability, report and ok: strict JSON, then the first object with a probability within the
-    text, then a pattern.  Only rows that need the second step, which counts braces, reach Python."""
+    text, then a pattern.  One projection; only texts that need the second step, which counts braces, travel to Python, the others as nulls."""
     text = F.trim(F.col(column))
     p, report = strict(text)
-    known = rows.withColumns({"probability": p, "report": report})
-    whole = known.where("probability IS NOT NULL").withColumn("ok", F.lit(True))
-    rest = known.where("probability IS NULL")
-    some = F.coalesce(F.col(column).contains("{") & F.col(column).rlike('(?i)"probability"'), F.lit(False))
-    inner = rest.where(some).withColumn("_inner", braced(text))
+    known = rows.withColumns({"_p": p, "_report": report})
+    some = F.col("_p").isNull() & F.col(column).contains("{") & F.col(column).rlike('(?i)"probability"')
+    inner = known.withColumn("_inner", braced(F.when(some, text)))
     ip, ireport = strict(F.col("_inner"))
-    inner = inner.withColumns({"ok": ip.isNotNull(), "probability": F.coalesce(ip, loose_probability(text)), "report": F.when(ip.isNotNull(), ireport).otherwise(text)}).drop("_inner")
-    loose = rest.where(~some).withColumns({"ok": F.lit(False), "probability": loose_probability(text), "report": text})
-    return whole.unionByName(inner).unionByName(loose)
+    out = inner.withColumns({"_ip": ip, "_ireport": ireport})
+    whole, part = F.col("_p").isNotNull(), F.col("_ip").isNotNull()
+    return out.withColumns({"probability": F.coalesce("_p", "_ip", loose_probability(text)), "report": F.when(whole, F.col("_report")).when(part, F.col("_ireport")).otherwise(text), "ok": whole | part}).drop("_p", "_report", "_inner", "_ip", "_ireport")
 
 
 def objects(text: str) -> Iterator[str]:
@@ -87,7 +85,7 @@ def loaded(text: str) -> dict:
 
 def first_object(text: str | None) -> str | None:
     """The first balanced object of a text that is JSON with a probability within [0, 1]."""
-    for x in objects(text or ""):
+    for x in objects(text) if text else ():
         try:
             if 0 <= float(loaded(x)["probability"]) <= 1:
                 return x
@@ -104,7 +102,7 @@ def braced(s: pd.Series) -> pd.Series:
 def answered(text: str | None) -> str:
     """The report that follows a one-word answer: the first object's report or summary, else what
     stands after the first line."""
-    for x in objects(text or ""):
+    for x in objects(text) if text else ():
         got = loaded(x)
         if "report" in got or "summary" in got:
             return str(got.get("report", got.get("summary", "")))
@@ -117,10 +115,10 @@ def _answered(s: pd.Series) -> pd.Series:
 
 
 def answers(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with the report of an answer; Python only for texts with a brace."""
+    """``rows`` with the report of an answer; only texts with a brace travel to Python."""
     some = F.coalesce(F.col(column).contains("{"), F.lit(False))
     after = F.regexp_extract(F.coalesce(column, F.lit("")), r"(?s)^[^\n]*\n(.*)$", 1)
-    return rows.where(some).withColumn("report", _answered(column)).unionByName(rows.where(~some).withColumn("report", F.regexp_replace(after, r"^\s+|\s+$", "")))
+    return rows.withColumn("_told", _answered(F.when(some, F.col(column)))).withColumn("report", F.when(some, F.col("_told")).otherwise(stripped(after))).drop("_told")
 
 
 #: Fixed value: a heading by which a damaged wrapper is still known to hold a report.

@@ -15,9 +15,18 @@ def words(text: Column) -> Column:
     return F.when(collapsed(text) == "", F.array().cast("array<string>")).otherwise(F.split(collapsed(text), " "))
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text, counted without being cut out."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def tokens_of(words: Column) -> Column:
+    """1.3 tokens a word, rounded down (in whole numbers, so no float rounding)."""
+    return F.floor(words * 13 / 10).cast("long")
+
+
 def approx_tokens(text: Column) -> Column:
-    """1.3 tokens a word, rounded down (in whole numbers, so no float rounding); words are counted without being cut out."""
-    return F.floor(F.regexp_count(text, F.lit(r"\S+")) * 13 / 10).cast("long")
+    return tokens_of(word_count(text))
 
 
 def default_overlap(length: int) -> int:

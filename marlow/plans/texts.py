@@ -52,23 +52,24 @@ RECORDS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER B
 
 
 def records(notes, codes, labels):
-    """(subject_id, label, num_notes, num_codes, text): the whole history of each subject."""
+    """(subject_id, label, num_notes, num_codes, text, words): the whole history of each subject, and how many words it has (of the parts, before they are joined)."""
     line = F.concat(F.coalesce("note_type", F.lit("")), F.lit(" at age "), F.col("age").cast("string"), F.lit(", "), F.col("days").cast("string"), F.lit(" days\n"), F.col("text"))
     notes, codes = (x.join(labels.select("subject_id"), "subject_id", "left_semi") for x in (notes, codes))
-    n = notes.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("charttime", "note_id", line.alias("line")))).alias("items"))
-    n = n.select("subject_id", F.size("items").cast("long").alias("num_notes"), F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[Note "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("notes"))
+    n = notes.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("charttime", "note_id", line.alias("line")))).alias("items"), F.sum(t.word_count(line) + 2).alias("note_words"))
+    n = n.select("subject_id", "note_words", F.size("items").cast("long").alias("num_notes"), F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[Note "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("notes"))
     first = codes.groupBy("subject_id", "code", "version").agg(F.max_by(F.struct("days", "title", "ord"), F.struct("days", -F.col("ord"))).alias("c"))
-    c = first.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("c.days")).alias("a"), F.col("c.ord").alias("b"), F.concat(F.col("c.title"), F.lit(" ("), F.col("code").cast("string"), F.lit("-"), F.col("version").cast("string"), F.lit(")")).alias("line")))).alias("items"))
-    c = c.select("subject_id", F.size("items").cast("long").alias("num_codes"), F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("codes"))
-    both = labels.join(n, "subject_id", "left").join(c, "subject_id", "left").fillna(0, ["num_notes", "num_codes"]).fillna("", ["notes", "codes"])
+    title = t.word_count(F.concat(F.col("c.title"), F.lit(" (x)")))
+    c = first.groupBy("subject_id").agg(F.sum(title).alias("code_words"), F.array_sort(F.collect_list(F.struct((-F.col("c.days")).alias("a"), F.col("c.ord").alias("b"), F.concat(F.col("c.title"), F.lit(" ("), F.col("code").cast("string"), F.lit("-"), F.col("version").cast("string"), F.lit(")")).alias("line")))).alias("items"))
+    c = c.select("subject_id", "code_words", F.size("items").cast("long").alias("num_codes"), F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("codes"))
+    both = labels.join(n, "subject_id", "left").join(c, "subject_id", "left").fillna(0, ["num_notes", "num_codes", "note_words", "code_words"]).fillna("", ["notes", "codes"])
     body = F.concat(F.lit("Clinical notes (N="), F.col("num_notes").cast("string"), F.lit(")\n"), F.col("notes"), F.lit("\n\nCodes (N="), F.col("num_codes").cast("string"), F.lit(")\n"), F.col("codes"))
-    return both.select("subject_id", "label", "num_notes", "num_codes", body.alias("text"))
+    return both.select("subject_id", "label", "num_notes", "num_codes", body.alias("text"), (F.col("note_words") + F.col("code_words") + 5).alias("words"))
 
 
 @frame("full_context_records", f"WITH {RECORDS} SELECT subject_id, label, num_notes, num_codes, md5(text) AS digest, len({W}) * 13 // 10 AS approx_tokens FROM rec", "note_events", "code_events", "subject_labels")
 def full_context_records(notes, codes, labels):
     r = records(notes, codes, labels)
-    return r.select("subject_id", "label", "num_notes", "num_codes", F.md5(F.col("text").cast("binary")).alias("digest"), t.approx_tokens(F.col("text")).alias("approx_tokens"))
+    return r.select("subject_id", "label", "num_notes", "num_codes", F.md5(F.col("text").cast("binary")).alias("digest"), t.tokens_of(F.col("words")).alias("approx_tokens"))
 
 
 @frame("notes_only_ablation", f"WITH {RECORDS} SELECT subject_id, num_notes, md5(regexp_replace(text, '(?s)' || chr(10) || chr(10) || 'Codes \\(N=\\d+\\)' || chr(10) || '.*$', chr(10))) AS digest FROM rec", "note_events", "code_events", "subject_labels")
