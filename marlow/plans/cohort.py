@@ -153,3 +153,25 @@ def positional_metadata(notes):
     items = notes.select("vec_id").join(F.broadcast(n)).select("vec_id", ((F.col("vec_id") * 37 + 11) % F.col("n")).alias("global_index"))
     rows = relational.with_row_index(notes.select(F.col("vec_id").alias("found_id"), "days"), "found_id")
     return items.join(rows, items["global_index"] == rows["row_index"]).select("vec_id", "global_index", "found_id", "days")
+
+
+@frame("gathered_shards", "SELECT subject_id, method, round(max(probability), 6) AS probability FROM {predictions} GROUP BY subject_id, method", "predictions")
+def gathered_shards(predictions):
+    """Scores of eight ranks, each with its own files and the last ones padded with first rows so that all have as many; gathered from the files with one row a
+    subject and method, a padded row being left out where the first one is."""
+    import uuid
+
+    from marlow.operators.ordering import settled, shared_folder
+    from marlow.sources import io
+
+    spark = predictions.sparkSession
+    rows = relational.with_row_index(predictions.select("subject_id", "method", "probability"), "subject_id", "method")
+    n = rows.count()
+    padding = rows.where(F.col("row_index") < -n % 8).withColumn("row_index", F.col("row_index") + n)
+    path = f"{shared_folder(spark)}/marlow/{uuid.uuid4().hex}"
+    io.write_jsonl(rows.unionByName(padding).withColumn("rank", (F.col("row_index") % 8).cast("int")), path, by=["rank"])
+    files = io.read_jsonl(spark, path, "subject_id long, method string, probability double, row_index long, rank int")
+    out = settled(relational.keep_first(files, ["subject_id", "method"], "row_index").select("subject_id", "method", F.round("probability", 6).alias("probability")))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return out

@@ -291,18 +291,18 @@ def judged_formats(reports, verdicts):
 
 @frame(
     "review_records",
-    """SELECT t.subject_id, md5(t.report) AS digest, round(s.probability, 6) AS probability, length(t.report) AS n_chars FROM {typed_reports} t JOIN (SELECT DISTINCT subject_id FROM {rollouts} WHERE idx = 0 AND n_flagged <= 2) r ON r.subject_id = t.subject_id
-       LEFT JOIN (SELECT subject_id, probability FROM {predictions} WHERE method = 'm1') s ON s.subject_id = t.subject_id WHERE t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13)""",
+    """SELECT t.subject_id, s.method, md5(t.report) AS digest, round(s.probability, 6) AS probability, length(t.report) AS n_chars FROM {typed_reports} t JOIN (SELECT DISTINCT subject_id FROM {rollouts} WHERE idx = 0 AND n_flagged <= 2) r ON r.subject_id = t.subject_id
+       LEFT JOIN (SELECT subject_id, method, probability FROM {predictions}) s ON s.subject_id = t.subject_id WHERE t.v NOT IN (2, 3, 4, 5, 6, 11, 12, 13)""",
     "typed_reports",
     "rollouts",
     "predictions",
 )
 def review_records(reports, rollouts, predictions):
-    """Reports that pass both gates with their probability, in the order of subjects."""
+    """Reports that pass both gates with each method's probability, in the order of subjects."""
     good = first_candidate_flags(reports, rollouts).where("gated").select("subject_id")
-    scores = predictions.where("method = 'm1'").select("subject_id", F.round("probability", 6).alias("probability"))
+    scores = predictions.select("subject_id", "method", F.round("probability", 6).alias("probability"))
     kept = reports.join(good, "subject_id", "left_semi").join(scores, "subject_id", "left")
-    return kept.select("subject_id", F.md5(F.col("report").cast("binary")).alias("digest"), "probability", F.length("report").cast("long").alias("n_chars")).orderBy("subject_id")
+    return kept.select("subject_id", "method", F.md5(F.col("report").cast("binary")).alias("digest"), "probability", F.length("report").cast("long").alias("n_chars")).orderBy("subject_id", "method")
 
 
 @frame(
@@ -320,8 +320,8 @@ def review_completeness(reports, rollouts, predictions):
 
 @frame(
     "holistic_report",
-    """SELECT p.subject_id, md5('# Holistic report, whole history' || chr(10) || '# subject_id: ' || CAST(p.subject_id AS STRING) || '    label: ' || CAST(p.label AS STRING) || '    probability: ' || CASE WHEN p.probability IS NULL THEN 'None' ELSE printf('%.4f', p.probability) END || chr(10) || chr(10) || rtrim(t.report, chr(10)) || chr(10)) AS digest
-       FROM {predictions} p JOIN {typed_reports} t ON t.subject_id = p.subject_id WHERE p.method = 'm1'""",
+    """SELECT p.subject_id, p.method, md5('# Holistic report, whole history' || chr(10) || '# subject_id: ' || CAST(p.subject_id AS STRING) || '    label: ' || CAST(p.label AS STRING) || '    probability: ' || CASE WHEN p.probability IS NULL THEN 'None' ELSE printf('%.4f', p.probability) END || chr(10) || chr(10) || rtrim(t.report, chr(10)) || chr(10)) AS digest
+       FROM {predictions} p JOIN {typed_reports} t ON t.subject_id = p.subject_id""",
     "predictions",
     "typed_reports",
 )
@@ -329,8 +329,8 @@ def holistic_report(predictions, reports):
     """A report under a header with subject, label and probability."""
     p_ = F.when(F.col("probability").isNull(), "None").otherwise(F.format_string("%.4f", "probability"))
     head = F.concat(F.lit("# Holistic report, whole history\n# subject_id: "), F.col("subject_id").cast("string"), F.lit("    label: "), F.col("label").cast("string"), F.lit("    probability: "), p_, F.lit("\n\n"))
-    rows = predictions.where("method = 'm1'").join(reports.select("subject_id", "report"), "subject_id")
-    return rows.select("subject_id", F.md5(F.concat(head, F.regexp_replace("report", r"\n+\z", ""), F.lit("\n")).cast("binary")).alias("digest"))
+    rows = predictions.join(reports.select("subject_id", "report"), "subject_id")
+    return rows.select("subject_id", "method", F.md5(F.concat(head, F.regexp_replace("report", r"\n+\z", ""), F.lit("\n")).cast("binary")).alias("digest"))
 
 
 @frame("split_patient_blocks", rf"SELECT regexp_extract(report, 'Patient (\d+)', 1) AS subject_id, md5(rtrim(report, {_BLANK}) || chr(10)) AS digest FROM {{typed_reports}}", "typed_reports")
@@ -384,17 +384,17 @@ _TOP = f"SELECT i.*, row_number() OVER (PARTITION BY subject_id ORDER BY abs(att
 
 @frame(
     "raw_evidence_card",
-    rf"""SELECT t.subject_id, repeat('=', 72) || chr(10) || 'RAW EVIDENCE: subject ' || CAST(t.subject_id AS STRING) || chr(10) || repeat('=', 72) || chr(10) || 'Predicted probability: ' || printf('%.4f', max(s.probability)) || chr(10) || chr(10)
+    rf"""SELECT t.subject_id, s.method, repeat('=', 72) || chr(10) || 'RAW EVIDENCE: subject ' || CAST(t.subject_id AS STRING) || chr(10) || repeat('=', 72) || chr(10) || 'Predicted probability: ' || printf('%.4f', max(s.probability)) || chr(10) || chr(10)
           || string_agg(CAST(place AS STRING) || '. "' || trim(regexp_replace(quote, '\s+', ' ', 'g')) || '"' || chr(10) || '   Citation: ' || CASE WHEN k % 2 = 0 THEN '(ICD code: ' WHEN k = 5 THEN '(note_id: unknown' ELSE '(note_id: ' END || CASE WHEN k = 5 THEN '' ELSE CAST(handle AS STRING) END || ')' || chr(10)
             || '   Attribution score: ' || printf('%+.4f', attribution) || chr(10), chr(10) ORDER BY place) || chr(10) || repeat('=', 72) || chr(10) AS card
-        FROM ({_TOP}) t JOIN (SELECT subject_id, probability FROM {{predictions}} WHERE method = 'm1' AND probability IS NOT NULL) s ON s.subject_id = t.subject_id WHERE place <= 4 GROUP BY t.subject_id""",
+        FROM ({_TOP}) t JOIN (SELECT subject_id, method, probability FROM {{predictions}} WHERE probability IS NOT NULL) s ON s.subject_id = t.subject_id WHERE place <= 4 GROUP BY t.subject_id, s.method""",
     "factors",
     "predictions",
 )
 def raw_evidence_card(factors, predictions):
     """A card of the four items with the largest attribution, without any reasoning: quote, citation (unknown where there is no
     handle) and score."""
-    scores = predictions.where("method = 'm1' AND probability IS NOT NULL").select("subject_id", "probability")
+    scores = predictions.where("probability IS NOT NULL").select("subject_id", "method", "probability")
     handle = F.when(F.col("k") != 5, F.col("handle").cast("string"))
     top = top_items(items(factors).withColumn("handle", handle)).where("place <= 4")
     cited = F.concat(F.when(F.col("k") % 2 == 0, "(ICD code: ").otherwise("(note_id: "), F.coalesce("handle", F.lit("unknown")), F.lit(")"))
@@ -402,7 +402,7 @@ def raw_evidence_card(factors, predictions):
     line = F.concat(F.col("place").cast("string"), F.lit('. "'), text, F.lit('"\n   Citation: '), cited, F.lit("\n   Attribution score: "), F.format_string("%+.4f", "attribution"), F.lit("\n"))
     g = top.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x")).join(scores, "subject_id")
     head = F.concat(F.lit(f"{p.RULE}\nRAW EVIDENCE: subject "), F.col("subject_id").cast("string"), F.lit(f"\n{p.RULE}\nPredicted probability: "), F.format_string("%.4f", "probability"), F.lit("\n\n"))
-    return g.select("subject_id", F.concat(head, F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit(f"\n{p.RULE}\n")).alias("card"))
+    return g.select("subject_id", "method", F.concat(head, F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit(f"\n{p.RULE}\n")).alias("card"))
 
 
 @frame("collect_note_ids", "SELECT doc_id AS subject_id, string_agg(CAST(handle AS STRING), ',' ORDER BY k) AS note_ids FROM (SELECT doc_id, handle, min(k) AS k FROM {factors} GROUP BY doc_id, handle) GROUP BY doc_id", "factors")

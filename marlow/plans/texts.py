@@ -179,11 +179,11 @@ def chat_prompts(notes):
     return out
 
 
-@frame("filled_prompt", "SELECT subject_id, 'The model gave ' || printf('%.4f', probability) || '. Its evidence, with attributions:' || chr(10) || 'about ' || CAST(n_chars AS STRING) || ' characters' || chr(10) || 'Write the report.' AS prompt FROM {predictions} WHERE method = 'm2' AND probability IS NOT NULL", "predictions")
+@frame("filled_prompt", "SELECT subject_id, method, 'The model gave ' || printf('%.4f', probability) || '. Its evidence, with attributions:' || chr(10) || 'about ' || CAST(n_chars AS STRING) || ' characters' || chr(10) || 'Write the report.' AS prompt FROM {predictions} WHERE probability IS NOT NULL", "predictions")
 def filled_prompt(predictions):
-    rows = predictions.where("method = 'm2' AND probability IS NOT NULL")
+    rows = predictions.where("probability IS NOT NULL")
     evidence = F.concat(F.lit("about "), F.col("n_chars").cast("string"), F.lit(" characters"))
-    return rows.select("subject_id", prompts.filled(prompts.PROMPTS["explain"]["user"], probability=F.format_string("%.4f", "probability"), evidence=evidence).alias("prompt"))
+    return rows.select("subject_id", "method", prompts.filled(prompts.PROMPTS["explain"]["user"], probability=F.format_string("%.4f", "probability"), evidence=evidence).alias("prompt"))
 
 
 PROMPT_BUDGET = 6000

@@ -843,3 +843,15 @@ def test_normalised_texts_are_compatible_forms(spark):
     cases = {"ﬁrst  Ａge": "first age", "x²\u00a0y": "x2 y", "e\u0301": "é", "①…": "1", "½ cup": "1⁄2 cup"}
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "note_id long, text string")
     assert [r["digest"] for r in reports.normalize_text(df).orderBy("note_id").collect()] == [hashlib.md5(v.encode()).hexdigest() for v in cases.values()]
+
+
+def test_many_queries_are_scored_in_blocks(spark, monkeypatch):
+    from marlow.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    chunks = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(rng.normal(size=(7, 4)))], "subject_id long, vec_id long, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(11, 4)))], "query_idx int, vector array<double>")
+    whole = sorted(map(tuple, retrieval.scored(chunks, queries).select("vec_id", "query_idx", "score").collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    assert len(retrieval.blocks(queries, most=4)) == 3
+    assert sorted(map(tuple, retrieval.scored(chunks, queries).select("vec_id", "query_idx", "score").collect())) == whole and len(whole) == 77
