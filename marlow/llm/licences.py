@@ -109,7 +109,7 @@ def _hits(templates: dict[str, list[str]]) -> str:
     """SQL: the rolling 3-grams (place, gram) of the words ``w`` whose hash is that of a template's."""
     grams = sorted({g[4] for g in template_grams(templates)})
     first = ", ".join(f"'{x}'" for x in sorted({g.split(" ")[0] for g in grams}))
-    gram = "concat_ws(' ', " + ", ".join(f"lower(w[i + {k}])" for k in range(K)) + ")"
+    gram = "concat_ws(' ', " + ", ".join(_low(f"w[i + {k}]") for k in range(K)) + ")"
     known = ", ".join(f"xxhash64('{g}')" for g in grams)
     at = f"if(size(w) < {K}, {NO_PLACES}, filter(sequence(0, size(w) - {K}), i -> lower(w[i]) IN ({first}) AND xxhash64({gram}) IN ({known})))"
     return f"transform({at}, i -> named_struct('i', i, 'gram', {gram}))"

@@ -56,7 +56,7 @@ w AS (SELECT doc_id, w, i FROM d, unnest(range(1, len(w) + 1)) t(i)),
 p AS ({_PLACES}),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS base FROM p GROUP BY doc_id),
 g(label, template, n_of, n_at, gram) AS (VALUES {_GRAMS}),
-h AS (SELECT w.doc_id, g.label, g.template, g.n_of, g.n_at, w.i, w.i - g.n_at AS diag FROM w JOIN g ON g.gram = lower(w.w[w.i]) || ' ' || lower(w.w[w.i + 1]) || ' ' || lower(w.w[w.i + 2])),
+h AS (SELECT w.doc_id, g.label, g.template, g.n_of, g.n_at, w.i, w.i - g.n_at AS diag FROM w JOIN g ON g.gram = w.w[w.i] || ' ' || w.w[w.i + 1] || ' ' || w.w[w.i + 2]),
 dd AS (SELECT DISTINCT doc_id, template, diag FROM h),
 s AS (SELECT *, sum(CASE WHEN diag - before > {licences.SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diag) AS run FROM (SELECT *, lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) AS before FROM dd)),
 c AS (SELECT h.doc_id, h.label, s.run, h.template, count(DISTINCT h.n_at) / CAST(max(h.n_of) AS DOUBLE) AS cover FROM h JOIN s ON s.doc_id = h.doc_id AND s.template = h.template AND s.diag = h.diag GROUP BY h.doc_id, h.label, h.template, s.run),
