@@ -74,12 +74,12 @@ def taken(rows: DataFrame, key: str, n_draws: int, seed: int, give: Callable[[pd
     mine = rows.join(placed, key).withColumn("_block", F.floor(F.col("_place") / BLOCK))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = [f"{seed}|{d}|" for d in range(n_draws)]
+        prefixes = [f"{seed}|{d}|".encode() for d in range(n_draws)]
         for batch in batches:
             places = batch.column(0).to_pylist()
             for lo in range(0, len(places), 256):
-                suffixes = places[lo : lo + 256]
-                raw = b"".join([hashlib.md5(f"{p}{i}".encode()).digest()[:4] for i in suffixes for p in prefixes])
+                suffixes = [str(i).encode() for i in places[lo : lo + 256]]
+                raw = b"".join([hashlib.md5(p + i, usedforsecurity=False).digest()[:4] for i in suffixes for p in prefixes])
                 source = np.frombuffer(raw, ">u4").astype(np.int64) % n
                 pairs = np.rec.fromarrays([source, np.tile(np.arange(n_draws), len(suffixes))], dtype=_PAIR)
                 pairs = pairs[np.argsort(source, kind="stable")]
@@ -95,7 +95,8 @@ def taken(rows: DataFrame, key: str, n_draws: int, seed: int, give: Callable[[pd
         return give(own, times[own["_place"].to_numpy() - key_[0] * BLOCK])
 
     pairs = spark.range(0, n, 1, max(1, min(-(-n // 64), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(hashed, "_block long, pairs binary")
-    return mine.groupBy("_block").cogroup(pairs.groupBy("_block")).applyInPandas(met, schema)
+    width = max(1, min(-(-n // BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a number of our own, so that small inputs too use all cores
+    return mine.repartition(width, "_block").groupBy("_block").cogroup(pairs.repartition(width, "_block").groupBy("_block")).applyInPandas(met, schema)
 
 
 _PAIR = np.dtype([("source", "<i8"), ("draw", "<i4")])
