@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlow.llm.shared import lasting, lean, numbered, packed, row_key, small, unpacked
+from marlow.llm.shared import lasting, lean, numbered, packed, row_key, small, unpacked, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -200,7 +200,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) ->
                     cols = [b.column("doc_id").take(pa.array([g[0] for g in got])), *[pa.array(x) for x in ([ix.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got])]]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_shingles", "containment"])
 
-        out = out.union(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b, run=run: lean(run(b)), schema))
+        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda b, run=run: lean(run(b)), schema)
+        if total > ITEMS:  # one block after the other, so that one index at a time is held
+            part = written(part)
+            index.destroy()
+        out = out.union(part)
     return out.distinct()
 
 

@@ -695,3 +695,20 @@ def test_op10_finds_all_places_of_a_repeated_passage(spark):
     assert got == one and {r[0] for r in got} == {1, 2}
     long = {r[0]: r[3] for r in got}
     assert long[1] > 18_900 and long[2] > 18_900
+
+
+def test_op8_over_several_blocks_of_items(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontamination.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "ITEMS", 13)
+    assert sorted(map(tuple, decontamination.leaks(docs, items).collect())) == whole and whole
+
+
+def test_op2_over_several_blocks_with_hot_texts(spark):
+    rows = [(i, "the cat sat on the mat and the dog", "en", i % 4) for i in range(60)] + [(100 + i, "der Hund und die Katze sind im Haus", "de", i % 4) for i in range(60)] + [(300, None, "en", 0), (301, "", "de", 3), (302, "12 ?", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fold int")
+    one = language.trained(docs.where("fold < 2"))
+    many = language.trained(docs.where("fold < 2"), cells=40)
+    assert len(one.blocks) == 1 and len(many.blocks) > 2
+    by = [{r["doc_id"]: (r["lang_pred"], round(r["entropy"], 9), r["n_letters"], round(r["score"], 9)) for r in language.scored(docs, m).collect()} for m in (one, many)]
+    assert by[0] == by[1] and len(by[0]) == 123
