@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlow.functions import parsing as p
 from marlow.operators import relational
+from marlow.operators.ordering import settled, shared_folder
 from marlow.plans import roles
 from marlow.plans.catalog import frame, sql
 
@@ -117,8 +118,8 @@ def checked(reports, sources, kept):
     and holds the quote.  A source that is cited is normalised once, and only then meets its quotes; sources of one id (a code that
     several subjects have) are one row with the set of its subjects."""
     flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    e = evidence(reports).select("subject_id", "k", "kind", "handle", flat(F.col("quote")).alias("quote"))
-    cited = e.where("kind IS NOT NULL").select("kind", F.col("handle").alias("id"))
+    e = settled(evidence(reports).select("subject_id", "k", "kind", "handle", flat(F.col("quote")).alias("quote")))  # parsed once, used twice
+    cited = e.where("kind IS NOT NULL").select("kind", F.col("handle").alias("id")).distinct()
     src = sources.join(cited, ["kind", "id"], "left_semi").groupBy("kind", "id").agg(F.collect_set("subject_id").alias("owners"), flat(F.max("text")).alias("text"))
     shown = kept.select(F.lit("note").alias("kind"), F.col("note_id").cast("string").alias("id"), F.col("subject_id").alias("shown_to")).distinct()
     both = e.join(src.withColumnRenamed("id", "handle"), ["kind", "handle"], "left").join(shown.withColumnRenamed("id", "handle"), ["kind", "handle"], "left")
@@ -338,7 +339,6 @@ def split_patient_blocks(reports):
     """Typed reports, written one after the other into few text files and read back as single reports by byte ranges."""
     import uuid
 
-    from marlow.operators.ordering import settled, shared_folder
     from marlow.sources.reports import read_reports
 
     spark = reports.sparkSession

@@ -146,7 +146,7 @@ ROLES: dict[str, tuple[str, str | None]] = {
     # What a citation may name: notes by id and codes by code and version, with their subjects and texts.
     "sources": (
         """SELECT 'note' AS kind, CAST(note_id AS STRING) AS id, subject_id, text FROM {note_events} UNION ALL
-           SELECT DISTINCT 'icd', CAST(code AS STRING) || '-' || CAST(version AS STRING), subject_id % 97, title FROM {code_events}""",
+           SELECT 'icd', CAST(code AS STRING) || '-' || CAST(version AS STRING), subject_id % 97, title FROM {code_events}""",
         None,
     ),
     "typed_reports": (TYPED.replace("DASH", "'—'"), None),
