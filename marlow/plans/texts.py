@@ -51,18 +51,32 @@ RECORDS = f"""n AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER B
     FROM {{subject_labels}} s LEFT JOIN nn ON nn.subject_id = s.subject_id LEFT JOIN cc ON cc.subject_id = s.subject_id)"""
 
 
+def note_line():
+    """A note with its kind, age and days, without its number."""
+    return F.concat(F.coalesce("note_type", F.lit("")), F.lit(" at age "), F.col("age").cast("string"), F.lit(", "), F.col("days").cast("string"), F.lit(" days\n"), F.col("text"))
+
+
+def code_lists(codes):
+    """(subject_id, code_words, num_codes, codes): each code of a subject once, a line each, the latest first."""
+    first = codes.groupBy("subject_id", "code", "version").agg(F.max_by(F.struct("days", "title", "ord"), F.struct("days", -F.col("ord"))).alias("c"))
+    title = t.word_count(F.concat(F.col("c.title"), F.lit(" (x)")))
+    c = first.groupBy("subject_id").agg(F.sum(title).alias("code_words"), F.array_sort(F.collect_list(F.struct((-F.col("c.days")).alias("a"), F.col("c.ord").alias("b"), F.concat(F.col("c.title"), F.lit(" ("), F.col("code").cast("string"), F.lit("-"), F.col("version").cast("string"), F.lit(")")).alias("line")))).alias("items"))
+    return c.select("subject_id", "code_words", F.size("items").cast("long").alias("num_codes"), F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("codes"))
+
+
+def codes_part(num_codes, codes):
+    return F.concat(F.lit("\n\nCodes (N="), num_codes.cast("string"), F.lit(")\n"), codes)
+
+
 def records(notes, codes, labels):
     """(subject_id, label, num_notes, num_codes, text, words): the whole history of each subject, and how many words it has (of the parts, before they are joined)."""
-    line = F.concat(F.coalesce("note_type", F.lit("")), F.lit(" at age "), F.col("age").cast("string"), F.lit(", "), F.col("days").cast("string"), F.lit(" days\n"), F.col("text"))
+    line = note_line()
     notes, codes = (x.join(labels.select("subject_id"), "subject_id", "left_semi") for x in (notes, codes))
     n = notes.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("charttime", "note_id", line.alias("line")))).alias("items"), F.sum(t.word_count(line) + 2).alias("note_words"))
     n = n.select("subject_id", "note_words", F.size("items").cast("long").alias("num_notes"), F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[Note "), (i + 1).cast("string"), F.lit("] "), x["line"])), "\n").alias("notes"))
-    first = codes.groupBy("subject_id", "code", "version").agg(F.max_by(F.struct("days", "title", "ord"), F.struct("days", -F.col("ord"))).alias("c"))
-    title = t.word_count(F.concat(F.col("c.title"), F.lit(" (x)")))
-    c = first.groupBy("subject_id").agg(F.sum(title).alias("code_words"), F.array_sort(F.collect_list(F.struct((-F.col("c.days")).alias("a"), F.col("c.ord").alias("b"), F.concat(F.col("c.title"), F.lit(" ("), F.col("code").cast("string"), F.lit("-"), F.col("version").cast("string"), F.lit(")")).alias("line")))).alias("items"))
-    c = c.select("subject_id", "code_words", F.size("items").cast("long").alias("num_codes"), F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("codes"))
+    c = code_lists(codes)
     both = labels.join(n, "subject_id", "left").join(c, "subject_id", "left").fillna(0, ["num_notes", "num_codes", "note_words", "code_words"]).fillna("", ["notes", "codes"])
-    body = F.concat(F.lit("Clinical notes (N="), F.col("num_notes").cast("string"), F.lit(")\n"), F.col("notes"), F.lit("\n\nCodes (N="), F.col("num_codes").cast("string"), F.lit(")\n"), F.col("codes"))
+    body = F.concat(F.lit("Clinical notes (N="), F.col("num_notes").cast("string"), F.lit(")\n"), F.col("notes"), codes_part(F.col("num_codes"), F.col("codes")))
     return both.select("subject_id", "label", "num_notes", "num_codes", body.alias("text"), (F.col("note_words") + F.col("code_words") + 5).alias("words"))
 
 
@@ -214,6 +228,17 @@ def _fits(newest: bool) -> str:
       SELECT subject_id, md5({_prompt('text')}) AS digest, CAST({_words(_prompt('text'))} * 13 // 10 AS BIGINT) AS tokens, kept < n AS truncated, CAST(kept AS INT) AS kept, CAST(n AS INT) AS total FROM o"""
 
 
+def record_parts(notes, codes, labels, bounds, newest: bool = True):
+    """(subject_id, head, notes, total, tail): the records in parts, with the notes that a prompt within the bounds can have room for."""
+    from marlow.operators import truncation
+
+    notes, codes = (x.join(labels.select("subject_id"), "subject_id", "left_semi") for x in (notes, codes))
+    n = truncation.gathered(notes.select("subject_id", "charttime", "note_id", note_line().alias("line")), bounds, newest)
+    both = labels.join(n, "subject_id", "left").join(code_lists(codes), "subject_id", "left").fillna(0, ["total", "num_codes"]).fillna("", ["codes"])
+    head = F.concat(F.lit("Clinical notes (N="), F.col("total").cast("string"), F.lit(")\n"))
+    return both.select("subject_id", head.alias("head"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), "total", codes_part(F.col("num_codes"), F.col("codes")).alias("tail"))
+
+
 def _fitted_prompts(notes, codes, labels, newest: bool):
     from marlow.operators import truncation
 
@@ -239,5 +264,7 @@ def fit_prompt_tokens(notes, codes, labels):
 
     from marlow.operators import truncation
 
-    out = truncation.fit(records(notes, codes, labels), PROMPT_BUDGET, truncation.byte_pairs(public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = record_parts(notes, codes, labels, truncation.byte_pair_bounds(path, PROMPT_BUDGET))
+    out = truncation.fit_parts(parts, PROMPT_BUDGET, truncation.byte_pairs(path))
     return out.select("subject_id", "tokens", "truncated", "kept", "total")

@@ -670,6 +670,37 @@ def test_truncation_is_that_of_a_linear_scan(newest):
     assert calls[0] == 7 and len(calls) <= 6  # all together, and by halves
 
 
+@pytest.mark.parametrize("newest", [True, False])
+def test_truncation_gathers_only_notes_that_can_fit(spark, newest):
+    import datetime
+
+    import public_tokenizers
+
+    from marlow.operators import truncation as tr
+    from marlow.plans import catalog  # noqa: F401
+    from marlow.plans import texts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, day = np.random.default_rng(4), datetime.datetime(2020, 1, 1)
+    words = ["fever", "42", "naïve", "—", "sepsis!!", "a" * 30, "\n", "[x]", "two\u00a0words"]
+    sizes = {1: [1500] * 60, 2: [], 3: [20, 9000, 20], 4: [5, 7], 5: [40] * 300, 6: [9000] * 3}
+    rows = [(s, 1000 * s + i, "t", day + datetime.timedelta(i), 50, 900 - i, " ".join(rng.choice(words, n))) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    notes = spark.createDataFrame(rows, "subject_id long, note_id long, note_type string, charttime timestamp, age int, days int, text string").repartition(6)
+    codes = spark.createDataFrame([(s, c, 9, f"title {c}", c, c) for s in (1, 2, 4) for c in range(3)], "subject_id long, code long, version int, title string, days int, ord long")
+    labels = spark.createDataFrame([(s, s % 2) for s in sizes], "subject_id long, label int")
+    calls = []
+    for count, bounds in ((tr.byte_pairs(path), tr.byte_pair_bounds(path, 6000)), (tr.approximate, tr.approximate_bounds(6000))):
+        parts = texts.record_parts(notes, codes, labels, bounds, newest)
+        got = {r["subject_id"]: r for r in tr.fit_parts(parts, 6000, count, newest).collect()}
+        want = tr.fit(texts.records(notes, codes, labels), 6000, count, newest).collect()
+        assert len(got) == len(want) == 6 and all(got[r["subject_id"]] == r for r in want) and got[1]["total"] == 60 and got[6]["kept"] == 1 and got[2]["kept"] == 0
+        held = {r["subject_id"]: r["notes"] for r in parts.collect()}
+        assert len(held[1]) < 6 and len(held[5]) < 200  # of 60 and 300, whatever the history's length
+    records = [tr.Record("h", ["w" * 50_000], "t") for _ in range(64)]
+    tr.fitted(records, 10, lambda p: calls.append(sum(map(len, p))) or [1] * len(p), newest, lambda t: t)
+    assert max(calls) <= tr.AT_ONCE and len(calls) == 4  # sixty-four large prompts are not tokenised at once
+
+
 def test_any_cut_of_a_file_gives_the_same_reports(spark, tmp_path):
     import io as bytes_
 
