@@ -242,7 +242,8 @@ def record_parts(notes, codes, labels, bounds, newest: bool = True):
 def _fitted_prompts(notes, codes, labels, newest: bool):
     from marlow.operators import truncation
 
-    out = truncation.fit(records(notes, codes, labels), PROMPT_BUDGET, newest=newest)
+    parts = record_parts(notes, codes, labels, truncation.approximate_bounds(PROMPT_BUDGET), newest)
+    out = truncation.fit_parts(parts, PROMPT_BUDGET, newest=newest)
     return out.select("subject_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), "tokens", "truncated", "kept", "total")
 
 

@@ -701,6 +701,36 @@ def test_truncation_gathers_only_notes_that_can_fit(spark, newest):
     assert max(calls) <= tr.AT_ONCE and len(calls) == 4  # sixty-four large prompts are not tokenised at once
 
 
+@pytest.mark.parametrize("newest", [True])
+def test_notes_without_text_count_as_in_the_sql(spark, newest, tmp_path):
+    import shutil
+
+    import duckdb
+    import pandas as pd
+
+    from marlow.plans import catalog, roles
+    from tests.test_parity import SF
+
+    for name in roles.TABLES:
+        if name != "documents":
+            shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    d = pd.read_parquet(f"{SF}/documents.parquet")
+    more = d.assign(doc_id=d["doc_id"] + 97 * 10, text="nbsp\u00a0joined " + d["text"])
+    blank = d["doc_id"] % 97 < 9
+    d.loc[blank & (d["doc_id"] >= 97), "text"] = None
+    more.loc[more["doc_id"] % 97 < 5, "text"] = None
+    d.loc[d["doc_id"] < 3, "text"] = None
+    pd.concat([d, more]).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    for name in roles.TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    name = "fit_prompt_recent" if newest else "fit_prompt_early"
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES[name]).df()
+    columns = ["subject_id", "digest", "tokens", "truncated", "kept", "total"]
+    key = lambda x: [tuple(r) for r in x[columns].sort_values("subject_id").astype(object).to_numpy().tolist()]
+    assert key(got) == key(want) and got["truncated"].any()
+
+
 def test_any_cut_of_a_file_gives_the_same_reports(spark, tmp_path):
     import io as bytes_
 
