@@ -426,9 +426,10 @@ def normalize_text(notes):
 def fuzzy_quotes(reports, notes):
     """Partial ratio of each quote with its source, at three thresholds; quotes found as
     they are score 100 and never reach Python."""
-    e = evidence(reports).where("kind = 'note'").withColumn("note_id", F.col("handle").try_cast("long")).where("length(quote) >= 3").join(notes.select("note_id", "text"), "note_id")
-    found = F.col("text").contains(F.col("quote"))
-    s = e.where(found).select("subject_id", "k", F.lit(100.0).alias("score")).union(e.where(~found).select("subject_id", "k", p.fuzzy("quote", "text").alias("score")))
+    e = evidence(reports).where("kind = 'note'").withColumn("note_id", F.col("handle").try_cast("long")).where("length(quote) >= 3").join(notes.where("text IS NOT NULL").select("note_id", "text"), "note_id")
+    e = e.withColumn("found", F.col("text").contains(F.col("quote")))
+    asked = [F.when(~F.col("found"), F.col(c)) for c in ("quote", "text")]
+    s = e.select("subject_id", "k", "found", p.fuzzy(*asked).alias("ratio")).withColumn("score", F.when(F.col("found"), 100.0).otherwise(F.col("ratio")))
     return s.select("subject_id", "k", F.round("score", 4).alias("score"), *[(F.col("score") >= t).alias(f"at_{t}") for t in (85, 90, 95)])
 
 

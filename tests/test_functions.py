@@ -199,6 +199,42 @@ def test_partial_ratio_is_the_best_window_at_any_length():
         assert parsing.partial_ratio(q, q[10:] + " " + "0123456789" * 20) > 90
 
 
+def test_partial_ratio_tries_few_windows_in_full(monkeypatch):
+    rng = np.random.default_rng(8)
+    tried, bits = [], parsing._bits
+    monkeypatch.setattr(parsing, "_bits", lambda m, masks, at: tried.append(len(at)) or bits(m, masks, at))
+    letters = list("etaoin shrdlu")
+    b = "".join(rng.choice(letters, 6000))
+    a = b[3000:3020] + "".join(rng.choice(letters, 20))  # half of it is there
+    got = parsing.partial_ratio(a, b)
+    assert sum(tried) < 6000 / 3 and len(tried) == 2
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = 0
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], before + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    assert got == pytest.approx(max(100 * lcs(a, b[i : i + 40]) / 40 for i in range(2900, 3100)))
+    x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (a, b[:400]))
+    assert parsing._combed(x, y).tolist() == [lcs(a, b[i : i + 40]) for i in range(361)]
+    long = "".join(rng.choice(letters, 700))  # in time with the product of the lengths, not with its square
+    assert parsing.partial_ratio(long[:300] + "#" + long[300:], "".join(rng.choice(letters, 9000)) + long) > 99
+
+
+def test_fuzzy_quotes_reads_the_reports_once(spark):
+    from marlow.plans import catalog
+    from tests.test_parity import SF
+
+    df = catalog.QUERIES["fuzzy_quotes"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("ArrowEvalPython") == 1
+    rows = df.collect()
+    assert {r["score"] == 100.0 for r in rows} == {True, False} and all(r["at_85"] == (r["score"] >= 85) for r in rows)
+
+
 def test_unwrap_and_renumber():
     assert parsing.unwrap('```json\n{"report": "r1"}\n```') == "r1"
     assert parsing.unwrap('{"report": "a\nb \\"c\\" \\\\d", "x": 1}') == 'a\nb "c" \\d'
