@@ -170,19 +170,25 @@ ROLES: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: role -> {table: all that the role's SQL uses of it}, where that is little of a long column: quotes are cut from the first
+#: fifty characters of a text, so whole texts need not go through the role's joins, once for each factor.
+USED: dict[str, dict[str, list[str]]] = {"factor_rows": {"documents": ["doc_id", "substring(text, 1, 50) AS text"]}}
+
+
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The role or table ``name`` as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return queried(spark, sf_dir, ROLES[name][0])
+    return queried(spark, sf_dir, ROLES[name][0], USED.get(name, {}))
 
 
-def queried(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark SQL ``text`` over the roles and tables that it names in braces; other braces are plain."""
+def queried(spark: SparkSession, sf_dir: str, text: str, used: dict[str, list[str]] | None = None) -> DataFrame:
+    """Spark SQL ``text`` over the roles and tables that it names in braces; other braces are plain.  Of tables in ``used``, it gets these columns."""
     names = set(re.findall(r"\{([a-z_]+)\}", text))
     plain = re.sub(r"\{(?![a-z_]+\})", "{{", text)
     plain = re.sub(r"(?<![a-z_])\}", "}}", plain)
-    return spark.sql(plain, **{n: role(spark, sf_dir, n) for n in names})
+    inputs = {n: role(spark, sf_dir, n) for n in names}
+    return spark.sql(plain, **{n: x.selectExpr(*used[n]) if used and n in used else x for n, x in inputs.items()})
 
 
 def with_roles(text: str, names: list[str]) -> str:

@@ -235,6 +235,17 @@ def test_fuzzy_quotes_reads_the_reports_once(spark):
     assert {r["score"] == 100.0 for r in rows} == {True, False} and all(r["at_85"] == (r["score"] >= 85) for r in rows)
 
 
+def test_joins_of_factors_carry_no_whole_texts(spark):
+    from marlow.plans import roles
+    from tests.test_parity import SF
+
+    d, f = roles.role(spark, SF, "documents"), roles.role(spark, SF, "factor_rows")
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(text") == 4 and plan.split("Join LeftOuter")[1].count(", 1, 50)") == 2
+    quotes = d.selectExpr("doc_id AS id", "substring(text, 11, 40) AS own").join(f, F.col("id") == F.col("doc_id")).where("(doc_id + k) % 3 <> 0")
+    assert quotes.where("own <=> raw_quote").count() == quotes.count() > 0
+
+
 def test_unwrap_and_renumber():
     assert parsing.unwrap('```json\n{"report": "r1"}\n```') == "r1"
     assert parsing.unwrap('{"report": "a\nb \\"c\\" \\\\d", "x": 1}') == 'a\nb "c" \\d'
