@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from marlow.functions.prompts import PROMPTS
 
 Counter = Callable[[list[str]], list[int]]
-#: A size of a text that adds up over the texts of a prompt, and the most of it that a prompt within the budget can have.
-Bound = tuple[Callable[[Column], Column], int]
+#: A size of :data:`SIZES`, and the most of it that a prompt within the budget can have.
+Bound = tuple[str, int]
 
 #: Characters that a counter gets in one call, unless a single prompt has more.
 AT_ONCE = 1 << 20
@@ -84,6 +84,10 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
+#: Sizes of a text that add up over the texts of a prompt; of a text that begins with a line, that line has no more than the whole.
+SIZES: dict[str, Callable[[Column], Column]] = {"words": words, "bytes": F.octet_length}
+
+
 def approximate(prompts: list[str]) -> list[int]:
     """Tokens by the rule of thumb: thirteen for ten words."""
     return [sum(1 for _ in re.finditer(WORD, p)) * 13 // 10 for p in prompts]
@@ -91,7 +95,7 @@ def approximate(prompts: list[str]) -> list[int]:
 
 def approximate_bounds(budget: int) -> list[Bound]:
     """The most words that make ``budget`` tokens by the rule of thumb."""
-    return [(words, (10 * budget + 9) // 13)]
+    return [("words", (10 * budget + 9) // 13)]
 
 
 def byte_pairs(path: str) -> Counter:
@@ -117,8 +121,8 @@ def byte_pair_bounds(path: str, budget: int) -> list[Bound]:
     before = j["pre_tokenizer"] or {}
     if j["normalizer"] or j["model"].get("unk_token") or before.get("type") != "ByteLevel" or not all(x["special"] for x in j["added_tokens"]):
         raise ValueError("not a plain byte-level tokenizer")
-    longest: list[Bound] = [(F.octet_length, budget * max(map(len, j["model"]["vocab"])))]
-    return longest + [(words, budget)] * bool(before.get("use_regex", True))
+    longest: list[Bound] = [("bytes", budget * max(map(len, j["model"]["vocab"])))]
+    return longest + [("words", budget)] * bool(before.get("use_regex", True))
 
 
 def _together(sizes: list[int], most: int) -> Iterator[slice]:
@@ -191,15 +195,23 @@ def fit(records: DataFrame, budget: int, count: Counter = approximate, newest: b
     return records.select("subject_id", "text").mapInPandas(run, f"subject_id {kind}, {_RESULT}")
 
 
-def gathered(notes: DataFrame, bounds: list[Bound], newest: bool = True) -> DataFrame:
-    """(subject_id, total, notes) of notes (subject_id, charttime, note_id, line): how many a subject has, and the first ones from the end that
-    is kept, numbered and from the oldest on, as far as no sum of a bound's sizes is above its most; the first in any case."""
+def in_reach(notes: DataFrame, bounds: list[Bound], newest: bool = True) -> DataFrame:
+    """Of notes (subject_id, charttime, note_id and, by its name, the size of each bound), with their ``place`` from the end that is kept and the subject's
+    ``total`` where they don't have it, the first ones as far as no sum of sizes is above its bound's most; the first in any case."""
     ends = [F.col(c).desc() if newest else F.col(c).asc() for c in ("charttime", "note_id")]
     w = Window.partitionBy("subject_id").orderBy(*ends)
-    sums = [F.sum(F.coalesce(size(F.col("line")), F.lit(0)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= most for size, most in bounds]
-    n = notes.select("*", F.row_number().over(w).alias("place"), *[x.alias(f"fits_{i}") for i, x in enumerate(sums)], F.count(F.lit(1)).over(Window.partitionBy("subject_id")).alias("total"))
-    for i in range(len(sums)):
-        n = n.where((F.col("place") == 1) | F.col(f"fits_{i}"))
+    sums = [(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= most).alias(f"fits_{size}") for size, most in bounds]
+    total = [] if "total" in notes.columns else [F.count(F.lit(1)).over(Window.partitionBy("subject_id")).alias("total")]
+    n = notes.select("*", F.row_number().over(w).alias("place"), *sums, *total)
+    for size, _ in bounds:
+        n = n.where((F.col("place") == 1) | F.col(f"fits_{size}"))
+    return n.drop(*[f"fits_{size}" for size, _ in bounds])
+
+
+def gathered(notes: DataFrame, bounds: list[Bound], newest: bool = True) -> DataFrame:
+    """(subject_id, total, notes) of notes (subject_id, charttime, note_id, line): how many a subject has, and those :func:`in_reach`, numbered and from the oldest on.
+    Notes with a ``total`` are the first of so many from the end that is kept, all of those in reach among them."""
+    n = in_reach(notes.select("*", *[SIZES[size](F.col("line")).alias(size) for size, _ in bounds]), bounds, newest)
     i = F.col("total") - F.col("place") + 1 if newest else F.col("place")
     line = F.concat(F.lit("[Note "), i.cast("string"), F.lit("] "), F.col("line"))
     g = n.groupBy("subject_id").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct(i.cast("long").alias("i"), line.alias("line")))).alias("x"))

@@ -169,10 +169,18 @@ ROLES: dict[str, tuple[str, str | None]] = {
     ),
 }
 
+# For Spark alone, the same SQL over less: notes with empty texts (see USED), and the codes of labelled subjects (a subject's days are worked out from
+# its own orders, so orders of others can go before the joins).
+ROLES["note_heads"] = ROLES["note_events"]
+ROLES["labelled_codes"] = (ROLES["code_events"][0].replace("{orders}", "(SELECT * FROM {orders} LEFT SEMI JOIN {subject_labels} ON o_custkey = subject_id)"), None)
 
 #: role -> {table: all that the role's SQL uses of it}, where that is little of a long column: quotes are cut from the first
-#: fifty characters of a text, so whole texts need not go through the role's joins, once for each factor.
-USED: dict[str, dict[str, list[str]]] = {"factor_rows": {"documents": ["doc_id", "substring(text, 1, 50) AS text"]}}
+#: fifty characters of a text, so whole texts need not go through the role's joins, once for each factor; heads of notes need to know
+#: whether there is a text, which then need not go through the role's window.
+USED: dict[str, dict[str, list[str]]] = {
+    "factor_rows": {"documents": ["doc_id", "substring(text, 1, 50) AS text"]},
+    "note_heads": {"documents": ["doc_id", "source", "CASE WHEN text IS NOT NULL THEN '' END AS text"]},
+}
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

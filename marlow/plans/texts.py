@@ -228,44 +228,67 @@ def _fits(newest: bool) -> str:
       SELECT subject_id, md5({_prompt('text')}) AS digest, CAST({_words(_prompt('text'))} * 13 // 10 AS BIGINT) AS tokens, kept < n AS truncated, CAST(kept AS INT) AS kept, CAST(n AS INT) AS total FROM o"""
 
 
-def record_parts(notes, codes, labels, bounds, newest: bool = True):
-    """(subject_id, head, notes, total, tail): the records in parts, with the notes that a prompt within the bounds can have room for."""
+#: The most subjects of whom the keys of notes that may be in reach are broadcast: of each some 1000 at most for 6000 tokens, besides notes without a text.
+FEW = 256
+
+
+def notes_in_reach(notes, heads, labels, bounds, newest: bool = True):
+    """The notes of labelled subjects, with the subject's ``total``, that are :func:`truncation.in_reach` by their ``heads`` (notes with empty texts, where they have one).
+    These are all that are in reach by their texts, and few of a subject.  They are found without texts, and days (which follow from the key) come with their keys,
+    so other texts go through no join or window."""
     from marlow.operators import truncation
 
-    notes, codes = (x.join(labels.select("subject_id"), "subject_id", "left_semi") for x in (notes, codes))
-    n = truncation.gathered(notes.select("subject_id", "charttime", "note_id", note_line().alias("line")), bounds, newest)
+    keys = ["subject_id", "charttime", "note_id"]
+    h = heads.join(labels.select("subject_id"), "subject_id", "left_semi").select(*keys, "days", *[truncation.SIZES[size](note_line()).alias(size) for size, _ in bounds])
+    near = truncation.in_reach(h, bounds, newest).dropDuplicates(keys).select(*[F.col(k).alias(f"near_{k}") for k in keys], "days", "total")
+    near = F.broadcast(near) if labels.limit(FEW + 1).count() <= FEW else near
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"near_{k}"))
+    return notes.select(*keys, "note_type", "age", "text").join(near, same).drop(*near.columns[:3])
+
+
+def record_parts(notes, codes, labels, bounds, newest: bool = True, heads=None):
+    """(subject_id, head, notes, total, tail): the records in parts, with the notes that a prompt within the bounds can have room for.
+    ``heads`` are the notes with empty texts, where these can be had for less."""
+    from marlow.operators import truncation
+
+    heads = notes.withColumn("text", F.when(F.col("text").isNotNull(), "")) if heads is None else heads
+    codes = codes.join(labels.select("subject_id"), "subject_id", "left_semi")
+    near = notes_in_reach(notes, heads, labels, bounds, newest)
+    n = truncation.gathered(near.select("subject_id", "charttime", "note_id", note_line().alias("line"), "total"), bounds, newest)
     both = labels.join(n, "subject_id", "left").join(code_lists(codes), "subject_id", "left").fillna(0, ["total", "num_codes"]).fillna("", ["codes"])
     head = F.concat(F.lit("Clinical notes (N="), F.col("total").cast("string"), F.lit(")\n"))
     return both.select("subject_id", head.alias("head"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"), "total", codes_part(F.col("num_codes"), F.col("codes")).alias("tail"))
 
 
-def _fitted_prompts(notes, codes, labels, newest: bool):
+def _fitted_prompts(notes, codes, labels, heads, newest: bool):
     from marlow.operators import truncation
 
-    parts = record_parts(notes, codes, labels, truncation.approximate_bounds(PROMPT_BUDGET), newest)
+    parts = record_parts(notes, codes, labels, truncation.approximate_bounds(PROMPT_BUDGET), newest, heads)
     out = truncation.fit_parts(parts, PROMPT_BUDGET, newest=newest)
     return out.select("subject_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), "tokens", "truncated", "kept", "total")
 
 
-@frame("fit_prompt_recent", _fits(True), "note_events", "code_events", "subject_labels")
-def fit_prompt_recent(notes, codes, labels):
+@frame("fit_prompt_recent", _fits(True), "note_events", "labelled_codes", "subject_labels", "note_heads")
+def fit_prompt_recent(notes, codes, labels, heads):
     """The newest notes that a rendered prompt has room for, by bisection."""
-    return _fitted_prompts(notes, codes, labels, True)
+    return _fitted_prompts(notes, codes, labels, heads, True)
 
 
-@frame("fit_prompt_early", _fits(False), "note_events", "code_events", "subject_labels")
-def fit_prompt_early(notes, codes, labels):
-    return _fitted_prompts(notes, codes, labels, False)
+@frame("fit_prompt_early", _fits(False), "note_events", "labelled_codes", "subject_labels", "note_heads")
+def fit_prompt_early(notes, codes, labels, heads):
+    return _fitted_prompts(notes, codes, labels, heads, False)
 
 
-@frame("fit_prompt_tokens", None, "note_events", "code_events", "subject_labels")
-def fit_prompt_tokens(notes, codes, labels):
+@frame("fit_prompt_tokens", None, "note_events", "labelled_codes", "subject_labels", "note_heads")
+def fit_prompt_tokens(notes, codes, labels, heads):
     """The same with the tokens of a byte-pair tokenizer."""
     import public_tokenizers
 
     from marlow.operators import truncation
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    parts = record_parts(notes, codes, labels, truncation.byte_pair_bounds(path, PROMPT_BUDGET))
+    parts = record_parts(notes, codes, labels, truncation.byte_pair_bounds(path, PROMPT_BUDGET), heads=heads)
     out = truncation.fit_parts(parts, PROMPT_BUDGET, truncation.byte_pairs(path))
     return out.select("subject_id", "tokens", "truncated", "kept", "total")

@@ -778,6 +778,52 @@ def test_notes_without_text_count_as_in_the_sql(spark, newest, tmp_path):
     assert key(got) == key(want) and got["truncated"].any()
 
 
+@pytest.mark.parametrize("newest", [True, False])
+def test_texts_out_of_reach_are_not_gathered(spark, newest):
+    import datetime
+
+    from marlow.operators import truncation as tr
+    from marlow.plans import catalog, texts  # noqa: F401
+
+    day = datetime.datetime(2020, 1, 1)
+    # a history that is long, one of notes without texts but for a few in the middle, and two notes of the same key
+    sizes = {1: ["a b c"] * 4000, 2: [None] * 1500 + ["x y"] * 3 + [None] * 1500, 3: ["p"], 4: ["q"]}
+    rows = [(s, 10000 * s + i, "t", day + datetime.timedelta(i), 50, len(x) - i, t) for s, x in sizes.items() for i, t in enumerate(x)] + [(3, 30000, "t", day, 50, 1, "r r")]
+    notes = spark.createDataFrame(rows, "subject_id long, note_id long, note_type string, charttime timestamp, age int, days int, text string").repartition(3)
+    codes = spark.createDataFrame([], "subject_id long, code long, version int, title string, days int, ord long")
+    labels = spark.createDataFrame([(s, 1) for s in (1, 2, 3)], "subject_id long, label int")
+    bounds = tr.approximate_bounds(6000)
+    heads = notes.withColumn("text", F.when(F.col("text").isNotNull(), ""))
+    for few in (256, 0):  # keys broadcast, and joined
+        texts.FEW, before = few, texts.FEW
+        try:
+            near = {s: [r for r in texts.notes_in_reach(notes, heads, labels, bounds, newest).collect() if r["subject_id"] == s] for s in sizes}
+            assert len(near[1]) == bounds[0][1] // 6 and all(r["total"] == 4000 for r in near[1]) and not near[4]
+            assert len(near[2]) == 3003 and sorted(r["text"] for r in near[3]) == ["p", "r r"]
+            got = {r["subject_id"]: r for r in tr.fit_parts(texts.record_parts(notes, codes, labels, bounds, newest), 6000, newest=newest).collect()}
+        finally:
+            texts.FEW = before
+        want = {r["subject_id"]: r for r in tr.fit(texts.records(notes, codes, labels), 6000, newest=newest).collect()}
+        assert got[1] == want[1] and got[2]["total"] == got[2]["kept"] == 3003 and got[2]["prompt"].count("x y") == 3
+        assert got[3]["total"] == got[3]["kept"] == 2 and {"p", "r"} <= set(got[3]["prompt"].split())
+
+
+@pytest.mark.parametrize("name", ["fit_prompt_recent", "fit_prompt_early", "fit_prompt_tokens"])
+def test_prompts_take_no_text_through_the_window_of_notes(spark, name):
+    import re
+
+    from marlow.plans import catalog
+    from tests.test_parity import SF
+
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    windows = [k for k, x in enumerate(plan) if "Window [max(doc_id#" in x]
+    for k in windows:
+        table = next(i for i in range(k, len(plan)) if "Relation [" in plan[i])
+        text = re.search(r"text#\d+", plan[table])[0]
+        assert not any(re.search(rf"[\[ ]{text}[,\]]", x) for x in plan[k:table])
+    assert windows
+
+
 def test_any_cut_of_a_file_gives_the_same_reports(spark, tmp_path):
     import io as bytes_
 
